@@ -122,7 +122,8 @@ class Index:
             return []
         h = self.shingles(words)
         maybe = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-        known = maybe[np.isin(h[maybe], self.members)]
+        at = np.minimum(np.searchsorted(self.members, h[maybe]), len(self.members) - 1)
+        known = maybe[self.members[at] == h[maybe]]
         if not len(known):
             return []
         sums = np.zeros(len(h) + 1, np.int32)
