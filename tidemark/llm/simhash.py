@@ -163,7 +163,8 @@ def near_duplicates(
     owners = classes.join(named, "fp", "left").select(
         "fp", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return rows.join(owners, "fp").select(
+    # Written, so that the join below shuffles both sides anew and a large group of copies can be split.
+    return rows.join(kept(owners, "owners"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
