@@ -81,6 +81,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in `known`, an ascending array that isn't empty."""
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in a window of `width` that begins at one of `starts`."""
     edge = np.zeros(n + 1, np.int32)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, map_rows, mix64
+from .common import Rolling, WordHashes, among, map_rows, mix64
 
 _TOKEN = re.compile(r"[^\W_]+")
 _SHINGLE = 5
@@ -122,8 +122,7 @@ class Index:
             return []
         h = self.shingles(words)
         maybe = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.members, h[maybe]), len(self.members) - 1)
-        known = maybe[self.members[at] == h[maybe]]
+        known = maybe[among(h[maybe], self.members)]
         if not len(known):
             return []
         sums = np.zeros(len(h) + 1, np.int32)

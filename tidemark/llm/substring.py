@@ -17,12 +17,14 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, covered, kept, map_rows, mix64, sliding_min, text_bytes
+from .common import Rolling, WordHashes, among, covered, kept, map_rows, mix64, sliding_min, text_bytes
 
 # Seeds and bases of the two window hashes.
 _SEEDS = (11, 29)
@@ -52,6 +54,40 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+_SPOTS = "one long, two long, doc_id long, h long, at int"
+
+
+def _spotter(width: int, run: int):
+    """Rows (doc_id, h, text, anchors) to the hashes and places of the windows that have one of the anchors."""
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(width, run)
+        names = ["one", "two", "doc_id", "h", "at"]
+        held: list[tuple] = []
+        count = 0
+
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_id, h, text, anchors = (c[i] for c in batch.columns)
+                words = text.as_py().split()
+                wanted = np.sort(anchors.values.to_numpy(zero_copy_only=False))
+                at = np.flatnonzero(among(windows.anchors(words), wanted)).astype(np.int32)
+                one, two = windows.hashes(words)
+                ids = np.full(len(at), doc_id.as_py(), np.int64), np.full(len(at), h.as_py(), np.int64)
+                held.append((one[at], two[at], *ids, at))
+                count += len(at)
+                if count >= 100_000:
+                    yield pack()
+                    held, count = [], 0
+        if count:
+            yield pack()
+
+    return spots
+
+
 def remove_repeats(
     docs: DataFrame, width: int = 50, run: int = 16, id_col: str = "doc_id", text_col: str = "text", texts: bool = False
 ) -> DataFrame:
@@ -71,8 +107,9 @@ def remove_repeats(
 
         def row(doc_id, text, h, g):
             words = text.split()
-            found = np.unique(windows.anchors(words)).tolist() if doc_id is not None else []
-            yield doc_id, h, g, len(words), _sha(words), found
+            found = windows.anchors(words) if doc_id is not None else np.zeros(0, np.int64)
+            found = found[np.flatnonzero(np.diff(found, prepend=found[:1] - 1))]
+            yield doc_id, h, g, len(words), _sha(words), list(set(found.tolist()))
 
         return row
 
@@ -80,7 +117,8 @@ def remove_repeats(
         map_rows(source, first_pass, "doc_id long, h long, g long, n_words long, sha string, anchors array<long>"),
         "anchors",
     )
-    first = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
+    # Aggregates are written before they are joined back: a join of two shuffles is one whose hot keys can be split.
+    first = kept(seen.groupBy("h", "g").agg(F.min("doc_id").alias("first")), "first")
     known = seen.join(first, ["h", "g"]).withColumn(
         "later", F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width), F.lit(False))
     )
@@ -93,6 +131,7 @@ def remove_repeats(
         .where("least < most")
         .select("anchor")
     )
+    repeated = kept(repeated, "repeated")
     wanted = named.join(repeated, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors"))
     # One row for each text that has a repeated anchor, with its text and those anchors: both are as long as the text.
     suspects = kept(
@@ -100,22 +139,11 @@ def remove_repeats(
         "suspects",
     )
 
-    def second_pass():
-        windows = Windows(width, run)
-
-        def row(doc_id, h, text, anchors):
-            words = text.split()
-            at = np.flatnonzero(np.isin(windows.anchors(words), np.array(anchors, np.int64)))
-            one, two = windows.hashes(words)
-            for x in zip(one[at].tolist(), two[at].tolist(), at.tolist(), strict=True):
-                yield x[0], x[1], doc_id, h, x[2]
-
-        return row
-
-    spots = map_rows(suspects, second_pass, "one long, two long, doc_id long, h long, at int")
+    spots = kept(suspects.select("doc_id", "h", "text", "anchors").mapInArrow(_spotter(width, run), _SPOTS), "spots")
     least = spots.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    least = kept(least.where("least < most").select("one", "two", "least"), "least")
     marks = (
-        spots.join(least.where("least < most"), ["one", "two"])
+        spots.join(least, ["one", "two"])
         .where("doc_id > least")
         .groupBy("doc_id", "h")
         .agg(F.collect_set("at").alias("at"))
