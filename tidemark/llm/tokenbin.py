@@ -13,6 +13,8 @@ text hash; an empty table makes no file and an empty index; other columns are ig
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,48 +27,70 @@ from pyspark.sql.window import Window
 
 from .common import map_rows, new_dir, partitions
 
-_HELD_PIECES = 300_000
+_HELD_PIECES = 600_000
+_AT_ONCE = 100_000
+_MARKS = frozenset(".,;:!?")
 _INDEX = "file string, part int, doc long, doc_id long, at long, n_tokens long"
 
 
 class PieceEncoder:
     """Encodes a text piece by piece between ASCII white space, and remembers pieces (a bounded number of them).
 
-    Fit for tokenizers whose tokens never hold white space and whose normalizer works within such pieces; `whole` tells
-    whether that holds for none and encodes each text at once.
+    Fit for tokenizers that fold case, whose tokens never hold white space or both letters and punctuation, and whose
+    normalizer works within pieces: then ASCII case doesn't matter, and letters before a last mark stand alone. With
+    `whole`, each text is encoded at once instead, which holds for all.
     """
 
     def __init__(self, path: str, dtype: str, whole: bool = False):
+        # Each task has one core; the library's own threads would only contend for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.whole = np.dtype(dtype), whole
         self.known: dict[str, bytes] = {}
 
-    def _fresh(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > _HELD_PIECES:
+    def _encode(self, pieces: list[str]) -> None:
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """What a piece's ids are made of: its letters, lower case if ASCII, and its last mark."""
+        low = piece.lower() if piece.isascii() else piece
+        if len(low) > 1 and low[-1] in _MARKS and low[:-1].isalpha():
+            return low[:-1], low[-1]
+        return low, ""
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) + 2 * len(pieces) > _HELD_PIECES:
             self.known.clear()
-        for i in range(0, len(pieces), 5000):
-            some = pieces[i : i + 5000]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+        new = [p for p in pieces if p not in self.known]
+        parts = [self._parts(p) for p in new]
+        self._encode(list({x for both in parts for x in both} - self.known.keys()))
+        for p, (core, mark) in zip(new, parts, strict=True):
+            self.known[p] = self.known[core] + self.known[mark]
 
     def __call__(self, text: str) -> bytes:
         if self.whole:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         pieces = text.replace("\n", " ").split(" ")
         out = []
-        for i in range(0, len(pieces), 100_000):
-            some = pieces[i : i + 100_000]
-            if new := list(set(some) - self.known.keys()):
-                self._fresh(new)
-                some_new = [p for p in set(some) if p not in self.known]
-                if some_new:
-                    self._fresh(some_new)
+        for i in range(0, len(pieces), _AT_ONCE):
+            some = pieces[i : i + _AT_ONCE]
+            distinct = set(some)
+            if distinct - self.known.keys():
+                self._learn(distinct)
             out.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, dtype: str, whole: bool) -> PieceEncoder:
+    """The worker's encoder, with what it remembers from earlier tasks."""
+    return PieceEncoder(path, dtype, whole)
+
+
 def _open(folder: str):
     """A file system of pyarrow's and the path in it; the file scheme and bare paths are the local one."""
     from pyarrow import fs
@@ -100,7 +124,7 @@ def write_tokens(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = PieceEncoder(tokenizer_path, dtype, whole_texts)
+        encode = _encoder(tokenizer_path, dtype, whole_texts)
         end = np.array([end_id], dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"ids-{part:05d}-{uuid.uuid4().hex}"
