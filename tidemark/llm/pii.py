@@ -2,7 +2,7 @@
 
 Kinds email, ip, card and phone come from the base rules and always stay. The method adds kinds iban (confirmed by
 mod-97) and national_id (nine digits in groups of 3-2-4, confirmed by its number ranges); a proposed span starts from its
-kind's score, nearby context words raise it and words of other use lower it, and it is added at `threshold` or more unless
+kind's score, nearby context words raise it and words of other use before it lower it, and it is added at `threshold` or more unless
 it overlaps a span that is there. Base spans get a score too, which only informs.
 
 Every pattern runs in time linear in the text: runs are taken whole, so no start inside a run is tried again.
@@ -103,8 +103,9 @@ def _base(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    near = set(_WORD.findall(text[max(0, start - _NEAR) : start].lower() + " " + text[end : end + _NEAR].lower()))
-    score = _START[kind] + _BONUS * bool(near & _FOR[kind]) - _MALUS * bool(near & _AGAINST)
+    before = set(_WORD.findall(text[max(0, start - _NEAR) : start].lower()))
+    near = before.union(_WORD.findall(text[end : end + _NEAR].lower()))
+    score = _START[kind] + _BONUS * bool(near & _FOR[kind]) - _MALUS * bool(before & _AGAINST)
     return round(min(1.0, max(0.0, score)), 2)
 
 
