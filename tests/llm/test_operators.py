@@ -1,0 +1,601 @@
+"""Each operator against a plain version of what it is defined to do, on awkward rows and on a small table."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import (
+    components,
+    decontam,
+    langid,
+    mixing,
+    pii,
+    quality,
+    queries,
+    sharding,
+    simhash,
+    substring,
+    tokenbin,
+    urlfilter,
+)
+
+from .helpers import awkward_rows, empty, prose, table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(params=["awkward", "table"])
+def docs(request, spark, sf_dir):
+    return table(spark, awkward_rows()) if request.param == "awkward" else documents(spark, sf_dir)
+
+
+# 1 Sharding
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 24, 100, 1000])
+def test_permutation_is_one(spark, n):
+    p = sharding.permutation(spark, n)
+    assert sorted(p.position(i) for i in range(n)) == list(range(n))
+    got = p.apply(spark.range(n), "id", "at").collect()
+    assert all(r["at"] == p.position(r["id"]) for r in got)
+
+
+def test_shards(docs):
+    rows = docs.collect()
+    out = sharding.shard(docs, 8).collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    slots = defaultdict(list)
+    for r in out:
+        assert r["law"] == "rows" and r["grown_shard"] is None
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(slots) == set(range(8))
+    sizes = [len(s) for s in slots.values()]
+    assert max(sizes) - min(sizes) <= 1
+    again = sharding.shard(docs.repartition(3), 8).collect()
+    assert Counter(again) == Counter(out)
+
+
+def test_no_shards_of_nothing(spark):
+    assert sharding.shard(empty(spark)).collect() == []
+
+
+# 2 Token files
+
+
+def test_token_files(docs):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    out = sorted(tokenbin.token_digest(docs, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [r["doc_id"] for r in rows]
+    by_id = defaultdict(list)
+    for r in rows:
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        crc = zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+        by_id[r["doc_id"]].append((len(ids), crc))
+    at = 0
+    got = defaultdict(list)
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+        got[r["doc_id"]].append((r["n_tokens"], r["ids_crc32"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by_id.items()}
+
+
+def test_no_tokens_of_nothing(spark):
+    assert tokenbin.token_digest(empty(spark), queries.tokenizer_path()).collect() == []
+
+
+# 3 SimHash
+
+
+def plain_fingerprint(text: str | None) -> int:
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(ids, fps, radius=4):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[find(i)] = min(least.get(find(i), x), x)
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+@pytest.mark.parametrize("dense", [1024, 2])
+def test_simhash(docs, dense):
+    rows = docs.collect()
+    fps = [plain_fingerprint(r["text"]) for r in rows]
+    comps = plain_components([r["doc_id"] for r in rows], fps)
+    want = Counter((r["doc_id"], f"{f:016x}", c) for r, f, c in zip(rows, fps, comps, strict=True))
+    out = simhash.near_duplicates(docs, dense=dense)
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out.collect()) == want
+
+
+def test_simhash_links_at_any_block_count(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = set(base)
+    for b in base:
+        for _ in range(6):
+            x = b
+            for _ in range(rng.randint(1, 7)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    want = plain_components(fps, fps)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for dense in (1024, 3):
+        links = simhash.close_links(df, 4, dense)
+        roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+        groups = defaultdict(set)
+        for f in fps:
+            s = f - (1 << 64) if f >> 63 else f
+            groups[roots.get(s, s)].add(f)
+        wanted = defaultdict(set)
+        for f, c in zip(fps, want, strict=True):
+            wanted[c].add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_masks_hold_every_close_pair():
+    rng = random.Random(5)
+    for agreeing in (1, 2, 3, 4):
+        masks = [m & (1 << 64) - 1 for m in simhash.block_masks(4, agreeing)]
+        for _ in range(200):
+            d = 0
+            for b in rng.sample(range(64), 4):
+                d |= 1 << b
+            assert any(not d & m for m in masks)
+    assert simhash.choose_agreeing(4, 10) == 1 and simhash.choose_agreeing(4, 1 << 20) == 2
+
+
+def test_simhash_of_nothing(spark):
+    assert simhash.near_duplicates(empty(spark)).collect() == []
+    assert simhash.one_of_each(empty(spark)).collect() == []
+
+
+def test_one_of_each(spark):
+    docs = table(spark, awkward_rows())
+    rows = docs.collect()
+    fps = [plain_fingerprint(r["text"]) for r in rows]
+    groups = plain_components(list(range(len(rows))), fps)
+    kept = simhash.one_of_each(docs).collect()
+    assert kept[0].asDict().keys() == rows[0].asDict().keys()
+    assert len(kept) == len(set(groups))
+    left = Counter((r["doc_id"], r["text"]) for r in kept)
+    for g in set(groups):
+        members = [rows[i] for i in range(len(rows)) if groups[i] == g]
+        assert sum(left[m] for m in {(r["doc_id"], r["text"]) for r in members}) == 1
+
+
+# 4 Substring dedup
+
+
+def plain_repeats(rows, width):
+    starts = defaultdict(set)
+    split = [WORD.findall(r["text"] or "") for r in rows]
+    for r, w in zip(rows, split, strict=True):
+        for i in range(len(w) - width + 1):
+            if r["doc_id"] is not None:
+                starts[tuple(w[i : i + width])].add(r["doc_id"])
+    out = []
+    for r, w in zip(rows, split, strict=True):
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if r["doc_id"] is not None and min(starts[tuple(w[i : i + width])]) < r["doc_id"]:
+                gone.update(range(i, i + width))
+        keep = [x for i, x in enumerate(w) if i not in gone]
+        out.append((r["doc_id"], len(w), len(gone), hashlib.sha256(" ".join(keep).encode()).hexdigest(), " ".join(keep)))
+    return out
+
+
+@pytest.mark.parametrize("width,run", [(50, 16), (5, 2)])
+def test_substring(docs, width, run):
+    want = plain_repeats(docs.collect(), width)
+    out = substring.remove_repeats(docs, width, run, texts=True).collect()
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in out)
+    assert got == Counter(want)
+    assert any(x[2] for x in want)
+    for r in out:
+        assert sum(b - a for a, b in r["removed"]) == r["n_removed"]
+
+
+def test_substring_of_nothing(spark):
+    assert substring.remove_repeats(empty(spark)).collect() == []
+
+
+# 5 PII
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(text):
+    out = {}
+    for kind, pattern in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card":
+                doubled = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(digits))]
+                if not 13 <= len(digits) <= 19 or sum(x - 9 if x > 9 else x for x in doubled) % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out[kind].append(m.span())
+    line = ",".join(f"{k}:{s}:{e}" for k in PATTERNS for s, e in out[k])
+    return [len(out[k]) for k in PATTERNS], hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_pii_base_rules():
+    rng = random.Random(2)
+    bits = ["a.b@c.d", "@", "x@y", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 555-1234",
+            "+49", "1.2.3.4.5.6.7", ".", "-", " ", "é", "😀", "+", "user@mail-1.example.com@x.y", "00.0.0.0", "_", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert pii.base_digest_of(text) == plain_base(text), text
+
+
+def test_pii(docs):
+    out = pii.digest(docs).collect()
+    got = Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in out)
+    want = Counter()
+    for r in docs.collect():
+        counts, sha = plain_base(r["text"] or "")
+        want[(r["doc_id"], *counts, sha)] += 1
+    assert got == want
+
+
+def test_pii_confirms_and_redacts():
+    text = "My bank IBAN is DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01. SSN: 123-45-6789, part 123-45-6789"
+    found = pii.find_spans(text)
+    assert [(k, text[s:e]) for k, s, e, _ in found] == [
+        ("iban", "DE89 3704 0044 0532 0130 00"),
+        ("national_id", "123-45-6789"),
+    ]
+    assert pii.redact("a x@y.zz b", pii.find_spans("a x@y.zz b")) == "a [EMAIL] b"
+    assert pii.find_spans("the order 123-45-6789 is late") == []
+    assert pii.find_spans("1" * 200_000 + "@" + "a" * 200_000) == []
+
+
+def test_pii_of_nothing(spark):
+    assert pii.digest(empty(spark)).collect() == []
+
+
+# 6 URL filter
+
+
+def test_urls(spark):
+    urls = ["http://a.Example.com/en/7x?y", "https://example.com/en/", "x://com/en/1", "http://example.net/de/8", "http://net/de/9#/",
+            "http://example.org/es", "http://example.org/es/", None, "", "no scheme", "http://", "a://b://c/d", "http://COM?x=/en/",
+            "http://notexample.com/en/7", "http://x.example.com:80/en/7", "http://\u00c9.com/en/\n1"]
+    rows = [(i, u, "v") for i, u in enumerate(urls)] + [(0, urls[0], "v"), (None, urls[1], "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = sorted(urlfilter.judge(pages, queries.RULES).collect(), key=str)
+
+    def plain(i, u):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.split("[/?#]", rest)[0]
+            path = re.split("[?#]", rest[len(host) :])[0]
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r in queries.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+        return i, host, path, best and best[1] + best[2], best[0] if best else "allow"
+
+    assert [tuple(r) for r in got] == sorted([plain(i, u) for i, u, _ in rows], key=lambda t: str(got[0].__class__) and _row_key(t))
+
+
+def _row_key(t):
+    from pyspark.sql import Row
+
+    return str(Row(page_id=t[0], host=t[1], path=t[2], rule=t[3], verdict=t[4]))
+
+
+def test_url_oracle(spark, sf_dir):
+    check_oracle(spark, sf_dir, "op6_url_filter", ["pages"])
+
+
+def test_block_wins_among_equal_rules_and_tries_are_bounded():
+    top = urlfilter.build([("block", "a.com", "/"), ("allow", "a.com", "/"), ("allow", "", "/x")])
+    assert top.longest("b.a.com", "/y") == ("a.com/", "block")
+    assert top.longest("", "/xy") == ("/x", "allow")
+    with pytest.raises(ValueError):
+        urlfilter.build([("block", "a", "/")] * 3, max_rules=2)
+
+
+# 7 Language
+
+
+def test_automaton_knows_its_substrings():
+    text = "abracadabra abra"
+    a = langid.Automaton(text)
+    for i in range(len(text)):
+        for j in range(i + 1, len(text) + 1):
+            assert a.phrases(text[i:j]) == 1
+
+    def plain(s):
+        n = i = 0
+        while i < len(s):
+            k = 1
+            while i + k < len(s) and s[i : i + k + 1] in text:
+                k += 1
+            i, n = i + k, n + 1
+        return n
+
+    rng = random.Random(4)
+    for _ in range(300):
+        s = "".join(rng.choice("abrcdx ") for _ in range(rng.randint(0, 15)))
+        assert a.phrases(s) == plain(s)
+
+
+def test_language(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    out = langid.predict(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    for r in out:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1
+    held = [r for r in out if r["held_out"] and len(r["text"]) > 100]
+    assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
+
+
+def test_language_cases(spark):
+    out = langid.predict(table(spark, awkward_rows())).collect()
+    assert len(out) == len(awkward_rows())
+    none = [r for r in out if r["doc_id"] in (60, 61, 62)]
+    assert len(none) == 3 and all((r["lang_pred"], r["score"]) == ("und", 0.0) for r in none)
+    assert langid.predict(empty(spark)).collect() == []
+    model = langid.Identifier({"en": " the ", "de": " der "})
+    assert model("12 ² !") == ("und", 0.0) and model("der")[0] == "de" and langid.Identifier({})("x") == ("und", 0.0)
+
+
+# 8 Quality
+
+
+def plain_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    counts = Counter(windows)
+    again = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 8)}
+    failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), failed
+
+
+def test_quality(docs):
+    out = quality.assess(docs).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = Counter((r["doc_id"], *[r[c] for c in names]) for r in out)
+    assert got == Counter((r["doc_id"], *plain_quality(r["text"])) for r in docs.collect())
+    assert not any(r["base_failed"] and r["kept"] for r in out)
+
+
+def test_quality_lines():
+    rng = random.Random(6)
+    good = prose(rng, 80)
+    junk = "Home | About | Contact | Login\nAll rights reserved.\nMenu\n###### **** %%%% $$$\n12 34 56 78 90 11 12."
+    assert quality.clean_text(good) == (good, 0)
+    assert quality.clean_text(good + "\n" + junk)[0] == good
+    assert quality.line_fault("") is None
+
+
+def test_quality_cleaning(spark):
+    rng = random.Random(7)
+    good, bad = prose(rng, 60), "\n".join(["Home | About | Contact | Login page"] * 40 + [prose(rng, 25)])
+    rows = [(1, good + "\nMenu", "en", "s", 1, "r", 1), (2, bad, "en", "s", 1, "r", 1), (3, None, None, None, None, None, None)]
+    out = quality.clean(table(spark, rows)).collect()
+    assert [(r["doc_id"], r["text"], r["row"]) for r in out] == [(1, good, "r")]
+    assert quality.assess(empty(spark)).collect() == [] and quality.clean(empty(spark)).collect() == []
+
+
+# 9 Decontamination
+
+
+def plain_matches(text, items, similarity=0.8, least=8):
+    words = decontam.tokens(text or "")
+    out = {}
+    for item, t in items:
+        w = decontam.tokens(t or "")
+        if len(w) < max(5, least) or len(words) < 5:
+            continue
+        want = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        n = min(len(w), len(words))
+        for at in range(len(words) - n + 1):
+            part = words[at : at + n]
+            s = decontam.similarity_of(Counter(tuple(part[i : i + 5]) for i in range(n - 4)), want)
+            if s >= similarity and s > out.get(item, (0,))[0]:
+                out[item] = (s, at, n)
+    return out
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.randint(9, 50), 3000)) for i in range(30)] + [(90, None), (91, ""), (92, "short one"), (None, prose(rng, 20, 3000))]
+    rows = []
+    for i in range(80):
+        words = prose(rng, rng.randint(5, 120), 3000).split()
+        item = decontam.tokens(rng.choice(items[:30])[1])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            item[rng.randrange(len(item))] = "other"
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join(words[:at] + (item if i % 2 else []) + words[at:]), None, None, None, None, None))
+    rows += [(200, items[3][1].upper(), None, None, None, None, None), (201, None, None, None, None, None, None), (200, items[3][1].upper(), None, None, None, None, None)]
+    docs = table(spark, rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for passes in (1 << 20, 800):
+        out = decontam.search(docs, bench, pass_bytes=passes).collect()
+        got = Counter((r["doc_id"], r["item_id"], r["similarity"]) for r in out)
+        want = Counter((i, k, round(s, 6)) for i, t, *_ in rows for k, (s, _, _) in plain_matches(t, items).items())
+        assert got == want
+        hit = {r["doc_id"] for r in out}
+        left = decontam.clean(docs, bench, pass_bytes=passes).collect()
+        assert sorted(r["doc_id"] for r in left) == sorted(i for i, *_ in rows if i not in hit)
+    assert len(hit) > 20
+    assert decontam.search(docs, bench.limit(0)).collect() == [] and decontam.search(empty(spark), bench).collect() == []
+    assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_decontamination_table(spark):
+    sf = "/root/testdata/sf0.01"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = documents(spark, sf)
+    items = [tuple(r) for r in bench.select("item_id", "text").collect()]
+    shingles = {tuple(w[i : i + 5]) for _, t in items for w in [decontam.tokens(t)] for i in range(len(w) - 4)}
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        w = decontam.tokens(r["text"])
+        if sum(tuple(w[i : i + 5]) in shingles for i in range(len(w) - 4)) >= 4:
+            want |= {(r["doc_id"], k) for k in plain_matches(r["text"], items)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.search(docs, bench).collect()}
+    assert got == want and len(got) > 5
+
+
+# 10 Mixing
+
+
+def test_targets(spark):
+    rows = [("a", 10), ("b", 1000), ("c", 5), (None, 400), ("d", 0)]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    names = ["a", "b", "c", "d", None]
+    weights = dict(zip(names, [5, 2, 1, 5, 2], strict=True))
+    sizes = dict(rows)
+    want = dict.fromkeys(names, 0.0)
+    left, open_ = float(sum(sizes.values())), list(names)
+    while left > 1e-9 and open_:
+        share = left / sum(weights[n] for n in open_)
+        full = [n for n in open_ if share * weights[n] > 3 * sizes[n]]
+        if not full:
+            for n in open_:
+                want[n] = share * weights[n]
+            break
+        for n in full:
+            want[n] = 3.0 * sizes[n]
+            left -= want[n]
+            open_.remove(n)
+    assert got == pytest.approx(want)
+
+
+def test_mixing(docs):
+    rows = docs.collect()
+    out = mixing.plan(docs).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in rows)
+    assert sorted(r["size"] for r in out) == sorted(len(WORD.findall(r["text"] or "")) for r in rows)
+    taken, target = Counter(), {}
+    for r in out:
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == sum(r["passes"])
+        taken[r["_source"]] += r["taken"]
+        target[r["_source"]] = r["target"]
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(0.02 * t, 8)
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in out))
+    key = lambda r: (r["doc_id"], r["size"], r["taken"])
+    assert Counter(map(key, mixing.plan(docs.repartition(5)).collect())) == Counter(map(key, out))
+
+
+def test_mix_rows(docs):
+    planned = mixing.plan(docs).collect()
+    mixed = mixing.mix(docs).collect()
+    assert set(mixed[0].asDict()) == set(docs.columns)
+    want = Counter()
+    for r in planned:
+        want[r["doc_id"]] += sum(r["passes"])
+    got = Counter()
+    for r in mixed:
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] in (None, len(r["text"]))
+    assert +got == +want
+
+
+def test_mixing_oracle(spark, sf_dir):
+    check_oracle(spark, sf_dir, "op10_mixing", ["documents"])
+
+
+def test_mixing_of_nothing(spark):
+    assert mixing.plan(empty(spark)).collect() == [] and mixing.mix(empty(spark)).collect() == []
+    words = spark.createDataFrame([(1, None, "en", "s", 0, "r", 1)], empty(spark).schema)
+    assert [r["taken"] for r in mixing.plan(words).collect()] == [0]
+
+
+# Shared
+
+
+def check_oracle(spark, sf_dir, name, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    columns = want.columns
+    got = queries.QUERIES[name](spark, sf_dir).select(*columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (None, 3)]
+    found = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert {r["node"]: r["root"] for r in found} == {n: find(n) for n in list(parent)}
+    assert len(found) == len(parent)
+
+
+def test_every_query_is_registered(spark, sf_dir):
+    assert sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0])) == list(queries.QUERIES)
+    assert len(queries.QUERIES) == 10
+    for name in queries.QUERIES:
+        assert queries.QUERIES[name](spark, sf_dir).select(F.count("*")).first()[0] > 0
