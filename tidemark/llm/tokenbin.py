@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import map_rows, new_dir, partitions
 
-_HELD_PIECES = 600_000
+_HELD_PIECES = 400_000
 _AT_ONCE = 100_000
 _MARKS = frozenset(".,;:!?")
 _INDEX = "file string, part int, doc long, doc_id long, at long, n_tokens long"
@@ -49,6 +49,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.whole = np.dtype(dtype), whole
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> None:
         for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
@@ -63,12 +64,20 @@ class PieceEncoder:
         return low, ""
 
     def _learn(self, pieces: set[str]) -> None:
+        """Two generations: when the young one is full it becomes the old one, from which pieces in use come back."""
         if len(self.known) + 2 * len(pieces) > _HELD_PIECES:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         new = [p for p in pieces if p not in self.known]
-        parts = [self._parts(p) for p in new]
-        self._encode(list({x for both in parts for x in both} - self.known.keys()))
-        for p, (core, mark) in zip(new, parts, strict=True):
+        old, unknown = self.old, []
+        for p in new:
+            if (ids := old.get(p)) is not None:
+                self.known[p] = ids
+            else:
+                unknown.append(p)
+        parts = [self._parts(p) for p in unknown]
+        distinct = {x for both in parts for x in both}
+        self._encode([x for x in distinct if x not in self.known])
+        for p, (core, mark) in zip(unknown, parts, strict=True):
             self.known[p] = self.known[core] + self.known[mark]
 
     def __call__(self, text: str) -> bytes:
@@ -79,7 +88,7 @@ class PieceEncoder:
         for i in range(0, len(pieces), _AT_ONCE):
             some = pieces[i : i + _AT_ONCE]
             distinct = set(some)
-            if distinct - self.known.keys():
+            if not all(p in self.known for p in distinct):
                 self._learn(distinct)
             out.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(out)
