@@ -1,7 +1,7 @@
 """Line-first quality rules: judge every line, remove those that fail, reject documents that lose too much.
 
 A line with words fails if it is navigation (few words without an end mark, or cut up by separators), boilerplate (holds a
-phrase of the fixed list), or noise (symbols or a lack of letters). A document is rejected if it fails the base rules
+phrase of the fixed list), or noise (over a tenth symbols, or over half of its words without a letter). A document is rejected if it fails the base rules
 (under 20 words, or over 30% of its words in 8-word windows that repeat), if failing lines hold more than `most_lost` of
 its words, or if fewer than `least_left` words are left.
 
@@ -47,6 +47,7 @@ _SEPARATORS = frozenset(["|", ">", "»", "›", "•", "·", "/", "-", "–", "
 _ENDS = tuple(".!?…:;\"'”’)]。！？।")
 _SHORT = 6
 _SYMBOL_RUN = re.compile(r"[#*$%&|<>]")
+_NO_LETTER = re.compile(r"(?<!\S)(?:[^\w\s]|[\d_])++(?!\S)")
 
 
 class Measures:
@@ -92,7 +93,7 @@ def line_fault(line: str) -> str | None:
     chars = sum(map(len, words))
     if len(_SYMBOL_RUN.findall(line)) * 10 > chars:
         return "noise"
-    if sum(map(str.isalpha, line)) * 2 < chars:
+    if len(_NO_LETTER.findall(line)) * 2 > len(words):
         return "noise"
     return None
 
