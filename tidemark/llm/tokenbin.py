@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import map_rows, new_dir, partitions
 
-_HELD_PIECES = 400_000
+_HELD_PIECES = 600_000
 _AT_ONCE = 100_000
 _MARKS = frozenset(".,;:!?")
 _INDEX = "file string, part int, doc long, doc_id long, at long, n_tokens long"
@@ -37,7 +39,7 @@ class PieceEncoder:
     """Encodes a text piece by piece between ASCII white space, and remembers pieces (a bounded number of them).
 
     Fit for tokenizers that fold case, whose tokens never hold white space or both letters and punctuation, and whose
-    normalizer works within pieces: then ASCII case doesn't matter, and letters before a last mark stand alone. With
+    normalizer works within pieces: then case doesn't matter, and letters before a last mark stand alone. With
     `whole`, each text is encoded at once instead, which holds for all.
     """
 
@@ -48,17 +50,22 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.whole = np.dtype(dtype), whole
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> None:
         for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+            ids = array(self.code, e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.known[piece] = ids.tobytes()
 
     @staticmethod
     def _parts(piece: str) -> tuple[str, str]:
-        """What a piece's ids are made of: its letters, lower case if ASCII, and its last mark."""
-        low = piece.lower() if piece.isascii() else piece
+        """What a piece's ids are made of: its letters, lower case if Latin, and its last mark."""
+        # Up to U+024F, lower case is the same letter by letter, but for a dotted capital I.
+        low = piece.lower() if piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece else piece
         if len(low) > 1 and low[-1] in _MARKS and low[:-1].isalpha():
             return low[:-1], low[-1]
         return low, ""
