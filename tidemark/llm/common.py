@@ -164,7 +164,8 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     at = new_dir(spark, what)
     schema = df.schema
-    df.write.parquet(at)
+    # Small row groups: a writing task buffers one of them.
+    df.write.option("parquet.block.size", 16 << 20).parquet(at)
     return spark.read.schema(schema).parquet(at)
 
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, among, covered, kept, map_rows, mix64, sliding_min, text_bytes
 
-# Seeds and bases of the two window hashes.
-_SEEDS = (11, 29)
+_SEED = 11
+# Bases of the two window hashes; the second is over mixed word hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -36,18 +36,24 @@ class Windows:
 
     def __init__(self, width: int, run: int):
         self.width, self.run = width, run
-        self.words = [WordHashes(s) for s in _SEEDS]
+        self.words = WordHashes(_SEED)
         self.roll = [Rolling(b) for b in _BASES]
 
     def anchors(self, words: list[bytes]) -> np.ndarray:
         """The anchor of each window, in order."""
         if len(words) < self.width:
             return np.zeros(0, np.int64)
-        runs = mix64(self.roll[0](self.words[0].of(words), self.run))
+        return self._anchors(self.words.of(words))
+
+    def _anchors(self, values: np.ndarray) -> np.ndarray:
+        runs = mix64(self.roll[0](values, self.run))
         return sliding_min(runs, self.width - self.run + 1).view(np.int64)
 
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(r(w.of(words), self.width).view(np.int64) for w, r in zip(self.words, self.roll, strict=True))
+    def all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor and both hashes of each window; there must be one."""
+        values = self.words.of(words)
+        one, two = self.roll[0](values, self.width), self.roll[1](mix64(values), self.width)
+        return self._anchors(values), one.view(np.int64), two.view(np.int64)
 
 
 def _sha(words: list[bytes]) -> str:
@@ -74,8 +80,8 @@ def _spotter(width: int, run: int):
                 doc_id, h, text, anchors = (c[i] for c in batch.columns)
                 words = text.as_py().split()
                 wanted = np.sort(anchors.values.to_numpy(zero_copy_only=False))
-                at = np.flatnonzero(among(windows.anchors(words), wanted)).astype(np.int32)
-                one, two = windows.hashes(words)
+                found, one, two = windows.all(words)
+                at = np.flatnonzero(among(found, wanted)).astype(np.int32)
                 ids = np.full(len(at), doc_id.as_py(), np.int64), np.full(len(at), h.as_py(), np.int64)
                 held.append((one[at], two[at], *ids, at))
                 count += len(at)
