@@ -18,10 +18,13 @@ def normalise_route(template: Column) -> Column:
 
 
 def combine_routes(prefix: Column, route: Column) -> Column:
-    """Prefix and route with one slash between; either may be missing."""
-    left = F.rtrim(F.coalesce(prefix, F.lit("")), F.lit("/"))
-    right = F.ltrim(F.coalesce(route, F.lit("")), F.lit("/"))
-    return F.when(left == "", right).when(right == "", left).otherwise(F.concat_ws("/", left, right))
+    """Prefix and route with one slash between; the other as it is if one is null or empty."""
+
+    def lacking(c: Column) -> Column:
+        return F.coalesce(c, F.lit("")) == ""
+
+    both = F.concat_ws("/", F.rtrim(prefix, F.lit("/")), F.ltrim(route, F.lit("/")))
+    return F.when(lacking(prefix), route).when(lacking(route), prefix).otherwise(both)
 
 
 def segments_match(template: Column, reference: Column) -> Column:

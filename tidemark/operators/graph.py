@@ -39,11 +39,15 @@ def memberships(*fragments: DataFrame) -> DataFrame:
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts of types, members and distinct edges."""
+    """Counts of types, members and distinct edges, in one row."""
     counted = nodes.agg(
-        F.count_if(F.col("kind") == "Type").alias("types"), F.count_if(F.col("kind") != "Type").alias("members")
+        F.count_if(F.col("kind") == "Type").alias("types"),
+        F.count_if(F.col("kind") != "Type").alias("members"),
+        F.lit(0).cast("long").alias("edges"),
     )
-    return counted.crossJoin(merge_edges(edges).agg(F.count("*").alias("edges")))  # two rows of totals
+    none = F.lit(0).cast("long")
+    linked = merge_edges(edges).agg(none.alias("types"), none.alias("members"), F.count("*").alias("edges"))
+    return counted.unionByName(linked).agg(*[F.sum(c).alias(c) for c in ("types", "members", "edges")])
 
 
 def is_only(kind: Column, mask: int) -> Column:

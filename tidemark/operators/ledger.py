@@ -79,7 +79,6 @@ def advice(net_seconds: Column) -> Column:
 
 def append_run(runs: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
     """A19 without the file: a run more, the last hundred kept."""
-    last = Window.orderBy("at")
-    top = runs.agg(F.coalesce(F.max(seq), F.lit(-1)).alias("_top"))
-    numbered = new.crossJoin(top).withColumn(seq, F.col("_top") + F.row_number().over(last)).drop("_top")
+    top = runs.agg(F.coalesce(F.max(seq), F.lit(-1))).first()[0]
+    numbered = new.withColumn(seq, F.lit(top) + F.row_number().over(Window.orderBy("at")))
     return keep_last(runs.unionByName(numbered.select(*runs.columns)), seq)

@@ -52,12 +52,12 @@ def changed_templates(routes: DataFrame, hunks: DataFrame) -> DataFrame:
     when the diff's path has a folder; a bare name is compared by its last letters alone, as `Foo.cs` also ends `BarFoo.cs`.
     """
     ends = routes.where("is_endpoint").withColumn("low", F.lower(normalize_path(F.col("file"))))
-    changed = hunks.where("side = 'new'").withColumn("tail", F.lower(normalize_path(F.col("path"))))
-    tail_name = lambda c: F.substring_index(c, "/", -1)
-    deep = changed.where(F.contains("tail", F.lit("/"))).withColumn("name", tail_name("tail"))
+    tail = F.lower(normalize_path(F.col("path"))).alias("tail")
+    changed = hunks.where("side = 'new'").select(tail, "start_line", "end_line").distinct()
+    deep = changed.where(F.contains("tail", F.lit("/"))).withColumn("name", F.substring_index("tail", "/", -1))
     bare = changed.where(~F.contains("tail", F.lit("/"))).withColumn("name", F.col("tail"))
     inside = F.endswith("low", "tail") & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    named = ends.withColumn("name", tail_name("low"))
+    named = ends.withColumn("name", F.substring_index("low", "/", -1))
     by_name = named.join(deep, "name").where(inside)
     # A bare name may end another name: every ending of the route's file name is a key.
     endings = named.withColumn(

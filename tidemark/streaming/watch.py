@@ -19,9 +19,13 @@ from ..schemas import QUIET
 
 def batches(events: DataFrame, quiet: str = QUIET, by: list[str] | None = None, late: str | None = None) -> DataFrame:
     """(opened, closed, paths, lost) of each batch; `late` is the watermark's delay, for streams."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events
+    if events.isStreaming:
+        # A streaming session needs a key beside it; without one of the caller's, all paths share the empty beginning.
+        rows = events.withWatermark("ts", late).withColumn("_root", F.substring("path", 1, 0))
     session = F.session_window("ts", quiet)
-    grouped = rows.groupBy(*(by or []), session.alias("w")).agg(
+    keys = by or (["_root"] if events.isStreaming else [])
+    grouped = rows.groupBy(*keys, session.alias("w")).agg(
         F.array_sort(F.collect_set("path")).alias("paths"),
         F.bool_or(F.coalesce("lost", F.lit(False))).alias("lost"),
         F.count("*").alias("events"),
