@@ -114,8 +114,19 @@ def plain_fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(ids, fps, radius=4):
+def plain_shingles(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b, similarity=0.8):
+    return len(a & b) >= similarity * len(a | b)
+
+
+def plain_components(ids, fps, radius=4, texts=None):
+    """Components over fingerprints within the radius and, with texts, over five-word sets that are alike."""
     parent = list(range(len(fps)))
+    sets = [plain_shingles(t) for t in texts] if texts else None
 
     def find(i):
         while parent[i] != i:
@@ -125,7 +136,7 @@ def plain_components(ids, fps, radius=4):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius:
+            if (fps[i] ^ fps[j]).bit_count() <= radius or sets and sets[i] and sets[j] and alike(sets[i], sets[j]):
                 parent[find(i)] = find(j)
     least = {}
     for i, x in enumerate(ids):
@@ -187,12 +198,13 @@ def test_simhash_of_nothing(spark):
     assert simhash.one_of_each(empty(spark)).collect() == []
 
 
-def test_one_of_each(spark):
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_one_of_each(spark, similarity):
     docs = table(spark, awkward_rows())
     rows = docs.collect()
     fps = [plain_fingerprint(r["text"]) for r in rows]
-    groups = plain_components(list(range(len(rows))), fps)
-    kept = simhash.one_of_each(docs).collect()
+    groups = plain_components(list(range(len(rows))), fps, texts=similarity and [r["text"] for r in rows])
+    kept = simhash.one_of_each(docs, similarity=similarity).collect()
     assert kept[0].asDict().keys() == rows[0].asDict().keys()
     assert len(kept) == len(set(groups))
     left = Counter((r["doc_id"], r["text"]) for r in kept)
@@ -201,6 +213,23 @@ def test_one_of_each(spark):
         assert sum(left[m] for m in {(r["doc_id"], r["text"]) for r in members}) == 1
 
 
+@pytest.mark.parametrize("all_pairs", [32, 2])
+def test_similar_texts_leave_one(spark, all_pairs):
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):
+        base = prose(rng, rng.randint(40, 150), 5000).split(" ")
+        for _ in range(rng.randint(1, 9)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), None, f"g{g}", None, None, None))
+    groups = plain_components(list(range(len(rows))), [plain_fingerprint(r[1]) for r in rows], texts=[r[1] for r in rows])
+    kept = simhash.one_of_each(table(spark, rows), all_pairs=all_pairs).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(groups))
+    assert len(set(groups)) < len(rows) // 2
+
+
 # 4 Substring dedup
 
 

@@ -47,7 +47,9 @@ def test_stages_against_brute_force(spark, sf_dir, results):
     assert Counter((r["doc_id"], r["text"]) for r in good) == want and want
     # Near copies: one of each group.
     groups = defaultdict(list)
-    for r, g in zip(good, plain_components(list(range(len(good))), [plain_fingerprint(r["text"]) for r in good]), strict=True):
+    texts = [r["text"] for r in good]
+    components = plain_components(list(range(len(good))), [plain_fingerprint(t) for t in texts], texts=texts)
+    for r, g in zip(good, components, strict=True):
         groups[g].append((r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     left = Counter((r["doc_id"], r["text"]) for r in alone)
     assert len(alone) == len(groups)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_rows, text_bytes
+from .common import Rolling, WordHashes, among, kept, map_rows, mix64, text_bytes
 from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -55,19 +55,14 @@ def fingerprints(
     seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
-    more: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """(doc_id, fp) of every row, and string columns `more`."""
+    """(doc_id, fp) of every row."""
 
     def make():
-        return lambda doc_id, text, *rest: ((doc_id, fingerprint(text, shingle, seed), *rest),)
+        return lambda doc_id, text: ((doc_id, fingerprint(text, shingle, seed)),)
 
-    columns = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        text_bytes(F.col(text_col)).alias("text"),
-        *[c.alias(k) for k, c in (more or {}).items()],
-    )
-    return map_rows(columns, make, ", ".join(["doc_id long", "fp long", *[f"{k} string" for k in more or ()]]))
+    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"))
+    return map_rows(columns, make, "doc_id long, fp long")
 
 
 def block_masks(radius: int, agreeing: int) -> list[int]:
@@ -169,6 +164,92 @@ def near_duplicates(
     )
 
 
+class Sketch:
+    """Min-hash blocks of a text's word shingles: texts of similarity s share a given block with probability s ** rows."""
+
+    def __init__(self, shingle: int, blocks: int, rows: int):
+        self.shingle, self.blocks, self.rows = shingle, blocks, rows
+        self.words, self.roll, self.fold = WordHashes(23), Rolling(0x9FB21C651E98DF25), Rolling(0xD1342543DE82EF95)
+        self.factors = np.random.default_rng(7).integers(0, 1 << 63, blocks * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def shingles(self, text: bytes) -> np.ndarray:
+        """Hashes of the different shingles, ascending."""
+        words = text.translate(_LOWER).split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        h = np.sort(mix64(self.roll(self.words.of(words), min(self.shingle, len(words)))))
+        return h[np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))]
+
+    def __call__(self, text: bytes) -> list[int]:
+        h = self.shingles(text)
+        if not len(h):
+            return []
+        least = np.full(len(self.factors), np.iinfo(np.uint64).max)
+        for at in range(0, len(h), _CHUNK):
+            some = h[at : at + _CHUNK]
+            for i, f in enumerate(self.factors):
+                x = some * f
+                least[i] = min(least[i], (x ^ (x >> np.uint64(32))).min())
+        return mix64(np.array([self.fold(row, self.rows)[0] for row in least.reshape(self.blocks, self.rows)])).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending arrays of different values."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    shared = int(among(a, b).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
+def _similar_links(
+    texts: DataFrame, docs: DataFrame, shingle: int, similarity: float, all_pairs: int, blocks: int, rows: int
+) -> DataFrame:
+    """Links (a, b) between hashes of texts whose shingle sets are `similarity` alike or more, verified on the texts.
+
+    Texts meet in blocks. Of a block with up to `all_pairs` texts every pair is verified; in a larger one each text is
+    verified against three of it: the one with the least id, and the least and greatest by hash. So a row makes a bounded
+    number of pairs, and many blocks give many partners.
+    """
+    members = texts.select("hash", "id", F.posexplode("blocks").alias("block", "key"))
+    groups = (
+        members.groupBy("block", "key")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct(F.col("id").isNull(), "id", "hash"))["hash"].alias("first"),
+            F.min("hash").alias("low"),
+            F.max("hash").alias("high"),
+        )
+        .where("n > 1")
+    )
+    groups = kept(groups, "blocks")
+    met = kept(members.join(groups, ["block", "key"]).drop("id"), "members")
+    few = met.where(F.col("n") <= all_pairs).select("block", "key", "hash")
+    a, b = few.alias("a"), few.alias("b")
+    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
+    pairs = a.join(b, same & (F.col("a.hash") < F.col("b.hash"))).select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b"))
+    stars = met.where(F.col("n") > all_pairs).select(
+        "hash", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other")
+    )
+    stars = stars.where("hash <> other").select(F.least("hash", "other").alias("a"), F.greatest("hash", "other").alias("b"))
+    pairs = kept(pairs.unionAll(stars).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("hash")).unionAll(pairs.select("b")).distinct()
+    bodies = kept(docs.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), "bodies")
+    both = pairs.join(bodies.select(F.col("hash").alias("a"), F.col("text").alias("ta")), "a").join(
+        bodies.select(F.col("hash").alias("b"), F.col("text").alias("tb")), "b"
+    )
+
+    def make():
+        sketch = Sketch(shingle, blocks, rows)
+
+        def row(a, b, ta, tb):
+            if jaccard(sketch.shingles(ta), sketch.shingles(tb)) >= similarity:
+                yield a, b
+
+        return row
+
+    return map_rows(both.select("a", "b", "ta", "tb"), make, "a string, b string")
+
+
 def one_of_each(
     docs: DataFrame,
     shingle: int = 4,
@@ -177,25 +258,54 @@ def one_of_each(
     dense: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
+    similar_shingle: int = 5,
+    similarity: float | None = 0.8,
+    all_pairs: int = 32,
+    blocks: int = 16,
+    rows: int = 5,
 ) -> DataFrame:
-    """The documents, all columns, with one row left of each component: the least by id (null last), then text hash."""
+    """The documents, all columns, with one row left of each component: the least by id (null last), then text hash.
+
+    Links are those of `near_duplicates`, and unless `similarity` is None also those of texts whose sets of
+    `similar_shingle`-word shingles are so much alike. Fingerprints of 64 bits within a small radius miss most of the
+    latter, so their candidates come from min-hash blocks, joined like the fingerprints' blocks.
+    """
     names = {"_id": F.col(id_col).cast("long"), "_hash": F.md5(text_bytes(F.col(text_col)))}
-    digest = fingerprints(docs, shingle, seed, id_col, text_col, more={"_hash": names["_hash"]})
-    rows = kept(digest, "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min(_least("doc_id", "_hash")).alias("least"))
-    roots = connected_components(close_links(classes.select("fp"), radius, dense))
-    owners = classes.join(roots, classes.fp == roots.node, "left").select(
-        F.coalesce("root", "fp").alias("root"), "least"
+    bodies = docs.select(*[c.alias(k[1:]) for k, c in names.items()], text_bytes(F.col(text_col)).alias("text"))
+
+    def make():
+        sketch = Sketch(similar_shingle, blocks, rows)
+
+        def row(doc_id, hash_, text):
+            yield doc_id, hash_, fingerprint(text, shingle, seed), sketch(text) if similarity is not None else []
+
+        return row
+
+    each = kept(map_rows(bodies, make, "id long, hash string, fp long, blocks array<long>"), "sketches")
+    texts = each.groupBy("hash").agg(
+        F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.count("*").alias("n")
+    )
+    texts = kept(texts, "texts")
+    # A fingerprint stands for its texts by their least hash.
+    classes = kept(texts.groupBy("fp").agg(F.min("hash").alias("hash")), "classes")
+    close = close_links(classes.select("fp"), radius, dense)
+    named = close.join(classes.select(F.col("fp").alias("a"), F.col("hash").alias("x")), "a").join(
+        classes.select(F.col("fp").alias("b"), F.col("hash").alias("y")), "b"
+    )
+    links = named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(
+        texts.join(classes.withColumnRenamed("hash", "owner"), "fp").where("hash <> owner").select("hash", "owner")
     )
-    left = owners.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.hash")
-    left = kept(left, "survivors")
+    if similarity is not None:
+        links = links.unionAll(
+            _similar_links(texts, bodies.select("hash", "text"), similar_shingle, similarity, all_pairs, blocks, rows)
+        )
+    roots = kept(connected_components(links), "roots")
+    owned = texts.join(roots, texts.hash == roots.node, "left").select(F.coalesce("root", "hash").alias("root"), "id", "hash")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")
+    left = kept(owned.groupBy("root").agg(least).select("least.id", "least.hash"), "survivors")
     marked = docs.withColumns(names)
     same = marked.join(left, marked._id.eqNullSafe(left.id) & (marked._hash == left.hash), "left_semi")
-    repeats = rows.groupBy("doc_id", "_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    repeats = each.groupBy("id", "hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (repeats or 0) > 1:
         same = same.dropDuplicates(["_id", "_hash"])
     return same.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _least(id_col: str, hash_col: str) -> Column:
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(hash_col).alias("hash"))
