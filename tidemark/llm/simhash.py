@@ -201,14 +201,36 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, make_sketch, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose shingle sets are so much alike."""
+    pairs = kept(pairs.distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("hash")).unionAll(pairs.select("b")).distinct()
+    bodies = kept(docs.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), "bodies")
+    both = pairs.join(bodies.select(F.col("hash").alias("a"), F.col("text").alias("ta")), "a").join(
+        bodies.select(F.col("hash").alias("b"), F.col("text").alias("tb")), "b"
+    )
+
+    def make():
+        sketch = make_sketch()
+
+        def row(a, b, ta, tb):
+            if jaccard(sketch.shingles(ta), sketch.shingles(tb)) >= similarity:
+                yield a, b
+
+        return row
+
+    return kept(map_rows(both.select("a", "b", "ta", "tb"), make, "a string, b string"), "similar")
+
+
 def _similar_links(
-    texts: DataFrame, docs: DataFrame, shingle: int, similarity: float, all_pairs: int, blocks: int, rows: int
+    texts: DataFrame, docs: DataFrame, links: DataFrame, make_sketch, similarity: float, all_pairs: int
 ) -> DataFrame:
-    """Links (a, b) between hashes of texts whose shingle sets are `similarity` alike or more, verified on the texts.
+    """Links (a, b) that join to `links` those of all texts that share a block and are `similarity` alike or more.
 
-    Texts meet in blocks. Of a block with up to `all_pairs` texts every pair is verified; in a larger one each text is
-    verified against three of it: the one with the least id, and the least and greatest by hash. So a row makes a bounded
-    number of pairs, and many blocks give many partners.
+    Of a block with up to `all_pairs` texts every pair is verified. In a larger one each text is first verified against
+    three of it: the one with the least id, and the least and greatest by hash. Mostly that makes the block one component,
+    and nothing is left to do; else the texts outside its largest component are verified against all that are in others.
+    So no pair that could join two components goes unseen.
     """
     members = texts.select("hash", "id", F.posexplode("blocks").alias("block", "key"))
     groups = (
@@ -221,33 +243,30 @@ def _similar_links(
         )
         .where("n > 1")
     )
-    groups = kept(groups, "blocks")
-    met = kept(members.join(groups, ["block", "key"]).drop("id"), "members")
+    met = kept(members.join(kept(groups, "blocks"), ["block", "key"]).drop("id"), "members")
     few = met.where(F.col("n") <= all_pairs).select("block", "key", "hash")
     a, b = few.alias("a"), few.alias("b")
     same = (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
-    pairs = a.join(b, same & (F.col("a.hash") < F.col("b.hash"))).select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b"))
-    stars = met.where(F.col("n") > all_pairs).select(
-        "hash", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other")
-    )
-    stars = stars.where("hash <> other").select(F.least("hash", "other").alias("a"), F.greatest("hash", "other").alias("b"))
-    pairs = kept(pairs.unionAll(stars).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("hash")).unionAll(pairs.select("b")).distinct()
-    bodies = kept(docs.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), "bodies")
-    both = pairs.join(bodies.select(F.col("hash").alias("a"), F.col("text").alias("ta")), "a").join(
-        bodies.select(F.col("hash").alias("b"), F.col("text").alias("tb")), "b"
+    pairs = a.join(b, same & (F.col("a.hash") < F.col("b.hash"))).select(
+        F.col("a.hash").alias("a"), F.col("b.hash").alias("b")
     )
-
-    def make():
-        sketch = Sketch(shingle, blocks, rows)
-
-        def row(a, b, ta, tb):
-            if jaccard(sketch.shingles(ta), sketch.shingles(tb)) >= similarity:
-                yield a, b
-
-        return row
-
-    return map_rows(both.select("a", "b", "ta", "tb"), make, "a string, b string")
+    many = met.where(F.col("n") > all_pairs)
+    stars = many.select("hash", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other"))
+    ordered = [F.least("hash", "other").alias("a"), F.greatest("hash", "other").alias("b")]
+    pairs = pairs.unionAll(stars.where("hash <> other").select(*ordered))
+    found = links.unionAll(_verified(pairs, docs, make_sketch, similarity))
+    if many.isEmpty():
+        return found
+    roots = kept(connected_components(found), "roots")
+    owned = many.select("block", "key", "hash").join(roots, many.hash == roots.node, "left")
+    owned = kept(owned.select("block", "key", "hash", F.coalesce("root", "hash").alias("root")), "owned")
+    parts = owned.groupBy("block", "key", "root").agg(F.count("*").alias("m")).groupBy("block", "key")
+    split = parts.agg(F.count("*").alias("parts"), F.max(F.struct("m", "root"))["root"].alias("main")).where("parts > 1")
+    torn = owned.join(kept(split.select("block", "key", "main"), "split"), ["block", "key"])
+    minor = torn.where("root <> main").select("block", "key", "hash", "root")
+    others = torn.select("block", "key", F.col("hash").alias("other"), F.col("root").alias("other_root"))
+    rest = minor.join(others, ["block", "key"]).where("root <> other_root").select(*ordered)
+    return found.unionAll(_verified(rest, docs, make_sketch, similarity))
 
 
 def one_of_each(
@@ -268,7 +287,8 @@ def one_of_each(
 
     Links are those of `near_duplicates`, and unless `similarity` is None also those of texts whose sets of
     `similar_shingle`-word shingles are so much alike. Fingerprints of 64 bits within a small radius miss most of the
-    latter, so their candidates come from min-hash blocks, joined like the fingerprints' blocks.
+    latter, so their candidates come from min-hash blocks, joined like the fingerprints' blocks; texts that are 0.8 alike
+    share one of 16 blocks of 5 with a probability of 0.998.
     """
     names = {"_id": F.col(id_col).cast("long"), "_hash": F.md5(text_bytes(F.col(text_col)))}
     bodies = docs.select(*[c.alias(k[1:]) for k, c in names.items()], text_bytes(F.col(text_col)).alias("text"))
@@ -296,8 +316,13 @@ def one_of_each(
         texts.join(classes.withColumnRenamed("hash", "owner"), "fp").where("hash <> owner").select("hash", "owner")
     )
     if similarity is not None:
-        links = links.unionAll(
-            _similar_links(texts, bodies.select("hash", "text"), similar_shingle, similarity, all_pairs, blocks, rows)
+        links = _similar_links(
+            texts,
+            bodies.select("hash", "text"),
+            kept(links, "close"),
+            lambda: Sketch(similar_shingle, blocks, rows),
+            similarity,
+            all_pairs,
         )
     roots = kept(connected_components(links), "roots")
     owned = texts.join(roots, texts.hash == roots.node, "left").select(F.coalesce("root", "hash").alias("root"), "id", "hash")
