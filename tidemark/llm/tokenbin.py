@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import map_rows, new_dir, partitions
 
-_HELD_PIECES = 600_000
+_HELD_PIECES = 800_000
 _AT_ONCE = 100_000
 _MARKS = frozenset(".,;:!?")
 _INDEX = "file string, part int, doc long, doc_id long, at long, n_tokens long"
@@ -70,15 +70,14 @@ class PieceEncoder:
             return low[:-1], low[-1]
         return low, ""
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, new: list[str], needed: set[str]) -> None:
         """Two generations: when the young one is full it becomes the old one, from which pieces in use come back."""
-        if len(self.known) + 2 * len(pieces) > _HELD_PIECES:
-            self.known, self.old = {}, self.known
-        new = [p for p in pieces if p not in self.known]
-        old, unknown = self.old, []
+        if len(self.known) + 3 * len(new) > _HELD_PIECES:
+            self.known, self.old, new = {}, self.known, list(needed)
+        known, old, unknown = self.known, self.old, []
         for p in new:
             if (ids := old.get(p)) is not None:
-                self.known[p] = ids
+                known[p] = ids
             else:
                 unknown.append(p)
         parts = [self._parts(p) for p in unknown]
@@ -94,9 +93,10 @@ class PieceEncoder:
         out = []
         for i in range(0, len(pieces), _AT_ONCE):
             some = pieces[i : i + _AT_ONCE]
+            known = self.known
             distinct = set(some)
-            if not all(p in self.known for p in distinct):
-                self._learn(distinct)
+            if new := [p for p in distinct if p not in known]:
+                self._learn(new, distinct)
             out.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(out)
 
