@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import filters as fx
 from .functions import names
 from .functions.routes import normalise_route
-from .operators import changes, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
+from .operators import changes, discovery, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
 from .plans.intervals import longest_prefix
 from .plans.workdir import written
 from .sources import gitdiff, results
@@ -1053,3 +1053,262 @@ def report_json(bed: Bed) -> DataFrame:
         "event_id", "user_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("even_value")
     )
     return rows.select("event_id", report.json_of(["user_id", "event_type", "even_value"]).alias("json"))
+
+
+# Extractor tables and remaining rules ---------------------------------------------------------------------------------
+
+
+@query(
+    """WITH bases AS (SELECT DISTINCT p_brand AS type, p_type AS base FROM part WHERE p_size < 10),
+    marks AS (SELECT DISTINCT type FROM bases WHERE base IN ('SMALL', 'PROMO') UNION SELECT unnest(['SMALL', 'PROMO'])),
+    methods AS (SELECT 'C' || p_partkey % 100 AS class, split_part(p_name, ' ', 2) AS method, 'P' || p_partkey AS symbol_key, p_size AS depth, p_brand AS a
+                FROM part),
+    found AS (SELECT *, row_number() OVER (PARTITION BY class, method ORDER BY depth, symbol_key) AS n FROM methods WHERE a IN (SELECT type FROM marks))
+    SELECT class, method, symbol_key, 'NUnit' AS framework FROM found WHERE n = 1"""
+)
+def test_discovery(bed: Bed) -> DataFrame:
+    return _discovered(bed)
+
+
+def _discovered(bed: Bed) -> DataFrame:
+    part = bed.table("part")
+    methods = part.select(
+        F.concat(F.lit("C"), (F.col("p_partkey") % 100).cast("string")).alias("class"),
+        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("method"),
+        keyed("P", "p_partkey").alias("symbol_key"),
+        F.col("p_size").alias("depth"),
+    )
+    attributes = part.select(keyed("P", "p_partkey").alias("symbol_key"), F.col("p_brand").alias("attribute"))
+    bases = part.where("p_size < 10").select(F.col("p_brand").alias("type"), F.col("p_type").alias("base")).distinct()
+    markers = bed.spark.createDataFrame([("SMALL", "NUnit"), ("PROMO", "NUnit")], "attribute string, framework string")
+    return discovery.discover_tests(methods, attributes, bases, markers)
+
+
+@query(
+    """SELECT DISTINCT 'F' || s_suppkey AS src, 'O' || o_orderkey AS dst, 16 AS kind FROM supplier JOIN orders ON s_suppkey = o_custkey"""
+)
+def fixture_edges(bed: Bed) -> DataFrame:
+    fixtures = bed.table("supplier").select(keyed("K", "s_suppkey").alias("class"), keyed("F", "s_suppkey").alias("key"))
+    tests = bed.table("orders").select(keyed("K", "o_custkey").alias("class"), keyed("O", "o_orderkey").alias("symbol_key"))
+    return discovery.fixture_edges(fixtures, tests)
+
+
+@query(
+    """SELECT DISTINCT l_returnflag || '|P' || l_partkey AS src, l_linestatus || '|O' || l_orderkey AS dst, 1 AS kind
+    FROM lineitem WHERE l_returnflag IN ('A', 'N', 'F') AND l_linestatus IN ('A', 'N', 'F')"""
+)
+def tracked_edges(bed: Bed) -> DataFrame:
+    edges = bed.table("lineitem").select(
+        F.concat_ws("|", "l_returnflag", keyed("P", "l_partkey")).alias("src"),
+        F.concat_ws("|", "l_linestatus", keyed("O", "l_orderkey")).alias("dst"),
+        F.lit(1).alias("kind"),
+    )
+    tracked = bed.spark.createDataFrame([("A",), ("N",), ("F",)], "assembly string")
+    return discovery.tracked_edges(edges, tracked).distinct()
+
+
+@query(
+    """WITH a AS (SELECT 'u' || user_id % 20 AS file, 'o' || event_id AS owner, event_type AS member, 't' || event_id % 3 AS receiver, event_id AS ord FROM events),
+    hit AS (SELECT *, receiver || '.' || member AS description FROM a
+            WHERE (receiver = 't1' AND member = 'view') OR (member IN ('click', 'error') AND receiver = 't2'))
+    SELECT file, description, arg_min(owner, ord) AS owner FROM hit GROUP BY ALL"""
+)
+def reflection_rules(bed: Bed) -> DataFrame:
+    receiver = F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string"))
+    accesses = bed.table("events").select(
+        F.lit("p").alias("project"),
+        F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("file"),
+        keyed("o", "event_id").alias("owner"),
+        F.col("event_type").alias("member"),
+        receiver.alias("receiver"),
+        receiver.alias("declaring_type"),
+        F.col("event_id").alias("ord"),
+    )
+    frame = bed.spark.createDataFrame
+    strong = frame([("t1", "view")], "type string, member string")
+    weak, receivers = frame([("click",), ("error",)], "member string"), frame([("t2",)], "type string")
+    return discovery.reflecting_members(accesses, strong, weak, receivers).select("file", "description", "owner")
+
+
+@query(
+    """WITH b AS (SELECT n_name AS type, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey),
+    o AS (SELECT 'C' || c_custkey AS member, n_name AS type FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    w AS (SELECT member, type FROM o UNION SELECT member, base FROM o JOIN b USING (type)),
+    s AS (SELECT member, string_agg(type, ',' ORDER BY type) AS obtained FROM w GROUP BY member),
+    u AS (SELECT 'C' || c_custkey AS member FROM customer WHERE c_custkey % 9 = 0 UNION SELECT 'S' || s_suppkey FROM supplier)
+    SELECT coalesce(s.member, u.member) AS member, coalesce(obtained, '') AS obtained, u.member IS NOT NULL AS is_unknown FROM s FULL JOIN u ON s.member = u.member"""
+)
+def closed_facts(bed: Bed) -> DataFrame:
+    nation, region, customer = bed.table("nation"), bed.table("region"), bed.table("customer")
+    bases = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("type"), F.col("r_name").alias("base"))
+    obtained = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(keyed("C", "c_custkey").alias("member"), F.col("n_name").alias("type"))
+    untracked = customer.where("c_custkey % 9 = 0").select(keyed("C", "c_custkey").alias("member")).unionByName(
+        bed.table("supplier").select(keyed("S", "s_suppkey").alias("member"))
+    )
+    found = discovery.closed_facts(obtained, bases, untracked)
+    return found.withColumn("obtained", F.array_join("obtained", ","))
+
+
+@query(
+    """WITH loaded AS (SELECT DISTINCT lower(p_brand || '/' || p_name) AS p, p_type AS fw FROM part WHERE p_partkey % 2 = 0),
+    d AS (SELECT CASE WHEN p_partkey % 5 > 0 THEN upper(p_brand || '/' || p_name) END AS path, 'm' || p_partkey AS reason FROM part WHERE p_partkey % 7 = 0),
+    declared AS (SELECT DISTINCT p_brand || '/' || p_name AS file, length(p_name) % 4 AS n FROM part),
+    counts AS (SELECT p, count(DISTINCT fw) AS c FROM loaded GROUP BY p)
+    SELECT coalesce(path, '') AS file, reason FROM d WHERE path IS NULL OR lower(path) NOT IN (SELECT p FROM loaded)
+    UNION ALL
+    SELECT file, coalesce(c, 0) || ' of ' || n || ' target frameworks loaded' FROM declared LEFT JOIN counts ON lower(file) = p WHERE coalesce(c, 0) < n"""
+)
+def load_failures(bed: Bed) -> DataFrame:
+    part = bed.table("part")
+    file = F.concat_ws("/", "p_brand", "p_name")
+    diagnostics = part.where("p_partkey % 7 = 0").select(
+        keyed("m", "p_partkey").alias("message"), F.when(F.col("p_partkey") % 5 > 0, F.upper(file)).alias("path")
+    )
+    loaded = part.where("p_partkey % 2 = 0").select(file.alias("file"), F.col("p_type").alias("framework")).distinct()
+    declared = part.select(file.alias("file"), (F.length("p_name") % 4).alias("n")).distinct()
+    return safety.load_failures(diagnostics, loaded, declared)
+
+
+@query(
+    """SELECT p_brand AS project, p_type AS name, arg_max(p_name, p_partkey) AS value FROM part GROUP BY ALL"""
+)
+def declared_properties(bed: Bed) -> DataFrame:
+    rows = bed.table("part").select(
+        F.col("p_brand").alias("project"), F.col("p_type").alias("name"), F.col("p_name").alias("value"), F.col("p_partkey").alias("file_order")
+    )
+    return safety.declared_properties(rows)
+
+
+@query(
+    """WITH m AS (SELECT 'f' || p_size AS file, p_brand AS variable, '/' || p_name || '/' AS template, p_partkey FROM part),
+    g AS (SELECT DISTINCT 'f' || p_size AS file, p_brand AS variable, '/api/' || p_size || '/' AS prefix FROM part WHERE p_partkey % 3 = 0)
+    SELECT p_partkey, CASE WHEN prefix IS NULL THEN template ELSE rtrim(prefix, '/') || '/' || ltrim(template, '/') END AS template
+    FROM m LEFT JOIN g USING (file, variable)"""
+)
+def route_prefix(bed: Bed) -> DataFrame:
+    part = bed.table("part")
+    file = F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file")
+    maps = part.select(file, F.col("p_brand").alias("variable"), F.concat(F.lit("/"), "p_name", F.lit("/")).alias("template"), "p_partkey")
+    groups = part.where("p_partkey % 3 = 0").select(
+        file, F.col("p_brand").alias("variable"), F.concat(F.lit("/api/"), F.col("p_size").cast("string"), F.lit("/")).alias("prefix")
+    )
+    return routes.resolve_prefixes(maps, groups.distinct()).select("p_partkey", "template")
+
+
+@query(
+    f"""WITH {TESTS}, hits AS (SELECT symbol_key, fqn, ends_with(lower(fqn), 'urgent o77') AS exact FROM tests WHERE contains(lower(fqn), 'urgent o77'))
+    SELECT * FROM hits WHERE exact OR NOT (SELECT bool_or(exact) FROM hits)"""
+)
+def explain_matches(bed: Bed) -> DataFrame:
+    return report.explain_matches(_named(bed), "URGENT o77").select("symbol_key", "fqn", "exact")
+
+
+@query(
+    """WITH s AS (SELECT n_name AS project, count(*) AS selected FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 3 = 0 GROUP BY 1)
+    SELECT n_name AS project, coalesce(selected, 0) AS selected, coalesce(selected > 50, TRUE) AS filtered
+    FROM nation LEFT JOIN s ON n_name = project WHERE n_regionkey < 3"""
+)
+def default_selections(bed: Bed) -> DataFrame:
+    nation = bed.table("nation")
+    named = nation.select(F.col("n_name").alias("name"), (F.col("n_regionkey") < 3).alias("is_test"))
+    counts = (
+        bed.table("customer").where("c_nationkey % 3 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("n_name").alias("project")).agg(F.count("*").alias("selected"))
+    )
+    return harness.default_selections(named, counts.withColumn("filtered", F.col("selected") > 50))
+
+
+@query("SELECT event_id AS seq, user_id FROM events ORDER BY event_id DESC LIMIT 100")
+def ledger_rows(bed: Bed) -> DataFrame:
+    return ledger.keep_last(bed.table("events").select(F.col("event_id").alias("seq"), "user_id"))
+
+
+@query(
+    """SELECT p_partkey, array_to_string(CASE WHEN p_size % 2 = 0 THEN ['dotnet', 'test', p_name] ELSE ['dotnet', 'test', '--project', p_name] END
+      || CASE WHEN p_partkey % 5 = 0 THEN ['--no-build'] ELSE [] END
+      || CASE WHEN p_size % 2 = 0 AND p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN ['--'] ELSE [] END
+      || CASE WHEN p_partkey % 3 > 0 THEN ['--filter', p_brand] ELSE [] END, ' ') AS command FROM part"""
+)
+def test_commands(bed: Bed) -> DataFrame:
+    key, none = F.col("p_partkey"), F.lit(None).cast("array<string>")
+    words = report.test_command(
+        F.col("p_name"),
+        F.col("p_size") % 2 == 0,
+        key % 2 == 0,
+        F.when(key % 3 > 0, F.array(F.lit("--filter"), F.col("p_brand"))).otherwise(none),
+        F.when(key % 5 == 0, F.array(F.lit("--no-build"))).otherwise(none),
+    )
+    return bed.table("part").select("p_partkey", F.array_join(words, " ").alias("command"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Type:' || p_name ELSE coalesce(CASE WHEN p_size % 3 = 1 THEN p_brand END, '<none>') || '|T:' || p_type END AS key,
+      CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand || '.' || p_type END AS class, p_brand || '+' || p_type AS nested,
+      CASE WHEN length(p_name || p_name || p_name || p_name || p_name || p_name) > 48
+        THEN left(p_name || p_name || p_name || p_name || p_name || p_name, 45) || '...' ELSE p_name || p_name || p_name || p_name || p_name || p_name END AS short,
+      left(sha256(p_name || '|' || p_brand), 16) AS hash, least(greatest(4.0 * p_size, 120.0), 1800.0)::DOUBLE AS budget,
+      CASE WHEN p_size & 16 <> 0 THEN 'fixture -> test' WHEN p_size & 8 <> 0 THEN 'base type -> derived type' WHEN p_size & 32 <> 0 THEN 'type -> declared member'
+        ELSE 'referenced by' END AS edge
+    FROM (SELECT * REPLACE (p_size & 57 AS p_size) FROM part)"""
+)
+def scalar_texts(bed: Bed) -> DataFrame:
+    rows = bed.table("part").withColumn("p_size", F.col("p_size").bitwiseAND(F.lit(57)))
+    size = F.col("p_size")
+    return rows.select(
+        "p_partkey",
+        names.symbol_key(
+            F.when(size % 3 == 1, F.col("p_brand")),
+            F.when(size % 3 != 0, F.concat(F.lit("T:"), "p_type")),
+            F.lit("Type"),
+            F.col("p_name"),
+        ).alias("key"),
+        names.full_class_name(F.when(size % 2 == 0, F.lit("")).otherwise(F.col("p_brand")), F.col("p_type")).alias("class"),
+        names.nested_class(F.array("p_brand", "p_type")).alias("nested"),
+        names.truncate(F.repeat("p_name", F.lit(6))).alias("short"),
+        names.short_hash(F.col("p_name"), F.col("p_brand")).alias("hash"),
+        names.suite_budget(size.cast("double")).alias("budget"),
+        fx.edge_text(size).alias("edge"),
+    )
+
+
+@query(
+    """WITH reached AS (SELECT 'N' || c_nationkey AS type, 'C' || c_custkey AS key, c_custkey AS k, c_nationkey AS n FROM customer),
+    bounding AS (SELECT type FROM reached WHERE n % 4 = 0 AND n % 8 <> 4), marked AS (SELECT *, k % 6 = 0 OR k % 35 = 0 AS keep FROM reached),
+    kept AS (SELECT type, key FROM marked WHERE type IN (SELECT type FROM bounding) AND keep)
+    SELECT type, key FROM kept UNION ALL SELECT type, key FROM reached WHERE type NOT IN (SELECT type FROM kept)"""
+)
+def type_flow_narrow(bed: Bed) -> DataFrame:
+    customer = bed.table("customer")
+    kind, key = keyed("N", "c_nationkey").alias("type"), keyed("C", "c_custkey").alias("key")
+    reached = customer.select(kind, key)
+    types = bed.table("nation").where("n_nationkey % 4 = 0").select(keyed("N", "n_nationkey").alias("type"))
+    facts = bed.table("nation").where("n_nationkey % 8 <> 4").select(F.array(keyed("N", "n_nationkey")).alias("obtained"))
+    known = customer.where("c_custkey % 6 = 0").select(keyed("C", "c_custkey").alias("node"), kind)
+    unknown = customer.where("c_custkey % 35 = 0").select(keyed("C", "c_custkey").alias("node"))
+    return typeflow.narrow(reached, types, facts, known, unknown)
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT c_mktsegment AS project, 'x' || c_nationkey AS detail FROM customer WHERE c_custkey % 2 = 0),
+    b AS (SELECT DISTINCT c_mktsegment, 'x' || c_nationkey FROM customer WHERE c_custkey % 3 = 0)
+    SELECT 'widening' AS what, project, detail FROM (SELECT * FROM a UNION SELECT * FROM b)
+    UNION ALL SELECT 'seed', '', 'C' || c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0
+    UNION ALL SELECT 'unmapped', '', 'u' || c_custkey FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT 'unmapped', '', 'u' || c_custkey FROM customer WHERE c_custkey % 3 = 0"""
+)
+def change_union(bed: Bed) -> DataFrame:
+    def some(n: int) -> changes.ChangeSet:
+        rows = bed.table("customer").where(F.col("c_custkey") % n == 0)
+        wide = rows.select(
+            F.col("c_mktsegment").alias("project"), F.lit("c").alias("cause"), keyed("x", "c_nationkey").alias("detail"), F.lit(True).alias("widens")
+        )
+        lost = rows.select(keyed("u", "c_custkey").alias("detail"))
+        return changes.ChangeSet(rows.select(keyed("C", "c_custkey").alias("key")), wide, lost, lost.limit(0))
+
+    both = some(2).union(some(3))
+    none = F.lit("").alias("project")
+    return (
+        both.widenings.select(F.lit("widening").alias("what"), "project", "detail")
+        .unionByName(both.seeds.select(F.lit("seed").alias("what"), none, F.col("key").alias("detail")))
+        .unionByName(both.unmapped.select(F.lit("unmapped").alias("what"), none, "detail"))
+    )
