@@ -20,6 +20,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
+_SQUARE = 1000
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -229,8 +231,8 @@ def _similar_links(
 
     Of a block with up to `all_pairs` texts every pair is verified. In a larger one each text is first verified against
     three of it: the one with the least id, and the least and greatest by hash. Mostly that makes the block one component,
-    and nothing is left to do; else the texts outside its largest component are verified against all that are in others.
-    So no pair that could join two components goes unseen.
+    and nothing is left to do; else the texts outside its largest component are verified against all that are in others,
+    a square of texts at a time. So no pair that could join two components goes unseen.
     """
     members = texts.select("hash", "id", F.posexplode("blocks").alias("block", "key"))
     groups = (
@@ -258,15 +260,61 @@ def _similar_links(
     if many.isEmpty():
         return found
     roots = kept(connected_components(found), "roots")
-    owned = many.select("block", "key", "hash").join(roots, many.hash == roots.node, "left")
-    owned = kept(owned.select("block", "key", "hash", F.coalesce("root", "hash").alias("root")), "owned")
+    owned = many.select("block", "key", "hash", "n").join(roots, many.hash == roots.node, "left")
+    owned = kept(owned.select("block", "key", "hash", "n", F.coalesce("root", "hash").alias("root")), "owned")
     parts = owned.groupBy("block", "key", "root").agg(F.count("*").alias("m")).groupBy("block", "key")
     split = parts.agg(F.count("*").alias("parts"), F.max(F.struct("m", "root"))["root"].alias("main")).where("parts > 1")
-    torn = owned.join(kept(split.select("block", "key", "main"), "split"), ["block", "key"])
-    minor = torn.where("root <> main").select("block", "key", "hash", "root")
-    others = torn.select("block", "key", F.col("hash").alias("other"), F.col("root").alias("other_root"))
-    rest = minor.join(others, ["block", "key"]).where("root <> other_root").select(*ordered)
-    return found.unionAll(_verified(rest, docs, make_sketch, similarity))
+    torn = kept(owned.join(kept(split.select("block", "key", "main"), "split"), ["block", "key"]), "torn")
+    if torn.isEmpty():
+        return found
+    return found.unionAll(_torn_links(torn, texts, docs, make_sketch, similarity))
+
+
+def _torn_links(torn: DataFrame, texts: DataFrame, docs: DataFrame, make_sketch, similarity: float) -> DataFrame:
+    """Links between texts outside a block's largest component and texts of the block's other components.
+
+    A block is cut into squares of _SQUARE by _SQUARE texts at most or so, and a task holds one square; no row is made for
+    a pair. A pair that shares an earlier block is looked at there.
+    """
+    ends = torn.select("hash").distinct()
+    bodies = kept(docs.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), "bodies")
+    bodies = bodies.join(texts.select("hash", "blocks"), "hash")
+    cuts = F.call_function("div", F.col("n") + F.lit(_SQUARE - 1), F.lit(_SQUARE))
+    own = F.pmod(F.xxhash64("hash"), cuts)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))
+    columns = ["block", "key", "hash", "root"]
+    minor = torn.where("root <> main").select(*columns, own.alias("x"), every.alias("y"), F.lit(True).alias("minor"))
+    others = torn.select(*columns, every.alias("x"), own.alias("y"), F.lit(False).alias("minor"))
+    cells = minor.unionAll(others).join(kept(bodies, "bodies"), "hash")
+
+    def run(table: pa.Table) -> pa.Table:
+        sketch = make_sketch()
+        block = table.column("block")[0].as_py()
+        rows = table.select(["minor", "hash", "root", "text", "blocks"]).to_pylist()
+        shingles: dict[str, np.ndarray] = {}
+        for r in rows:
+            if r["hash"] not in shingles:
+                shingles[r["hash"]] = sketch.shingles(r["text"])
+        right = [r for r in rows if not r["minor"]]
+        roots = np.array([r["root"] for r in right])
+        earlier = np.array([r["blocks"][:block] for r in right], np.int64).reshape(len(right), block)
+        out = []
+        for r in (r for r in rows if r["minor"]):
+            mine = np.array(r["blocks"][:block], np.int64)
+            wanted = np.flatnonzero((roots != r["root"]) & ~(earlier == mine).any(axis=1))
+            if not len(wanted):
+                continue
+            a = shingles[r["hash"]]
+            sets = [shingles[right[i]["hash"]] for i in wanted.tolist()]
+            sizes = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            shared = np.bincount(owner[among(np.concatenate(sets), a)], minlength=len(sets))
+            for i in np.flatnonzero(shared >= similarity * (len(a) + sizes - shared) - 1e-9).tolist():
+                out.append(sorted((r["hash"], right[wanted[i]]["hash"])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.string()), "b": pa.array([x[1] for x in out], pa.string())})
+
+    found = cells.groupBy("block", "key", "x", "y").applyInArrow(run, "a string, b string")
+    return kept(found, "torn-links")
 
 
 def one_of_each(
