@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.names import file_name, normalize_path
 from ..plans.fixpoint import union_all
 from ..plans.intervals import interval_join, longest_prefix
+from ..plans.workdir import written
 from ..schemas import WHOLE_FILE
 
 #: Tiers of a changed range: inside a member, inside a type, elsewhere in a file.
@@ -78,7 +79,7 @@ def changed_declarations(hunks: DataFrame, sites: DataFrame, bucket: int | None
     on = ["project", "file"]
     site = sites.select(*on, F.col("start_line").alias("s"), F.col("end_line").alias("e"), "key", "is_type", "is_inlined")
     touched = interval_join(hunks, site, on, ("start_line", "end_line"), ("s", "e"), bucket)
-    ranked = touched.withColumn("tier", F.when(F.col("is_type"), TYPE).otherwise(MEMBER))
+    ranked = written(touched.withColumn("tier", F.when(F.col("is_type"), TYPE).otherwise(MEMBER)), "touched")
     hunk = [*on, "start_line", "end_line"]
     best = ranked.groupBy(*hunk).agg(F.min("tier").alias("tier"))
     inside = ranked.join(best, [*hunk, "tier"]).select(*hunk, "tier", "key", "is_inlined")

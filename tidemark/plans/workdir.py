@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
+@atexit.register
+def _drop_local() -> None:
+    """Written tables on a mounted file system go with the driver; `discard` drops others."""
+    for at in _made:
+        if at.startswith("file://"):
+            shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every table written so far by this driver; DataFrames that read them can't be used any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; on a local master without one, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written once and read again: later plans start here, and a lost executor costs no recomputation."""
     at = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
+    _made.append(at)
     schema = df.schema
     df.write.parquet(at)
     return df.sparkSession.read.schema(schema).parquet(at)
