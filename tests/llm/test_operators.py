@@ -628,3 +628,18 @@ def test_every_query_is_registered(spark, sf_dir):
     assert len(queries.QUERIES) == 10
     for name in queries.QUERIES:
         assert queries.QUERIES[name](spark, sf_dir).select(F.count("*")).first()[0] > 0
+
+
+def test_work_folders_can_go(spark, tmp_path):
+    from tidemark.llm import common
+
+    before = list(common._made)
+    common._made.clear()
+    df = common.kept(spark.range(3), "gone")
+    at = common._made[0].removeprefix("file://")
+    import os
+
+    assert df.count() == 3 and os.path.isdir(at)
+    common.discard(spark)
+    assert not os.path.exists(at)
+    common._made.extend(before)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -155,8 +157,30 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + at
 
 
+_made: list[str] = []
+
+
+@atexit.register
+def _drop_local() -> None:
+    """Work folders on a mounted file system go with the driver; `discard` drops others."""
+    for at in _made:
+        if at.startswith("file://"):
+            shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every work folder made so far by this driver; DataFrames that read them can't be used any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    """A folder of ours in the shared one, for what a query writes on its way."""
+    at = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    _made.append(at)
+    return at
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
