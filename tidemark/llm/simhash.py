@@ -203,11 +203,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, make_sketch, similarity: float) -> DataFrame:
+def _bodies(hashes: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(hash, text) of some texts, each from its row with the least id, so that copies don't meet."""
+    owners = texts.join(hashes.select("hash").distinct(), "hash", "left_semi")
+    owners = owners.select(F.col("hash").alias("_hash"), F.col("id").alias("_id"))
+    same = (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))
+    return kept(docs.join(owners, same).select("hash", "text").dropDuplicates(["hash"]), "bodies")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, make_sketch, similarity: float) -> DataFrame:
     """The pairs (a, b) of text hashes whose shingle sets are so much alike."""
     pairs = kept(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("hash")).unionAll(pairs.select("b")).distinct()
-    bodies = kept(docs.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), "bodies")
+    bodies = _bodies(pairs.select(F.col("a").alias("hash")).unionAll(pairs.select("b")), texts, docs)
     both = pairs.join(bodies.select(F.col("hash").alias("a"), F.col("text").alias("ta")), "a").join(
         bodies.select(F.col("hash").alias("b"), F.col("text").alias("tb")), "b"
     )
@@ -256,7 +263,7 @@ def _similar_links(
     stars = many.select("hash", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("other"))
     ordered = [F.least("hash", "other").alias("a"), F.greatest("hash", "other").alias("b")]
     pairs = pairs.unionAll(stars.where("hash <> other").select(*ordered))
-    found = links.unionAll(_verified(pairs, docs, make_sketch, similarity))
+    found = links.unionAll(_verified(pairs, texts, docs, make_sketch, similarity))
     if many.isEmpty():
         return found
     roots = kept(connected_components(found), "roots")
@@ -276,9 +283,7 @@ def _torn_links(torn: DataFrame, texts: DataFrame, docs: DataFrame, make_sketch,
     A block is cut into squares of _SQUARE by _SQUARE texts at most or so, and a task holds one square; no row is made for
     a pair. A pair that shares an earlier block is looked at there.
     """
-    ends = torn.select("hash").distinct()
-    bodies = kept(docs.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), "bodies")
-    bodies = bodies.join(texts.select("hash", "blocks"), "hash")
+    bodies = _bodies(torn, texts, docs).join(texts.select("hash", "blocks"), "hash")
     cuts = F.call_function("div", F.col("n") + F.lit(_SQUARE - 1), F.lit(_SQUARE))
     own = F.pmod(F.xxhash64("hash"), cuts)
     every = F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))
@@ -366,7 +371,7 @@ def one_of_each(
     if similarity is not None:
         links = _similar_links(
             texts,
-            bodies.select("hash", "text"),
+            bodies,
             kept(links, "close"),
             lambda: Sketch(similar_shingle, blocks, rows),
             similarity,
