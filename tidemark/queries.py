@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import filters as fx
 from .functions import names
@@ -448,8 +447,7 @@ def diff_resolution(bed: Bed) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey, l_partkey,
-             l_suppkey, l_linenumber::BIGINT AS ln FROM lineitem),
+    """WITH n AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS ln FROM lineitem),
     h AS (SELECT id, 'old' AS side, l_orderkey AS s, 1 AS n FROM n UNION ALL SELECT id, 'new', l_partkey, ln - 1 FROM n
           UNION ALL SELECT id, 'old', l_suppkey, ln FROM n UNION ALL SELECT id, 'new', l_suppkey, 0 FROM n),
     named AS (SELECT id, 'f' || id || '.cs' AS path FROM n UNION ALL SELECT id, 'g' || id || '.cs' FROM n WHERE id % 2 = 0)
@@ -458,9 +456,8 @@ def diff_resolution(bed: Bed) -> DataFrame:
     FROM h JOIN named USING (id)"""
 )
 def hunk_scan(bed: Bed) -> DataFrame:
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = bed.table("lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.row_number().over(order).alias("id")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")
     )
     new = F.format_string("f%d.cs", "id")
     old = F.when(F.col("id") % 2 == 0, F.format_string("g%d.cs", "id")).otherwise(new)
@@ -469,8 +466,8 @@ def hunk_scan(bed: Bed) -> DataFrame:
         F.format_string("@@ -%d +%d,%d @@ x\n-old\n", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber") - 1),
         F.format_string("@@ -%d,%d +%d,0 @@\n", "l_suppkey", "l_linenumber", "l_suppkey"),
     )
-    # Sixteen files a text.
-    texts = rows.select((F.col("id") % 4000).alias("part"), text.alias("t")).groupBy("part").agg(
+    # A text for each thousand files or so.
+    texts = rows.select(F.call_function("div", F.col("id"), F.lit(8000)).alias("part"), text.alias("t")).groupBy("part").agg(
         F.array_join(F.collect_list("t"), "").alias("text")
     )
     return gitdiff.parse_hunks_by_file(texts, "part").drop("part")
