@@ -714,14 +714,18 @@ def class_collapse(bed: Bed) -> DataFrame:
 
 
 @query(
-    f"""WITH {_COLLAPSE}
+    f"""WITH {_COLLAPSE},
+    chosen AS (SELECT t.*, bool_and(c.whole) OVER (PARTITION BY t.project) AS all_whole
+               FROM tests t JOIN classes c USING (project, full_class) WHERE t.selected)
     SELECT project, 'vstest' AS dialect, '--filter ' || string_agg('FullyQualifiedName~' || regexp_replace(term, '([\\\\()&|=!~])', '\\\\\\1', 'g'),
              '|' ORDER BY single, term) AS line FROM terms GROUP BY project
     UNION ALL
-    SELECT project, 'xunit', string_agg('--filter-method ' || fqn, ' ' ORDER BY fqn) FROM tests WHERE selected GROUP BY project
+    SELECT project, 'xunit', string_agg(DISTINCT CASE WHEN all_whole THEN '--filter-class ' || full_class ELSE '--filter-method ' || fqn END, ' '
+             ORDER BY CASE WHEN all_whole THEN '--filter-class ' || full_class ELSE '--filter-method ' || fqn END) FROM chosen GROUP BY project
     UNION ALL
     SELECT project, 'tree', '--treenode-filter /*/' || any_value(namespace) || '/' || string_agg(DISTINCT class_name, '|' ORDER BY class_name)
-             || '/' || string_agg(DISTINCT method_name, '|' ORDER BY method_name) FROM tests WHERE selected GROUP BY project"""
+             || '/' || CASE WHEN bool_and(all_whole) THEN '*' ELSE string_agg(DISTINCT method_name, '|' ORDER BY method_name) END
+    FROM chosen GROUP BY project"""
 )
 def filter_terms(bed: Bed) -> DataFrame:
     tests = _named(bed)
