@@ -12,17 +12,17 @@ from ..functions.names import file_name, normalize_path
 from ..plans.fixpoint import union_all
 from ..plans.intervals import interval_join, longest_prefix
 from ..plans.workdir import written
-from ..schemas import WHOLE_FILE
+from ..schemas import OUTPUT_FOLDERS, WHOLE_FILE
 
 #: Tiers of a changed range: inside a member, inside a type, elsewhere in a file.
 MEMBER, TYPE, FILE = 1, 2, 3
 
 
 def is_derived_output(path: Column) -> Column:
-    """A folder of the path is bin, obj or .tia; the file's own name doesn't count."""
+    """A folder of the path holds derived output; the file's own name doesn't count."""
     parts = F.split(normalize_path(path), "/")
     folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.arrays_overlap(folders, F.array(F.lit("bin"), F.lit("obj"), F.lit(".tia")))
+    return F.arrays_overlap(folders, F.array(*map(F.lit, OUTPUT_FOLDERS)))
 
 
 def is_source(path: Column) -> Column:

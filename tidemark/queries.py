@@ -898,9 +898,9 @@ def _firsts(bed: Bed) -> DataFrame:
     return harness.first_failures(ranked.withColumn("failed", F.col("o_orderpriority") == "1-URGENT"), ["o_custkey"])
 
 
-@query(f"WITH {_FAILED} SELECT o_custkey, first_failure::INT AS first_failure, ordered FROM firsts")
+@query(f"WITH {_FAILED} SELECT o_custkey, coalesce(first_failure, 0)::INT AS first_failure, ordered FROM firsts")
 def first_failure(bed: Bed) -> DataFrame:
-    return _firsts(bed)
+    return _firsts(bed).withColumn("first_failure", F.coalesce("first_failure", F.lit(0)))
 
 
 @query(
