@@ -97,6 +97,15 @@ def test_token_files(docs):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by_id.items()}
 
 
+def test_added_tokens_are_matched_with_their_case(spark):
+    texts = [
+        "a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|StartOfText|>y.", "<|ENDOFTEXT|><|endoftext|>", "A<|endoftext|>B", "<|startoftext|>",
+        "\u00c9<|EndofText|>", "\u0394<|ENDOFTEXT|>", "<|ENDOF TEXT|>", "plain TEXT after. THEM",
+    ]
+    rows = [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]
+    test_token_files(table(spark, rows))
+
+
 def test_no_tokens_of_nothing(spark):
     assert tokenbin.token_digest(empty(spark), queries.tokenizer_path()).collect() == []
 

@@ -39,8 +39,9 @@ class PieceEncoder:
     """Encodes a text piece by piece between ASCII white space, and remembers pieces (a bounded number of them).
 
     Fit for tokenizers that fold case, whose tokens never hold white space or both letters and punctuation, and whose
-    normalizer works within pieces: then case doesn't matter, and letters before a last mark stand alone. With
-    `whole`, each text is encoded at once instead, which holds for all.
+    normalizer works within pieces: then case doesn't matter, and letters before a last mark stand alone. Added tokens
+    are matched on raw text, so a piece that would hold one in lower case keeps its case. With `whole`, each text is
+    encoded at once instead, which holds for all.
     """
 
     def __init__(self, path: str, dtype: str, whole: bool = False):
@@ -49,6 +50,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype, self.whole = np.dtype(dtype), whole
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
@@ -61,11 +63,12 @@ class PieceEncoder:
                 ids.byteswap()
             self.known[piece] = ids.tobytes()
 
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
+    def _parts(self, piece: str) -> tuple[str, str]:
         """What a piece's ids are made of: its letters, lower case if Latin, and its last mark."""
         # Up to U+024F, lower case is the same letter by letter, but for a dotted capital I.
         low = piece.lower() if piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece else piece
+        if any(t in low for t in self.added):
+            return piece, ""
         if len(low) > 1 and low[-1] in _MARKS and low[:-1].isalpha():
             return low[:-1], low[-1]
         return low, ""
