@@ -575,6 +575,16 @@ def test_mixing(docs):
     assert Counter(map(key, mixing.plan(docs.repartition(5)).collect())) == Counter(map(key, out))
 
 
+def test_small_sources_meet_their_targets(spark):
+    # A huge source beside small ones, which blocks of one size would give 1 to 3 blocks each.
+    sizes = {"big": 400_000, **{f"s{i:02d}": 900 + 150 * i for i in range(20)}}
+    rows = [(j, "w " * 50, None, s, None, None, None) for s, n in sizes.items() for j in range(n // 50)]
+    out = mixing.plan(table(spark, rows), slots=1 << 9).groupBy("_source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert len(out) == 21
+    for r in out:
+        assert abs(r["n"] - r["t"]) <= max(0.01 * r["t"], 8), r
+
+
 def test_mix_rows(docs):
     planned = mixing.plan(docs).collect()
     mixed = mixing.mix(docs).collect()

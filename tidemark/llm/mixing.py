@@ -5,7 +5,8 @@ Targets. Sources in code point order, null last, weigh 5, 2, 1, repeating, and s
 min(cap, level * weight), and the level comes from one pass over sources in the order of cap / weight.
 
 Blocks. A source's documents are shuffled by a hash and their tokens form one stream, cut into equal blocks (by rounding,
-within one token). Schedule: slot n has the golden-ratio point n * phi mod 1, which falls into a source's interval of the
+within one token); a source whose target would have under `least_slots` slots has smaller blocks, of one token at the
+least, so that the few slots by which a schedule misses a share are little of it. Schedule: slot n has the golden-ratio point n * phi mod 1, which falls into a source's interval of the
 cumulative block shares; a slot's rank among its source's slots picks the block, and ranks past the last block begin a
 new pass, of which there are `most` at most. A document is taken as often as the blocks that hold its tokens are, piece
 by piece, so it is never taken more than `most` times its size.
@@ -89,28 +90,34 @@ def _streams(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
     return kept(counted.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 2)), "streams")
 
 
-def schedule(sources: DataFrame, slots: int) -> DataFrame:
-    """(_source, ord, target, source_size) -> (_source, block, blocks, times): how often each block is taken.
+def n_blocks(total: int, slots: int, least_slots: int) -> Column:
+    """Blocks of a source: of one size for all sources, or as many more as give its target `least_slots` slots."""
+    size = max(1, -(-total // slots))
+    source = F.col("source_size")
+    wanted = F.ceil(least_slots * source / F.col("target")).cast("long")
+    even = _div(source + F.lit(size - 1), size)
+    return F.when(F.col("target") > 0, F.greatest(even, F.least(source, wanted))).otherwise(even)
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """(_source, ord, target, source_size, blocks) -> (_source, block, blocks, times): how often each block is taken.
 
     A source's share of the slots is its target in blocks, held in thousandths so that all engines agree.
     """
     spark = sources.sparkSession
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    size = max(1, -(-total // slots))
     share = F.round(F.col("target") * F.col("blocks") / F.col("source_size") * 1000).cast("long")
     cut = (
         sources.where("source_size > 0")
-        .withColumn("blocks", _div(F.col("source_size") + F.lit(size - 1), size))
         .withColumn("share", share)
         .withColumn("upto", F.sum("share").over(Window.orderBy("ord")))
     )
     cut = kept(cut, "sources")
-    shares = cut.agg(F.sum("share")).first()[0] or 0
+    shares, n = cut.agg(F.coalesce(F.sum("share"), F.lit(0)), F.count("*")).first()
     if not shares:
         return cut.select("_source", F.lit(0).cast("long").alias("block"), "blocks", F.lit(0).alias("times")).limit(0)
     low = _div((F.col("upto") - F.col("share")) * F.lit(_SPAN), shares)
     high = _div(F.col("upto") * F.lit(_SPAN), shares)
-    cell = _SPAN >> 12
+    cell = _SPAN >> max(12, n.bit_length())
     owned = cut.select("_source", "blocks", low.alias("low"), high.alias("high")).where("low < high")
     cells = owned.withColumn("cell", F.explode(F.sequence(_div("low", cell), _div(F.col("high") - 1, cell))))
     points = spark.range(-(-shares // 1000)).withColumn("point", F.col("id") * F.lit(PHI) % F.lit(_SPAN))
@@ -138,6 +145,7 @@ def plan(
     most: int = 3,
     seed: int = 0,
     slots: int = 1 << 18,
+    least_slots: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -151,14 +159,13 @@ def plan(
     buckets = rows.groupBy("_source", "_bucket").agg(F.sum(words).alias("n"), F.first("source").alias("source"))
     buckets = kept(buckets, "buckets")
     sizes = buckets.groupBy("_source").agg(F.sum("n").alias("source_size"), F.first("source").alias("source"))
-    targets = source_targets(sizes.select("source", "source_size"), most)
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    targets = source_targets(sizes.select("source", "source_size"), most).withColumn("blocks", n_blocks(total, slots, least_slots))
     targets = kept(targets.withColumn("_source", _keys("ord", "source", "source")["_source"]).drop("source"), "targets")
-    times = schedule(targets, slots)
+    times = schedule(targets)
     upto = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = buckets.select("_source", "_bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    size = max(1, -(-total // slots))
     placed = (
         rows.withColumn("before", F.coalesce(F.sum(words).over(inside), F.lit(0)))
         .join(bases, ["_source", "_bucket"])
@@ -166,7 +173,6 @@ def plan(
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
         .withColumn("start", F.col("base") + F.col("before") + F.col("copy") * F.col("size"))
         .withColumn("end", F.col("start") + F.col("size"))
-        .withColumn("blocks", _div(F.col("source_size") + F.lit(size - 1), size))
     )
     # Block i of n in a stream of S tokens begins at i * S div n, so token t lies in block ((t + 1) * n - 1) div S.
     stream, blocks = F.greatest(F.col("source_size"), F.lit(1)), F.col("blocks")
@@ -199,6 +205,7 @@ def mix(
     most: int = 3,
     seed: int = 0,
     slots: int = 1 << 18,
+    least_slots: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -208,7 +215,7 @@ def mix(
     Only the document at which a pass ends is cut; its words are then joined by single spaces. A column n_chars, if there
     is one, follows the text.
     """
-    decided = kept(plan(docs, most, seed, slots, id_col, text_col, source_col), "mix")
+    decided = kept(plan(docs, most, seed, slots, least_slots, id_col, text_col, source_col), "mix")
     # Copies of a row take all, a head, or nothing: few different numbers, counted.
     wanted = (
         decided.select("_source", F.col("doc_id").alias("_id"), "_hash", "size", F.explode("passes").alias("head"))
