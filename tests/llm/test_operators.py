@@ -518,6 +518,32 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(4)
+    items = [(n, " ".join(f"q{n}x{i}" for i in range(n))) for n in range(1, 9)]
+    items += [(20, "什么是机器学习?"), (21, "日本の首都"), (22, "ทำไมฟ้าเป็นสีฟ้า"), (23, "q3x0 q3x1 q3x2"), (24, "?!"), (25, None)]
+    texts = [f"{prose(rng, 30)} {(t or '').upper()}. {prose(rng, 3)}" for _, t in items] + [t for _, t in items]
+    texts += [f"前{items[8][1]}後", "什么是机器", "q2x1 q2x0", "q4x0 q4x1 q4x2", "q7x0 q7x1 q7x2 q7x3 q7x4 q7x5", "q3x0 q3x1 q3x2 " * 2]
+    rows = [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]
+
+    def words(text):
+        # A character of these scripts, or a run of other letters and digits.
+        return re.findall(r"[\u0e01-\u0e4e\u3040-\u30ff\u4e00-\u9fff]|[a-z0-9]+", (text or "").lower())
+
+    want = set()
+    for i, text in enumerate(texts):
+        w = words(text)
+        for k, t in items:
+            v = words(t)
+            if v and (at := [j for j in range(len(w) - len(v) + 1) if w[j : j + len(v)] == v]):
+                want.add((i, k, at[0], len(v), 1.0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontam.search(table(spark, rows), bench).collect()]
+    assert set(got) == want and len(got) == len(want) >= 24
+    left = {r["doc_id"] for r in decontam.clean(table(spark, rows), bench).collect()}
+    assert left == set(range(len(texts))) - {i for i, *_ in want}
+
+
 def test_decontamination_table(spark):
     sf = "/root/testdata/sf0.01"
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")

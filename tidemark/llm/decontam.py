@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Words are runs of letters and digits, lower-cased; an item and a window of as many words are compared by their five-word
-shingles with multiplicity, sum of least over sum of most counts, and match at `similarity`. A document shorter than an
-item is one window.
+Words are runs of letters and digits, lower-cased, and in scripts written without spaces single characters; an item and a
+window of as many words are compared by their five-word shingles with multiplicity, sum of least over sum of most counts,
+and match at `similarity`. A document shorter than an item is one window. An item of under five words is one shingle, so
+it matches where its words stand one after another.
 
 A window can only match if enough of its shingles occur in the benchmark at all; the count needed follows from the
 threshold and is checked first with running sums. What is left gets a SimHash, is looked up among items of the same
@@ -12,8 +13,8 @@ radius are verified exactly.
 The index is broadcast. Items are taken in passes of at most `pass_bytes` of text, so what is collected and sent is
 bounded whatever the benchmark's size; each pass reads the documents once.
 
-Defined cases: null or short items (under `least_words` words) are not searched; null texts match nothing; repeated items
-are each reported; a repeated row is reported again; a null id is carried; empty tables give none; other columns are
+Defined cases: null items, items without a word and those under `least_words` words are not searched; null texts match
+nothing; repeated items are each reported; a repeated row is reported again; a null id is carried; empty tables give none; other columns are
 ignored by `search` and kept by `clean`.
 """
 
@@ -32,6 +33,15 @@ from pyspark.sql import functions as F
 from .common import Rolling, WordHashes, among, map_rows, mix64
 
 _TOKEN = re.compile(r"[^\W_]+")
+#: Letters, marks and digits of scripts without spaces: Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Han.
+_UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0ece\u0ed0-\u0edf\u1000-\u1049\u1050-\u109d\u1780-\u17d3\u17d7\u17dc-\u17dd\u17e0-\u17e9"
+    "\u1950-\u1974\u1980-\u19da\u1a20-\u1a99\u1b00-\u1b59\ua980-\ua9c0\ua9cf-\ua9d9\ua9e0-\ua9fe\uaa60-\uaa76\uaa7a-\uaadd\u3005-\u3007"
+    "\u3041-\u309a\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_MIXED_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
 _SHINGLE = 5
 _STARTS = 1 << 12
 #: Slots of the table that says quickly whether a shingle may be in the benchmark.
@@ -39,15 +49,16 @@ _TABLE_BITS = 22
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    low = text.lower()
+    return (_TOKEN if low.isascii() or not _ANY_UNSPACED.search(low) else _MIXED_TOKEN).findall(low)
 
 
 class _Shingles:
     def __init__(self):
         self.words, self.roll = WordHashes(17), Rolling(0xA24BAED4963EE407)
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return mix64(self.roll(self.words.of(words), min(_SHINGLE, max(1, len(words)))))
+    def __call__(self, words: list[str], k: int = _SHINGLE) -> np.ndarray:
+        return mix64(self.roll(self.words.of(words), k))
 
 
 def _simhashes(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -80,17 +91,22 @@ class Index:
         self.ids, self.counts = [], []
         prints: list[np.uint64] = []
         by_length: dict[int, list[int]] = {}
+        short: dict[int, dict[int, list[int]]] = {}
         members = []
         for item_id, text in items:
             words = tokens(text)
-            if len(words) < max(_SHINGLE, least_words):
+            if len(words) < max(1, least_words):
                 continue
-            h = self.shingles(words)
-            by_length.setdefault(len(words), []).append(len(self.ids))
+            h = self.shingles(words, min(_SHINGLE, len(words)))
+            if len(words) < _SHINGLE:
+                short.setdefault(len(words), {}).setdefault(int(h[0]), []).append(len(self.ids))
+            else:
+                by_length.setdefault(len(words), []).append(len(self.ids))
+                members.append(h)
             self.ids.append(item_id)
             self.counts.append(Counter(h.tolist()))
             prints.append(_simhashes(h, np.zeros(1, np.int64), len(h))[0])
-            members.append(h)
+        self.short = {n: (np.array(sorted(table), np.uint64), table) for n, table in short.items()}
         self.prints = np.array(prints, np.uint64)
         self.members = np.unique(np.concatenate(members)) if members else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
@@ -118,17 +134,29 @@ class Index:
     def matches(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int, float]]:
         """(item's place, first word, words, similarity): the best window of each item that matches."""
         words = tokens(text) if text else []
-        if len(words) < _SHINGLE or not len(self.members):
-            return []
+        best: dict[int, tuple[int, int, int, float]] = {}
+        for length, (keys, table) in self.short.items():
+            runs = self.shingles(words, length)
+            at = np.flatnonzero(among(runs, keys))
+            found, first = np.unique(runs[at], return_index=True)
+            for key, place in zip(found.tolist(), at[first].tolist(), strict=True):
+                best |= {i: (i, place, length, 1.0) for i in table[key]}
+            if first_only and best:
+                break
+        if not (first_only and best) and len(words) >= _SHINGLE and len(self.members):
+            self._match_windows(words, best, first_only)
+        return [best[i] for i in sorted(best)]
+
+    def _match_windows(self, words: list[str], best: dict[int, tuple[int, int, int, float]], first_only: bool) -> None:
+        """Put the best window of each item of five words or more that matches into `best`."""
         h = self.shingles(words)
         maybe = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         known = maybe[among(h[maybe], self.members)]
         if not len(known):
-            return []
+            return
         sums = np.zeros(len(h) + 1, np.int32)
         sums[known + 1] = 1
         sums = np.cumsum(sums)
-        best: dict[int, tuple[int, int, int, float]] = {}
         for length in self.lengths:
             width = min(length, len(words)) - _SHINGLE + 1
             share = self.similarity / (1 + self.similarity)
@@ -142,8 +170,7 @@ class Index:
                         if s >= self.similarity and (i not in best or s > best[i][3]):
                             best[i] = (i, at, min(length, len(words)), s)
                             if first_only:
-                                return [best[i]]
-        return [best[i] for i in sorted(best)]
+                                return
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> Iterator[list]:
@@ -162,7 +189,7 @@ def search(
     benchmark: DataFrame,
     similarity: float = 0.8,
     radius: int = 20,
-    least_words: int = 8,
+    least_words: int = 1,
     pass_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -195,7 +222,7 @@ def clean(
     benchmark: DataFrame,
     similarity: float = 0.8,
     radius: int = 20,
-    least_words: int = 8,
+    least_words: int = 1,
     pass_bytes: int = 32 << 20,
     text_col: str = "text",
     item_col: str = "item_id",
