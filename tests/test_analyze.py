@@ -88,6 +88,12 @@ def test_full_run(world):
     assert an.analyze(world([]), an.Options(full=True)).reasons == ["a full run was asked for"]
 
 
+def test_full_run_tells_every_reason(world):
+    inputs = world([], files=[(f"P{i:02d}/P.csproj", None, "Modified") for i in range(25)])
+    reasons = an.full_run_reasons(inputs, an.Options())
+    assert [r.split()[0] for r in reasons] == [f"P{i:02d}/P.csproj" for i in range(25)]
+
+
 def test_discovery(spark):
     frame = spark.createDataFrame
     methods = frame([("C", "a", "B.a", 1), ("C", "a", "C.a", 0), ("C", "h", "C.h", 0)], "class string, method string, symbol_key string, depth int")
