@@ -8,7 +8,9 @@ Phrases are parsed word by word (letters only, lower-cased, with a mark before a
 remembered: whole texts are parsed, yet most words cost a dictionary lookup.
 
 The sample is bounded: `sample_docs` labelled documents a language, least by a hash of the id, of each at most `doc_chars`
-characters, and of them all `sample_chars` in equal shares. It is all that reaches the driver and is broadcast.
+characters, and of them all `sample_chars` in equal shares: with 120 documents and 60,000 characters, the first 500 of each
+document's letters. What a short document leaves of its share isn't used. The sample is all that reaches the driver and is
+broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled text every row is `und`;
 labels that are null or not eligible teach nothing; every row gives a row, whatever its id; other columns are ignored.
