@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -106,6 +107,29 @@ def test_added_tokens_are_matched_with_their_case(spark):
     test_token_files(table(spark, rows))
 
 
+def test_pieces_are_encoded_as_whole_texts_are():
+    """Code points alone, inside a word, and beside marks (all but most ideographs and unassigned ones); every tokenizer."""
+    import unicodedata
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    usual = [i for i in range(0x20000) if not (0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xE000 or 0x17000 <= i < 0x19000)]
+    points = [chr(i) for i in usual if unicodedata.category(chr(i)) not in ("Cn", "Co")]
+    points += [chr(i) for i in range(0x3400, 0x110000, 97) if not 0xD800 <= i < 0xE000]
+    texts = []
+    for i in range(0, len(points), 200):
+        some = points[i : i + 200]
+        texts += [" ".join(f"{c}." for c in some), " ".join(f"A{c}b, B{c}!" for c in some), " ".join(some) + "\n" + "".join(some[:50])]
+    texts += ["Hello World, this is A test.", "\u0130. \u0130stanbul, i\u0307. I\u0307! \u0130", "It's HE'LL 'S. O'S,", " a  b \n\n c. ", ""]
+    for path in sorted(Path(queries.tokenizer_path()).parent.glob("*.json")):
+        tokenizer = Tokenizer.from_file(str(path))
+        encode = tokenbin.PieceEncoder(str(path), "<u4")
+        assert encode.whole == (path.name != "word_bpe_49k.json")
+        for text in texts if not encode.whole else texts[-5:] + texts[:30]:
+            assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_no_tokens_of_nothing(spark):
     assert tokenbin.token_digest(empty(spark), queries.tokenizer_path()).collect() == []
 

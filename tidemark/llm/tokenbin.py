@@ -14,7 +14,9 @@ text hash; an empty table makes no file and an empty index; other columns are ig
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import sys
 import uuid
 import zlib
@@ -32,26 +34,48 @@ from .common import map_rows, new_dir, partitions
 _HELD_PIECES = 800_000
 _AT_ONCE = 100_000
 _MARKS = frozenset(".,;:!?")
+# A normalizer and a pre-tokenizer under which no token crosses a space and letters never join a mark.
+_FOLDING = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE = re.compile(r"\s")
 _INDEX = "file string, part int, doc long, doc_id long, at long, n_tokens long"
 
 
+def _splits_at_spaces(tokenizer) -> bool:
+    """Whether ids of a text are those of its pieces between spaces: told by the tokenizer's own settings."""
+    settings = json.loads(tokenizer.to_str())
+    before = settings["pre_tokenizer"] or {}
+    first, *rest = before.get("pretokenizers") or [{}]
+    split = first.get("type") == "Split" and first["pattern"] == {"Regex": _SPLIT} and first["behavior"] == "Removed" and first["invert"]
+    byte_level = [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+    plain = all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or _SPACE.search(t["content"]))
+        for t in settings["added_tokens"]
+    )
+    return settings["normalizer"] == _FOLDING and split and byte_level and plain
+
+
 class PieceEncoder:
-    """Encodes a text piece by piece between ASCII white space, and remembers pieces (a bounded number of them).
+    """Encodes texts with a tokenizer of any kind, to the ids it gives for the whole text.
 
-    Fit for tokenizers that fold case, whose tokens never hold white space or both letters and punctuation, and whose
-    normalizer works within pieces: then case doesn't matter, and letters before a last mark stand alone. Added tokens
-    are matched on raw text, so a piece that would hold one in lower case keeps its case. With `whole`, each text is
-    encoded at once instead, which holds for all.
+    If the tokenizer's settings are those of `_FOLDING` and `_SPLIT`, a text is encoded piece by piece between spaces, and
+    pieces are remembered (a bounded number of them). Letters up to U+024F other than a dotted capital I fold one by
+    one and join no mark behind them, so such a piece is looked up in lower case and without its last mark. Added tokens
+    are matched on raw text, so a piece that would hold one in lower case stays as it is. Any other tokenizer encodes
+    each text at once.
     """
 
-    def __init__(self, path: str, dtype: str, whole: bool = False):
+    def __init__(self, path: str, dtype: str):
         # Each task has one core; the library's own threads would only contend for it.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype, self.whole = np.dtype(dtype), whole
+        self.dtype, self.whole = np.dtype(dtype), not _splits_at_spaces(self.tokenizer)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -64,9 +88,10 @@ class PieceEncoder:
             self.known[piece] = ids.tobytes()
 
     def _parts(self, piece: str) -> tuple[str, str]:
-        """What a piece's ids are made of: its letters, lower case if Latin, and its last mark."""
-        # Up to U+024F, lower case is the same letter by letter, but for a dotted capital I.
-        low = piece.lower() if piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece else piece
+        """What a piece's ids are made of: itself, or its letters in lower case and its last mark."""
+        if not piece.isascii() and (max(piece) >= "\u0250" or "\u0130" in piece):
+            return piece, ""
+        low = piece.lower()
         if any(t in low for t in self.added):
             return piece, ""
         if len(low) > 1 and low[-1] in _MARKS and low[:-1].isalpha():
@@ -105,9 +130,9 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str, dtype: str, whole: bool) -> PieceEncoder:
+def _encoder(path: str, dtype: str) -> PieceEncoder:
     """The worker's encoder, with what it remembers from earlier tasks."""
-    return PieceEncoder(path, dtype, whole)
+    return PieceEncoder(path, dtype)
 
 
 def _open(folder: str):
@@ -124,7 +149,6 @@ def write_tokens(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    whole_texts: bool = False,
 ) -> None:
     """Encode every text and write the folder described above."""
     from tokenizers import Tokenizer
@@ -143,7 +167,7 @@ def write_tokens(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = _encoder(tokenizer_path, dtype, whole_texts)
+        encode = _encoder(tokenizer_path, dtype)
         end = np.array([end_id], dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"ids-{part:05d}-{uuid.uuid4().hex}"
