@@ -2,7 +2,9 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, words int"
+#: Names that operators use themselves, in any letter case.
+CLASHING = ("row", "words", "size", "times", "head", "shard", "slot", "law", "text_crc32", "id", "hash", "_id", "_HASH", "_key", "_again", "_source")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
@@ -16,7 +18,7 @@ def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
 
 
 def awkward_rows(seed: int = 1, n: int = 60) -> list[tuple]:
-    """Rows for SCHEMA; columns `row` and `words` clash with names that operators use themselves."""
+    """Rows for SCHEMA, without the clashing columns, which `table` fills."""
     rng = random.Random(seed)
     passage = prose(rng, 70)
     rows = []
@@ -43,11 +45,12 @@ def awkward_rows(seed: int = 1, n: int = 60) -> list[tuple]:
         (None, None, None, None),
     ]
     rows += [(n + 5, passage, "en", "s3")] * 3
-    return [(*r, len(r[1]) if r[1] is not None else None, "x", 1) for r in rows]
+    return [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+    """Rows (doc_id, text, lang, source, n_chars), with `mine` in every other column."""
+    return spark.createDataFrame([(*r[:5], *["mine"] * len(CLASHING)) for r in rows], SCHEMA)
 
 
 def empty(spark):

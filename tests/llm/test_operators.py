@@ -491,7 +491,7 @@ def test_quality_cleaning(spark):
     good, bad = prose(rng, 60), "\n".join(["Home | About | Contact | Login page"] * 40 + [prose(rng, 25)])
     rows = [(1, good + "\nMenu", "en", "s", 1, "r", 1), (2, bad, "en", "s", 1, "r", 1), (3, None, None, None, None, None, None)]
     out = quality.clean(table(spark, rows)).collect()
-    assert [(r["doc_id"], r["text"], r["row"]) for r in out] == [(1, good, "r")]
+    assert [(r["doc_id"], r["text"], r["row"]) for r in out] == [(1, good, "mine")]
     assert quality.assess(empty(spark)).collect() == [] and quality.clean(empty(spark)).collect() == []
 
 
@@ -655,7 +655,7 @@ def test_mixing_oracle(spark, sf_dir):
 
 def test_mixing_of_nothing(spark):
     assert mixing.plan(empty(spark)).collect() == [] and mixing.mix(empty(spark)).collect() == []
-    words = spark.createDataFrame([(1, None, "en", "s", 0, "r", 1)], empty(spark).schema)
+    words = table(spark, [(1, None, "en", "s", 0)])
     assert [r["taken"] for r in mixing.plan(words).collect()] == [0]
 
 
@@ -672,6 +672,12 @@ def check_oracle(spark, sf_dir, name, tables):
     assert Counter(map(tuple, got)) == Counter(want.fetchall())
 
 
+def test_a_star_is_one_component(spark):
+    links = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    found = components.connected_components(links)
+    assert found.agg(F.count("*"), F.count_distinct("node"), F.max("root")).first() == (100_001, 100_001, 0)
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (None, 3)]

@@ -88,6 +88,9 @@ def test_stages_against_brute_force(spark, sf_dir, results):
     for r in sharded:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    inputs = [f"input_{c}" if c in corpus_pipeline.PLACE else c for c in columns]
+    assert all(list(r.asDict()) == [*inputs, *corpus_pipeline.PLACE] for r in sharded[:1])
+    assert all(r[f"input_{c}"] == "mine" for r in sharded for c in corpus_pipeline.PLACE if c in columns)
     for rows in (good, alone, clean, mixed):
         assert all(list(r.asDict()) == columns for r in rows[:1])
 

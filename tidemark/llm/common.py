@@ -145,6 +145,11 @@ def text_bytes(col) -> F.Column:
     return F.coalesce(col.cast("string"), F.lit("")).cast("binary")
 
 
+def row_of(docs: DataFrame) -> F.Column:
+    """All columns as one, named row, so that names of ours can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)

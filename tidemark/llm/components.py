@@ -20,14 +20,14 @@ def _links(df: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to the least of the node and its neighbours."""
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select("lo", "hi"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     larger = links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     return larger.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node's smaller neighbours, and the node, are linked to the least of them."""
-    least = links.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = kept(links.groupBy("hi").agg(F.min("lo").alias("m")), "least")
     moved = links.join(least, "hi").select(F.col("lo").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select(F.col("hi").alias("a"), F.col("m").alias("b")))
 
@@ -35,8 +35,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root) of every node that has a link to another; root is the least node of its component.
 
-    The group of a node is never gathered: its least neighbour is an aggregate, joined back. Ends when a round changes
-    nothing; the rounds grow with the logarithm of the component's size. Nulls make no link; no links, no rows.
+    The group of a node is never gathered: its least neighbour is an aggregate, written before it is joined back, so that
+    a node of many links can be split over tasks. Ends when a round changes nothing; the rounds grow with the logarithm of the component's size. Nulls make no link; no links, no rows.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     now = kept(_links(links), "links")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, kept
+from .common import WORD_PATTERN, kept, row_of
 
 WEIGHTS = (5, 2, 1)
 #: floor(2**32 / golden ratio), odd: n * PHI mod 2**32 runs through all values once.
@@ -223,20 +223,19 @@ def mix(
         .groupBy("_source", "_id", "_hash", "size", "head")
         .agg(F.count("*").alias("times"))
     )
-    named = docs.withColumns(_keys(id_col, text_col, source_col))
+    named = docs.select(row_of(docs), *[c.alias(k) for k, c in _keys(id_col, text_col, source_col).items()])
     copies = decided.groupBy("_source", "doc_id", "_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (copies or 0) > 1:
         named = named.dropDuplicates(["_source", "_id", "_hash"])
     same = F.struct("_source", "_hash", F.coalesce(F.col("_id").cast("string"), F.lit("")))
     left, right = named.withColumn("_key", same), wanted.withColumn("_key", same).drop("_source", "_id", "_hash")
     rows = left.join(right, "_key").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_PATTERN})"))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    found = F.regexp_extract_all(out[text_col], F.lit(f"({WORD_PATTERN})"))
     cut = F.array_join(F.slice(found, F.lit(1), F.col("head").cast("int")), " ")
     whole = F.col("head") == F.col("size")
-    rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
-    if "n_chars" in docs.columns:
+    out[text_col] = F.when(whole, out[text_col]).otherwise(cut)
+    if "n_chars" in out:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn(
-            "n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col).cast(kind))
-        )
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out["n_chars"] = F.when(whole, out["n_chars"]).otherwise(F.length(cut).cast(kind))
+    return rows.select(*[c.alias(k) for k, c in out.items()])

@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, among, kept, map_rows, mix64, text_bytes
+from .common import Rolling, WordHashes, among, kept, map_rows, mix64, row_of, text_bytes
 from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 _SQUARE = 1000
+_SQUARE_BYTES = 32 << 20
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -152,7 +153,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id that links reach."""
     rows = kept(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = connected_components(close_links(classes.select("fp"), radius, dense))
     linked = kept(roots.join(classes, roots.node == classes.fp).select("fp", "root", "first"), "linked")
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -241,18 +242,19 @@ def _similar_links(
     and nothing is left to do; else the texts outside its largest component are verified against all that are in others,
     a square of texts at a time. So no pair that could join two components goes unseen.
     """
-    members = texts.select("hash", "id", F.posexplode("blocks").alias("block", "key"))
+    members = texts.select("hash", "id", "n_bytes", F.posexplode("blocks").alias("block", "key"))
     groups = (
         members.groupBy("block", "key")
         .agg(
             F.count("*").alias("n"),
+            F.sum("n_bytes").alias("n_bytes"),
             F.min(F.struct(F.col("id").isNull(), "id", "hash"))["hash"].alias("first"),
             F.min("hash").alias("low"),
             F.max("hash").alias("high"),
         )
         .where("n > 1")
     )
-    met = kept(members.join(kept(groups, "blocks"), ["block", "key"]).drop("id"), "members")
+    met = kept(members.drop("n_bytes").join(kept(groups, "blocks"), ["block", "key"]).drop("id"), "members")
     few = met.where(F.col("n") <= all_pairs).select("block", "key", "hash")
     a, b = few.alias("a"), few.alias("b")
     same = (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
@@ -267,8 +269,8 @@ def _similar_links(
     if many.isEmpty():
         return found
     roots = kept(connected_components(found), "roots")
-    owned = many.select("block", "key", "hash", "n").join(roots, many.hash == roots.node, "left")
-    owned = kept(owned.select("block", "key", "hash", "n", F.coalesce("root", "hash").alias("root")), "owned")
+    owned = many.select("block", "key", "hash", "n", "n_bytes").join(roots, many.hash == roots.node, "left")
+    owned = kept(owned.select("block", "key", "hash", "n", "n_bytes", F.coalesce("root", "hash").alias("root")), "owned")
     parts = owned.groupBy("block", "key", "root").agg(F.count("*").alias("m")).groupBy("block", "key")
     split = parts.agg(F.count("*").alias("parts"), F.max(F.struct("m", "root"))["root"].alias("main")).where("parts > 1")
     torn = kept(owned.join(kept(split.select("block", "key", "main"), "split"), ["block", "key"]), "torn")
@@ -280,11 +282,15 @@ def _similar_links(
 def _torn_links(torn: DataFrame, texts: DataFrame, docs: DataFrame, make_sketch, similarity: float) -> DataFrame:
     """Links between texts outside a block's largest component and texts of the block's other components.
 
-    A block is cut into squares of _SQUARE by _SQUARE texts at most or so, and a task holds one square; no row is made for
-    a pair. A pair that shares an earlier block is looked at there.
+    A block is cut into squares of _SQUARE by _SQUARE texts or _SQUARE_BYTES on a side at most or so, and a task holds one
+    square; no row is made for a pair, yet a text is sent to every square of its row and column. A pair that shares an
+    earlier block is looked at there.
     """
     bodies = _bodies(torn, texts, docs).join(texts.select("hash", "blocks"), "hash")
-    cuts = F.call_function("div", F.col("n") + F.lit(_SQUARE - 1), F.lit(_SQUARE))
+    cuts = F.greatest(
+        F.call_function("div", F.col("n") + F.lit(_SQUARE - 1), F.lit(_SQUARE)),
+        F.call_function("div", F.col("n_bytes"), F.lit(_SQUARE_BYTES)) + 1,
+    )
     own = F.pmod(F.xxhash64("hash"), cuts)
     every = F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))
     columns = ["block", "key", "hash", "root"]
@@ -343,20 +349,20 @@ def one_of_each(
     latter, so their candidates come from min-hash blocks, joined like the fingerprints' blocks; texts that are 0.8 alike
     share one of 16 blocks of 5 with a probability of 0.998.
     """
-    names = {"_id": F.col(id_col).cast("long"), "_hash": F.md5(text_bytes(F.col(text_col)))}
-    bodies = docs.select(*[c.alias(k[1:]) for k, c in names.items()], text_bytes(F.col(text_col)).alias("text"))
+    names = [F.col(id_col).cast("long").alias("id"), F.md5(text_bytes(F.col(text_col))).alias("hash")]
+    bodies = docs.select(*names, text_bytes(F.col(text_col)).alias("text"))
 
     def make():
         sketch = Sketch(similar_shingle, blocks, rows)
 
         def row(doc_id, hash_, text):
-            yield doc_id, hash_, fingerprint(text, shingle, seed), sketch(text) if similarity is not None else []
+            yield doc_id, hash_, len(text), fingerprint(text, shingle, seed), sketch(text) if similarity is not None else []
 
         return row
 
-    each = kept(map_rows(bodies, make, "id long, hash string, fp long, blocks array<long>"), "sketches")
+    each = kept(map_rows(bodies, make, "id long, hash string, n_bytes long, fp long, blocks array<long>"), "sketches")
     texts = each.groupBy("hash").agg(
-        F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.count("*").alias("n")
+        F.min("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")
     )
     texts = kept(texts, "texts")
     # A fingerprint stands for its texts by their least hash.
@@ -381,9 +387,9 @@ def one_of_each(
     owned = texts.join(roots, texts.hash == roots.node, "left").select(F.coalesce("root", "hash").alias("root"), "id", "hash")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")
     left = kept(owned.groupBy("root").agg(least).select("least.id", "least.hash"), "survivors")
-    marked = docs.withColumns(names)
-    same = marked.join(left, marked._id.eqNullSafe(left.id) & (marked._hash == left.hash), "left_semi")
+    left = left.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    same = docs.select(row_of(docs), *names).join(left, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
     repeats = each.groupBy("id", "hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (repeats or 0) > 1:
-        same = same.dropDuplicates(["_id", "_hash"])
-    return same.select(*[F.col(f"`{c}`") for c in docs.columns])
+        same = same.dropDuplicates(["id", "hash"])
+    return same.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
