@@ -12,6 +12,8 @@ from tidemark.llm import decontam, mixing, quality, sharding, simhash
 from tidemark.llm.common import kept
 
 SHARDS = 8
+#: What sharding says of a row.
+PLACE = ("size", "text_crc32", "law", "shard", "slot")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +37,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix with its shard and slot, beside the columns of documents."""
+    """Every row of the mix with its shard and slot, beside the columns of documents.
+
+    A column of documents by the name of one of the results (letter case aside) is returned as `input_<name>`.
+    """
+    taken = {*PLACE, *(c.lower() for c in docs.columns if c.lower() not in PLACE)}
+    names = {}
+    for c in docs.columns:
+        name = c
+        while c.lower() in PLACE and name.lower() in taken:
+            name = f"input_{name}"
+        taken.add(name.lower())
+        names[c] = name
     placed = sharding.shard(docs, SHARDS, keep=True)
-    return placed.select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns],
-        *[c for c in ("size", "text_crc32", "law", "shard", "slot") if c not in docs.columns],
-    )
+    return placed.select(*[F.col("row").getField(c).alias(name) for c, name in names.items()], *PLACE)
 
 
 STAGES = [
