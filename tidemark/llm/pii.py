@@ -1,9 +1,11 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby move the score.
 
-Kinds email, ip, card and phone come from the base rules and always stay. The method adds kinds iban (confirmed by
-mod-97) and national_id (nine digits in groups of 3-2-4, confirmed by its number ranges); a proposed span starts from its
-kind's score, nearby context words raise it and words of other use before it lower it, and it is added at `threshold` or more unless
-it overlaps a span that is there. Base spans get a score too, which only informs.
+Kinds email, ip, card and phone come from the base rules and always stay. The method adds iban (as long as its country's
+are, confirmed by mod-97), national_id (nine digits in groups of 3-2-4, confirmed by its number ranges) and secret (a
+private key, a token that begins as a known issuer's do, or a run of 20 or more key characters, confirmed by its mix and
+entropy). A proposed span starts from its kind's score, nearby context words raise it and words of other use before it
+lower it, and it is added at `threshold` or more unless it overlaps a span that is there. Base spans get a score too,
+which only informs.
 
 Every pattern runs in time linear in the text: runs are taken whole, so no start inside a run is tried again.
 
@@ -14,7 +16,10 @@ exclusive; every row gives a row, whatever its id; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -23,21 +28,39 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "national_id")
+KINDS = (*BASE_KINDS, "iban", "national_id", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + rf"(?:\x20?[A-Z0-9]{{{n % 4}}})" * (n % 4 > 0) + r"(?![A-Za-z0-9])") for n in range(15, 35)}
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24,
+    "XK": 20,
+}
 _NATIONAL = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+_KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z]++ ){0,3}?PRIVATE KEY-----")
+# How tokens of known issuers begin.
+_ISSUED = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk-", "xoxb-", "xoxp-", "eyJ")
+_ENTROPY = 3.0
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[a-z]+")
 
 #: Start score of each kind, and what a context word adds or takes.
-_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.4}
+_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.4, "secret": 0.4}
 _BONUS, _MALUS, _NEAR = 0.3, 0.3, 48
+#: What a known issuer's beginning adds.
+_ISSUER_BONUS = 0.4
 _FOR = {
     "email": {"email", "mail", "contact", "write"},
     "ip": {"ip", "address", "server", "host"},
@@ -45,6 +68,7 @@ _FOR = {
     "phone": {"phone", "tel", "call", "mobile", "fax"},
     "iban": {"iban", "bank", "account", "transfer"},
     "national_id": {"ssn", "social", "security", "id", "taxpayer"},
+    "secret": {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential", "credentials"},
 }
 _AGAINST = {"version", "order", "invoice", "isbn", "tracking", "part", "serial", "sku"}
 
@@ -102,31 +126,86 @@ def _base(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def entropy(run: str) -> float:
+    """Bits a character, by the run's own frequencies."""
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values())
+
+
+def is_key(run: str) -> bool:
+    """Letters and digits in turn and nothing that repeats much: no word, number or path of words."""
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:], strict=False))
+    return changes >= max(4, len(run) // 10) and entropy(run) >= _ENTROPY
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    for m in _IBAN.finditer(text):
+        if (n := IBAN_LENGTHS.get(m[1])) and (rest := _IBAN_REST[n].match(text, m.end())):
+            if mod97(text[m.start() : rest.end()].replace(" ", "")):
+                yield m.start(), rest.end()
+
+
+def _nationals(text: str) -> Iterator[tuple[int, int]]:
+    for m in _NATIONAL.finditer(text):
+        if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+            yield m.span()
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, what is added to the score)."""
+    for m in _KEY_BEGIN.finditer(text):
+        yield *m.span(), 1.0
+    for m in _RUN.finditer(text):
+        issued = m[0].startswith(_ISSUED)
+        if is_key(m[0]) or issued and any(map(str.isdigit, m[0])) and entropy(m[0]) >= _ENTROPY:
+            yield *m.span(), _ISSUER_BONUS * issued
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     before = set(_WORD.findall(text[max(0, start - _NEAR) : start].lower()))
     near = before.union(_WORD.findall(text[end : end + _NEAR].lower()))
-    score = _START[kind] + _BONUS * bool(near & _FOR[kind]) - _MALUS * bool(before & _AGAINST)
+    return _START[kind] + _BONUS * bool(near & _FOR[kind]) - _MALUS * bool(before & _AGAINST)
+
+
+def _bounded(score: float) -> float:
     return round(min(1.0, max(0.0, score)), 2)
 
 
+class Taken:
+    """Places that spans hold, as disjoint intervals in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a place, unless it overlaps one."""
+        at = bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 def find_spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as in KINDS, then start."""
     base = _base(text)
-    out = [(k, s, e, _score(text, k, s, e)) for k in BASE_KINDS for s, e in base[k]]
-    taken = [(s, e) for _, s, e, _ in out]
-    more = []
+    out = [(k, s, e, _bounded(_score(text, k, s, e))) for k in BASE_KINDS for s, e in base[k]]
+    more: list[tuple[str, int, int, float]] = []
     if _DIGIT.search(text):
-        for m in _IBAN.finditer(text):
-            code = m[0].replace(" ", "")
-            if 15 <= len(code) <= 34 and mod97(code):
-                more.append(("iban", *m.span()))
-        for m in _NATIONAL.finditer(text):
-            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
-                more.append(("national_id", *m.span()))
-    for kind, s, e in more:
-        if (score := _score(text, kind, s, e)) >= threshold and not any(s < y and x < e for x, y in taken):
+        more += [("iban", s, e, 0.0) for s, e in _ibans(text)] + [("national_id", s, e, 0.0) for s, e in _nationals(text)]
+    more += [("secret", *x) for x in sorted(_secrets(text))]
+    taken = Taken([(s, e) for _, s, e, _ in out])
+    for kind, s, e, extra in more:
+        score = _bounded(_score(text, kind, s, e) + extra)
+        if score >= threshold and taken.add(s, e):
             out.append((kind, s, e, score))
-            taken.append((s, e))
     return out
 
 
@@ -156,7 +235,7 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 
 
 def digest(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Counts of the base kinds, a hash of the base spans, and all spans as a string."""
+    """Counts of the base kinds, a hash of the base spans, all spans as a string, and counts of added kinds and of all."""
     found = detect(docs, threshold)
 
     def of(*kinds: str):
@@ -170,6 +249,8 @@ def digest(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(of(*BASE_KINDS)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS if k not in BASE_KINDS],
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
