@@ -468,12 +468,35 @@ def test_url_oracle(spark, sf_dir):
     check_oracle(spark, sf_dir, "op6_url_filter", ["pages"])
 
 
-def test_block_wins_among_equal_rules_and_tries_are_bounded():
-    top = urlfilter.build([("block", "a.com", "/"), ("allow", "a.com", "/"), ("allow", "", "/x")])
-    assert top.longest("b.a.com", "/y") == ("a.com/", "block")
-    assert top.longest("", "/xy") == ("/x", "allow")
-    with pytest.raises(ValueError):
-        urlfilter.build([("block", "a", "/")] * 3, max_rules=2)
+def test_block_wins_among_equal_rules():
+    top = urlfilter.Hosts([("block", "a.com", "/"), ("allow", "a.com", "/"), ("allow", "", "/x")])
+    assert top.longest("b.a.com", "/y") == (5, 1, "a.com/", "block")
+    assert top.longest("", "/xy") == (0, 2, "/x", "allow")
+    assert top.longest("c.com", "/") is None
+
+
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 60])
+def test_any_number_of_rules(spark, pass_bytes):
+    rng = random.Random(6)
+    hosts = ["a", "b.a", "c.b.a", "x.a", ""]
+    paths = ["/", "/p", "/p/", "/p/q", "/pq", ""]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(paths)) for _ in range(25)]
+    urls = [(i, f"http://{h}{p}{t}") for i, (h, p, t) in enumerate((h, p, t) for h in [*hosts, "z.b.a"] for p in paths for t in ("", "q", "/r"))]
+    out = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules, pass_bytes=pass_bytes).collect()
+    assert len(out) == len(urls)
+    for r in out:
+        fits = [
+            (len(h), len(p), v == "block", h + p, v)
+            for v, h, p in rules
+            if (r["host"] == h or r["host"].endswith("." + h) and h) and r["path"].startswith(p)
+        ]
+        want = max(fits)[3:] if fits else (None, "allow")
+        assert (r["rule"], r["verdict"]) == want, r
+
+
+def test_many_rules_below_one_path_are_quick():
+    top = urlfilter.Hosts(("block", "a.com", f"/p/{i}") for i in range(200_000))
+    assert top.longest("a.com", "/p/199999x")[2] == "a.com/p/199999"
 
 
 # 7 Language
