@@ -502,6 +502,62 @@ def test_many_rules_below_one_path_are_quick():
 # 7 Language
 
 
+def plain_phrases(s, sample):
+    """Cuts s greedily into the longest parts that the sample holds, or single characters."""
+    n = i = 0
+    while i < len(s):
+        k = 1
+        while i + k < len(s) and s[i : i + k + 1] in sample:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
+def plain_letters(text):
+    return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
+def plain_language(rows, sample_docs, sample_chars):
+    """{doc_id: (lang_pred, score)} as the operator defines it, with substring search for matches."""
+    signed = lambda s: (xxhash.xxh64_intdigest(s.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    by_lang = defaultdict(list)
+    for r in rows:
+        if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            by_lang[r["lang"]].append((signed(str(r["doc_id"])), str(r["doc_id"]), signed(r["text"]), r["text"]))
+    samples = {}
+    for lang, some in by_lang.items():
+        chosen = [" ".join(plain_letters(x[3][:4000])) for x in sorted(some)[:sample_docs]]
+        share = sample_chars // len(chosen)
+        parts = [c if len(c) <= share else c[:share].rpartition(" ")[0] for c in chosen]
+        samples[lang] = " " + " ".join(p for p in parts if p) + " "
+    out = []
+    for r in rows:
+        words = plain_letters(r["text"])
+        line = " " + " ".join(words) + " "
+        if not any(c.isalpha() for w in words for c in w) or not samples:
+            out.append((r["doc_id"], "und", 0.0))
+            continue
+        rates = sorted((plain_phrases(line, s) / len(line), lang) for lang, s in samples.items())
+        score = 1 - rates[0][0] / rates[1][0] if len(rates) > 1 else 0.5
+        out.append((r["doc_id"], rates[0][1], round(score, 6)))
+    return Counter(out)
+
+
+def test_predictions_are_those_of_plain_parsing(docs):
+    rows = [r for r in docs.collect() if len(r["text"] or "") < 30_000]
+    some = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 30_000)
+    out = langid.predict(some, sample_docs=5, sample_chars=1500).collect()
+    assert Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in out) == plain_language(rows, 5, 1500)
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, f"some text {i}", f"l{i % 30}", "s", None) for i in range(300)]
+    samples = langid.learn(table(spark, rows), F.lit(True), total_docs=60, total_chars=300)
+    assert len(samples) == 30 and all(len(x) <= 12 for x in samples.values())
+    with pytest.raises(ValueError):
+        langid.learn(table(spark, rows), F.lit(True), most_langs=29)
+
+
 def test_automaton_knows_its_substrings():
     text = "abracadabra abra"
     a = langid.Automaton(text)
@@ -509,19 +565,10 @@ def test_automaton_knows_its_substrings():
         for j in range(i + 1, len(text) + 1):
             assert a.phrases(text[i:j]) == 1
 
-    def plain(s):
-        n = i = 0
-        while i < len(s):
-            k = 1
-            while i + k < len(s) and s[i : i + k + 1] in text:
-                k += 1
-            i, n = i + k, n + 1
-        return n
-
     rng = random.Random(4)
     for _ in range(300):
         s = "".join(rng.choice("abrcdx ") for _ in range(rng.randint(0, 15)))
-        assert a.phrases(s) == plain(s)
+        assert a.phrases(s) == plain_phrases(s, text)
 
 
 def test_language(spark):

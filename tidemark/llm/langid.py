@@ -4,13 +4,14 @@ For each language a suffix automaton of labelled text gives, from any place in a
 that language's sample. Cross-parsing cuts the text greedily into such matches; the fewer phrases it takes per character,
 the closer the language. The language with the fewest wins, a tie by name.
 
-Phrases are parsed word by word (letters only, lower-cased, with a mark before and after), so a word's phrase counts can be
-remembered: whole texts are parsed, yet most words cost a dictionary lookup.
+A text is parsed whole: its letters, lower-cased, one space for whatever lies between two runs of them and one at either
+end, so a match may run over many words.
 
 The sample is bounded: `sample_docs` labelled documents a language, least by a hash of the id, of each at most `doc_chars`
 characters, and of them all `sample_chars` in equal shares: with 120 documents and 60,000 characters, the first 500 of each
-document's letters. What a short document leaves of its share isn't used. The sample is all that reaches the driver and is
-broadcast.
+document's letters. What a short document leaves of its share isn't used. All languages together have `total_chars`
+and `total_docs`, shared out equally if they are more than that allows; a column of over `most_langs` different labels is
+an error. The sample is all that reaches the driver and is broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled text every row is `und`;
 labels that are null or not eligible teach nothing; every row gives a row, whatever its id; other columns are ignored.
@@ -28,8 +29,6 @@ from .common import map_rows
 
 #: Runs of letters of any script.
 _LETTERS = re.compile(r"[^\W\d_]+")
-_HELD = 300_000
-_FIELD = 40
 
 
 class Automaton:
@@ -62,21 +61,32 @@ class Automaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
-        self.moves = moves
+        # States as dictionaries from a character to the next state.
+        states: list[dict] = [{} for _ in moves]
+        for state, to in zip(states, moves, strict=True):
+            state.update((c, states[i]) for c, i in to.items())
+        self.root = states[0]
 
     def phrases(self, text: str) -> int:
         """Greedy longest matches that `text` is cut into; a character that occurs nowhere is a phrase of its own."""
-        moves, count, state = self.moves, 0, 0
+        state = root = self.root
+        count = 0
         for c in text:
-            to = moves[state].get(c)
+            to = state.get(c)
             if to is None:
-                count += state != 0
-                to = moves[0].get(c)
+                count += state is not root
+                to = root.get(c)
                 if to is None:
                     count += 1
-                    to = 0
+                    to = root
             state = to
-        return count + (state != 0)
+        return count + (state is not root)
+
+
+def letters(text: str) -> str:
+    """The letters of a text, lower case, with one space for what lies between; empty if there are none."""
+    words = _LETTERS.findall(text.lower())
+    return f" {' '.join(words)} " if any(c.isalpha() for w in words for c in w) else ""
 
 
 class Identifier:
@@ -85,35 +95,15 @@ class Identifier:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         self.parsers = [Automaton(samples[k]) for k in self.names]
-        self.known: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        """Phrase counts of a word for all languages, in bit fields of one integer."""
-        if len(self.known) >= _HELD:
-            self.known.clear()
-        marked, packed = f" {word} ", 0
-        for i, p in enumerate(self.parsers):
-            packed |= p.phrases(marked) << (_FIELD * i)
-        self.known[word] = packed
-        return packed
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        total = chars = 0
-        get = self.known.get
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not any(c.isalpha() for m in words for c in m):
-            return "und", 0.0
-        for m in words:
-            n = get(m)
-            total += self._word(m) if n is None else n
-            chars += len(m)
-        if not self.names:
+        line = letters(text) if text else ""
+        if not line or not self.names:
             return "und", 0.0
-        mask = (1 << _FIELD) - 1
-        rates = [((total >> (_FIELD * i)) & mask) / chars for i in range(len(self.names))]
+        rates = [p.phrases(line) / len(line) for p in self.parsers]
         best = min(range(len(rates)), key=lambda i: (rates[i], self.names[i]))
         rest = min((r for i, r in enumerate(rates) if i != best), default=2 * rates[best])
-        return self.names[best], round(max(0.0, min(1.0, 1 - rates[best] / rest)) if rest else 0.0, 6)
+        return self.names[best], round(max(0.0, min(1.0, 1 - rates[best] / rest)), 6)
 
 
 def learn(
@@ -125,8 +115,16 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    total_docs: int = 6_000,
+    total_chars: int = 600_000,
+    most_langs: int = 1_000,
 ) -> dict[str, str]:
     """Sample text by language, from rows with a language and text for which `eligible` holds."""
+    langs = docs.where(eligible).agg(F.count_distinct(F.col(lang_col).cast("string"))).first()[0] or 1
+    if langs > most_langs:
+        raise ValueError(f"{langs} labels are over the bound of {most_langs} languages")
+    sample_docs = max(1, min(sample_docs, total_docs // langs))
+    sample_chars = min(sample_chars, total_chars // langs)
     order = F.xxhash64(F.col(id_col).cast("string"))
     spark_text = F.col(text_col).cast("string")
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & spark_text.isNotNull()).select(
