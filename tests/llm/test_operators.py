@@ -609,12 +609,71 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), failed
 
 
+PLAIN_END = re.compile(r"[.!?\u2026:;\"'\u201d\u2019)\]\u3002\uff01\uff1f]$")
+
+
+def plain_common(texts, share, least):
+    """Lines of 3 to 40 words in so many documents."""
+    seen = Counter()
+    for t in texts:
+        seen.update({x.strip(" \t\n\v\f\r") for x in t.split("\n") if 3 <= len(WORD.findall(x)) <= 40})
+    return {x for x, n in seen.items() if n >= least and n >= share * len(texts)}
+
+
+def plain_cleaned(text, common):
+    """(kept lines, words lost) by the rules as the docstring states them."""
+    lines = text.split("\n")
+    full = [x for x in lines if x.split()]
+
+    def starts_low(x):
+        return bool(x) and x.split()[0][0].islower()
+
+    faults = {}
+    for i, line in enumerate(lines):
+        words = line.split()
+        if not words:
+            continue
+        following = next((x for x in lines[i + 1 :] if x.split()), "")
+        n_sep = len([w for w in words if w in ("|", ">", "\u00bb", "\u203a", "\u2022", "\u00b7", "/", "-", "\u2013", "\u2014", "::")])
+        ended = [bool(PLAIN_END.search(w)) for w in words]
+        symbols = sum(line.count(c) for c in "#*$%&|<>")
+        no_letter = [w for w in words if all(c.isdigit() or not c.isalnum() for c in w)]
+        if any(phrase in line.lower() for phrase in quality.BOILERPLATE):
+            faults[i] = "boilerplate"
+        elif len(words) > 1 and n_sep / len(words) >= 0.2:
+            faults[i] = "navigation"
+        elif not ended[-1] and len(words) <= 5:
+            faults[i] = "navigation"
+        elif not any(ended) and not starts_low(line) and not starts_low(following):
+            faults[i] = "sentence"
+        elif symbols > 0.1 * len("".join(words)) or len(no_letter) > 0.5 * len(words):
+            faults[i] = "noise"
+        elif line.strip(" \t\n\v\f\r") in common:
+            faults[i] = "common"
+    if sum(len(lines[i].split()) for i, f in faults.items() if f == "common") > 0.2 * sum(len(x.split()) for x in full):
+        faults = {i: f for i, f in faults.items() if f != "common"}
+    return "\n".join(x for i, x in enumerate(lines) if i not in faults), sum(len(WORD.findall(lines[i])) for i in faults)
+
+
+def plain_verdict(text, common):
+    words, failed = len(WORD.findall(text)), plain_quality(text)[-1]
+    lost = plain_cleaned(text, common)[1]
+    return not failed and lost <= words / 2 and words - lost >= 20
+
+
 def test_quality(docs):
-    out = quality.assess(docs).collect()
+    out = quality.assess(docs, common_docs=5).collect()
+    rows = docs.collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     got = Counter((r["doc_id"], *[r[c] for c in names]) for r in out)
-    assert got == Counter((r["doc_id"], *plain_quality(r["text"])) for r in docs.collect())
-    assert not any(r["base_failed"] and r["kept"] for r in out)
+    assert got == Counter((r["doc_id"], *plain_quality(r["text"])) for r in rows)
+    common = plain_common([r["text"] for r in rows if r["text"] is not None], 0.01, 5)
+    assert common
+    kept = Counter((r["doc_id"], r["kept"], r["lost_words"]) for r in out)
+    want = Counter((r["doc_id"], plain_verdict(r["text"] or "", common), plain_cleaned(r["text"] or "", common)[1]) for r in rows)
+    assert kept == want
+    cleaned = Counter((r["doc_id"], r["text"]) for r in quality.clean(docs, common_docs=5).collect())
+    assert cleaned == Counter((r["doc_id"], plain_cleaned(r["text"] or "", common)[0]) for r in rows if plain_verdict(r["text"] or "", common))
 
 
 def test_quality_lines():
@@ -623,13 +682,28 @@ def test_quality_lines():
     junk = "Home | About | Contact | Login\nAll rights reserved.\nMenu\n###### **** %%%% $$$\n12 34 56 78 90 11 12."
     assert quality.clean_text(good) == (good, 0)
     assert quality.clean_text(good + "\n" + junk)[0] == good
-    assert quality.line_fault("") is None
+    assert quality.clean_text("")[0] == ""
+    for line in ("Nous utilisons des cookies pour tout.", "Zum Inhalt springen, bitte.", "Todos los derechos reservados."):
+        assert quality.clean_text(line) == ("", len(line.split()))
+    wrapped = "The sentence of many words goes\non below it and comes to an end\nin the third line of it."
+    assert quality.clean_text(wrapped) == (wrapped, 0)
+    assert quality.clean_text("Six Words And No Sentence Here\nAnother Line Of Six Words Too")[0] == ""
+
+
+def test_lines_that_recur_are_furniture_but_copies_stay(spark):
+    rng = random.Random(3)
+    line, copy = "Please visit the shop of our partners today.", prose(rng, 120)
+    rows = [(i, prose(rng, 90, 3000) + "\n" + line, "en", "s", None) for i in range(40)] + [(100 + i, copy, "en", "s", None) for i in range(60)]
+    out = {r["doc_id"]: r["text"] for r in quality.clean(table(spark, rows)).collect()}
+    assert len(out) == 100
+    assert all(out[i] == rows[i][1].removesuffix("\n" + line) for i in range(40))
+    assert all(out[100 + i] == copy for i in range(60))
 
 
 def test_quality_cleaning(spark):
     rng = random.Random(7)
     good, bad = prose(rng, 60), "\n".join(["Home | About | Contact | Login page"] * 40 + [prose(rng, 25)])
-    rows = [(1, good + "\nMenu", "en", "s", 1, "r", 1), (2, bad, "en", "s", 1, "r", 1), (3, None, None, None, None, None, None)]
+    rows = [(1, good + "\nMenu", "en", "s", 1), (2, bad, "en", "s", 1), (3, None, None, None, None)]
     out = quality.clean(table(spark, rows)).collect()
     assert [(r["doc_id"], r["text"], r["row"]) for r in out] == [(1, good, "mine")]
     assert quality.assess(empty(spark)).collect() == [] and quality.clean(empty(spark)).collect() == []

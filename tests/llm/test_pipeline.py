@@ -6,10 +6,10 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidemark.llm import decontam, mixing, quality  # noqa: E402
+from tidemark.llm import decontam, mixing  # noqa: E402
 
 from .helpers import awkward_rows, empty, table  # noqa: E402
-from .test_operators import WORD, plain_components, plain_fingerprint, plain_matches  # noqa: E402
+from .test_operators import WORD, plain_cleaned, plain_common, plain_components, plain_fingerprint, plain_matches, plain_verdict  # noqa: E402
 
 
 def words(text):
@@ -37,13 +37,11 @@ def test_order():
 def test_stages_against_brute_force(spark, sf_dir, results):
     columns, (start, good, alone, clean, mixed, sharded) = results
     # Quality: rows whose text passes the rules, without their failing lines.
-    measures = quality.Measures()
+    common = plain_common([r["text"] for r in start if r["text"] is not None], 0.01, 20)
     want = Counter()
     for r in start:
-        m = measures(r["text"] or "")
-        text, lost = quality.clean_text(r["text"] or "")
-        if quality.verdict(m[0], lost, m[-1], 0.5, 20):
-            want[(r["doc_id"], text)] += 1
+        if plain_verdict(r["text"] or "", common):
+            want[(r["doc_id"], plain_cleaned(r["text"] or "", common)[0])] += 1
     assert Counter((r["doc_id"], r["text"]) for r in good) == want and want
     # Near copies: one of each group.
     groups = defaultdict(list)
