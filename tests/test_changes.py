@@ -112,9 +112,9 @@ def test_reflections(spark):
     assert {r["key"] for r in found.seeds.collect()} == {"S", "A", "B"}
     got = {(r["project"], r["detail"], r["widens"]) for r in found.widenings.collect()}
     assert got == {
-        ("p", "f.cs uses GetType and 1 more; the reflecting member(s) are treated as always impacted", False),
-        ("p", "f.cs uses Invoke outside any member", True),
-        ("q", "g.cs uses Load; the reflecting member(s) are treated as always impacted", False),
+        ("p", "f.cs uses GetType and 1 more; such members count as changed every time", False),
+        ("p", "f.cs uses Invoke, but in no member", True),
+        ("q", "g.cs uses Load; such members count as changed every time", False),
     }
     none = changes.seed_reflections(changes.ChangeSet(seeds.limit(0), wide, empty, empty), refl)
     assert none.seeds.count() == 0
@@ -162,7 +162,7 @@ def test_safety(spark):
     got = [bool(r[0]) for r in values(spark, "p string", rows, safety.trigger_reason(F.col("p")))]
     assert got == [True, True, True, False, False, False]
     files = spark.createDataFrame([("a.md", "b.sln"), ("a.cs", None)], "path string, old_path string")
-    assert [r["reason"].split()[0] for r in safety.full_run_reasons(files).collect()] == ["b.sln"]
+    assert [r["reason"].split(":")[0] for r in safety.full_run_reasons(files).collect()] == ["b.sln"]
     diags = spark.createDataFrame([("bad", "X.csproj"), ("odd", None), ("fine", "a/b.csproj")], "message string, path string")
     loaded = spark.createDataFrame([("A/B.csproj", "net8"), ("c.csproj", "net8")], "file string, framework string")
     declared = spark.createDataFrame([("a/b.csproj", 1), ("c.csproj", 2)], "file string, n int")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import file_name, normalize_path
+from ..functions.names import file_name, normalize_path, simple_name, type_path
 from ..plans.fixpoint import union_all
 from ..plans.intervals import interval_join, longest_prefix
 from ..plans.workdir import written
@@ -100,6 +100,10 @@ class ChangeSet:
     unmapped: DataFrame
     notes: DataFrame
 
+    def kept(self) -> ChangeSet:
+        """The same as written tables."""
+        return ChangeSet(*[written(getattr(self, f.name), f.name) for f in fields(self)])
+
     def union(self, other: ChangeSet) -> ChangeSet:
         """H1: seeds and widenings once, unmapped and notes as they are."""
         return ChangeSet(
@@ -137,7 +141,7 @@ def new_side(declared: DataFrame, nodes: DataFrame, new_files: DataFrame, global
         *_widening(
             F.col("project"),
             "ConstantInlining",
-            F.concat(F.coalesce("display", "key"), F.lit(" is compile-time inlined into its callers")),
+            F.concat(F.coalesce("display", "key"), F.lit(": its value is copied to where it is used")),
         )
     ).unionByName(
         by_using.select(
@@ -148,7 +152,7 @@ def new_side(declared: DataFrame, nodes: DataFrame, new_files: DataFrame, global
                     file_name(F.col("file")),
                     F.lit(" line "),
                     F.concat_ws("-", "start_line", "end_line"),
-                    F.lit(": global using or file-level directive changed"),
+                    F.lit(": a directive for the whole file or project changed"),
                 ),
             )
         )
@@ -168,43 +172,82 @@ def new_side(declared: DataFrame, nodes: DataFrame, new_files: DataFrame, global
 def old_side(hunks: DataFrame, old_decls: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame:
     """Seeds and deleted types of old-side ranges; columns project, file, type_path, key (null: deleted type).
 
-    Old declarations are touched members first, else types. A type path finds current types (`types`: type_path, type); a
-    member name finds all current members of that name (`members`: type, member_name, member), else the type stands for it.
+    Old declarations are touched members first, else types. A type path finds current types (`types`: type_path, type, and
+    project if only the project's own count); a member name finds all current members of that name (`members`: type,
+    member_name, member), else the type stands for it. A declaration outside every type (null type_path) says nothing.
     """
     on = ["project", "file"]
     hunk = [*on, "start_line", "end_line"]
     decl = old_decls.select(
         *on, F.col("start_line").alias("s"), F.col("end_line").alias("e"), "is_type", "type_path", "member_name"
     )
-    touched = interval_join(hunks, decl, on, ("start_line", "end_line"), ("s", "e"))
+    touched = written(interval_join(hunks, decl, on, ("start_line", "end_line"), ("s", "e")), "touched")
     tier = F.when(F.col("is_type"), TYPE).otherwise(MEMBER)
     best = touched.groupBy(*hunk).agg(F.min(tier).alias("tier"))
     kept = touched.withColumn("tier", tier).join(best, [*hunk, "tier"])
     asked = kept.select(*on, "type_path", F.when(F.col("tier") == MEMBER, F.col("member_name")).alias("member_name"))
-    with_type = asked.distinct().join(types, "type_path", "left")
+    by = ["project", "type_path"] if "project" in types.columns else ["type_path"]
+    with_type = asked.where(F.col("type_path").isNotNull()).distinct().join(types, by, "left")
     with_member = with_type.join(members, ["type", "member_name"], "left")
     return with_member.select(*on, "type_path", F.coalesce("member", "type").alias("key")).distinct()
 
 
+def old_side_changes(found: DataFrame) -> ChangeSet:
+    """What `old_side` means: seeds, and a widening for each type that isn't declared any more."""
+    gone = found.where(F.col("key").isNull())
+    detail = F.concat("type_path", F.lit(" was declared in "), "file", F.lit(" and is gone"))
+    empty = found.select(F.col("file").alias("detail")).limit(0)
+    return ChangeSet(
+        found.where(F.col("key").isNotNull()).select("key").distinct(),
+        gone.select(*_widening(F.col("project"), "DeletedType", detail)).distinct(),
+        empty,
+        empty,
+    )
+
+
+def declared_names(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Types (project, type_path, type) and members (type, member_name, member) that nodes declare, for `old_side`."""
+    paths = nodes.where(F.col("kind") == "Type").select("project", type_path(F.col("key")).alias("type_path"), F.col("key").alias("type"))
+    names = nodes.where(F.col("containing_type").isNotNull()).select(
+        F.col("containing_type").alias("type"), simple_name(F.col("key")).alias("member_name"), F.col("key").alias("member")
+    )
+    return paths.where(F.col("type_path").isNotNull()).distinct(), names.where(F.col("member_name").isNotNull()).distinct()
+
+
+def _rooted(path: Column) -> Column:
+    """Relative paths behind a common root, so that the root's own folder is a prefix too."""
+    plain = F.when(path.isin("", "."), F.lit("")).otherwise(F.concat(F.lit("/"), path))
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("."), plain))
+
+
+def _owned(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """`longest_prefix` of rooted paths; the folders' columns stay as they are, `dir` aside."""
+    rooted = files.withColumn("_path", _rooted(F.col("path")))
+    found = longest_prefix(rooted, "_path", folders.withColumn("_dir", _rooted(F.col("dir"))), "_dir", "ord")
+    return found.drop("_path", "_dir")
+
+
 def owning_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     """Each file with the project whose folder is its longest prefix; of equal folders the first by `ord`."""
-    return longest_prefix(files, "path", projects.select("dir", "name", "ord"), "dir", "ord")
+    return _owned(files, projects.select("dir", "name", "ord"))
 
 
 def nearest_project_file(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Unowned non-source files below a project file that isn't loaded; (path, project_file)."""
-    folders = listing.select(
-        F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.col("path").alias("project_file"), F.col("path").alias("ord")
-    ).where(F.col("path").rlike(r"\.[^./]*proj$"))
-    found = longest_prefix(files.where(~is_source(F.col("path"))), "path", folders, "dir", "ord")
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    folders = listing.where(F.lower("path").rlike(r"\.[^./]*proj$")).select(
+        folder.alias("dir"), F.col("path").alias("project_file"), F.col("path").alias("ord")
+    )
+    found = _owned(files.where(~is_source(F.col("path"))).select("path").distinct(), folders)
     return found.where(F.col("project_file").isNotNull()).select("path", "project_file")
 
 
-def generated_diff(generated: DataFrame) -> DataFrame:
+def generated_diff(generated: DataFrame, inexact: DataFrame | None = None) -> DataFrame:
     """Per project what its generated documents say; (project, emitted, changed, missing, verdict).
 
-    Nothing emitted says nothing; output that isn't in the compilation widens the project; a document missing at head makes
-    the comparison inexact and seeds all; else the changed ones are seeded, or only a note is left.
+    Nothing emitted says nothing; output that isn't in the compilation widens the project; a document missing at head, or
+    a project of `inexact`, makes the comparison inexact and seeds all; else the changed ones are seeded, or only a note
+    is left.
     """
     differs = ~F.col("base_text").eqNullSafe(F.col("head_text"))
     missing = F.col("head_text").isNull()
@@ -214,19 +257,24 @@ def generated_diff(generated: DataFrame) -> DataFrame:
         F.count_if(missing).alias("missing"),
         F.bool_and("in_compilation").alias("inside"),
     )
+    if inexact is not None:
+        marks = inexact.select("project").distinct().withColumn("doubt", F.lit(True))
+        summed = summed.join(marks, "project", "left")
+    else:
+        summed = summed.withColumn("doubt", F.lit(None).cast("boolean"))
     verdict = (
         F.when(F.col("emitted") == 0, "none")
         .when(~F.coalesce("inside", F.lit(False)), "widen")
-        .when(F.col("missing") > 0, "all")
+        .when((F.col("missing") > 0) | F.coalesce("doubt", F.lit(False)), "all")
         .when(F.col("changed") == 0, "note")
         .otherwise("changed")
     )
-    return summed.withColumn("verdict", verdict).drop("inside")
+    return summed.withColumn("verdict", verdict).drop("inside", "doubt")
 
 
-def generated_seeds(generated: DataFrame, docs: DataFrame) -> DataFrame:
+def generated_seeds(generated: DataFrame, docs: DataFrame, inexact: DataFrame | None = None) -> DataFrame:
     """Types (project, key) of the generated documents that `generated_diff` tells to seed; `docs`: project, hint, key."""
-    verdicts = generated_diff(generated).select("project", "verdict")
+    verdicts = generated_diff(generated, inexact).select("project", "verdict")
     changed = generated.where(~F.col("base_text").eqNullSafe(F.col("head_text"))).select("project", "hint")
     everything = docs.join(verdicts.where("verdict = 'all'"), "project", "left_semi")
     some = docs.join(verdicts.where("verdict = 'changed'"), "project", "left_semi").join(
@@ -235,6 +283,20 @@ def generated_seeds(generated: DataFrame, docs: DataFrame) -> DataFrame:
     return union_all([everything, some]).select("project", "key").distinct()
 
 
+def generated_changes(generated: DataFrame, docs: DataFrame, inexact: DataFrame | None = None) -> ChangeSet:
+    """What the generated documents of changed projects mean: seeds, and what is told of each project that emits any."""
+    verdicts = generated_diff(generated, inexact).where("verdict <> 'none'")
+    said = (
+        F.when(F.col("verdict") == "widen", "its generated documents aren't part of what was analysed")
+        .when(F.col("verdict") == "all", "its generators can't be run again faithfully, so all they emit counts as changed")
+        .when(F.col("verdict") == "note", "its generators emit what they did before")
+        .otherwise(F.concat(F.col("changed").cast("string"), F.lit(" of its generated documents changed")))
+    )
+    told = verdicts.select(*_widening(F.col("project"), "SourceGenerator", said, F.col("verdict") == "widen"))
+    empty = told.select("detail").limit(0)
+    return ChangeSet(generated_seeds(generated, docs, inexact).select("key").distinct(), told, empty, empty)
+
+
 def trivia_only(changes: DataFrame) -> DataFrame:
     """Whether old and new tokens are the same sequence; `changes`: kind, has_generated, old_tokens, new_tokens."""
     same = F.col("old_tokens").eqNullSafe(F.col("new_tokens")) & F.col("old_tokens").isNotNull()
@@ -264,7 +326,7 @@ def seed_reflections(changes: ChangeSet, reflections: DataFrame) -> ChangeSet:
                 F.lit(" uses "),
                 F.col("first"),
                 more,
-                F.lit("; the reflecting member(s) are treated as always impacted"),
+                F.lit("; such members count as changed every time"),
             ),
             False,
         )
@@ -273,7 +335,7 @@ def seed_reflections(changes: ChangeSet, reflections: DataFrame) -> ChangeSet:
         *_widening(
             F.col("project"),
             "Reflection",
-            F.concat(name, F.lit(" uses "), F.col("description"), F.lit(" outside any member")),
+            F.concat(name, F.lit(" uses "), F.col("description"), F.lit(", but in no member")),
         )
     )
     empty = changes.notes.limit(0)

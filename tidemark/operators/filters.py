@@ -10,12 +10,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.filters import arguments_length, escape_tree_node, escape_vstest
+from ..plans.fixpoint import union_all
+from ..plans.workdir import written
 from ..schemas import COVERAGE_LIMIT, FILTER_LENGTH_LIMIT, WAVE_LEAST_TESTS
 
 
+#: Last characters of a term by which names are looked up.
+_TAIL = 12
+
+
+def _substrings(text: Column, n: int) -> Column:
+    """All substrings of n characters."""
+    places = F.sequence(F.lit(1), F.length(text) - n + 1)
+    none = F.array().cast("array<string>")
+    return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substr(text, i, F.lit(n)))).otherwise(none)
+
+
 def class_counts(tests: DataFrame) -> DataFrame:
     """D3: tests and selected ones of each class."""
     return tests.groupBy("project", "full_class").agg(
@@ -60,6 +72,11 @@ class VsTest:
 
     name: str = "vstest"
 
+    def lengths(self, tests: DataFrame) -> DataFrame:
+        """`arguments_length` of each project's arguments, without building them."""
+        each = F.length(escape_vstest(F.col("term"))) + len("FullyQualifiedName~|")
+        return terms(tests).groupBy("project").agg((F.sum(each) - 1 + len("--filter") + 6).alias("length"))
+
     def arguments(self, tests: DataFrame) -> DataFrame:
         each = F.concat(F.lit("FullyQualifiedName~"), escape_vstest(F.col("term")))
         return _joined(terms(tests), each, "|").select(
@@ -69,13 +86,20 @@ class VsTest:
     def extra(self, tests: DataFrame) -> DataFrame:
         """C14: tests that aren't selected but hold a term.
 
-        Terms of a project are one array, compared with its own tests only; it has as many entries as the selection.
+        A term and a name that holds it meet on the term's last characters, looked up at every place of the name, so no
+        name is compared with all terms of its project.
         """
-        asked = terms(tests).groupBy("project").agg(F.collect_set("term").alias("terms"))
-        rest = tests.where(~F.col("selected")).join(asked, "project")
-        hit = F.exists("terms", lambda t: F.contains(F.col("fqn"), t))
+        asked = terms(tests).select("project", "term", F.right("term", F.lit(_TAIL)).alias("tail"))
+        asked = asked.withColumn("n", F.length("tail"))
         names = tests.where("selected").select("project", "fqn").distinct()
-        return rest.where(hit).join(names, ["project", "fqn"], "left_anti").select("project", "fqn").distinct()
+        rest = tests.where(~F.col("selected")).select("project", "fqn").distinct().join(names, ["project", "fqn"], "left_anti")
+        lengths = [r["n"] for r in asked.select("n").distinct().collect()]
+        tails = [_substrings(F.col("fqn"), n) for n in lengths]
+        if not tails:
+            return rest.limit(0)
+        spread = rest.withColumn("tail", F.explode(F.array_distinct(F.concat(*tails))))
+        met = spread.join(asked, ["project", "tail"]).where(F.contains("fqn", "term"))
+        return met.select("project", "fqn").distinct()
 
 
 @dataclass(frozen=True)
@@ -84,16 +108,22 @@ class ClassOrMethod:
 
     name: str = "xunit-platform"
 
-    def arguments(self, tests: DataFrame) -> DataFrame:
+    def _pairs(self, tests: DataFrame) -> DataFrame:
         chosen = _collapsed(tests)
-        classes_only = F.bool_and("whole").over(Window.partitionBy("project"))
-        pairs = chosen.withColumn("by_class", classes_only).select(
+        by_class = chosen.groupBy("project").agg(F.bool_and("whole").alias("by_class"))
+        pairs = chosen.join(by_class, "project").select(
             "project",
             "rank",
             F.when(F.col("by_class"), F.lit("--filter-class")).otherwise(F.lit("--filter-method")).alias("flag"),
             F.when(F.col("by_class"), F.col("full_class")).otherwise(F.col("fqn")).alias("value"),
         )
-        first = pairs.groupBy("project", "flag", "value").agg(F.min("rank").alias("rank"))
+        return pairs.groupBy("project", "flag", "value").agg(F.min("rank").alias("rank"))
+
+    def lengths(self, tests: DataFrame) -> DataFrame:
+        return self._pairs(tests).groupBy("project").agg(F.sum(F.length("flag") + F.length("value") + 6).alias("length"))
+
+    def arguments(self, tests: DataFrame) -> DataFrame:
+        first = self._pairs(tests)
         listed = F.array_sort(F.collect_list(F.struct("rank", "value", "flag")))
         return first.groupBy("project").agg(
             F.flatten(F.transform(listed, lambda s: F.array(s["flag"], s["value"]))).alias("arguments")
@@ -122,6 +152,9 @@ class TreeNode:
             F.bool_and("whole").alias("all_whole"),
         )
 
+    def lengths(self, tests: DataFrame) -> DataFrame:
+        return self.arguments(tests).select("project", arguments_length(F.col("arguments")).cast("long").alias("length"))
+
     def arguments(self, tests: DataFrame) -> DataFrame:
         """D5, I19."""
 
@@ -152,32 +185,73 @@ def dialect_for(framework: str, runner: str):
     return VsTest()
 
 
+def dialect_name(framework: Column, runner: Column) -> Column:
+    """`dialect_for` as a column."""
+    platform = (framework == "XUnitV3") & (runner == "MicrosoftTestingPlatform")
+    return F.when(framework == "TUnit", TreeNode.name).when(platform, ClassOrMethod.name).otherwise(VsTest.name)
+
+
+@dataclass(frozen=True)
+class ByProject:
+    """Each project's own dialect, named in the tests' column `dialect` (null: that of VSTest)."""
+
+    name: str = "by-project"
+
+    def _each(self, tests: DataFrame, what: str) -> DataFrame:
+        own = F.coalesce("dialect", F.lit(VsTest.name))
+        return union_all([getattr(d, what)(tests.where(own == d.name)) for d in (VsTest(), ClassOrMethod(), TreeNode())])
+
+    def lengths(self, tests: DataFrame) -> DataFrame:
+        return self._each(tests, "lengths")
+
+    def arguments(self, tests: DataFrame) -> DataFrame:
+        return self._each(tests, "arguments")
+
+    def extra(self, tests: DataFrame) -> DataFrame:
+        return self._each(tests, "extra")
+
+
 def filter_plans(
-    tests: DataFrame, dialect, coverage: float = COVERAGE_LIMIT, length_limit: int = FILTER_LENGTH_LIMIT
+    tests: DataFrame,
+    dialect,
+    coverage: float = COVERAGE_LIMIT,
+    length_limit: int = FILTER_LENGTH_LIMIT,
+    extras: DataFrame | None = None,
 ) -> DataFrame:
-    """Per project selected, total, filtered, reason and arguments.
+    """Per project selected, total, filtered, reason, arguments, and how many unselected tests the filter runs as well.
 
     No filter if nothing is selected, the selection is `coverage` or more of the project, or the filter would be too long.
+    `extras`: what `dialect.extra` gives for the tests, if it is there already. Lengths are summed first, and only filters
+    that will be used are built.
     """
     counts = tests.groupBy("project").agg(F.count_if("selected").alias("selected"), F.count("*").alias("total"))
-    planned = counts.join(dialect.arguments(tests), "project", "left")
-    length = arguments_length(F.col("arguments"))
     reason = (
         F.when(F.col("selected") == 0, "nothing selected")
         .when(F.col("selected") / F.col("total") >= coverage, "most of the project is selected")
-        .when(F.col("arguments").isNull() | (F.size("arguments") == 0), "the selection can't be a filter")
-        .when(length > length_limit, "the filter would be too long")
+        .when(F.coalesce("length", F.lit(0)) == 0, "the selection can't be a filter")
+        .when(F.col("length") > length_limit, "the filter would be too long")
     )
-    reasoned = planned.withColumn("reason", reason).withColumn("filtered", F.col("reason").isNull())
-    return reasoned.select(
-        "project", "selected", "total", "filtered", "reason", F.when(F.col("filtered"), F.col("arguments")).alias("arguments")
+    sized = counts.join(dialect.lengths(tests), "project", "left").withColumn("reason", reason)
+    reasoned = written(sized.withColumn("filtered", F.col("reason").isNull()), "reasons")
+    used = tests.join(reasoned.where("filtered").select("project"), "project", "left_semi")
+    reasoned = reasoned.join(dialect.arguments(used), "project", "left")
+    more = (dialect.extra(tests) if extras is None else extras).groupBy("project").agg(F.count("*").alias("more"))
+    return reasoned.join(more, "project", "left").select(
+        "project",
+        "selected",
+        "total",
+        "filtered",
+        "reason",
+        "arguments",
+        F.when(F.col("filtered"), F.coalesce("more", F.lit(0))).otherwise(0).alias("extra_matches"),
     )
 
 
 def wave_plans(tests: DataFrame, dialect, length_limit: int = FILTER_LENGTH_LIMIT) -> DataFrame:
     """Per project whether its selection runs in two waves, and why not.
 
-    `tests` also has in_wave (of selected ones). Reasons in order: few, one_class, most, long, overlap, beyond.
+    `tests` also has in_wave (of selected ones). Reasons in order: few, one_class, most, inexpressible (a wave that the
+    dialect has no filter for), long, overlap, beyond.
     """
     wave = tests.withColumn("selected", F.col("selected") & F.coalesce("in_wave", F.lit(False)))
     rest = tests.withColumn("selected", F.col("selected") & ~F.coalesce("in_wave", F.lit(False)))
@@ -186,7 +260,7 @@ def wave_plans(tests: DataFrame, dialect, length_limit: int = FILTER_LENGTH_LIMI
     )
 
     def sized(t: DataFrame, name: str) -> DataFrame:
-        return dialect.arguments(t).select("project", arguments_length(F.col("arguments")).alias(name))
+        return dialect.lengths(t).withColumnRenamed("length", name)
 
     extra_wave, extra_rest = dialect.extra(wave), dialect.extra(rest)
     wave_names = wave.where("selected").select("project", "fqn").distinct()
@@ -206,6 +280,7 @@ def wave_plans(tests: DataFrame, dialect, length_limit: int = FILTER_LENGTH_LIMI
         F.when(F.col("selected") < WAVE_LEAST_TESTS, "few")
         .when(F.col("wave") == F.col("selected"), "one_class")
         .when(F.col("wave") * 2 > F.col("selected"), "most")
+        .when(F.coalesce("wave_length", F.lit(0)) * F.coalesce("rest_length", F.lit(0)) == 0, "inexpressible")
         .when(F.greatest("wave_length", "rest_length") > length_limit, "long")
         .when(F.coalesce("overlap", F.lit(0)) > 0, "overlap")
         .when(F.coalesce("beyond", F.lit(0)) > 0, "beyond")

@@ -66,14 +66,14 @@ def classify_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def container_resolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Types that nothing outside names, dispatch aside; keys in column `type`.
+def container_resolved(nodes: DataFrame, edges: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """Types of `nodes` that nothing outside names, dispatch aside; keys in column `type`.
 
     A mention is an edge from the type of a kind other than exactly request or exactly route dispatch, to something that
-    is neither the type nor a member of it.
+    is neither the type nor a member of it. `owned`: the nodes that say what a member of which type is, if not `nodes`.
     """
     types = nodes.where(F.col("kind") == "Type").select(F.col("key").alias("type"))
-    owners = nodes.select(F.col("key").alias("dst"), "containing_type")
+    owners = (nodes if owned is None else owned).select(F.col("key").alias("dst"), "containing_type")
     mentions = (
         edges.where(~F.col("kind").isin(DISPATCH_BY_REQUEST, DISPATCH_BY_ROUTE))
         .join(owners, "dst", "left")
@@ -89,15 +89,18 @@ class Graph:
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes = nodes
         self.edges = edges
-        resolved = container_resolved(nodes, edges).select(F.col("type").alias("_type"), F.lit(True).alias("_resolved"))
         is_type = F.col("kind") == "Type"
+        classified = classify_edges(edges)
+        columns = [F.col("src").alias("key"), F.col("dst").alias("to"), "kind", "upward", "downward"]
+        plain = classified.where(~F.col("dispatch")).select(*columns)
+        # Only sources of dispatch edges need to be known as resolved by the container or not.
+        dispatched = classified.where("dispatch")
         owner = F.when(is_type, F.col("key")).otherwise(F.col("containing_type"))
-        sources = nodes.select(F.col("key").alias("src"), owner.alias("_type")).join(resolved, "_type", "left")
-        classified = classify_edges(edges).join(sources.select("src", "_resolved"), "src", "left")
-        followed = classified.where(~F.col("dispatch") | F.coalesce("_resolved", F.lit(False)))
-        steps = followed.select(
-            F.col("src").alias("key"), F.col("dst").alias("to"), "kind", "upward", "downward"
-        )
+        owners = nodes.select(F.col("key").alias("src"), owner.alias("type")).join(dispatched.select("src").distinct(), "src", "left_semi")
+        asked = nodes.join(owners.select(F.col("type").alias("key")).distinct(), "key", "left_semi")
+        mentioned = edges.join(asked.select(F.col("key").alias("src")), "src", "left_semi")
+        resolved = owners.join(container_resolved(asked, mentioned, nodes), "type", "left_semi").select("src")
+        followed = dispatched.join(resolved, "src", "left_semi").select(*columns)
         types = nodes.where(is_type).select(F.col("key").alias("_t"))
         inside = nodes.where(F.col("containing_type").isNotNull()).join(
             types, F.col("containing_type") == F.col("_t"), "left_semi"
@@ -110,7 +113,11 @@ class Graph:
             F.lit(False).alias("downward"),
         )
         #: One adjacency for edges and containment.
-        self.steps = written(steps.unionByName(fan_out), "adjacency")
+        self.steps = written(union_all([plain, followed, fan_out]), "adjacency")
+
+
+#: Tables of past rounds before they are written as one.
+_ROUNDS = 8
 
 
 def walk(
@@ -139,6 +146,8 @@ def walk(
     rounds, hops = [frontier], 1
     while not frontier.isEmpty():
         hops += 1
+        if len(rounds) > _ROUNDS:
+            rounds = [written(union_all(rounds), "walked")]
         arrivals = (
             frontier.select("origin", "key", "free")
             .join(steps, "key")
@@ -189,8 +198,13 @@ def reaches_beyond(graph: Graph, walked: DataFrame) -> DataFrame:
     return outside.select("origin").distinct()
 
 
-def traverse(graph: Graph, seeds: DataFrame, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Keys impacted by the seeds, with upward edges generalised within bounds; (key, hops).
+def traverse(
+    graph: Graph,
+    seeds: DataFrame,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+    predecessors: bool = False,
+) -> DataFrame:
+    """Keys impacted by the seeds, with upward edges generalised within bounds; (key, hops[, pred, pred_kind]).
 
     After the plain walk, up to eight rounds take each upward-only edge (impl, decl) from an impacted node once: what the
     declaration reaches (upward allowed, starting restricted) is added as far as impl's type permits. The type permits
@@ -198,13 +212,15 @@ def traverse(graph: Graph, seeds: DataFrame, narrow: Callable[[DataFrame], DataF
     type that reaches nothing but itself, and a member without a type, bound nothing. The declaration is always added.
 
     All declarations of a round walk in one fixpoint, and so do all types. A walk depends on its origin only, so none is
-    repeated in later rounds.
+    repeated in later rounds. The predecessor of an added declaration is the implementation it was reached from, that of
+    any other added key the one in its declaration's walk; of equally near ones the least is told.
     """
-    impacted = written(reach(graph, seeds, False).select("key", "hops"), "impacted")
+    columns = ["key", "hops", "pred", "pred_kind"] if predecessors else ["key", "hops"]
+    impacted = written(walk(graph, _one_origin(seeds), False, predecessors=predecessors).select(*columns), "impacted")
     upward = (
         classify_edges(graph.edges)
         .where("upward")
-        .select(F.col("src").alias("impl"), F.col("dst").alias("decl"))
+        .select(F.col("src").alias("impl"), F.col("dst").alias("decl"), F.col("kind").alias("up_kind"))
         .join(graph.nodes.select(F.col("key").alias("impl"), F.col("containing_type").alias("type")), "impl", "left")
     )
     upward = written(upward, "upward")
@@ -215,14 +231,14 @@ def traverse(graph: Graph, seeds: DataFrame, narrow: Callable[[DataFrame], DataF
         new = written(upward.join(used, ["impl", "decl"], "left_anti").join(at, "impl"), "pairs")
         if new.isEmpty():
             break
-        used = used.unionByName(new.select("impl", "decl", "type"))
+        used = used.unionByName(new.select(*upward.columns))
         decls = new.select(F.col("decl").alias("origin"), F.col("decl").alias("key")).distinct()
         types = new.where(F.col("type").isNotNull()).select(F.col("type").alias("origin"), F.col("type").alias("key"))
         types = types.distinct()
         if decl_reach is not None:
             decls = decls.join(decl_reach.select("origin").distinct(), "origin", "left_anti")
             types = types.join(type_reach.select("origin").distinct(), "origin", "left_anti")
-        from_decl = written(walk(graph, decls, True, True), "declarations")
+        from_decl = written(walk(graph, decls, True, True, predecessors), "declarations")
         from_type = written(walk(graph, types, False), "types")
         decl_reach = from_decl if decl_reach is None else decl_reach.unionByName(from_decl)
         type_reach = from_type if type_reach is None else type_reach.unionByName(from_type)
@@ -232,15 +248,21 @@ def traverse(graph: Graph, seeds: DataFrame, narrow: Callable[[DataFrame], DataF
             allowed = narrow(allowed)
         bound = beyond.select(F.col("origin").alias("type"), F.lit(True).alias("bounded"))
         pairs = new.join(bound, "type", "left").select(
-            "decl", "impl_hops", "type", F.coalesce("bounded", F.lit(False)).alias("bounded")
+            "decl", "impl", "up_kind", "impl_hops", "type", F.coalesce("bounded", F.lit(False)).alias("bounded")
+        )
+        candidates = pairs.join(decl_reach.withColumnsRenamed({"origin": "decl", "hops": "more"}), "decl").withColumn(
+            "hops", F.col("impl_hops") + F.col("more")
         )
-        candidates = pairs.join(
-            decl_reach.select(F.col("origin").alias("decl"), "key", F.col("hops").alias("more")), "decl"
-        ).withColumn("hops", F.col("impl_hops") + F.col("more"))
+        if predecessors:
+            first = F.col("key") == F.col("decl")
+            candidates = candidates.withColumns(
+                {"pred": F.when(first, F.col("impl")).otherwise(F.col("pred")), "pred_kind": F.when(first, F.col("up_kind")).otherwise(F.col("pred_kind"))}
+            )
         free = candidates.where(~F.col("bounded") | (F.col("key") == F.col("decl")))
         within = candidates.where("bounded").join(allowed, ["type", "key"], "left_semi")
-        added = free.select("key", "hops").unionByName(within.select("key", "hops"))
-        added = added.groupBy("key").agg(F.min("hops").alias("hops"))
+        added = free.select(*columns).unionByName(within.select(*columns))
+        least = F.min(F.struct(*columns[1:])).alias("least")
+        added = added.groupBy("key").agg(least).select("key", *[F.col("least")[c].alias(c) for c in columns[1:]])
         fresh = written(added.join(impacted, "key", "left_anti"), "added")
         if fresh.isEmpty():
             # Nothing was added, so no further upward edge can start.

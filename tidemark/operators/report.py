@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import edge_text
 from ..plans.fixpoint import union_all
+from ..plans.workdir import written
+from .graph import paths_to
 
 
 def project_totals(tests: DataFrame, plans: DataFrame) -> DataFrame:
@@ -64,6 +66,27 @@ def explain_verdict(reached: Column, selected: Column, project_selected: Column,
     )
 
 
+def explain(tests: DataFrame, walked: DataFrame, plans: DataFrame, query: str) -> DataFrame:
+    """(fqn, project, exact, verdict, will_run, line) of the tests that `query` names.
+
+    `tests` with `selected`, `walked` with predecessors, `plans` per project. The line is the chain from a changed symbol
+    to the test's method, or to its class where that alone was reached; null where none was.
+    """
+    named = explain_matches(tests, query).select("fqn", "project", "symbol_key", "class_key", "selected", "exact")
+    reached = walked.select("key").distinct()
+    by_method = reached.select(F.col("key").alias("symbol_key"), F.col("key").alias("_method"))
+    by_class = reached.select(F.col("key").alias("class_key"), F.col("key").alias("_class"))
+    found = named.join(by_method, "symbol_key", "left").join(by_class, "class_key", "left")
+    found = written(found.withColumn("target", F.coalesce("_method", "_class")), "explained")
+    lines = path_lines(paths_to(walked, found.where(F.col("target").isNotNull()).select(F.col("target").alias("key")).distinct()))
+    state = plans.select("project", F.col("selected").alias("_n"), "filtered")
+    told = found.join(lines, "target", "left").join(state, "project", "left")
+    verdict = explain_verdict(F.col("target").isNotNull(), F.col("selected"), F.coalesce("_n", F.lit(0)), F.coalesce("filtered", F.lit(True)))
+    return told.withColumn("verdict", verdict).select(
+        "fqn", "project", "exact", "verdict", F.col("verdict").isin("Reached", "Unfiltered", "Widened").alias("will_run"), "line"
+    )
+
+
 def path_lines(paths: DataFrame) -> DataFrame:
     """Chains of `paths_to` as text: keys, each behind what its edge says."""
     said = F.transform(
@@ -88,6 +111,14 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(json_of(report.columns).alias("json"))
 
 
+def graph_json(summary: DataFrame, tests: DataFrame) -> DataFrame:
+    """JSON objects, the graph's summary and then each test, in column `json`; `ord` is 0 for the summary."""
+    graph = summary.select(F.lit(0).alias("ord"), json_of(summary.columns).alias("json"))
+    columns = ["fully_qualified_name", "project_name", "framework", "is_parameterized"]
+    named = tests.select(F.col("fqn").alias(columns[0]), F.col("project").alias(columns[1]), *columns[2:])
+    return graph.unionByName(named.select(F.lit(1).alias("ord"), json_of(columns).alias("json")))
+
+
 def test_command(
     project_file: Column, vstest_mode: Column, platform_runner: Column, arguments: Column, passthrough: Column
 ) -> Column:

@@ -2,93 +2,209 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import file_name
 from ..operators import changes, filters, graph, report, routes, safety, selection, typeflow
+from ..schemas import GENERATED, OLD_DECLS
 from .fixpoint import union_all
 from .workdir import written
 
 
 @dataclass
 class Inputs:
-    """Tables of `tidemark.schemas`. Hunks already carry their project; missing tables may be empty."""
+    """Tables of `tidemark.schemas`; those of extractors may be left out.
+
+    `diff` is what `changes.resolve_diff` gives: each changed file's ranges on both sides. `documents` says which projects
+    compile a file (project, file). `old_decls` are the declarations of changed files at the base revision (file is the
+    old path), `foreign` the projects of other languages (name, language, dir), `project_files` every project file there
+    is (path), `fragments` the projects with a graph (project), `file_errors` files that don't compile (project, file,
+    error), `failures` why a project didn't load (reason), `generated_docs` the types of generated documents (project,
+    hint, key). `projects` may tell framework and runner, which choose a project's dialect.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    documents: DataFrame
     sites: DataFrame
     projects: DataFrame
     project_refs: DataFrame
     tests: DataFrame
-    changed_files: DataFrame
-    hunks: DataFrame
+    diff: DataFrame
     routes: DataFrame
     reflections: DataFrame
-    new_files: DataFrame
-    global_usings: DataFrame
-    trivia_files: DataFrame
+    old_decls: DataFrame | None = None
+    global_usings: DataFrame | None = None
+    trivia_files: DataFrame | None = None
+    generated: DataFrame | None = None
+    generated_docs: DataFrame | None = None
+    foreign: DataFrame | None = None
+    project_files: DataFrame | None = None
+    fragments: DataFrame | None = None
+    file_errors: DataFrame | None = None
+    failures: DataFrame | None = None
     type_facts: DataFrame | None = None
 
 
 @dataclass
 class Options:
+    """`dialect`: one for all projects; without it each project's own."""
+
     full: bool = False
     fallback: bool = True
     coverage: float = 0.6
     length_limit: int = 200_000
-    dialect: object = field(default_factory=filters.VsTest)
+    dialect: object | None = None
 
 
 @dataclass
 class Outcome:
-    """`reasons`: why it is a full run, empty if it isn't; `tests`: ranked; `plans`, `waves`, `totals`, `widenings`."""
+    """`reasons`: why it is a full run, empty if it isn't; `tests`: ranked; `plans`, `waves`, `totals`, `widenings`.
+
+    `extras`: unselected tests (project, fqn) that a filter of `plans` runs as well. `walked`: impacted keys with hops and
+    predecessors, for `report.explain`.
+    """
 
     reasons: list[str]
     changes: changes.ChangeSet | None
-    impacted: DataFrame | None
+    walked: DataFrame | None
     tests: DataFrame
     plans: DataFrame
     waves: DataFrame
     totals: DataFrame
+    extras: DataFrame
     widenings: DataFrame | None
     changed_symbols: int
 
 
-def content_widenings(changed: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that are no source widen the project whose folder holds them; (widenings, unowned paths)."""
-    content = changed.where(safety.is_content(F.col("path"))).select("path").distinct()
-    owned = changes.owning_project(content, projects.withColumn("ord", F.col("name")))
+def _or_empty(df: DataFrame | None, inputs: Inputs, schema: str) -> DataFrame:
+    return inputs.nodes.sparkSession.createDataFrame([], schema) if df is None else df
+
+
+def changed_files(inputs: Inputs) -> DataFrame:
+    """(path, old_path, kind) of every changed file."""
+    return inputs.diff.select("path", "old_path", "kind").distinct()
+
+
+def content_changes(inputs: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Files that are no source: (widenings, errors).
+
+    One widens the project whose folder holds it; else the project of another language that does, of which nothing else
+    is known; one that lies below a project file that isn't loaded can't be placed at all, which is an error. Others say
+    nothing.
+    """
+    content = changed_files(inputs).where(safety.is_content(F.col("path"))).select("path").distinct()
+    owned = written(changes.owning_project(content, inputs.projects.withColumn("ord", F.col("name"))), "content")
     wide = owned.where(F.col("name").isNotNull()).select(
         F.col("name").alias("project"),
         F.lit("ContentFile").alias("cause"),
         F.concat("path", F.lit(" isn't source and may be read at run time")).alias("detail"),
-        F.lit(True).alias("widens"),
     )
-    return wide, owned.where(F.col("name").isNull()).select("path")
-
-
-def resolve_changes(inputs: Inputs) -> changes.ChangeSet:
-    """L2: seeds and widenings of the changed files; files that changed in comments or layout only leave a note."""
-    widenings, _ = content_widenings(inputs.changed_files, inputs.projects)
-    trivia = inputs.trivia_files.select("project", "file").distinct()
-    real = inputs.hunks.join(trivia, ["project", "file"], "left_anti")
-    declared = written(changes.changed_declarations(real, inputs.sites, bucket=256), "declared")
-    found = changes.new_side(declared, inputs.nodes, inputs.new_files, inputs.global_usings)
-    notes = (
-        inputs.hunks.join(trivia, ["project", "file"], "left_semi")
-        .select(F.concat("file", F.lit(": only comments or formatting")).alias("detail"))
+    foreign = _or_empty(inputs.foreign, inputs, "name string, language string, dir string").withColumn("ord", F.col("name"))
+    free = owned.where(F.col("name").isNull()).select("path")
+    abroad = written(changes.owning_project(free, foreign).join(foreign.select("name", "language"), "name", "left"), "foreign")
+    wide_abroad = abroad.where(F.col("name").isNotNull()).select(
+        F.col("name").alias("project"),
+        F.lit("ForeignLanguage").alias("cause"),
+        F.concat("path", F.lit(" is "), "language", F.lit(", of which no symbol is known")).alias("detail"),
+    )
+    nowhere = abroad.where(F.col("name").isNull()).select("path")
+    listing = _or_empty(inputs.project_files, inputs, "path string")
+    errors = changes.nearest_project_file(nowhere, listing).select(
+        F.concat("path", F.lit(" belongs to "), file_name(F.col("project_file")), F.lit(", which isn't loaded")).alias("reason")
+    )
+    return wide.unionByName(wide_abroad).withColumn("widens", F.lit(True)), errors
+
+
+def _ranges(diff: DataFrame, side: str) -> DataFrame:
+    """(path, kind, old_path, start_line, end_line) of a side's ranges."""
+    rows = diff.where(F.col("side") == side).select("path", "old_path", "kind", F.explode("ranges").alias("r"))
+    return rows.select("path", "old_path", "kind", "r.start_line", "r.end_line")
+
+
+def source_changes(inputs: Inputs) -> tuple[changes.ChangeSet, DataFrame]:
+    """Source files on both sides: (change set, errors).
+
+    On the new side a file counts in every project that compiles it; on the old side, where deleted code is, in the
+    project whose folder holds its old path, else in one that compiles it now. A modified file of which only comments or
+    layout changed in all its projects leaves a note and nothing else, unless a project's generators could read them.
+    """
+    session = inputs.nodes.sparkSession
+    source = inputs.diff.where(changes.is_source(F.col("path")))
+    emitting = _or_empty(inputs.generated, inputs, GENERATED).select("project").distinct()
+    modified = source.where("kind = 'Modified'").select(F.col("path").alias("file")).distinct()
+    trivia = (
+        _or_empty(inputs.trivia_files, inputs, "project string, file string")
+        .select("project", "file")
         .distinct()
+        .join(emitting, "project", "left_anti")
+        .join(modified, "file", "left_semi")
+    )
+    here = source.where("kind <> 'Deleted'").select(F.col("path").alias("file"), "kind").distinct()
+    compiled = written(inputs.documents.select("project", "file").distinct().join(here, "file"), "compiled")
+    real = written(compiled.join(trivia, ["project", "file"], "left_anti"), "real")
+    quiet = compiled.select("file").distinct().join(real, "file", "left_anti")
+    notes = quiet.select(F.concat("file", F.lit(": only comments or formatting")).alias("detail"))
+
+    broken = _or_empty(inputs.file_errors, inputs, "project string, file string, error string").join(real, ["project", "file"], "left_semi")
+    errors = broken.groupBy("file").agg(F.min("error").alias("error")).select(
+        F.concat("file", F.lit(" doesn't compile: "), "error").alias("reason")
     )
-    empty = found.unmapped.limit(0)
-    return found.union(changes.ChangeSet(found.seeds.limit(0), widenings, empty, notes))
+    if inputs.fragments is not None:
+        unknown = real.join(inputs.fragments.select("project"), "project", "left_anti")
+        errors = errors.unionByName(
+            unknown.select(F.concat("file", F.lit(": what "), "project", F.lit(" declares isn't known")).alias("reason"))
+        )
+
+    new = _ranges(source, "new").select(F.col("path").alias("file"), "start_line", "end_line").join(real, "file")
+    declared = changes.changed_declarations(new.select("project", "file", "start_line", "end_line"), inputs.sites, bucket=256)
+    usings = _or_empty(inputs.global_usings, inputs, "project string, file string, start_line int, end_line int")
+    found = changes.new_side(written(declared, "declared"), inputs.nodes, real.where("kind = 'Added'"), usings)
+
+    old = _ranges(source, "old").where("kind <> 'Added'").join(quiet, F.col("path") == F.col("file"), "left_anti")
+    old = old.withColumn("new_path", F.col("path")).withColumn("path", F.coalesce("old_path", "path"))
+    first = compiled.groupBy(F.col("file").alias("new_path")).agg(F.min("project").alias("_now"))
+    owned = changes.owning_project(old, inputs.projects.withColumn("ord", F.col("name"))).join(first, "new_path", "left")
+    placed = owned.select(F.coalesce("name", "_now").alias("project"), F.col("path").alias("file"), "start_line", "end_line")
+    placed = written(placed.where(F.col("project").isNotNull()).distinct(), "old")
+    decls = _or_empty(inputs.old_decls, inputs, OLD_DECLS).drop("project").distinct()
+    by_project = decls.join(placed.select("project", "file").distinct(), "file")
+    before = written(changes.old_side(placed, by_project, *changes.declared_names(inputs.nodes)), "before")
+    none = session.createDataFrame([], "detail string")
+    noted = changes.ChangeSet(found.seeds.limit(0), found.widenings.limit(0), none, notes)
+    return found.union(changes.old_side_changes(before)).union(noted), errors
+
+
+def emitted_changes(inputs: Inputs) -> changes.ChangeSet | None:
+    """Generated code of the projects that hold a changed file; one that holds another file than source can't be compared."""
+    if inputs.generated is None:
+        return None
+    files = changes.owning_project(changed_files(inputs).select("path").distinct(), inputs.projects.withColumn("ord", F.col("name")))
+    held = written(files.where(F.col("name").isNotNull()).select(F.col("name").alias("project"), "path"), "held")
+    generated = inputs.generated.join(held.select("project").distinct(), "project", "left_semi")
+    docs = _or_empty(inputs.generated_docs, inputs, "project string, hint string, key string")
+    return changes.generated_changes(generated, docs, held.where(~changes.is_source(F.col("path"))))
+
+
+def resolve_changes(inputs: Inputs) -> tuple[changes.ChangeSet, DataFrame]:
+    """L2: (change set of all changed files, errors (reason) that ask for a full run)."""
+    wide, outside = content_changes(inputs)
+    found, broken = source_changes(inputs)
+    empty = found.notes.limit(0)
+    found = found.union(changes.ChangeSet(found.seeds.limit(0), wide, empty, empty))
+    emitted = emitted_changes(inputs)
+    return (found.union(emitted) if emitted else found), outside.unionByName(broken)
 
 
 def full_run_reasons(inputs: Inputs, options: Options) -> list[str]:
-    """Why no narrower run is safe: a text for each file that asks for a full run, by path."""
+    """Why no narrower run is safe: a text for each project that didn't load and each file that asks for a full run."""
     reasons = ["a full run was asked for"] if options.full else []
-    return reasons + [r["reason"] for r in safety.full_run_reasons(inputs.changed_files).orderBy("path").collect()]
+    failed = _or_empty(inputs.failures, inputs, "reason string").select("reason")
+    asked = safety.full_run_reasons(changed_files(inputs)).select("reason")
+    return reasons + [r["reason"] for f in (failed, asked) for r in f.orderBy("reason").collect()]
 
 
 def analyze(inputs: Inputs, options: Options | None = None) -> Outcome:
@@ -105,22 +221,40 @@ def analyze(inputs: Inputs, options: Options | None = None) -> Outcome:
         return _full(inputs, options, [f"the analysis failed: {e}"])
 
 
-def _plans(tests: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    plans = filters.filter_plans(tests, options.dialect, options.coverage, options.length_limit)
-    waves = filters.wave_plans(tests, options.dialect, options.length_limit)
-    return plans, waves, report.project_totals(tests, plans)
+def _named_tests(inputs: Inputs, options: Options) -> tuple[DataFrame, object]:
+    """Tests with their names, and the dialect of their filters."""
+    named = selection.named_tests(inputs.tests)
+    if options.dialect is not None:
+        return named, options.dialect
+    if not {"framework", "runner"} <= set(inputs.projects.columns):
+        return named, filters.VsTest()
+    chosen = inputs.projects.select(F.col("name").alias("project"), filters.dialect_name(F.col("framework"), F.col("runner")).alias("dialect"))
+    return named.join(chosen, "project", "left"), filters.ByProject()
+
+
+def _plans(tests: DataFrame, dialect: object, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    extras = written(dialect.extra(tests), "extras")
+    plans = written(filters.filter_plans(tests, dialect, options.coverage, options.length_limit, extras), "plans")
+    waves = filters.wave_plans(tests, dialect, options.length_limit)
+    run = extras.join(plans.where("filtered").select("project"), "project", "left_semi")
+    return plans, waves, report.project_totals(tests, plans), run
 
 
 def _full(inputs: Inputs, options: Options, reasons: list[str]) -> Outcome:
-    everything = selection.run_order(selection.named_tests(inputs.tests).withColumn("hops", F.lit(1)))
-    tests = selection.first_wave(everything).withColumn("selected", F.lit(True))
-    return Outcome(reasons, None, None, tests, *_plans(tests, options), None, 0)
+    named, dialect = _named_tests(inputs, options)
+    everything = selection.run_order(named.withColumn("hops", F.lit(1)))
+    tests = written(selection.first_wave(everything).withColumn("selected", F.lit(True)), "tests")
+    return Outcome(reasons, None, None, tests, *_plans(tests, dialect, options), None, 0)
 
 
 def _selective(inputs: Inputs, options: Options) -> Outcome:
-    found = resolve_changes(inputs)
+    found, errors = resolve_changes(inputs)
+    reasons = [r["reason"] for r in errors.distinct().orderBy("reason").collect()]
+    if reasons:
+        return _full(inputs, options, reasons)
+    found = found.kept()
     changed_symbols = found.seeds.count()
-    by_route = routes.changed_templates(inputs.routes, inputs.hunks.withColumn("path", F.col("file")).withColumn("side", F.lit("new")))
+    by_route = routes.changed_templates(inputs.routes, _ranges(inputs.diff, "new").withColumn("side", F.lit("new")))
     found.widenings = found.widenings.unionByName(
         by_route.select("project", F.lit("Route").alias("cause"), F.col("template").alias("detail"), F.lit(True).alias("widens"))
     )
@@ -129,22 +263,26 @@ def _selective(inputs: Inputs, options: Options) -> Outcome:
     prepared = graph.Graph(inputs.nodes, edges)
     narrow = None
     if inputs.type_facts is not None:
-        known, unknown = typeflow.obtainable(inputs.nodes, edges, inputs.type_facts)
+        reflecting = inputs.reflections.where("owner IS NOT NULL").select(
+            F.col("owner").alias("member"), F.array().cast("array<string>").alias("obtained"), F.lit(True).alias("is_unknown")
+        )
+        facts = inputs.type_facts.unionByName(reflecting)
+        known, unknown = typeflow.obtainable(inputs.nodes, edges, facts)
         bounded = typeflow.bounded_types(inputs.nodes, edges)
-        narrow = lambda pairs: typeflow.narrow(pairs, bounded, inputs.type_facts, known, unknown)
-    impacted = written(graph.traverse(prepared, found.seeds, narrow), "impacted")
+        narrow = lambda pairs: typeflow.narrow(pairs, bounded, facts, known, unknown)
+    walked = written(graph.traverse(prepared, found.seeds, narrow, predecessors=True), "impacted")
     wide = found.widenings.where("widens").select("project").distinct()
     closed = written(graph.project_closure(inputs.project_refs, wide), "widened")
-    named = selection.named_tests(inputs.tests)
-    chosen = selection.first_wave(selection.run_order(selection.select_tests(named, impacted, closed)))
+    named, dialect = _named_tests(inputs, options)
+    chosen = selection.first_wave(selection.run_order(selection.select_tests(named, walked, closed)))
     marks = chosen.select("project", "symbol_key", "hops", "rank", "in_wave", F.lit(True).alias("chosen"))
     tests = written(
         named.join(marks, ["project", "symbol_key"], "left").withColumn("selected", F.coalesce("chosen", F.lit(False))).drop("chosen"),
         "tests",
     )
-    plans, waves, totals = _plans(tests, options)
+    plans, waves, totals, extras = _plans(tests, dialect, options)
     told = report.all_widenings(found.widenings, closed, found.unmapped, plans)
-    return Outcome([], found, impacted, tests, plans, waves, totals, told, changed_symbols)
+    return Outcome([], found, walked, tests, plans, waves, totals, extras, told, changed_symbols)
 
 
 def merge_fragments(reused: list[DataFrame], rebuilt: list[DataFrame]) -> DataFrame:

@@ -27,6 +27,8 @@ def fixpoint(start: DataFrame, step: Step, keys: list[str], most_rounds: int | N
     n = 0
     while (most_rounds is None or n < most_rounds) and not frontier.isEmpty():
         n += 1
+        if len(rounds) > 8:
+            rounds = [written(union_all(rounds), "rounds")]
         found = step(frontier, n).dropDuplicates(keys)
         frontier = written(found.join(union_all(rounds).select(*keys), keys, "left_anti").select(*start.columns), "round")
         rounds.append(frontier)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: A range over more cells than this isn't dealt by cells.
+_MOST_CELLS = 16
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -18,24 +22,49 @@ def interval_join(
 ) -> DataFrame:
     """Pairs with equal `on` columns whose closed integer ranges overlap.
 
-    With `bucket`, both sides are also dealt by cells of that width, so that one hot `on` value spreads; a pair is reported
-    only from the cell where its overlap begins, hence once. Ranges of the whole line (up to 2**31 - 1) should not be
-    bucketed. `how` is inner or left; left needs no bucket.
+    With `bucket`, ranges are also dealt by cells of that width, so that one hot `on` value spreads; a pair is reported
+    only from the cell where its overlap begins, hence once. A range over more than a few cells, such as a whole file's,
+    meets the other side by the `on` columns alone: it overlaps most of what it meets. `how` is inner or left; left
+    takes no bucket.
     """
+    if not bucket:
+        return _joined(left, right, on, left_range, right_range, how)
+    if how != "inner":
+        raise ValueError("a bucketed interval join is an inner join")
+
+    def cells(df: DataFrame, ends: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+        a, b = (F.call_function("div", F.col(c), F.lit(bucket)) for c in ends)
+        wide = b - a >= _MOST_CELLS
+        return df.where(~wide).withColumn("_cell", F.explode(F.sequence(a, b))), df.where(wide)
+
+    (near, wide), (near_right, wide_right) = cells(left, left_range), cells(right, right_range)
+    return (
+        _joined(near, near_right, on, left_range, right_range, how, bucket)
+        .unionByName(_joined(near.where(_first_cell(left_range[0], bucket)).drop("_cell"), wide_right, on, left_range, right_range, how))
+        .unionByName(_joined(wide, right, on, left_range, right_range, how))
+    )
+
+
+def _first_cell(start: str, bucket: int) -> Column:
+    return F.col("_cell") == F.call_function("div", F.col(start), F.lit(bucket))
+
+
+def _joined(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    left_range: tuple[str, str],
+    right_range: tuple[str, str],
+    how: str,
+    bucket: int | None = None,
+) -> DataFrame:
     (a, b), (c, d) = left_range, right_range
-    overlap = (F.col(f"l.{a}") <= F.col(f"r.{d}")) & (F.col(f"r.{c}") <= F.col(f"l.{b}"))
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]
+    condition = (F.col(f"l.{a}") <= F.col(f"r.{d}")) & (F.col(f"r.{c}") <= F.col(f"l.{b}"))
+    for k in on:
+        condition = condition & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     if bucket:
-        if how != "inner":
-            raise ValueError("a bucketed interval join is an inner join")
-        left = left.withColumn("_cell", F.explode(F.expr(f"sequence({a} div {bucket}, {b} div {bucket})")))
-        right = right.withColumn("_cell", F.explode(F.expr(f"sequence({c} div {bucket}, {d} div {bucket})")))
         begin = F.greatest(F.col(f"l.{a}"), F.col(f"r.{c}"))
-        same.append(F.col("l._cell") == F.col("r._cell"))
-        overlap = overlap & (F.call_function("div", begin, F.lit(bucket)) == F.col("l._cell"))
-    condition = overlap
-    for s in same:
-        condition = condition & s
+        condition = condition & (F.col("l._cell") == F.col("r._cell")) & (F.call_function("div", begin, F.lit(bucket)) == F.col("l._cell"))
     joined = left.alias("l").join(right.alias("r"), condition, how)
     keep = [F.col(f"l.{x}") for x in left.columns if x != "_cell"]
     keep += [F.col(f"r.{x}") for x in right.columns if x not in (*on, "_cell")]

@@ -30,22 +30,34 @@ def discard(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def is_one_machine(spark: SparkSession) -> bool:
+    """A local master; executors of `local-cluster` are processes of their own and may see other folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; on a local master without one, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_one_machine(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     at = os.path.join(tempfile.gettempdir(), "tidemark-shared")
     os.makedirs(at, exist_ok=True)
     return "file://" + at
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A place of ours in the shared folder."""
+    at = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    _made.append(at)
+    return at
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written once and read again: later plans start here, and a lost executor costs no recomputation."""
-    at = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
-    _made.append(at)
+    at = new_path(df.sparkSession, what)
     schema = df.schema
     df.write.parquet(at)
     return df.sparkSession.read.schema(schema).parquet(at)

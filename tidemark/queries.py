@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import filters as fx
 from .functions import names
-from .functions.routes import normalise_route
+from .functions.routes import attribute_name, normalise_route
 from .operators import changes, discovery, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
+from .plans import analyze as analysis
 from .plans.intervals import longest_prefix
-from .plans.workdir import written
+from .plans.workdir import new_path, written
 from .sources import gitdiff, results
 from .streaming import watch
-from .testbed import EDGES, NODES, ROUTES, SITES, STEPS, TESTS, Bed, keyed
+from .testbed import EDGES, NODES, ROUTES, SITES, SOLUTION, STEPS, TESTS, Bed, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,7 +186,32 @@ def dependency_closure(bed: Bed) -> DataFrame:
     return graph.dependency_closure(_refs(bed)).select("project", F.array_join("closure", ",").alias("closure"))
 
 
-@query()
+_INTERFACES = """own AS (SELECT c_custkey AS c, c_nationkey AS n, n_regionkey AS r, 'M' || n_regionkey || '|' || c_mktsegment AS m
+    FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  nodes AS (SELECT DISTINCT 'R' || n_regionkey AS key, 'Type' AS kind, NULL::VARCHAR AS containing_type FROM nation
+    UNION SELECT 'N' || n_nationkey, 'Type', NULL FROM nation UNION SELECT m, 'Method', 'R' || r FROM own
+    UNION SELECT 'C' || c, 'Method', 'N' || n FROM own UNION SELECT 'O' || o_orderkey, 'Method', NULL FROM orders JOIN own ON o_custkey = c),
+  raw AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst, 8 AS kind FROM nation
+    UNION ALL SELECT 'C' || c, m, 256 FROM own UNION ALL SELECT m, 'C' || c, 2 FROM own
+    UNION ALL SELECT CASE WHEN c % 2 = 1 THEN 'C' || c ELSE m END, 'O' || o_orderkey, 1 FROM orders JOIN own ON o_custkey = c
+    UNION ALL SELECT 'N' || n, 'O' || o_orderkey, 1 FROM orders JOIN own ON o_custkey = c WHERE o_orderkey % 3 = 0),
+  edges AS (SELECT src, dst, bit_or(kind) AS kind FROM raw GROUP BY src, dst)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_INTERFACES}, {STEPS},
+    w(key, hops) AS (SELECT unnest(['C1', 'C4', 'N2']), 1 UNION SELECT s.dst, w.hops + 1 FROM w JOIN steps s ON w.key = s.src WHERE NOT s.up AND hops < 9),
+    impacted AS (SELECT key, min(hops) AS hops FROM w GROUP BY key),
+    pairs AS (SELECT e.src AS impl, e.dst AS decl, i.hops, n.containing_type AS type FROM edges e JOIN impacted i ON e.src = i.key JOIN nodes n ON n.key = e.src
+      WHERE e.kind = 256),
+    d(origin, key, free, hops) AS (SELECT DISTINCT decl, decl, FALSE, 1 FROM pairs UNION
+      SELECT origin, s.dst, NOT s.up, d.hops + 1 FROM d JOIN steps s ON d.key = s.src WHERE (free OR NOT s.down) AND d.hops < 9),
+    t(origin, key) AS (SELECT DISTINCT type, type FROM pairs UNION SELECT origin, s.dst FROM t JOIN steps s ON t.key = s.src WHERE NOT s.up),
+    bounded AS (SELECT DISTINCT origin FROM t JOIN nodes n ON t.key = n.key WHERE t.key <> origin AND n.containing_type IS DISTINCT FROM origin),
+    added AS (SELECT d.key, p.hops + d.hops AS hops FROM pairs p JOIN d ON d.origin = p.decl
+      WHERE p.type NOT IN (SELECT origin FROM bounded) OR d.key = p.decl OR EXISTS (SELECT 1 FROM t WHERE t.origin = p.type AND t.key = d.key))
+    SELECT key, min(hops)::INT AS hops FROM (SELECT * FROM impacted UNION ALL SELECT * FROM added WHERE key NOT IN (SELECT key FROM impacted)) GROUP BY key"""
+)
 def generalise_select(bed: Bed) -> DataFrame:
     nodes, edges = bed.interface_graph()
     g = graph.Graph(written(nodes, "nodes"), written(graph.merge_edges(edges), "edges"))
@@ -220,7 +246,13 @@ def type_flow_obtainable(bed: Bed) -> DataFrame:
     return known
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_INTERFACES}, succ AS (SELECT src, dst FROM edges WHERE (kind & (~1158)) <> 0
+      UNION SELECT 'C' || c, 'N' || n FROM own UNION SELECT containing_type, key FROM nodes WHERE containing_type IS NOT NULL),
+    f(node, type) AS (SELECT 'C' || c_custkey, c_custkey FROM customer UNION SELECT s.dst, f.type FROM f JOIN succ s ON f.node = s.src),
+    u(node) AS (SELECT node FROM f GROUP BY node HAVING count(*) > 4 UNION SELECT s.dst FROM u JOIN succ s ON u.node = s.src)
+    SELECT node, count(*)::INT AS types FROM f WHERE node NOT IN (SELECT node FROM u) GROUP BY node UNION ALL SELECT node, -1 FROM u"""
+)
 def type_flow_saturated(bed: Bed) -> DataFrame:
     facts = bed.table("customer").select(
         keyed("C", "c_custkey").alias("member"), F.array(keyed("T", "c_custkey")).alias("obtained"), F.lit(False).alias("is_unknown")
@@ -268,7 +300,7 @@ def changed_decls(bed: Bed) -> DataFrame:
     f"""WITH {_DECLS}
     SELECT 'seed' AS what, key AS value FROM declared WHERE key IS NOT NULL AND NOT is_inlined
     UNION SELECT 'seed', 'T' || split_part(key, '-', 1) FROM declared WHERE is_inlined
-    UNION SELECT 'ConstantInlining', key || ' is compile-time inlined into its callers' FROM declared WHERE is_inlined
+    UNION SELECT 'ConstantInlining', key || ': its value is copied to where it is used' FROM declared WHERE is_inlined
     UNION SELECT 'unmapped', file || ':' || start_line || '-' || end_line FROM declared WHERE key IS NULL"""
 )
 def change_seeds(bed: Bed) -> DataFrame:
@@ -292,11 +324,11 @@ def change_seeds(bed: Bed) -> DataFrame:
     """WITH old AS (
       SELECT p_brand AS file, p_partkey % 90 + 1 AS s, p_partkey % 90 + 4 AS e, p_partkey % 5 = 0 AS is_type,
              p_brand || '.' || split_part(p_name, ' ', 1) AS path, split_part(p_name, ' ', 2) AS member FROM part),
-    hunks AS (SELECT DISTINCT p_brand AS file, p_size AS start_line, p_size + 1 AS end_line FROM part WHERE p_partkey % 3 = 0),
+    hunks AS (SELECT DISTINCT p_brand AS file, p_size AS start_line, p_size + 1 AS end_line FROM part),
     types AS (SELECT DISTINCT p_brand || '.' || split_part(p_name, ' ', 1) AS path,
-                p_type || '|' || p_brand || '.' || split_part(p_name, ' ', 1) AS type FROM part WHERE p_partkey % 2 = 0),
+                p_type || '|' || p_brand || '.' || split_part(p_name, ' ', 1) AS type FROM part WHERE p_size <= 25),
     members AS (SELECT DISTINCT p_type || '|' || p_brand || '.' || split_part(p_name, ' ', 1) AS type,
-                split_part(p_name, ' ', 2) AS member, 'm' || p_partkey AS key FROM part WHERE p_partkey % 4 = 0),
+                split_part(p_name, ' ', 2) AS member, 'm' || p_partkey AS key FROM part WHERE p_size <= 12),
     touched AS (SELECT h.*, o.is_type, o.path, o.member FROM hunks h JOIN old o
                 ON h.file = o.file AND o.s <= h.end_line AND h.start_line <= o.e),
     best AS (SELECT file, start_line, bool_and(is_type) AS only_types FROM touched GROUP BY ALL),
@@ -321,12 +353,11 @@ def old_side_match(bed: Bed) -> DataFrame:
         word(2).alias("member_name"),
     )
     hunks = (
-        part.where("p_partkey % 3 = 0")
-        .select(F.lit("p").alias("project"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
+        part.select(F.lit("p").alias("project"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
         .distinct()
     )
-    types = part.where("p_partkey % 2 = 0").select(path.alias("type_path"), key.alias("type")).distinct()
-    members = part.where("p_partkey % 4 = 0").select(
+    types = part.where("p_size <= 25").select(path.alias("type_path"), key.alias("type")).distinct()
+    members = part.where("p_size <= 12").select(
         key.alias("type"), word(2).alias("member_name"), keyed("m", "p_partkey").alias("member")
     ).distinct()
     return changes.old_side(hunks, decls, types, members).select("file", "type_path", "key")
@@ -417,12 +448,12 @@ def reflection_files(bed: Bed) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT 'src/' || p_name || '.cs' AS path, p_partkey FROM part WHERE p_partkey % 2 = 0),
-    u AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'src/bin/' ELSE 'src/' END || p_name || CASE WHEN p_partkey % 3 = 0
+    """WITH c AS (SELECT 'src/' || p_name || '-' || p_partkey || '.cs' AS path, p_partkey, p_size FROM part WHERE p_type IN ('SMALL', 'PROMO', 'ECONOMY')),
+    u AS (SELECT CASE WHEN p_size % 10 = 0 THEN 'src/bin/' ELSE 'src/' END || p_name || '-' || p_partkey || CASE WHEN p_size % 3 = 0
             THEN '.json' ELSE '.cs' END AS path FROM part),
     files AS (SELECT DISTINCT path, 'Modified' AS kind FROM c
               UNION SELECT DISTINCT path, 'Added' FROM u WHERE path NOT IN (SELECT path FROM c)),
-    h AS (SELECT DISTINCT path, 'new' AS side, p_partkey % 100 + 1 AS s, p_partkey % 100 + 3 AS e FROM c WHERE p_partkey % 8 = 0),
+    h AS (SELECT DISTINCT path, 'new' AS side, p_partkey % 100 + 1 AS s, p_partkey % 100 + 3 AS e FROM c WHERE p_size <= 20),
     sides AS (SELECT f.*, side FROM files f, (VALUES ('old'), ('new')) v(side) WHERE NOT regexp_matches(path, '(^|/)(bin|obj|\\.tia)/')),
     r AS (SELECT path, side, string_agg(s || '-' || e, ',' ORDER BY s, e) AS ranges FROM h GROUP BY path, side)
     SELECT s.path, s.kind, s.side, CASE WHEN NOT ends_with(lower(s.path), '.cs') THEN ''
@@ -432,15 +463,15 @@ def reflection_files(bed: Bed) -> DataFrame:
 )
 def diff_resolution(bed: Bed) -> DataFrame:
     part = bed.table("part")
-    name = F.col("p_name")
-    tracked = part.where("p_partkey % 2 = 0").withColumn("path", F.concat(F.lit("src/"), name, F.lit(".cs")))
+    name = F.concat_ws("-", "p_name", "p_partkey")
+    tracked = part.where(F.col("p_type").isin("SMALL", "PROMO", "ECONOMY")).withColumn("path", F.concat(F.lit("src/"), name, F.lit(".cs")))
     changed = tracked.select("path", F.lit(None).cast("string").alias("old_path"), F.lit("Modified").alias("kind")).distinct()
     line = (F.col("p_partkey") % 100).cast("int")
-    hunks = tracked.where("p_partkey % 8 = 0").select(
+    hunks = tracked.where("p_size <= 20").select(
         "path", F.lit("new").alias("side"), (line + 1).alias("start_line"), (line + 3).alias("end_line")
     )
-    folder = F.when(F.col("p_partkey") % 10 == 0, "src/bin/").otherwise("src/")
-    ending = F.when(F.col("p_partkey") % 3 == 0, ".json").otherwise(".cs")
+    folder = F.when(F.col("p_size") % 10 == 0, "src/bin/").otherwise("src/")
+    ending = F.when(F.col("p_size") % 3 == 0, ".json").otherwise(".cs")
     untracked = part.select(F.concat(folder, name, ending).alias("path"))
     ranges = F.transform("ranges", lambda r: F.concat_ws("-", r["start_line"], r["end_line"]))
     return changes.resolve_diff(changed, hunks, untracked).select("path", "kind", "side", F.array_join(ranges, ",").alias("ranges"))
@@ -463,7 +494,8 @@ def hunk_scan(bed: Bed) -> DataFrame:
     old = F.when(F.col("id") % 2 == 0, F.format_string("g%d.cs", "id")).otherwise(new)
     text = F.concat(
         F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n", old, new, old, new),
-        F.format_string("@@ -%d +%d,%d @@ x\n-old\n", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber") - 1),
+        # Removed and added lines that look like names.
+        F.format_string("@@ -%d +%d,%d @@ x\n-old\n--- a/drop note\n+++ b/add note\n", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber") - 1),
         F.format_string("@@ -%d,%d +%d,0 @@\n", "l_suppkey", "l_linenumber", "l_suppkey"),
     )
     # A text for each thousand files or so.
@@ -514,7 +546,7 @@ def route_match(bed: Bed) -> DataFrame:
 @query(
     f"""WITH {ROUTES}, h AS (
       SELECT CASE WHEN page_id % 2 = 0 THEN 'WEB' || (page_id % 7) || '/Routes' || (page_id % 13) || '.cs'
-             ELSE 's' || (page_id % 13) || '.CS' END AS path, page_id % 50 AS a, page_id % 50 + 5 AS b FROM pages WHERE page_id % 4 < 2),
+             ELSE 's' || (page_id % 13) || '.CS' END AS path, page_id % 50 AS a, page_id % 50 + 5 AS b FROM pages),
     hit AS (SELECT r.* FROM routes r JOIN h ON r.is_endpoint AND ends_with(lower(r.file), lower(h.path)) AND r.line BETWEEN h.a AND h.b),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file, line, template) AS n FROM hit)
     SELECT project, template FROM ranked WHERE n = 1"""
@@ -525,7 +557,7 @@ def route_widen(bed: Bed) -> DataFrame:
     path = F.when(page % 2 == 0, F.concat(F.lit("WEB"), s(page % 7), F.lit("/Routes"), s(page % 13), F.lit(".cs"))).otherwise(
         F.concat(F.lit("s"), s(page % 13), F.lit(".CS"))
     )
-    hunks = bed.table("pages").where("page_id % 4 < 2").select(
+    hunks = bed.table("pages").select(
         path.alias("path"), F.lit("new").alias("side"), (page % 50).cast("int").alias("start_line"), (page % 50 + 5).cast("int").alias("end_line")
     )
     return routes.changed_templates(bed.routes(), hunks).select("project", "template")
@@ -543,10 +575,10 @@ _TRIGGER_PATH = """CASE p_partkey % 8 WHEN 0 THEN 'Src/' || p_brand || '/' || p_
     n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM p)
     SELECT p_partkey, path, CASE
       WHEN name IN ('global.json', 'nuget.config', 'packages.lock.json', '.editorconfig', 'dotnet-tools.json')
-        THEN path || ' changed - it can alter how every project builds'
-      WHEN regexp_matches(name, '^directory\\.(build|packages|solution)\\.') THEN path || ' changed - it applies to every project beneath it'
+        THEN path || ': every build reads it'
+      WHEN regexp_matches(name, '^directory\\.(build|packages|solution)\\.') THEN path || ': projects below it are built by it'
       WHEN regexp_matches(name, '\\.(csproj|vbproj|fsproj|sln|slnx|slnf|props|targets)$')
-        THEN path || ' changed - build inputs are outside the symbol graph' END AS reason,
+        THEN path || ': it steers the build, which no symbol stands for' END AS reason,
       path <> '' AND NOT ends_with(lower(path), '.cs') AS is_content FROM n"""
 )
 def full_run_triggers(bed: Bed) -> DataFrame:
@@ -669,13 +701,13 @@ _ORDERED = f"""{NODES}, {EDGES}, {STEPS}, {TESTS}, w(key, hops) AS (
 reached AS (SELECT key, min(hops) AS hops FROM w GROUP BY key),
 chosen AS (SELECT t.*, least(coalesce(m.hops, 2147483647), coalesce(c.hops, 2147483647))::INT AS hops
   FROM tests t LEFT JOIN reached m ON t.symbol_key = m.key LEFT JOIN reached c ON t.class_key = c.key
-  WHERE t.priority = '1-URGENT' AND (m.key IS NOT NULL OR c.key IS NOT NULL OR t.project = 'NATION_5')),
+  WHERE m.key IS NOT NULL OR c.key IS NOT NULL OR t.project = 'NATION_5'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY hops, fqn, symbol_key)::INT AS rank FROM chosen)"""
 
 
 def _ranked(bed: Bed) -> DataFrame:
     reached = graph.reach(_graph(bed), _keys(bed, "S1", "N3"), False)
-    tests = selection.named_tests(bed.tests().where("priority = '1-URGENT'").drop("selected"))
+    tests = selection.named_tests(bed.tests().drop("selected"))
     widened = bed.spark.createDataFrame([("NATION_5",)], "project string")
     return selection.run_order(selection.select_tests(tests, reached, widened))
 
@@ -741,7 +773,7 @@ def filter_terms(bed: Bed) -> DataFrame:
 
 
 _PREFIXED = """pre AS (
-  SELECT r_name AS project, 'T' || o_orderkey % 1000 AS fqn, o_orderkey % 7 = 0 AS selected, 'K' || o_orderkey % 1000 AS full_class
+  SELECT r_name AS project, 'T' || o_orderkey AS fqn, o_orderpriority = '1-URGENT' AS selected, 'K' || o_orderkey AS full_class
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 names AS (SELECT project, fqn, bool_or(selected) AS selected FROM pre GROUP BY ALL)"""
 
@@ -759,8 +791,8 @@ def extra_matches(bed: Bed) -> DataFrame:
     names_of = (
         orders.select(
             F.col("r_name").alias("project"),
-            F.concat(F.lit("T"), (F.col("o_orderkey") % 1000).cast("string")).alias("fqn"),
-            (F.col("o_orderkey") % 7 == 0).alias("selected"),
+            keyed("T", "o_orderkey").alias("fqn"),
+            (F.col("o_orderpriority") == "1-URGENT").alias("selected"),
         )
         .groupBy("project", "fqn")
         .agg(F.bool_or("selected").alias("selected"))
@@ -779,10 +811,34 @@ def extra_matches(bed: Bed) -> DataFrame:
     SELECT project, selected, total, reason IS NULL AS filtered, reason FROM reasoned"""
 )
 def filter_plan(bed: Bed) -> DataFrame:
-    return filters.filter_plans(_named(bed), filters.VsTest(), coverage=0.45, length_limit=12_000).drop("arguments")
+    return filters.filter_plans(_named(bed), filters.VsTest(), coverage=0.45, length_limit=12_000).drop("arguments", "extra_matches")
 
 
-@query()
+def _wave_terms(name: str, chosen: str) -> str:
+    """Terms and extra matches of the marked tests for which `chosen` holds."""
+    return f"""{name}_classes AS (SELECT project, full_class, count(*) FILTER ({chosen}) > 1 AND count(*) = count(*) FILTER ({chosen}) AS whole FROM marked GROUP BY ALL),
+    {name}_terms AS (SELECT DISTINCT m.project, CASE WHEN c.whole THEN full_class || '.' ELSE fqn END AS term
+      FROM marked m JOIN {name}_classes c USING (project, full_class) WHERE {chosen}),
+    {name}_extra AS (SELECT DISTINCT m.project, m.fqn FROM marked m JOIN {name}_terms t ON m.project = t.project AND contains(m.fqn, t.term)
+      WHERE NOT coalesce({chosen}, FALSE) AND (m.project, m.fqn) NOT IN (SELECT (project, fqn) FROM marked WHERE {chosen}))"""
+
+
+@query(
+    f"""WITH {_COLLAPSE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY length(priority), fqn, symbol_key) AS rank FROM tests WHERE selected),
+    firsts AS (SELECT project, full_class, min(rank) AS first, count(*) AS size FROM ranked GROUP BY ALL),
+    sums AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY project ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+      sum(size) OVER (PARTITION BY project) AS n FROM firsts),
+    marked AS (SELECT t.*, coalesce(t.selected AND s.taken < greatest(1, ceil(s.n * 0.25)), FALSE) AS in_wave FROM tests t LEFT JOIN sums s USING (project, full_class)),
+    {_wave_terms("wave", "selected AND in_wave")}, {_wave_terms("rest", "selected AND NOT in_wave")}, {_wave_terms("single", "selected")},
+    overlap AS (SELECT project FROM wave_extra e WHERE (project, fqn) IN (SELECT (project, fqn) FROM marked WHERE selected AND NOT in_wave)
+      UNION SELECT project FROM rest_extra WHERE (project, fqn) IN (SELECT (project, fqn) FROM marked WHERE selected AND in_wave)),
+    beyond AS (SELECT project FROM (SELECT * FROM wave_extra UNION SELECT * FROM rest_extra) WHERE (project, fqn) NOT IN (
+      SELECT (project, fqn) FROM marked WHERE selected UNION SELECT (project, fqn) FROM single_extra)),
+    c AS (SELECT project, count(*) FILTER (selected) AS selected, count(*) FILTER (in_wave) AS wave FROM marked GROUP BY project),
+    reasoned AS (SELECT *, CASE WHEN selected < 8 THEN 'few' WHEN wave = selected THEN 'one_class' WHEN wave * 2 > selected THEN 'most'
+      WHEN project IN (SELECT * FROM overlap) THEN 'overlap' WHEN project IN (SELECT * FROM beyond) THEN 'beyond' END AS reason FROM c)
+    SELECT project, selected, wave, reason, reason IS NULL AS split FROM reasoned"""
+)
 def wave_plan(bed: Bed) -> DataFrame:
     tests = _named(bed)
     ranked = selection.run_order(tests.where("selected").withColumn("hops", F.length("priority")))
@@ -1151,8 +1207,8 @@ def closed_facts(bed: Bed) -> DataFrame:
 
 
 @query(
-    """WITH loaded AS (SELECT DISTINCT lower(p_brand || '/' || p_name) AS p, p_type AS fw FROM part WHERE p_partkey % 2 = 0),
-    d AS (SELECT CASE WHEN p_partkey % 5 > 0 THEN upper(p_brand || '/' || p_name) END AS path, 'm' || p_partkey AS reason FROM part WHERE p_partkey % 7 = 0),
+    """WITH loaded AS (SELECT DISTINCT lower(p_brand || '/' || p_name) AS p, p_type AS fw FROM part WHERE p_size <= 25),
+    d AS (SELECT CASE WHEN p_partkey % 5 > 0 THEN upper(p_brand || '/' || p_name) END AS path, 'm' || p_partkey AS reason FROM part),
     declared AS (SELECT DISTINCT p_brand || '/' || p_name AS file, length(p_name) % 4 AS n FROM part),
     counts AS (SELECT p, count(DISTINCT fw) AS c FROM loaded GROUP BY p)
     SELECT coalesce(path, '') AS file, reason FROM d WHERE path IS NULL OR lower(path) NOT IN (SELECT p FROM loaded)
@@ -1162,10 +1218,10 @@ def closed_facts(bed: Bed) -> DataFrame:
 def load_failures(bed: Bed) -> DataFrame:
     part = bed.table("part")
     file = F.concat_ws("/", "p_brand", "p_name")
-    diagnostics = part.where("p_partkey % 7 = 0").select(
+    diagnostics = part.select(
         keyed("m", "p_partkey").alias("message"), F.when(F.col("p_partkey") % 5 > 0, F.upper(file)).alias("path")
     )
-    loaded = part.where("p_partkey % 2 = 0").select(file.alias("file"), F.col("p_type").alias("framework")).distinct()
+    loaded = part.where("p_size <= 25").select(file.alias("file"), F.col("p_type").alias("framework")).distinct()
     declared = part.select(file.alias("file"), (F.length("p_name") % 4).alias("n")).distinct()
     return safety.load_failures(diagnostics, loaded, declared)
 
@@ -1248,13 +1304,21 @@ def test_commands(bed: Bed) -> DataFrame:
       CASE WHEN length(p_name || p_name || p_name || p_name || p_name || p_name) > 48
         THEN left(p_name || p_name || p_name || p_name || p_name || p_name, 45) || '...' ELSE p_name || p_name || p_name || p_name || p_name || p_name END AS short,
       left(sha256(p_name || '|' || p_brand), 16) AS hash, least(greatest(4.0 * p_size, 120.0), 1800.0)::DOUBLE AS budget,
-      CASE WHEN p_size & 16 <> 0 THEN 'fixture -> test' WHEN p_size & 8 <> 0 THEN 'base type -> derived type' WHEN p_size & 32 <> 0 THEN 'type -> declared member'
-        ELSE 'referenced by' END AS edge
-    FROM (SELECT * REPLACE (p_size & 57 AS p_size) FROM part)"""
+      CASE WHEN k & 256 <> 0 THEN 'implementation -> interface member' WHEN k & 2 <> 0 THEN 'interface member -> implementation'
+        WHEN k & 512 <> 0 THEN 'override -> virtual member' WHEN k & 4 <> 0 THEN 'virtual member -> override'
+        WHEN k & 16 <> 0 THEN 'fixture -> test' WHEN k & 8 <> 0 THEN 'base type -> derived type' WHEN k & 32 <> 0 THEN 'type -> declared member'
+        WHEN k & 64 <> 0 THEN 'attribute -> annotated symbol' WHEN k & 1024 <> 0 THEN 'endpoint -> a member naming its route'
+        WHEN k & 128 <> 0 THEN 'handler -> the request type that selects it' ELSE 'referenced by' END AS edge,
+      left(sha256(p_name), 9) AS short_commit, CASE WHEN p_size % 3 = 1 THEN 'T:' || p_type END AS documentation_id,
+      CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_type || 'Fact' END AS attribute, 'src/' || p_name || '/a.cs' AS path
+    FROM (SELECT *, (p_partkey * 37 % 2048)::INT AS k FROM part)"""
 )
 def scalar_texts(bed: Bed) -> DataFrame:
-    rows = bed.table("part").withColumn("p_size", F.col("p_size").bitwiseAND(F.lit(57)))
+    # Numbers of 11 bits: every kind of edge, alone and with others.
+    rows = bed.table("part").withColumn("kind", (F.col("p_partkey") * 37 % 2048).cast("int"))
     size = F.col("p_size")
+    id_of = F.when(size % 3 == 1, F.concat(F.lit("a|T:"), "p_type")).when(size % 3 == 0, F.concat(F.lit("a|t:"), "p_type")).otherwise(F.col("p_type"))
+    attribute = F.when(size % 2 == 0, F.concat(F.lit("N.M."), "p_type", F.lit("Attribute"))).otherwise(F.concat("p_type", F.lit("Fact")))
     return rows.select(
         "p_partkey",
         names.symbol_key(
@@ -1268,7 +1332,11 @@ def scalar_texts(bed: Bed) -> DataFrame:
         names.truncate(F.repeat("p_name", F.lit(6))).alias("short"),
         names.short_hash(F.col("p_name"), F.col("p_brand")).alias("hash"),
         names.suite_budget(size.cast("double")).alias("budget"),
-        fx.edge_text(size).alias("edge"),
+        fx.edge_text(F.col("kind")).alias("edge"),
+        names.short_commit(F.sha2("p_name", 256)).alias("short_commit"),
+        names.documentation_id(id_of).alias("documentation_id"),
+        attribute_name(attribute).alias("attribute"),
+        names.normalize_path(F.concat(F.lit(" src\\"), "p_name", F.lit("\\a.cs "))).alias("path"),
     )
 
 
@@ -1313,3 +1381,223 @@ def change_union(bed: Bed) -> DataFrame:
         .unionByName(both.seeds.select(F.lit("seed").alias("what"), none, F.col("key").alias("detail")))
         .unionByName(both.unmapped.select(F.lit("unmapped").alias("what"), none, "detail"))
     )
+
+
+# The whole analysis, and what stands beside it ------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SOLUTION} SELECT project, symbol_key, hops, row_number() OVER (PARTITION BY project ORDER BY hops, fqn, symbol_key)::INT AS rank FROM chosen"""
+)
+def analyze_selection(bed: Bed) -> DataFrame:
+    out = analysis.analyze(bed.solution(), analysis.Options(fallback=False))
+    return out.tests.where("selected").select("project", "symbol_key", "hops", "rank")
+
+
+@query(
+    f"""WITH {SOLUTION} SELECT 'seed' AS what, NULL AS project, key AS detail FROM seeds
+    UNION ALL SELECT 'DeletedType', project, project || '.Gone' || c || ' was declared in src/' || project || '/C' || c || '.cs and is gone'
+      FROM own WHERE segment = 'BUILDING' AND region = 4
+    UNION ALL SELECT 'ContentFile', 'NATION_1', 'src/NATION_1/data.json isn''t source and may be read at run time' FROM region WHERE r_name = 'AMERICA'
+    UNION ALL SELECT 'ForeignLanguage', 'FS', 'fs/lib.fs is F#, of which no symbol is known' FROM region WHERE r_name = 'ASIA'
+    UNION ALL SELECT 'note', NULL, 'src/' || project || '/C' || c || '.cs: only comments or formatting' FROM own WHERE segment = 'FURNITURE'"""
+)
+def analyze_changes(bed: Bed) -> DataFrame:
+    found, _ = analysis.resolve_changes(bed.solution())
+    none = F.lit(None).cast("string").alias("project")
+    return (
+        found.seeds.select(F.lit("seed").alias("what"), none, F.col("key").alias("detail"))
+        .unionByName(found.widenings.select(F.col("cause").alias("what"), "project", "detail"))
+        .unionByName(found.notes.select(F.lit("note").alias("what"), none, "detail"))
+    )
+
+
+@query(
+    """WITH files AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_name || CASE WHEN p_size <= 10 THEN '.cs' ELSE '.txt' END AS path FROM part),
+    listing AS (SELECT DISTINCT p_brand AS dir, p_brand || '/A.fsproj' AS file FROM part WHERE p_retailprice < 950
+      UNION SELECT DISTINCT p_brand || '/' || p_type, p_brand || '/' || p_type || '/B.vcxproj' FROM part WHERE p_size = 50)
+    SELECT path, arg_max(file, length(dir)) AS project_file FROM files JOIN listing ON starts_with(path, dir || '/')
+    WHERE NOT ends_with(path, '.cs') GROUP BY path"""
+)
+def unloaded_projects(bed: Bed) -> DataFrame:
+    part = bed.table("part")
+    ending = F.when(F.col("p_size") <= 10, ".cs").otherwise(".txt")
+    files = part.select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), "p_name", ending).alias("path")).distinct()
+    listing = part.where("p_retailprice < 950").select(F.concat("p_brand", F.lit("/A.fsproj")).alias("path"))
+    listing = listing.unionByName(part.where("p_size = 50").select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/B.vcxproj")).alias("path")))
+    # Files of other kinds are no project files.
+    listing = listing.distinct().unionByName(part.select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/notes.md")).alias("path")).distinct())
+    return changes.nearest_project_file(files, listing)
+
+
+@query(
+    """WITH r AS (SELECT source AS project, 'src/' || lang || '.cs' AS file, 'Load' || doc_id AS description,
+        CASE WHEN n_chars > 300 THEN 'D' || doc_id END AS owner, doc_id AS ord FROM documents),
+    g AS (SELECT project, file, arg_min(description, ord) AS first, count(*) - 1 AS more FROM r GROUP BY ALL)
+    SELECT 'seed' AS what, '' AS project, owner AS detail FROM r WHERE owner IS NOT NULL
+    UNION ALL SELECT 'told', project, regexp_extract(file, '([^/]*)$', 1) || ' uses ' || first || CASE WHEN more > 0 THEN ' and ' || more || ' more' ELSE '' END
+      || '; such members count as changed every time' FROM g
+    UNION ALL SELECT 'widens', project, regexp_extract(file, '([^/]*)$', 1) || ' uses ' || description || ', but in no member' FROM r WHERE owner IS NULL
+    UNION ALL SELECT 'seed', '', 'X'"""
+)
+def reflection_seeds(bed: Bed) -> DataFrame:
+    rows = bed.table("documents").select(
+        F.col("source").alias("project"),
+        F.concat(F.lit("src/"), "lang", F.lit(".cs")).alias("file"),
+        keyed("Load", "doc_id").alias("description"),
+        F.when(F.col("n_chars") > 300, keyed("D", "doc_id")).alias("owner"),
+        F.col("doc_id").alias("ord"),
+    )
+    frame = bed.spark.createDataFrame
+    none = frame([], "detail string")
+    start = changes.ChangeSet(_keys(bed, "X"), frame([], "project string, cause string, detail string, widens boolean"), none, none)
+    found = changes.seed_reflections(start, rows)
+    told = found.widenings.select(F.when(F.col("widens"), "widens").otherwise("told").alias("what"), "project", "detail")
+    return told.unionByName(found.seeds.select(F.lit("seed").alias("what"), F.lit("").alias("project"), F.col("key").alias("detail")))
+
+
+@query(
+    """WITH failed AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+    s AS (SELECT source, count(*) FILTER (n_chars > 15000) AS selected, lang <> 'de' AS filtered FROM documents WHERE source <> 'src5' GROUP BY source, lang <> 'de')
+    SELECT f.source AS project FROM failed f LEFT JOIN (SELECT source, sum(selected)::BIGINT AS selected, bool_and(filtered) AS filtered FROM s GROUP BY source) s
+      ON f.source = s.source WHERE coalesce(selected, 0) = 0 AND coalesce(filtered, TRUE)"""
+)
+def silent_projects(bed: Bed) -> DataFrame:
+    docs = bed.table("documents")
+    failed = docs.join(bed.table("labels").where("toxic = 1"), "doc_id", "left_semi").select(F.col("source").alias("project"))
+    state = docs.where("source <> 'src5'").groupBy(F.col("source").alias("project")).agg(
+        F.count_if(F.col("n_chars") > 15000).alias("selected"), F.bool_and(F.col("lang") != "de").alias("filtered")
+    )
+    return harness.silent_projects(failed, state)
+
+
+@query(
+    """SELECT 'f' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'old' AS side, l_partkey + 1 AS start_line,
+      (l_partkey + l_linenumber)::INT AS end_line FROM lineitem
+    UNION ALL SELECT 'f' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'new', greatest(1, l_suppkey), greatest(1, l_suppkey + 1) FROM lineitem"""
+)
+def hunk_scan_single(bed: Bed) -> DataFrame:
+    name = F.concat_ws("-", keyed("f", "l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    text = F.format_string("--- a/x\n+++ b/x\n@@ -%d,%d +%d,0 @@ class X\n-a\n+b\n", F.col("l_partkey") + 1, F.col("l_linenumber"), F.col("l_suppkey"))
+    return gitdiff.parse_hunks(bed.table("lineitem").select(name.alias("id"), text.alias("text")), "id")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'Microsoft.Testing.Platform' ELSE 'VSTest' END AS runner,
+      CASE WHEN event_type = 'view' THEN NULL ELSE event_type = 'click' END AS platform FROM events"""
+)
+def sdk_runners(bed: Bed) -> DataFrame:
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "view", "{broken")
+        .when(kind == "click", '{"sdk": {"version": "9.0.1"}, "test": {"runner": "Microsoft.Testing.Platform"}}')
+        .otherwise('{"test": {"runner": "VSTest"}}')
+    )
+    runner = safety.sdk_runner(text)
+    return bed.table("events").select("event_id", runner.alias("runner"), safety.is_testing_platform(runner).alias("platform"))
+
+
+@query(
+    """WITH d AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'NETSDK1045' WHEN 'click' THEN 'CS0518' ELSE 'X' END AS code,
+        CASE WHEN event_type = 'view' AND value > 50 THEN 'The SDK does not support targeting .NET 10.0.' WHEN event_type = 'error'
+          THEN 'current version Does Not Support Targeting net11.0' ELSE 'failed' END AS message,
+        CASE WHEN value > 20 THEN 'net10.0' ELSE 'net8.0' END AS declared FROM events)
+    SELECT * FROM (SELECT event_id, CASE WHEN code = 'NETSDK1045' OR contains(lower(message), 'does not support targeting') THEN 'the SDK 9.0.1 is too old for ' ||
+        CASE WHEN contains(message, 'net11.0') THEN 'net11.0' WHEN contains(message, '.NET 10.0') THEN 'net10.0' ELSE 'the project''s framework' END
+      WHEN code = 'CS0518' AND declared = 'net10.0' THEN 'no reference resolved: the SDK 9.0.1 is too old for net10.0' END AS described FROM d)
+    WHERE described IS NOT NULL"""
+)
+def sdk_mismatches(bed: Bed) -> DataFrame:
+    kind, value = F.col("event_type"), F.col("value")
+    rows = bed.table("events").select(
+        "event_id",
+        F.when(kind == "view", "NETSDK1045").when(kind == "click", "CS0518").otherwise("X").alias("code"),
+        F.when((kind == "view") & (value > 50), "The SDK does not support targeting .NET 10.0.")
+        .when(kind == "error", "current version Does Not Support Targeting net11.0")
+        .otherwise("failed")
+        .alias("message"),
+        F.array(F.lit("netstandard2.0"), F.when(value > 20, "net10.0").otherwise("net8.0")).alias("declared_frameworks"),
+        F.lit("9.0.1").alias("registered"),
+    )
+    return safety.sdk_mismatch(rows).select("event_id", "described")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN 'Reached' WHEN value < 10 THEN 'Absent' WHEN event_type = 'view' THEN 'Unfiltered'
+      WHEN user_id < 50 THEN 'Widened' ELSE 'NotReached' END AS verdict FROM events"""
+)
+def explain_verdicts(bed: Bed) -> DataFrame:
+    kind = F.col("event_type")
+    verdict = report.explain_verdict(kind == "click", F.col("user_id") < 50, F.when(F.col("value") < 10, 0).otherwise(1), kind != "view")
+    return bed.table("events").select("event_id", verdict.alias("verdict"))
+
+
+@query(
+    f"""WITH {_RUNS}, n AS (SELECT user_id, CASE WHEN ok THEN t - (a + f * t) END AS net FROM told)
+    SELECT user_id, CASE WHEN net IS NULL THEN 'not enough runs' WHEN net >= 0 THEN 'selection saves time'
+      ELSE 'selection costs more than it saves' END AS advice FROM n"""
+)
+def ledger_advice(bed: Bed) -> DataFrame:
+    return ledger.verdict(bed.runs(), ["user_id"]).select("user_id", ledger.advice(F.col("net_seconds")).alias("advice"))
+
+
+@query(
+    """SELECT event_id AS ord, '| ' || left(sha256(event_id::VARCHAR), 9) || ' | a\\|' || event_type || ' | ' || event_id % 8 || '/8 | ' ||
+      CASE event_id % 8 WHEN 0 THEN '0.0' WHEN 1 THEN '12.5' WHEN 2 THEN '25.0' WHEN 3 THEN '37.5' WHEN 4 THEN '50.0' WHEN 5 THEN '62.5' WHEN 6 THEN '75.0' ELSE '87.5' END
+      || ' % | ' || CASE WHEN event_type = 'error' THEN 'full' ELSE 'selective' END || ' | ' || user_id || '.0 s |' AS line FROM events"""
+)
+def replay_lines(bed: Bed) -> DataFrame:
+    rows = bed.table("events").select(
+        F.col("event_id").alias("ord"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("commit"),
+        F.concat(F.lit("a|"), "event_type").alias("subject"),
+        (F.col("event_id") % 8).alias("selected"),
+        F.lit(8).alias("total"),
+        (F.col("event_type") == "error").alias("full_run"),
+        F.col("user_id").cast("double").alias("seconds"),
+    )
+    return harness.replay_table(rows)
+
+
+@query(
+    f"""WITH {NODES}, {EDGES}, {TESTS}, s AS (SELECT count(*) FILTER (kind = 'Type') AS types, count(*) FILTER (kind <> 'Type') AS members,
+        (SELECT count(*) FROM edges) AS edges FROM nodes)
+    SELECT 0 AS ord, '{{"types":' || types || ',"members":' || members || ',"edges":' || edges || '}}' AS json FROM s
+    UNION ALL SELECT 1, '{{"fullyQualifiedName":"' || fqn || '","projectName":"' || project || '","framework":"NUnit","isParameterized":false}}' FROM tests"""
+)
+def graph_json(bed: Bed) -> DataFrame:
+    tests = _named(bed).withColumns({"framework": F.lit("NUnit"), "is_parameterized": F.lit(False)})
+    return report.graph_json(graph.graph_summary(bed.nodes(), bed.raw_edges()), tests)
+
+
+@query("SELECT event_id AS at, value AS analysisSeconds FROM events ORDER BY event_id DESC LIMIT 100")
+def ledger_file(bed: Bed) -> DataFrame:
+    """Written as a ledger file and read back; a ledger keeps its last hundred rows."""
+    path = new_path(bed.spark, "ledger")
+    runs = bed.table("events").select(
+        F.col("event_id").alias("seq"),
+        F.col("event_id").cast("string").alias("at"),
+        F.lit("c").alias("headCommit"),
+        F.lit(False).alias("fullRun"),
+        F.col("value").alias("analysisSeconds"),
+    )
+    results.write_ledger(runs, path)
+    return results.read_ledger(bed.spark, path).select(F.col("at").cast("long").alias("at"), "analysisSeconds")
+
+
+@query(
+    f"""WITH {EDGES} SELECT src, dst, kind, CASE WHEN src[1] = 'P' THEN 'P' ELSE 'rest' END AS project FROM edges
+    WHERE src[1] <> 'S' UNION ALL SELECT src, dst, kind + 1, 'S' FROM edges WHERE src[1] = 'S'"""
+)
+def fragment_file(bed: Bed) -> DataFrame:
+    """Fragments written, one project of them rebuilt and one gone, and read back."""
+    head = F.left("src", F.lit(1))
+    edges = written(graph.merge_edges(bed.raw_edges()), "edges")
+    edges = edges.withColumn("project", F.when(head.isin("P", "S"), head).otherwise("rest"))
+    store = results.FragmentStore(bed.spark, new_path(bed.spark, "fragments"), "9.0", "a.sln")
+    gone = edges.withColumn("project", F.lit("gone"))
+    store.write({"edges": edges.unionByName(gone)}, 4, 4, 0)
+    rebuilt = edges.where("project = 'S'").withColumn("kind", F.col("kind") + 1)
+    current = bed.spark.createDataFrame([("P",), ("S",), ("rest",)], "project string")
+    store.write({"edges": rebuilt}, 1, 3, 4, current)
+    return store.read("edges", "src string, dst string, kind int, project string")

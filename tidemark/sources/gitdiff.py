@@ -76,20 +76,22 @@ def parse_hunks(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame
 def parse_hunks_by_file(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Hunks of diffs over many files: (key, path, side, start_line, end_line).
 
-    A `diff --git` line begins a file, `---` and `+++` name it; a hunk counts for both names, so a rename is found by
-    either. Names carry forward within the file only; /dev/null is no name. A window runs over one text's lines.
+    A `diff --git` line begins a file, `---` and `+++` name it until its first hunk, after which they are lines of the
+    file that were removed or added; a hunk counts for both names, so a rename is found by either. Names carry forward
+    within the file only; /dev/null is no name. A window runs over one text's lines.
     """
     lines = _lines(texts, key, text_col)
     begins = F.startswith("line", F.lit("diff --git"))
     by_text = Window.partitionBy(key).orderBy("pos")
     files = lines.withColumn("file", F.sum(begins.cast("int")).over(by_text))
+    upto = Window.partitionBy(key, "file").orderBy("pos")
+    files = files.withColumn("in_head", ~F.max(F.col("line").rlike(_HUNK)).over(upto))
 
     def name(prefix: str) -> Column:
         raw = F.regexp_extract("line", rf"^{prefix} (?:[ab]/)?(.*?)[\t\r]*$", 1)
-        is_name = F.startswith("line", F.lit(prefix.replace("\\", "") + " "))
+        is_name = F.col("in_head") & F.startswith("line", F.lit(prefix.replace("\\", "") + " "))
         return F.when(is_name & ~raw.isin("/dev/null", ""), F.translate(raw, "\\", "/"))
 
-    upto = Window.partitionBy(key, "file").orderBy("pos")
     carried = files.withColumns(
         {
             "old_name": F.last(name("---"), ignorenulls=True).over(upto),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.names import qualify_test_name, short_hash
 from ..schemas import LEDGER_ROWS, RUNS
 
-FORMAT = 8
+FORMAT = 9
+_MANIFEST = "format int, sdk string, version int"
 _TRX = (
     "TestDefinitions struct<UnitTest: array<struct<_id: string, TestMethod: struct<_className: string, _name: string>>>>, "
     "Results struct<UnitTestResult: array<struct<_testId: string, _testName: string, _outcome: string>>>"
@@ -64,35 +65,72 @@ class FragmentStore:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def valid(self) -> bool:
-        """Whether a manifest is there and fits; anything else means an empty cache."""
+    def _manifest(self):
+        """The newest manifest that fits, or None; anything else means an empty cache."""
         at = f"{self.path}/manifest"
         if not self._exists(at):
-            return False
-        row = self.spark.read.json(at).first()
-        return row is not None and row["format"] == FORMAT and row["sdk"] == self.sdk
+            return None
+        row = self.spark.read.schema(_MANIFEST).json(at).orderBy(F.col("version").desc()).first()
+        return row if row is not None and row["format"] == FORMAT and row["sdk"] == self.sdk else None
+
+    def valid(self) -> bool:
+        return self._manifest() is not None
+
+    def _table(self, version: int, name: str) -> str:
+        return f"{self.path}/v{version}/{name}"
 
     def read(self, table: str, schema: str) -> DataFrame:
-        if not self.valid() or not self._exists(f"{self.path}/{table}"):
+        manifest = self._manifest()
+        if manifest is None or not self._exists(self._table(manifest["version"], table)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+        return self.spark.read.schema(schema).parquet(self._table(manifest["version"], table))
 
-    def write(self, tables: dict[str, DataFrame], rebuilt: int, projects: int, known_projects: int) -> bool:
+    def write(
+        self, tables: dict[str, DataFrame], rebuilt: int, projects: int, known_projects: int, current: DataFrame | None = None
+    ) -> bool:
         """Each table partitioned by project; nothing is written if nothing changed. Returns whether it was.
 
-        Only rebuilt projects need be given: dynamic overwrite leaves other projects' partitions alone. The manifest is
-        written last.
+        Only rebuilt projects need be given: those of `current` (project) that aren't in the tables are taken over from the
+        last version, those that left the solution aren't. A version is written whole, beside the last one, before the
+        manifest that names it, so a reader sees one version or the other and a crash leaves the old one.
         """
-        if rebuilt == 0 and projects == known_projects and self.valid():
+        manifest = self._manifest()
+        if rebuilt == 0 and projects == known_projects and manifest is not None:
             return False
+        version = self._next()
         for name, df in tables.items():
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(
-                f"{self.path}/{name}"
-            )
-        manifest = self.spark.createDataFrame([(FORMAT, self.sdk)], "format int, sdk string")
-        manifest.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+            if manifest is not None and self._exists(self._table(manifest["version"], name)):
+                old = self.spark.read.schema(df.schema).parquet(self._table(manifest["version"], name))
+                kept = old.join(df.select("project").distinct(), "project", "left_anti")
+                kept = kept if current is None else kept.join(current.select("project").distinct(), "project", "left_semi")
+                df = df.unionByName(kept.select(*df.columns))
+            df.write.partitionBy("project").parquet(self._table(version, name))
+        row = self.spark.createDataFrame([(FORMAT, self.sdk, version)], _MANIFEST)
+        row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        if manifest is not None:
+            self._drop_before(manifest["version"])
         return True
 
+    def _folder(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        at, fs = self._folder()
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+
+    def _next(self) -> int:
+        """A version that no folder has, not even one that a crash left half written."""
+        return max(self._versions(), default=0) + 1
+
+    def _drop_before(self, version: int) -> None:
+        """Drop versions before the last one but one: readers may still hold that."""
+        at, fs = self._folder()
+        for v in self._versions():
+            if v < version:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at, f"v{v}"), True)
+
 
 def fragment_reuse(current: DataFrame, cached: DataFrame) -> DataFrame:
     """C11, L1: (project, fingerprint, reused): a project is reused if its fingerprint is the cached one."""

@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.changes import resolve_diff
+from .plans.analyze import Inputs
+from .schemas import PROJECT_REFS, REFLECTIONS
+from .schemas import ROUTES as ROUTES_SCHEMA
+
 
 class Bed:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -123,7 +128,6 @@ class Bed:
         start = (13 * F.col("l_linenumber")).cast("int")
         return (
             self.table("lineitem")
-            .where("l_orderkey % 50 = 0")
             .select(
                 F.lit("parts").alias("project"),
                 keyed("P", "l_partkey").alias("file"),
@@ -146,6 +150,102 @@ class Bed:
             (F.col("page_id") % 97 + 1).cast("int").alias("line"),
         )
 
+    def solution(self) -> Inputs:
+        """Customers as classes of their nation's project, orders as their methods, order lines as tests that call them.
+
+        Every customer's file changed, on lines that its balance tells; files of the segment FURNITURE only in comments.
+        In those of BUILDING lines were removed as well, of orders that are gone unless finished, and in one region of
+        classes that are gone. A data file, a file of another language and documents changed beside them.
+        """
+        nation = self.table("nation").withColumnsRenamed({"n_name": "project", "n_regionkey": "region"})
+        own = self.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            "c_custkey",
+            "project",
+            "region",
+            "c_mktsegment",
+            F.concat(F.lit("src/"), "project", F.lit("/C"), "c_custkey", F.lit(".cs")).alias("file"),
+            F.concat("project", F.lit(".C"), "c_custkey").alias("path"),
+            (F.floor(F.abs("c_acctbal")) + 2).cast("int").alias("at"),
+        )
+        orders = self.table("orders").join(own, F.col("o_custkey") == F.col("c_custkey")).withColumn(
+            "line", (F.col("o_orderkey") * 7 % 10000 + 2).cast("int")
+        )
+        suppliers = self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+            "s_suppkey", F.concat(F.lit("test_"), "project").alias("test_project")
+        )
+        lines = self.table("lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        order_key = F.concat(F.lit("a|M:"), "path", F.lit(".O"), "o_orderkey")
+        class_key, class_name = F.concat(F.lit("a|T:"), "path"), keyed("P", "l_partkey")
+        method = F.concat_ws("_", keyed("L", "l_orderkey"), "l_linenumber", "l_suppkey")
+        test_key = F.concat(F.lit("a|M:T."), class_name, F.lit("."), method)
+        none = F.lit(None).cast("string")
+
+        def node(df: DataFrame, key: Column, kind: str, project: Column, owner: Column = none) -> DataFrame:
+            file = F.lit(None).cast("string").alias("file")
+            return df.select(
+                key.alias("key"), key.alias("display"), F.lit(kind).alias("kind"), project.alias("project"), owner.alias("containing_type"), file, F.lit(0).alias("ord")
+            ).distinct()
+
+        nodes = (
+            node(own, class_key, "Type", F.col("project"))
+            .unionByName(node(orders, order_key, "Method", F.col("project"), class_key))
+            .unionByName(node(lines, test_key, "Method", F.col("test_project"), F.concat(F.lit("a|T:T."), class_name)))
+        )
+        named = orders.select(F.col("o_orderkey").alias("l_orderkey"), order_key.alias("src"))
+        edges = lines.join(named, "l_orderkey").select("src", test_key.alias("dst"), F.lit(1).alias("kind")).distinct()
+
+        def site(df: DataFrame, key: Column, start: Column, end: Column, is_type: bool) -> DataFrame:
+            return df.select(
+                "project", "file", start.alias("start_line"), end.alias("end_line"), key.alias("key"), F.lit(is_type).alias("is_type"), F.lit(False).alias("is_inlined")
+            )
+
+        whole = (F.lit(1), F.lit(20000))
+        sites = site(own, class_key, *whole, True).unionByName(site(orders, order_key, F.col("line"), F.col("line") + 5, False))
+        gone = (F.col("c_mktsegment") == "BUILDING") & (F.col("region") == 4)
+        old_path = F.when(gone, F.concat("project", F.lit(".Gone"), "c_custkey")).otherwise(F.col("path"))
+        old_name = F.concat(F.when(F.col("o_orderstatus") == "F", "O").otherwise("Old"), "o_orderkey")
+
+        def old(df: DataFrame, start: Column, end: Column, name: Column, is_type: bool) -> DataFrame:
+            return df.select(
+                "project", "file", start.alias("start_line"), end.alias("end_line"), F.lit(is_type).alias("is_type"), old_path.alias("type_path"), name.alias("member_name")
+            )
+
+        decls = old(own, *whole, none, True).unionByName(old(orders, F.col("line"), F.col("line") + 5, old_name, False))
+        others = self.table("region").select(
+            F.when(F.col("r_name") == "AMERICA", "src/NATION_1/data.json")
+            .when(F.col("r_name") == "ASIA", "fs/lib.fs")
+            .otherwise(F.concat(F.lit("docs/"), "r_name", F.lit(".md")))
+            .alias("file")
+        )
+        changed = own.select("file").unionByName(others).select(
+            F.col("file").alias("path"), none.alias("old_path"), F.lit("Modified").alias("kind")
+        )
+        hunk = lambda df, side, n: df.select(F.col("file").alias("path"), F.lit(side).alias("side"), F.col("at").alias("start_line"), (F.col("at") + n).alias("end_line"))
+        hunks = hunk(own, "new", 1500).unionByName(hunk(own.where("c_mktsegment = 'BUILDING'"), "old", 300))
+        frame = self.spark.createDataFrame
+        tests = lines.select(
+            test_key.alias("symbol_key"), F.concat(F.lit("a|T:T."), class_name).alias("class_key"), F.lit("T").alias("namespace"), class_name.alias("class_name"),
+            method.alias("method_name"), F.col("test_project").alias("project"), F.lit("NUnit").alias("framework"), F.lit(False).alias("is_parameterized"),
+        ).distinct()
+        sources = nation.select(F.col("project").alias("name"), F.concat(F.lit("src/"), "project").alias("dir"))
+        testing = nation.select(F.concat(F.lit("test_"), "project").alias("name"), F.concat(F.lit("tests/"), "project").alias("dir"))
+        refs = nation.select(F.concat(F.lit("test_"), "project").alias("project"), F.col("project").alias("references"))
+        return Inputs(
+            nodes=nodes,
+            edges=edges,
+            documents=own.select("project", "file"),
+            sites=sites,
+            projects=sources.unionByName(testing),
+            project_refs=refs.unionByName(frame([("test_NATION_2", "FS")], PROJECT_REFS)),
+            tests=tests,
+            diff=resolve_diff(changed, hunks, frame([], "path string")),
+            routes=frame([], ROUTES_SCHEMA),
+            reflections=frame([], REFLECTIONS),
+            old_decls=decls,
+            trivia_files=own.where("c_mktsegment = 'FURNITURE'").select("project", "file"),
+            foreign=frame([("FS", "F#", "fs")], "name string, language string, dir string"),
+        )
+
     def runs(self) -> DataFrame:
         """Events as runs, a ledger for each user: errors are full runs."""
         full = F.col("event_type") == "error"
@@ -165,6 +265,36 @@ def keyed(letter: str, column: str) -> Column:
     return F.concat(F.lit(letter), F.col(column).cast("string"))
 
 
+SOLUTION = """own AS (
+  SELECT c_custkey AS c, n_name AS project, n_regionkey AS region, c_mktsegment AS segment, n_name || '.C' || c_custkey AS path,
+         floor(abs(c_acctbal))::INT + 2 AS first FROM customer JOIN nation ON c_nationkey = n_nationkey
+), met AS (
+  SELECT own.*, o_orderkey AS o, o_orderstatus AS status, o_orderkey * 7 % 10000 + 2 AS line FROM orders JOIN own ON o_custkey = c
+), new_hits AS (
+  SELECT * FROM met WHERE segment <> 'FURNITURE' AND line <= first + 1500 AND first <= line + 5
+), old_hits AS (
+  SELECT * FROM met WHERE segment = 'BUILDING' AND line <= first + 300 AND first <= line + 5
+), seeds AS (
+  SELECT 'a|M:' || path || '.O' || o AS key FROM new_hits
+  UNION SELECT 'a|T:' || path FROM own WHERE segment <> 'FURNITURE' AND c NOT IN (SELECT c FROM new_hits)
+  UNION SELECT CASE WHEN status = 'F' THEN 'a|M:' || path || '.O' || o ELSE 'a|T:' || path END FROM old_hits WHERE region <> 4
+  UNION SELECT 'a|T:' || path FROM own WHERE segment = 'BUILDING' AND region <> 4 AND c NOT IN (SELECT c FROM old_hits)
+), wide AS (
+  SELECT DISTINCT project FROM own WHERE segment = 'BUILDING' AND region = 4 UNION SELECT 'NATION_1'
+), lines AS (
+  SELECT DISTINCT 'test_' || n_name AS project, 'a|M:T.P' || l_partkey || '.L' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey AS symbol_key,
+         'T.P' || l_partkey || '.L' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey AS fqn, l_orderkey AS o
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+), reached AS (
+  SELECT o, 2 AS hops FROM met WHERE 'a|M:' || path || '.O' || o IN (SELECT key FROM seeds)
+  UNION ALL SELECT o, 3 FROM met WHERE 'a|T:' || path IN (SELECT key FROM seeds)
+), nearest AS (
+  SELECT o, min(hops) AS hops FROM reached GROUP BY o
+), chosen AS (
+  SELECT project, symbol_key, fqn, coalesce(hops, 2147483647) AS hops FROM lines l LEFT JOIN nearest n ON l.o = n.o
+  WHERE n.o IS NOT NULL OR project IN (SELECT 'test_' || project FROM wide) OR project = 'test_NATION_2'
+)"""
+
 NODES = """nodes AS (
   SELECT 'R' || r_regionkey AS key, 'Type' AS kind, r_name AS project, NULL::VARCHAR AS containing_type FROM region
   UNION ALL SELECT 'N' || n_nationkey, 'Type', n_name, NULL FROM nation
@@ -209,7 +339,7 @@ SITES = """sites AS (
   FROM lineitem
 ), hunks AS (
   SELECT DISTINCT 'P' || l_partkey AS file, 13 * l_linenumber AS start_line, 13 * l_linenumber + 2 AS end_line
-  FROM lineitem WHERE l_orderkey % 50 = 0
+  FROM lineitem
 )"""
 
 ROUTES = """paths AS (
