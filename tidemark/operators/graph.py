@@ -129,54 +129,48 @@ def walk(
     arrival is free. From a restricted node downward-only edges are not followed. Dispatch-only edges count only from
     types that nothing else names. A type enqueues its members, free. A free arrival at a node known only as restricted
     walks it again. Hops count nodes, so a seed has 1. Of several predecessors in a round the least is told.
+    """
+    start = seeds.select("origin", "key").distinct()
+    start = start.withColumns({"climbs": F.lit(allow_upward), "free": F.lit(not seeds_restricted)})
+    return _walk(graph, start, predecessors).drop("climbs")
+
 
-    Many origins walk in one fixpoint; a round joins the frontier with the adjacency on the key.
+def _walk(graph: Graph, start: DataFrame, predecessors: bool) -> DataFrame:
+    """`walk` from rows (origin, climbs, key, free): whether upward edges are allowed, and whether the seed is free.
+
+    Many origins walk in one fixpoint; a round joins the frontier with the adjacency on the key, and drops what is known
+    to be as free as it arrives by an anti-join, so nothing known is aggregated again.
     """
-    steps = graph.steps if allow_upward else graph.steps.where(~F.col("upward"))
-    columns = ["origin", "key", "free", "hops", "pred", "pred_kind"]
-    frontier = seeds.select("origin", "key").distinct().withColumns(
-        {
-            "free": F.lit(not seeds_restricted),
-            "hops": F.lit(1),
-            "pred": F.lit(None).cast("string"),
-            "pred_kind": F.lit(None).cast("int"),
-        }
-    )
-    frontier = written(frontier, "walk")
+    columns = ["origin", "climbs", "key", "free", "hops", "pred", "pred_kind"]
+    none = {"hops": F.lit(1), "pred": F.lit(None).cast("string"), "pred_kind": F.lit(None).cast("int")}
+    frontier = written(start.withColumns(none).select(*columns), "walk")
     rounds, hops = [frontier], 1
     while not frontier.isEmpty():
         hops += 1
         if len(rounds) > _ROUNDS:
             rounds = [written(union_all(rounds), "walked")]
         arrivals = (
-            frontier.select("origin", "key", "free")
-            .join(steps, "key")
-            .where(F.col("free") | ~F.col("downward"))
-            .select("origin", F.col("to").alias("key"), (~F.col("upward")).alias("free"), F.col("key").alias("pred"), "kind")
-            .groupBy("origin", "key")
+            frontier.select("origin", "climbs", "key", "free")
+            .join(graph.steps, "key")
+            .where((F.col("free") | ~F.col("downward")) & (F.col("climbs") | ~F.col("upward")))
+            .select("origin", "climbs", F.col("to").alias("key"), (~F.col("upward")).alias("free"), F.col("key").alias("pred"), "kind")
+            .groupBy("origin", "climbs", "key")
             .agg(F.bool_or("free").alias("free"), F.min(F.struct("pred", "kind")).alias("by"))
         )
-        known = union_all(rounds).groupBy("origin", "key").agg(F.bool_or("free").alias("known_free"))
-        fresh = arrivals.join(known, ["origin", "key"], "left").where(
-            F.col("known_free").isNull() | (F.col("free") & ~F.col("known_free"))
-        )
-        frontier = written(
-            fresh.select(
-                "origin",
-                "key",
-                "free",
-                F.lit(hops).alias("hops"),
-                F.col("by.pred").alias("pred"),
-                F.col("by.kind").alias("pred_kind"),
-            ).select(*columns),
-            "walk",
+        known = union_all(rounds).select("origin", "climbs", "key", "free")
+        a, k = arrivals.alias("a"), known.alias("k")
+        same = (F.col("a.key") == F.col("k.key")) & (F.col("a.origin") == F.col("k.origin")) & (F.col("a.climbs") == F.col("k.climbs"))
+        fresh = a.join(k, same & (F.col("k.free") | ~F.col("a.free")), "left_anti")
+        found = fresh.select(
+            "origin", "climbs", "key", "free", F.lit(hops).alias("hops"), F.col("by.pred").alias("pred"), F.col("by.kind").alias("pred_kind")
         )
+        frontier = written(found, "walk")
         rounds.append(frontier)
-    first = union_all(rounds).groupBy("origin", "key")
+    first = union_all(rounds).groupBy("origin", "climbs", "key")
     if not predecessors:
         return first.agg(F.min("hops").alias("hops"))
     return first.agg(F.min("hops").alias("hops"), F.min_by(F.struct("pred", "pred_kind"), "hops").alias("p")).select(
-        "origin", "key", "hops", "p.pred", "p.pred_kind"
+        "origin", "climbs", "key", "hops", "p.pred", "p.pred_kind"
     )
 
 
@@ -211,7 +205,7 @@ def traverse(
     what its own walk reaches, narrowed by `narrow`, a function on (type, key) pairs, if there is one; a
     type that reaches nothing but itself, and a member without a type, bound nothing. The declaration is always added.
 
-    All declarations of a round walk in one fixpoint, and so do all types. A walk depends on its origin only, so none is
+    All declarations and types of a round walk in one fixpoint. A walk depends on its origin only, so none is
     repeated in later rounds. The predecessor of an added declaration is the implementation it was reached from, that of
     any other added key the one in its declaration's walk; of equally near ones the least is told.
     """
@@ -225,23 +219,22 @@ def traverse(
     )
     upward = written(upward, "upward")
     used = upward.limit(0)
-    decl_reach = type_reach = beyond = None
+    walked = None
     for _ in range(GENERALISE_ROUNDS):
         at = impacted.select(F.col("key").alias("impl"), F.col("hops").alias("impl_hops"))
         new = written(upward.join(used, ["impl", "decl"], "left_anti").join(at, "impl"), "pairs")
         if new.isEmpty():
             break
         used = used.unionByName(new.select(*upward.columns))
-        decls = new.select(F.col("decl").alias("origin"), F.col("decl").alias("key")).distinct()
-        types = new.where(F.col("type").isNotNull()).select(F.col("type").alias("origin"), F.col("type").alias("key"))
-        types = types.distinct()
-        if decl_reach is not None:
-            decls = decls.join(decl_reach.select("origin").distinct(), "origin", "left_anti")
-            types = types.join(type_reach.select("origin").distinct(), "origin", "left_anti")
-        from_decl = written(walk(graph, decls, True, True, predecessors), "declarations")
-        from_type = written(walk(graph, types, False), "types")
-        decl_reach = from_decl if decl_reach is None else decl_reach.unionByName(from_decl)
-        type_reach = from_type if type_reach is None else type_reach.unionByName(from_type)
+        # Declarations climb from a restricted start, types walk freely without climbing.
+        decls = new.select(F.col("decl").alias("origin"), F.lit(True).alias("climbs"), F.lit(False).alias("free"))
+        types = new.select(F.col("type").alias("origin"), F.lit(False).alias("climbs"), F.lit(True).alias("free"))
+        start = decls.unionByName(types.where("origin IS NOT NULL")).distinct()
+        if walked is not None:
+            start = start.join(walked.select("origin", "climbs").distinct(), ["origin", "climbs"], "left_anti")
+        more = written(_walk(graph, start.withColumn("key", F.col("origin")), predecessors), "bounds")
+        walked = more if walked is None else walked.unionByName(more)
+        decl_reach, type_reach = walked.where("climbs").drop("climbs"), walked.where("NOT climbs").drop("climbs")
         beyond = written(reaches_beyond(graph, type_reach), "beyond")
         allowed = type_reach.join(beyond, "origin", "left_semi").select(F.col("origin").alias("type"), "key")
         if narrow is not None:

@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Bed], DataFrame]], Call
 
 
 def _graph(bed: Bed) -> graph.Graph:
-    return graph.Graph(bed.nodes(), written(graph.merge_edges(bed.raw_edges()), "edges"))
+    return graph.Graph(written(bed.nodes(), "nodes"), written(graph.merge_edges(bed.raw_edges()), "edges"))
 
 
 def _keys(bed: Bed, *keys: str) -> DataFrame:
@@ -242,7 +242,7 @@ def _facts(bed: Bed) -> DataFrame:
     SELECT node, type FROM f WHERE node NOT IN (SELECT node FROM u)"""
 )
 def type_flow_obtainable(bed: Bed) -> DataFrame:
-    known, _ = typeflow.obtainable(bed.nodes(), graph.merge_edges(bed.raw_edges()), _facts(bed))
+    known, _ = typeflow.obtainable(written(bed.nodes(), "nodes"), graph.merge_edges(bed.raw_edges()), _facts(bed))
     return known
 
 
