@@ -920,15 +920,16 @@ def test_every_query_is_registered(spark, sf_dir):
 
 
 def test_work_folders_can_go(spark, tmp_path):
+    import os
+
     from tidemark.llm import common
+    from tidemark.plans import workdir
 
-    before = list(common._made)
-    common._made.clear()
+    before = list(workdir._made)
+    workdir._made.clear()
     df = common.kept(spark.range(3), "gone")
-    at = common._made[0].removeprefix("file://")
-    import os
-
+    at = workdir._made[0].removeprefix("file://")
     assert df.count() == 3 and os.path.isdir(at)
-    common.discard(spark)
+    workdir.discard(spark)
     assert not os.path.exists(at)
-    common._made.extend(before)
+    workdir._made.extend(before)

@@ -1,12 +1,7 @@
-"""Shared pieces of the training-data operators: words, word hashes, Arrow batches, work folders."""
+"""Shared pieces of the training-data operators: words, word hashes, Arrow batches, written tables."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.workdir import new_path
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _HELD_WORDS = 400_000
@@ -150,48 +147,10 @@ def row_of(docs: DataFrame) -> F.Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    at = os.path.join(tempfile.gettempdir(), "tidemark-shared")
-    os.makedirs(at, exist_ok=True)
-    return "file://" + at
-
-
-_made: list[str] = []
-
-
-@atexit.register
-def _drop_local() -> None:
-    """Work folders on a mounted file system go with the driver; `discard` drops others."""
-    for at in _made:
-        if at.startswith("file://"):
-            shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete every work folder made so far by this driver; DataFrames that read them can't be used any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    """A folder of ours in the shared one, for what a query writes on its way."""
-    at = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
-    _made.append(at)
-    return at
-
-
 def kept(df: DataFrame, what: str) -> DataFrame:
     """`df` as a written table in the shared folder: lineage ends here, and any executor can read it again."""
     spark = df.sparkSession
-    at = new_dir(spark, what)
+    at = new_path(spark, what)
     schema = df.schema
     # Small row groups: a writing task buffers one of them.
     df.write.option("parquet.block.size", 16 << 20).parquet(at)

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows, new_dir, partitions
+from ..plans.workdir import new_path
+from .common import map_rows, partitions
 
 _HELD_PIECES = 800_000
 _AT_ONCE = 100_000
@@ -273,6 +274,6 @@ def read_tokens(spark: SparkSession, folder: str, tokenizer_path: str, end_id: i
 def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Write `docs` to a new folder of token files and describe each document as read back from there."""
     spark = docs.sparkSession
-    folder = new_dir(spark, "tokens")
+    folder = new_path(spark, "tokens")
     write_tokens(docs, folder, tokenizer_path, end_id)
     return read_tokens(spark, folder, tokenizer_path, end_id)
