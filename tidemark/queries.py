@@ -454,7 +454,7 @@ def reflection_files(bed: Bed) -> DataFrame:
     files AS (SELECT DISTINCT path, 'Modified' AS kind FROM c
               UNION SELECT DISTINCT path, 'Added' FROM u WHERE path NOT IN (SELECT path FROM c)),
     h AS (SELECT DISTINCT path, 'new' AS side, p_partkey % 100 + 1 AS s, p_partkey % 100 + 3 AS e FROM c WHERE p_size <= 20),
-    sides AS (SELECT f.*, side FROM files f, (VALUES ('old'), ('new')) v(side) WHERE NOT regexp_matches(path, '(^|/)(bin|obj|\\.tia)/')),
+    sides AS (SELECT f.*, side FROM files f, (VALUES ('old'), ('new')) v(side) WHERE NOT regexp_matches(path, '(^|/)(bin|obj|\\.tidemark)/')),
     r AS (SELECT path, side, string_agg(s || '-' || e, ',' ORDER BY s, e) AS ranges FROM h GROUP BY path, side)
     SELECT s.path, s.kind, s.side, CASE WHEN NOT ends_with(lower(s.path), '.cs') THEN ''
         WHEN s.path IN (SELECT path FROM h) THEN coalesce(r.ranges, '')
@@ -596,7 +596,7 @@ _WATCH_PATH = """CASE p_partkey % 6 WHEN 0 THEN '/repo/src/' || p_name || '.cs'
 @query(
     f"""WITH p AS (SELECT p_partkey, {_WATCH_PATH} AS path FROM part)
     SELECT p_partkey, starts_with(path, '/repo/') AND NOT regexp_matches(lower(substr(path, 7)),
-             '(^|/)(bin|obj|\\.git|\\.vs|\\.idea|node_modules|testresults|artifacts|\\.tia)(/|$)') AS watched,
+             '(^|/)(bin|obj|\\.git|\\.vs|\\.idea|node_modules|testresults|artifacts|\\.tidemark)(/|$)') AS watched,
            regexp_matches(lower(path), '(proj|\\.props|\\.targets|\\.sln|\\.slnx|\\.slnf)$') AS reopen FROM p"""
 )
 def watch_paths(bed: Bed) -> DataFrame:

@@ -36,7 +36,7 @@ SPLIT_MARGIN = 3.0
 QUIET = "300 milliseconds"
 WHOLE_FILE = (1, 2_147_483_647)
 # Folders of derived output.
-OUTPUT_FOLDERS = ("bin", "obj", ".tia")
+OUTPUT_FOLDERS = ("bin", "obj", ".tidemark")
 
 NODES = "key string, display string, kind string, project string, containing_type string, file string, ord int"
 EDGES = "src string, dst string, kind int"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators.changes import resolve_diff
 from .plans.analyze import Inputs
+from .plans.workdir import written
 from .schemas import PROJECT_REFS, REFLECTIONS
 from .schemas import ROUTES as ROUTES_SCHEMA
 
@@ -231,17 +232,17 @@ class Bed:
         testing = nation.select(F.concat(F.lit("test_"), "project").alias("name"), F.concat(F.lit("tests/"), "project").alias("dir"))
         refs = nation.select(F.concat(F.lit("test_"), "project").alias("project"), F.col("project").alias("references"))
         return Inputs(
-            nodes=nodes,
-            edges=edges,
+            nodes=written(nodes, "nodes"),
+            edges=written(edges, "edges"),
             documents=own.select("project", "file"),
-            sites=sites,
+            sites=written(sites, "sites"),
             projects=sources.unionByName(testing),
             project_refs=refs.unionByName(frame([("test_NATION_2", "FS")], PROJECT_REFS)),
-            tests=tests,
-            diff=resolve_diff(changed, hunks, frame([], "path string")),
+            tests=written(tests, "tests"),
+            diff=written(resolve_diff(changed, hunks, frame([], "path string")), "diff"),
             routes=frame([], ROUTES_SCHEMA),
             reflections=frame([], REFLECTIONS),
-            old_decls=decls,
+            old_decls=written(decls, "decls"),
             trivia_files=own.where("c_mktsegment = 'FURNITURE'").select("project", "file"),
             foreign=frame([("FS", "F#", "fs")], "name string, language string, dir string"),
         )
