@@ -30,7 +30,7 @@ from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
-_SQUARE = 500
+_SQUARE = 1000
 _SQUARE_BYTES = 32 << 20
 
 
