@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, quality, sharding, simhash, substring, tokenbin, urlfilter
+from . import (
+    decontam,
+    langid,
+    lexical,
+    lmscore,
+    mixing,
+    periodic,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    tokenbin,
+    urlfilter,
+)
 
 #: Fixed values of the URL query.
 RULES = (
@@ -69,6 +83,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_read(spark, sf_dir, "documents"), piece_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_decontamination,
         op10_mixing,
+        op11_periodic_runs,
+        op12_ranked_search,
+        op13_lm_scoring,
     )
 }
 
@@ -169,5 +204,38 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::BIGINT A
 FROM placed p LEFT JOIN taken t ON p.size > 0 AND p.ord = t.ord AND p.start = t.start
 """
 
+_OP12 = """
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), docs AS (
+  SELECT *, len(terms)::BIGINT AS n FROM cut WHERE len(terms) > 0
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM docs
+), item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), counts AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, corpus GROUP BY term, docs
+), scores AS (
+  SELECT i.item_id, d.r, d.doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM item_terms i JOIN counts c ON i.term = c.term JOIN weights w ON c.term = w.term JOIN docs d ON c.r = d.r, corpus
+  GROUP BY i.item_id, d.r, d.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 #: DuckDB SQL for the same rows. The other operators need hashes, checksums or models that SQL lacks.
-ORACLES: dict[str, str] = {"op6_url_filter": _OP6, "op10_mixing": _OP10}
+ORACLES: dict[str, str] = {"op6_url_filter": _OP6, "op10_mixing": _OP10, "op12_ranked_search": _OP12}
