@@ -1,4 +1,4 @@
-"""Test results (TRX), run ledgers (JSON lines), and fragment tables with a manifest."""
+"""Test results (TRX), run ledgers (JSON lines), and fragment tables, both in published versions."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import qualify_test_name, short_hash
+from ..plans.workdir import written
 from ..schemas import LEDGER_ROWS, RUNS
+from .versions import Versions
 
 FORMAT = 9
-_MANIFEST = "format int, sdk string, version int"
 _TRX = (
     "TestDefinitions struct<UnitTest: array<struct<_id: string, TestMethod: struct<_className: string, _name: string>>>>, "
     "Results struct<UnitTestResult: array<struct<_testId: string, _testName: string, _outcome: string>>>"
@@ -35,19 +36,54 @@ def parse_trx(texts: DataFrame, project: str = "project", text_col: str = "text"
     )
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of a JSON-lines ledger in order (`seq`); blank and broken lines cost only themselves."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    numbered = lines.withColumn("seq", F.monotonically_increasing_id())
+def _parse_runs(lines: DataFrame) -> DataFrame:
+    numbered = lines.where(F.trim("value") != "").withColumn("seq", F.monotonically_increasing_id())
     parsed = numbered.select("seq", F.from_json("value", RUNS, {"mode": "PERMISSIVE"}).alias("r"))
     return parsed.where(F.col("r.at").isNotNull()).select("seq", "r.*")
 
 
+def _version_runs(spark: SparkSession, path: str, said: dict) -> DataFrame:
+    return _parse_runs(spark.read.text(f"{path.rstrip('/')}/{said['folders'][0]}"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of a ledger in order (`seq`): of its newest version, or of plain JSON lines.
+
+    Blank and broken lines cost only themselves.
+    """
+    last = Versions(spark, path).latest()
+    return _version_runs(spark, path, last[1]) if last else _parse_runs(spark.read.text(path))
+
+
+def _publish_runs(spark: SparkSession, path: str, new: DataFrame, rows: int, append: bool) -> int:
+    versions = Versions(spark, path)
+
+    def make(last: dict | None) -> dict:
+        # Old runs come before new ones, each in their own order.
+        parts = [new.withColumn("_part", F.lit(1))]
+        if append and last is not None:
+            parts.append(_version_runs(spark, path, last).withColumn("_part", F.lit(0)))
+        whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+        kept = whole.orderBy(F.col("_part").desc(), F.col("seq").desc()).limit(rows)
+        ordered = kept.coalesce(1).sortWithinPartitions("_part", "seq").drop("seq", "_part")
+        folder = versions.new_folder()
+        ordered.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{versions.path}/{folder}")
+        return {"folders": [folder]}
+
+    return versions.publish(make)
+
+
 def write_ledger(runs: DataFrame, path: str, rows: int = LEDGER_ROWS) -> None:
-    """The last rows, in order, as one JSON-lines file; a hundred rows fit one task."""
-    last = runs.orderBy(F.col("seq").desc()).limit(rows)
-    ordered = last.coalesce(1).sortWithinPartitions("seq").drop("seq")
-    ordered.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+    """The last rows, in order, as the ledger's next version; a hundred rows fit one task.
+
+    `runs` may be what was read from the same ledger: what it reads stays until two versions have followed.
+    """
+    _publish_runs(runs.sparkSession, path, runs, rows, False)
+
+
+def append_ledger(runs: DataFrame, path: str, rows: int = LEDGER_ROWS) -> None:
+    """Runs behind those of the ledger, of which the last `rows` stay; a writer that comes second appends to the first's."""
+    _publish_runs(runs.sparkSession, path, runs, rows, True)
 
 
 class FragmentStore:
@@ -59,78 +95,67 @@ class FragmentStore:
             short_hash(F.lit(solution), F.lit(sdk), F.lit("type-flow") if type_flow else F.lit(None).cast("string"))
         ).first()[0]
         self.path = f"{path.rstrip('/')}/graph-{name}"
+        self.versions = Versions(spark, self.path)
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _fits(self, said: dict | None) -> dict | None:
+        """What a version says, if its format and SDK are ours; anything else means an empty cache."""
+        return said if said is not None and said["format"] == FORMAT and said["sdk"] == self.sdk else None
 
-    def _manifest(self):
-        """The newest manifest that fits, or None; anything else means an empty cache."""
-        at = f"{self.path}/manifest"
-        if not self._exists(at):
-            return None
-        row = self.spark.read.schema(_MANIFEST).json(at).orderBy(F.col("version").desc()).first()
-        return row if row is not None and row["format"] == FORMAT and row["sdk"] == self.sdk else None
+    def _manifest(self) -> dict | None:
+        last = self.versions.latest()
+        return self._fits(last[1]) if last else None
 
     def valid(self) -> bool:
         return self._manifest() is not None
 
-    def _table(self, version: int, name: str) -> str:
-        return f"{self.path}/v{version}/{name}"
+    def _table(self, said: dict, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{said['tables'][name]}")
 
     def read(self, table: str, schema: str) -> DataFrame:
-        manifest = self._manifest()
-        if manifest is None or not self._exists(self._table(manifest["version"], table)):
+        said = self._manifest()
+        if said is None or table not in said["tables"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._table(manifest["version"], table))
+        return self._table(said, table, schema)
 
     def write(
         self, tables: dict[str, DataFrame], rebuilt: int, projects: int, known_projects: int, current: DataFrame | None = None
     ) -> bool:
         """Each table partitioned by project; nothing is written if nothing changed. Returns whether it was.
 
-        Only rebuilt projects need be given: those of `current` (project) that aren't in the tables are taken over from the
-        last version, those that left the solution aren't. A version is written whole, beside the last one, before the
-        manifest that names it, so a reader sees one version or the other and a crash leaves the old one.
+        Only rebuilt projects need be given: those of `current` (project) that aren't in a table are taken over from the
+        last version, those that left the solution aren't. A table that isn't given is taken over as a whole: by its
+        folder, or without the projects that left. Versions are written aside and published at once (see `Versions`).
         """
-        manifest = self._manifest()
-        if rebuilt == 0 and projects == known_projects and manifest is not None:
+        if rebuilt == 0 and projects == known_projects and self.valid():
             return False
-        version = self._next()
-        for name, df in tables.items():
-            if manifest is not None and self._exists(self._table(manifest["version"], name)):
-                old = self.spark.read.schema(df.schema).parquet(self._table(manifest["version"], name))
-                kept = old.join(df.select("project").distinct(), "project", "left_anti")
-                kept = kept if current is None else kept.join(current.select("project").distinct(), "project", "left_semi")
-                df = df.unionByName(kept.select(*df.columns))
-            df.write.partitionBy("project").parquet(self._table(version, name))
-        row = self.spark.createDataFrame([(FORMAT, self.sdk, version)], _MANIFEST)
-        row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        if manifest is not None:
-            self._drop_before(manifest["version"])
+        names = None if current is None else written(current.select("project").distinct(), "projects")
+        given = {name: written(df, "fragments") for name, df in tables.items()}
+
+        def make(last: dict | None) -> dict:
+            old = self._fits(last) or {"tables": {}, "schemas": {}}
+            folders, schemas = {}, dict(old["schemas"])
+            for name in sorted(given.keys() | old["tables"].keys()):
+                df = given.get(name)
+                if df is None and names is None:
+                    folders[name] = old["tables"][name]
+                    continue
+                if name in old["tables"]:
+                    before = self._table(old, name, df.schema if df is not None else schemas[name])
+                    if df is not None:
+                        before = before.join(df.select("project").distinct(), "project", "left_anti")
+                    if names is not None:
+                        before = before.join(names, "project", "left_semi")
+                    df = before if df is None else df.unionByName(before.select(*df.columns))
+                folders[name] = self.versions.new_folder()
+                schemas[name] = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+                df.write.partitionBy("project").parquet(f"{self.path}/{folders[name]}")
+            return {
+                "format": FORMAT, "sdk": self.sdk, "tables": folders, "schemas": schemas, "folders": sorted(folders.values()),
+            }
+
+        self.versions.publish(make)
         return True
 
-    def _folder(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        at, fs = self._folder()
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
-
-    def _next(self) -> int:
-        """A version that no folder has, not even one that a crash left half written."""
-        return max(self._versions(), default=0) + 1
-
-    def _drop_before(self, version: int) -> None:
-        """Drop versions before the last one but one: readers may still hold that."""
-        at, fs = self._folder()
-        for v in self._versions():
-            if v < version:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at, f"v{v}"), True)
-
 
 def fragment_reuse(current: DataFrame, cached: DataFrame) -> DataFrame:
     """C11, L1: (project, fingerprint, reused): a project is reused if its fingerprint is the cached one."""
