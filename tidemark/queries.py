@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from .functions import filters as fx
 from .functions import names
 from .functions.routes import attribute_name, normalise_route
-from .operators import changes, discovery, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
+from .operators import changes, declarations, discovery, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
 from .plans import analyze as analysis
 from .plans.intervals import longest_prefix
 from .plans.workdir import new_path, written
 from .sources import gitdiff, results
 from .streaming import watch
-from .testbed import EDGES, NODES, ROUTES, SITES, SOLUTION, STEPS, TESTS, Bed, keyed
+from .testbed import DECLARED, EDGES, NODES, ROUTES, SITES, SOLUTION, STEPS, SYMBOLS, TESTS, Bed, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1611,3 +1611,76 @@ def fragment_file(bed: Bed) -> DataFrame:
     kept = store.read("nodes", "key string, containing_type string, project string")
     out = store.read("edges", "src string, dst string, kind int, project string")
     return out.unionByName(kept.select(F.col("key").alias("src"), F.col("containing_type").alias("dst"), F.lit(0).alias("kind"), "project"))
+
+
+# Declarations --------------------------------------------------------------------------------------------------------
+
+
+def _above(bed: Bed) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    types, bases, members = bed.declared()
+    types, members = written(types, "types"), written(members, "members")
+    return types, declarations.ancestors(types, bases), members, types.select("type")
+
+
+@query(f"WITH RECURSIVE {DECLARED} SELECT DISTINCT base AS src, type AS dst, 8 AS kind FROM above WHERE base IN (SELECT type FROM types)")
+def derived_edges(bed: Bed) -> DataFrame:
+    _, above, _, tracked = _above(bed)
+    return declarations.derived_edges(above, tracked)
+
+
+@query(
+    f"""WITH RECURSIVE {DECLARED}, levels AS (
+      SELECT type, type AS owner, NULL AS arg, 0 AS depth FROM types UNION ALL SELECT type, base, arg, depth FROM above WHERE NOT iface),
+    wanted AS (
+      SELECT DISTINCT a.type, m.member AS general, m.name, replace(m.param, '!0!', a.arg) AS param, t.iface
+      FROM above a JOIN members m ON a.base = m.type JOIN types t ON a.type = t.type WHERE a.iface AND NOT m.acc),
+    impl AS (
+      SELECT w.type, w.general, w.param, m.member, row_number() OVER (
+        PARTITION BY w.type, w.general, w.param ORDER BY l.depth, m.expl IS NULL, m.member) AS n
+      FROM wanted w JOIN levels l ON w.type = l.type JOIN members m ON m.type = l.owner AND m.name = w.name AND m.param = w.param
+      WHERE NOT m.acc AND (m.expl = w.general OR m.pub AND m.expl IS NULL AND NOT w.iface)),
+    over AS (
+      SELECT o.member AS specific, m.member, row_number() OVER (PARTITION BY o.member ORDER BY l.depth, m.expl IS NULL, m.member) AS n
+      FROM members o JOIN levels l ON o.type = l.type AND l.depth > 0
+      JOIN members m ON m.type = l.owner AND m.name = o.name AND m.param = o.param WHERE o.over AND m.may AND NOT o.acc AND NOT m.acc),
+    pairs AS (
+      SELECT general, member AS specific, 2 AS down, 256 AS up FROM impl WHERE n = 1 UNION SELECT member, specific, 4, 512 FROM over WHERE n = 1)
+    SELECT general AS src, specific AS dst, down AS kind FROM pairs WHERE general <> specific
+    UNION ALL SELECT specific, general, up FROM pairs WHERE general <> specific"""
+)
+def member_links(bed: Bed) -> DataFrame:
+    return declarations.member_links(*_above(bed))
+
+
+@query(
+    f"""WITH RECURSIVE {DECLARED}, requests AS (
+      SELECT DISTINCT a.type, regexp_replace(replace(m.param, '!0!', a.arg), '<.*', '') AS dst
+      FROM above a JOIN types t ON a.type = t.type JOIN members m ON a.base = m.type
+      WHERE a.iface AND NOT t.iface AND NOT t.abstract AND replace(m.param, '!0!', a.arg) = a.arg)
+    SELECT type AS src, dst, 128 AS kind FROM requests WHERE type <> dst AND dst IN (SELECT type FROM types)
+    UNION SELECT m.member, r.dst, 128 FROM requests r JOIN members m ON r.type = m.type WHERE r.type <> r.dst AND r.dst IN (SELECT type FROM types)"""
+)
+def request_edges(bed: Bed) -> DataFrame:
+    return declarations.request_edges(*_above(bed))
+
+
+@query(
+    f"""WITH RECURSIVE {SYMBOLS}, w(symbol, here, n) AS (
+      SELECT symbol, symbol, 0 FROM symbols
+      UNION ALL SELECT w.symbol, s.target, n + 1 FROM w JOIN symbols s ON w.here = s.symbol WHERE n < 16 AND s.target IS NOT NULL AND NOT s.gone),
+    ends AS (SELECT symbol, max_by(here, n) AS key FROM w GROUP BY symbol)
+    SELECT e.symbol, CASE WHEN coalesce(s.gone, FALSE) THEN NULL ELSE e.key END AS key FROM ends e LEFT JOIN symbols s ON e.key = s.symbol"""
+)
+def symbol_redirects(bed: Bed) -> DataFrame:
+    return declarations.normalised(bed.symbols())
+
+
+@query(
+    f"""WITH RECURSIVE {SYMBOLS}, w(symbol, target, priv) AS (
+      SELECT symbol, target, priv FROM symbols
+      UNION ALL SELECT w.symbol, s.target, s.priv FROM w JOIN symbols s ON w.target = s.symbol),
+    hidden AS (SELECT symbol, bool_or(priv) AS hidden FROM w GROUP BY symbol)
+    SELECT symbol, expl OR NOT hidden AS visible FROM symbols JOIN hidden USING (symbol)"""
+)
+def surface_visibility(bed: Bed) -> DataFrame:
+    return declarations.visible(bed.symbols().withColumnRenamed("to", "container"))

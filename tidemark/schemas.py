@@ -34,6 +34,7 @@ LEDGER_LEAST_RUNS = 3
 EXTRA_INVOCATION_SECONDS = 1.5
 SPLIT_MARGIN = 3.0
 QUIET = "300 milliseconds"
+REDIRECTS = 16
 WHOLE_FILE = (1, 2_147_483_647)
 # Folders of derived output.
 OUTPUT_FOLDERS = ("bin", "obj", ".tidemark")
@@ -45,6 +46,12 @@ PROJECTS = (
     "name string, assembly string, file string, dir string, output string, is_test boolean, framework string, "
     "runner string, props_evaluated boolean, declared_tfms array<string>"
 )
+DECLARED_TYPES = "type string, is_interface boolean, is_abstract boolean"
+BASES = "type string, base string, args array<string>"
+MEMBERS = (
+    "member string, type string, name string, params array<string>, is_override boolean, is_overridable boolean, "
+    "is_public boolean, explicit_of string, is_accessor boolean"
+)
 PROJECT_REFS = "project string, references string"
 TESTS = (
     "symbol_key string, class_key string, namespace string, class_name string, method_name string, project string, "

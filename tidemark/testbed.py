@@ -97,6 +97,89 @@ class Bed:
         )
         return nodes, edges
 
+    def declared(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Types, bases and members: suppliers as classes in a tree, which implement an interface for each nation.
+
+        Those derive from one for each region, and these from a single one; each level hands its argument on.
+        """
+        nation, supplier = self.table("nation"), self.table("supplier")
+        lines = self.table("lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        by_nation = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+
+        def kind(df: DataFrame, name: Column, interface: bool, abstract: Column) -> DataFrame:
+            return df.select(name.alias("type"), F.lit(interface).alias("is_interface"), abstract.alias("is_abstract")).distinct()
+
+        no = F.lit(False)
+        types = (
+            kind(nation, F.lit("K"), True, no)
+            .unionByName(kind(nation, keyed("J", "n_regionkey"), True, no))
+            .unionByName(kind(nation, keyed("I", "n_nationkey"), True, no))
+            .unionByName(kind(nation, keyed("T", "n_nationkey"), False, no))
+            .unionByName(kind(supplier, keyed("S", "s_suppkey"), False, F.col("s_acctbal") < 0))
+        )
+
+        def base(df: DataFrame, name: Column, of: Column, arg: Column | None) -> DataFrame:
+            args = F.array(*[] if arg is None else [arg]).cast("array<string>")
+            return df.select(name.alias("type"), of.alias("base"), args.alias("args")).distinct()
+
+        own = keyed("S", "s_suppkey")
+        above = F.concat(F.lit("S"), F.floor(F.col("s_suppkey") / 3).cast("string"))
+        bases = (
+            base(nation, keyed("J", "n_regionkey"), F.lit("K"), F.lit("List<!0!>"))
+            .unionByName(base(nation, keyed("I", "n_nationkey"), keyed("J", "n_regionkey"), F.lit("!0!")))
+            .unionByName(base(supplier, own, keyed("I", "s_nationkey"), keyed("T", "s_nationkey")))
+            .unionByName(base(supplier.where("s_suppkey >= 3"), own, above, None))
+        )
+
+        def member(df: DataFrame, owner: Column, name: Column, param: Column, **more: Column) -> DataFrame:
+            given = {"is_override": no, "is_overridable": no, "is_public": F.lit(True), "explicit_of": F.lit(None).cast("string"), "is_accessor": no}
+            columns = [c.alias(k) for k, c in (given | more).items()]
+            key = F.concat(owner, F.lit("."), name)
+            return df.select(key.alias("member"), owner.alias("type"), name.alias("name"), F.array(param).alias("params"), *columns).distinct()
+
+        odd = F.col("l_linenumber") % 2 == 1
+        mine = lines.groupBy("l_suppkey", "s_nationkey", "l_linenumber").agg(
+            F.count("*").alias("n"), F.max("l_quantity").alias("most"), F.min("l_tax").alias("least")
+        )
+        number, flag = keyed("M", "l_linenumber"), F.concat(F.lit("F"), F.col("l_returnflag"))
+        declared = F.concat(keyed("I", "s_nationkey"), F.lit("."), number)
+        members = (
+            member(nation, F.lit("K"), F.lit("G"), F.lit("!0!"))
+            .unionByName(member(by_nation, keyed("J", "n_regionkey"), flag, F.lit("!0!")))
+            .unionByName(member(lines, keyed("I", "s_nationkey"), number, F.when(odd, "!0!").otherwise("int"), is_accessor=F.col("l_linenumber") == 7))
+            .unionByName(
+                member(
+                    mine, keyed("S", "l_suppkey"), number, F.when(odd, keyed("T", "s_nationkey")).otherwise("int"),
+                    is_override=F.col("n") % 2 == 1, is_overridable=F.col("n") % 3 != 0, is_public=F.col("most") > 49,
+                    explicit_of=F.when(F.col("least") < 0.005, declared),
+                )
+            )
+            .unionByName(member(lines, keyed("S", "l_suppkey"), flag, keyed("T", "s_nationkey"), is_overridable=F.lit(True)))
+            .unionByName(
+                member(supplier.where("s_acctbal > 5000"), own, F.lit("G"), F.concat(F.lit("List<"), keyed("T", "s_nationkey"), F.lit(">")))
+            )
+        )
+        return types, bases, members
+
+    def symbols(self) -> DataFrame:
+        """Lines lead to the line before, to their order, to its customer, and on by halving the customer's key."""
+        lines, orders, customer = self.table("lineitem"), self.table("orders"), self.table("customer")
+        line = F.concat(keyed("L", "l_orderkey"), F.lit("."), F.col("l_linenumber").cast("string"))
+        before = F.concat(keyed("L", "l_orderkey"), F.lit("."), (F.col("l_linenumber") - 1).cast("string"))
+        half = F.concat(F.lit("C"), F.floor(F.col("c_custkey") / 2).cast("string"))
+        no = F.lit(False)
+
+        def rows(df: DataFrame, symbol: Column, to: Column, low: Column, private: Column, explicit: Column) -> DataFrame:
+            return df.select(symbol.alias("symbol"), to.alias("to"), low.alias("is_dropped"), private.alias("is_private"), explicit.alias("is_explicit"))
+
+        return (
+            rows(lines, line, F.when(F.col("l_linenumber") > 1, before).otherwise(keyed("O", "l_orderkey")), no, no, F.col("l_linenumber") == 6)
+            .unionByName(rows(orders, keyed("O", "o_orderkey"), keyed("C", "o_custkey"), no, F.col("o_orderstatus") == "P", no))
+            .unionByName(
+                rows(customer, keyed("C", "c_custkey"), F.when(F.col("c_custkey") > 1, half), F.col("c_acctbal") < -900, F.col("c_acctbal") < -950, no)
+            )
+        )
+
     def tests(self) -> DataFrame:
         """Orders by customer by nation; selected: all of every third customer, and the finished of the rest."""
         nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
@@ -318,6 +401,45 @@ EDGES = """raw AS (
   SELECT src, dst, bit_or(kind) AS kind FROM raw WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst
 )"""
 
+DECLARED = """types AS (
+  SELECT 'K' AS type, TRUE AS iface, FALSE AS abstract UNION SELECT 'J' || n_regionkey, TRUE, FALSE FROM nation
+  UNION SELECT 'I' || n_nationkey, TRUE, FALSE FROM nation UNION SELECT 'T' || n_nationkey, FALSE, FALSE FROM nation
+  UNION SELECT 'S' || s_suppkey, FALSE, s_acctbal < 0 FROM supplier
+), bases AS (
+  SELECT 'J' || n_regionkey AS type, 'K' AS base, 'List<!0!>' AS arg, TRUE AS iface FROM nation
+  UNION SELECT 'I' || n_nationkey, 'J' || n_regionkey, '!0!', TRUE FROM nation
+  UNION SELECT 'S' || s_suppkey, 'I' || s_nationkey, 'T' || s_nationkey, TRUE FROM supplier
+  UNION SELECT 'S' || s_suppkey, 'S' || s_suppkey // 3, NULL, FALSE FROM supplier WHERE s_suppkey >= 3
+), members AS (
+  SELECT 'K.G' AS member, 'K' AS type, 'G' AS name, '!0!' AS param, FALSE AS over, FALSE AS may, TRUE AS pub, NULL AS expl, FALSE AS acc
+  UNION SELECT 'J' || n_regionkey || '.F' || l_returnflag, 'J' || n_regionkey, 'F' || l_returnflag, '!0!', FALSE, FALSE, TRUE, NULL, FALSE
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT 'I' || s_nationkey || '.M' || l_linenumber, 'I' || s_nationkey, 'M' || l_linenumber,
+    CASE WHEN l_linenumber % 2 = 1 THEN '!0!' ELSE 'int' END, FALSE, FALSE, TRUE, NULL, l_linenumber = 7
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  UNION SELECT 'S' || l_suppkey || '.M' || l_linenumber, 'S' || l_suppkey, 'M' || l_linenumber,
+    CASE WHEN l_linenumber % 2 = 1 THEN 'T' || s_nationkey ELSE 'int' END, count(*) % 2 = 1, count(*) % 3 <> 0, max(l_quantity) > 49,
+    CASE WHEN min(l_tax) < 0.005 THEN 'I' || s_nationkey || '.M' || l_linenumber END, FALSE
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey, s_nationkey, l_linenumber
+  UNION SELECT 'S' || l_suppkey || '.F' || l_returnflag, 'S' || l_suppkey, 'F' || l_returnflag, 'T' || s_nationkey, FALSE, TRUE, TRUE, NULL, FALSE
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  UNION SELECT 'S' || s_suppkey || '.G', 'S' || s_suppkey, 'G', 'List<T' || s_nationkey || '>', FALSE, FALSE, TRUE, NULL, FALSE
+    FROM supplier WHERE s_acctbal > 5000
+), up(type, base, arg, depth, iface) AS (
+  SELECT type, base, arg, 1, iface FROM bases UNION
+  SELECT u.type, b.base, replace(b.arg, '!0!', coalesce(u.arg, '')), u.depth + 1, b.iface FROM up u JOIN bases b ON u.base = b.type
+), above AS (
+  SELECT type, base, arg, min(depth) AS depth, iface FROM up GROUP BY type, base, arg, iface
+)"""
+
+SYMBOLS = """symbols AS (
+  SELECT 'L' || l_orderkey || '.' || l_linenumber AS symbol,
+         CASE WHEN l_linenumber > 1 THEN 'L' || l_orderkey || '.' || l_linenumber - 1 ELSE 'O' || l_orderkey END AS target,
+         FALSE AS gone, FALSE AS priv, l_linenumber = 6 AS expl FROM lineitem
+  UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey, FALSE, o_orderstatus = 'P', FALSE FROM orders
+  UNION ALL SELECT 'C' || c_custkey, CASE WHEN c_custkey > 1 THEN 'C' || c_custkey // 2 END, c_acctbal < -900, c_acctbal < -950, FALSE FROM customer
+)"""
+
 STEPS = """steps AS (
   SELECT src, dst, (kind & 768) <> 0 AND (kind & (~768)) = 0 AS up, (kind & 6) <> 0 AND (kind & (~6)) = 0 AS down FROM edges
   UNION ALL
