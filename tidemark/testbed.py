@@ -174,6 +174,7 @@ class Bed:
 
         return (
             rows(lines, line, F.when(F.col("l_linenumber") > 1, before).otherwise(keyed("O", "l_orderkey")), no, no, F.col("l_linenumber") == 6)
+            .distinct()
             .unionByName(rows(orders, keyed("O", "o_orderkey"), keyed("C", "o_custkey"), no, F.col("o_orderstatus") == "P", no))
             .unionByName(
                 rows(customer, keyed("C", "c_custkey"), F.when(F.col("c_custkey") > 1, half), F.col("c_acctbal") < -900, F.col("c_acctbal") < -950, no)
@@ -433,7 +434,7 @@ DECLARED = """types AS (
 )"""
 
 SYMBOLS = """symbols AS (
-  SELECT 'L' || l_orderkey || '.' || l_linenumber AS symbol,
+  SELECT DISTINCT 'L' || l_orderkey || '.' || l_linenumber AS symbol,
          CASE WHEN l_linenumber > 1 THEN 'L' || l_orderkey || '.' || l_linenumber - 1 ELSE 'O' || l_orderkey END AS target,
          FALSE AS gone, FALSE AS priv, l_linenumber = 6 AS expl FROM lineitem
   UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey, FALSE, o_orderstatus = 'P', FALSE FROM orders
