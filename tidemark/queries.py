@@ -12,6 +12,7 @@ from .functions import names
 from .functions.routes import attribute_name, normalise_route
 from .operators import changes, declarations, discovery, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
 from .plans import analyze as analysis
+from .plans import maintain
 from .plans.intervals import longest_prefix
 from .plans.workdir import new_path, written
 from .sources import gitdiff, results
@@ -1613,6 +1614,23 @@ def fragment_file(bed: Bed) -> DataFrame:
     return out.unionByName(kept.select(F.col("key").alias("src"), F.col("containing_type").alias("dst"), F.lit(0).alias("kind"), "project"))
 
 
+# Maintained state ----------------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["walk_hops"])
+def maintained_walk(bed: Bed) -> DataFrame:
+    """A walk built without suppliers' edges and with short cuts to all customers, then changed to the whole graph."""
+    edges = written(maintain.edges_of(_graph(bed).steps), "edges")
+    late = F.startswith("src", F.lit("S"))
+    short_cuts = bed.table("customer").select(
+        F.lit("R1").alias("src"), keyed("C", "c_custkey").alias("dst"), F.lit(False).alias("up"), F.lit(False).alias("down")
+    )
+    walk = maintain.MaintainedWalk(bed.spark, new_path(bed.spark, "walk"), False, buckets=16)
+    walk.change(edges.where(~late).unionByName(short_cuts).unionByName(maintain.seed_edges(_keys(bed, "R1"))), edges.limit(0))
+    walk.change(edges.where(late), short_cuts)
+    return walk.rows()
+
+
 # Declarations --------------------------------------------------------------------------------------------------------
 
 

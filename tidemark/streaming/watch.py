@@ -7,13 +7,16 @@ that knows it missed something: it forces a reload.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.safety import needs_reopen
+from ..plans.maintain import MaintainedWalk
+from ..plans.workdir import written
 from ..schemas import QUIET
 
 
@@ -60,6 +63,43 @@ def moved_documents(state: DataFrame, current: DataFrame) -> DataFrame:
     return old.join(new, "path", "full").withColumn("change", change).where(F.col("change").isNotNull()).select("path", "change")
 
 
+class _Contents(StatefulProcessor):
+    """Remembers the hash of a path's content."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("content", "hash string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = [(r.ts, r.hash) for part in rows for r in part.itertuples()]
+        # Of several states in one batch the latest counts; a removed document has no hash.
+        new = max(seen, key=lambda x: (x[0], x[1] or ""))[1]
+        new = new if isinstance(new, str) else None
+        old = self.known.get()[0] if self.known.exists() else None
+        if new is None:
+            self.known.clear()
+        elif new != old:
+            self.known.update((new,))
+        if new != old:
+            change = "added" if old is None else "removed" if new is None else "changed"
+            yield pd.DataFrame({"path": [key[0]], "change": [change]})
+
+    def close(self) -> None:
+        pass
+
+
+def refresh(documents: DataFrame) -> DataFrame:
+    """(path, change) of a stream of documents as they are seen (path, ts, text; text null: removed).
+
+    The state keeps a hash for each path, so a document that is written again with the same content is no change, across
+    micro-batches and restarts; times don't count but for the order within a micro-batch. Needs a state store that
+    `transformWithState` supports (RocksDB).
+    """
+    hashed = documents.select("path", "ts", F.sha2(F.col("text"), 256).alias("hash"))
+    return hashed.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=_Contents(), outputStructType="path string, change string", outputMode="Update", timeMode="None"
+    )
+
+
 def watch(
     events: DataFrame, analyse: Callable[[DataFrame, int], None], checkpoint: str, late: str = "1 second", **trigger
 ) -> StreamingQuery:
@@ -72,3 +112,17 @@ def watch(
 
     writer = closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def keep_walk(changes: DataFrame, walk: MaintainedWalk, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep a walk up to date with a stream of edges (src, dst, up, down, gone); each micro-batch is one change.
+
+    Within a micro-batch an edge that comes and goes has come. A batch that a restart runs again is not applied twice.
+    """
+
+    def run(df: DataFrame, n: int) -> None:
+        rows = written(df, "changes")
+        walk.change(rows.where("NOT gone").drop("gone"), rows.where("gone").drop("gone"), batch=n)
+
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
