@@ -226,6 +226,48 @@ def test_full_run(world):
     assert [r.split(":")[0] for r in reasons] == [f"P{i:02d}/P.csproj" for i in range(25)]
 
 
+def test_reasons_that_no_change_shows(world, spark):
+    """A project that doesn't compile, the default branch, a diff that failed, and what a loader says."""
+    touched = [("Core/Calc.cs", 5, 5)]
+    broken = world(touched, file_errors=[("Tests", "Tests/A.cs", "CS1002"), ("Tests", "Tests/B.cs", "CS0103")])
+    out = an.analyze(broken, STRICT)
+    assert out.reasons == ["Tests doesn't compile: Tests/A.cs: CS1002 and 1 more"] and len(selected(out)) == 5
+    main = an.Options(fallback=False, default_branch="main")
+    assert an.full_run_reasons(world(touched, branch="main"), main) == ["the head is on main, where nothing is left out"]
+    assert an.full_run_reasons(world(touched, branch="topic"), main) == []
+    assert an.analyze(world(touched, diff_problem="the base isn't known"), STRICT).reasons == ["the base isn't known"]
+    said = spark.createDataFrame(
+        [
+            ("Core", "NETSDK1045", "The current .NET SDK does not support targeting .NET 99.0.", ["net99.0"], "8.0.100"),
+            ("Core", "MSB4019", "import not found", None, "8.0.100"), (None, None, "no code", None, None),
+        ],
+        "project string, code string, message string, declared_frameworks array<string>, registered string",
+    )
+    assert an.full_run_reasons(world(touched, diagnostics=said), STRICT) == ["import not found", "no code", "the SDK 8.0.100 is too old for net99.0"]
+
+
+def test_many_reasons_are_counted(world):
+    inputs = world(files=[(f"P{i:03}/P.csproj", None, "Modified") for i in range(150)])
+    out = an.analyze(inputs)
+    assert len(out.reasons) == 101 and out.reasons[-1] == "and 50 more" and out.reason_rows.count() == 150
+
+
+def test_inputs_that_cannot_be_used(world):
+    lacking = dataclasses.replace(world(), edges=world().edges.drop("kind"))
+    assert an.analyze(lacking).reasons == ["the analysis can't be done: edges has no kind"]
+    with pytest.raises(an.UnusableInput):
+        an.analyze(lacking, STRICT)
+
+
+def test_failures_of_the_engine_are_raised(world, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(an, "resolve_changes", fail)
+    with pytest.raises(RuntimeError):
+        an.analyze(world([("Core/Calc.cs", 5, 5)]))
+
+
 def test_discovery(spark):
     frame = spark.createDataFrame
     methods = frame([("C", "a", "B.a", 1), ("C", "a", "C.a", 0), ("C", "h", "C.h", 0)], "class string, method string, symbol_key string, depth int")

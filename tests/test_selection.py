@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import filters as fx
 from tidemark.operators import filters, harness, ledger, report, selection
 from tidemark.schemas import RUNS
 from tidemark.sources import results
@@ -210,3 +211,27 @@ def test_state(spark):
     batch = spark.createDataFrame([(1, "a.cs", False, True), (2, "n.cs", False, True), (3, "n.cs", False, False), (4, "x.props", False, True)], "id int, path string, lost boolean, exists boolean")
     known = spark.createDataFrame([("a.cs",)], "path string")
     assert {r["id"]: r["reopen"] for r in watch.reopen_decisions(batch, known).collect()} == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_terms_with_a_common_ending(spark):
+    """Every term and every name ends alike; names are read once, whatever the number of terms."""
+    tests = spark.range(30_000).selectExpr(
+        "'p' AS project", "'K' || id AS full_class", "'K' || id || '.Method_ReturnsTrue' AS fqn", "'N' AS namespace", "'K' || id AS class_name",
+        "'Method_ReturnsTrue' AS method_name", "id % 2 = 0 AS selected",
+    )
+    more = spark.createDataFrame(
+        [("p", "X", "AK4.Method_ReturnsTrue", "N", "X", "m", False), ("q", "X", "AK4.Method_ReturnsTrue", "N", "X", "m", False), ("p", "X", None, "N", "X", "m", False)],
+        "project string, full_class string, fqn string, namespace string, class_name string, method_name string, selected boolean",
+    )
+    for pass_bytes in (8 << 20, 200_000):
+        extra = filters.VsTest(pass_bytes=pass_bytes).extra(tests.unionByName(more))
+        assert [tuple(r) for r in extra.collect()] == [("p", "AK4.Method_ReturnsTrue")]
+
+
+def test_lengths_are_those_of_the_arguments(spark):
+    rows = [("N", "A(b)", "m|x", True), ("", "B", "y", True), ("N", "B", "y", False), ("N", "C", "m|x", True), ("N.M", "A(b)", "z", False)]
+    for some in (rows, [r for r in rows if r[3]], rows[:1]):
+        tests = make_tests(spark, some)
+        for dialect in (filters.VsTest(), filters.ClassOrMethod(), filters.TreeNode()):
+            built = dialect.arguments(tests).select("project", fx.arguments_length(F.col("arguments")).cast("long").alias("length"))
+            assert sorted(map(tuple, built.collect())) == sorted((r["project"], r["length"]) for r in dialect.lengths(tests).collect())

@@ -6,28 +6,19 @@ a name and functions from such a table to (project, arguments) and to extra matc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import arguments_length, escape_tree_node, escape_vstest
+from ..functions.filters import escape_tree_node, escape_vstest
 from ..plans.fixpoint import union_all
 from ..plans.workdir import written
 from ..schemas import COVERAGE_LIMIT, FILTER_LENGTH_LIMIT, WAVE_LEAST_TESTS
 
 
-#: Last characters of a term by which names are looked up.
-_TAIL = 12
-
-
-def _substrings(text: Column, n: int) -> Column:
-    """All substrings of n characters."""
-    places = F.sequence(F.lit(1), F.length(text) - n + 1)
-    none = F.array().cast("array<string>")
-    return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substr(text, i, F.lit(n)))).otherwise(none)
-
-
 def class_counts(tests: DataFrame) -> DataFrame:
     """D3: tests and selected ones of each class."""
     return tests.groupBy("project", "full_class").agg(
@@ -66,11 +57,54 @@ def _joined(rows: DataFrame, value: Column, separator: str) -> DataFrame:
     return rows.groupBy("project").agg(F.array_join(F.transform(ordered, lambda s: s["v"]), separator).alias("text"))
 
 
+def holding(names: DataFrame, asked: DataFrame, pass_bytes: int = 8 << 20) -> DataFrame:
+    """Of `names` (project, fqn), those that hold one of the terms asked for in their project (project, term).
+
+    Terms go out in passes of about `pass_bytes` bytes; a worker makes an Aho-Corasick automaton of a project's terms when
+    it first meets the project, and reads each name once, however many terms end alike. Names and terms that are null are
+    held by nothing.
+    """
+    asked = written(asked.where("project IS NOT NULL AND length(term) > 0").distinct(), "asked")
+    total = asked.agg(F.sum(F.octet_length("term") + F.octet_length("project"))).first()[0] or 0
+    passes = max(1, -(-total // pass_bytes))
+    names = names.where("fqn IS NOT NULL")
+    out = names.limit(0)
+    for i in range(passes if total else 0):
+        # Terms are distinct, so a hash deals them evenly.
+        some = asked.where(F.pmod(F.xxhash64("project", "term"), F.lit(passes)) == i) if passes > 1 else asked
+        by_project: dict[str, list[str]] = {}
+        for r in some.collect():
+            by_project.setdefault(r["project"], []).append(r["term"])
+        sent = names.sparkSession.sparkContext.broadcast(by_project)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            built: dict[str, object] = {}
+            for batch in batches:
+                keep = []
+                for project, fqn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if project not in built:
+                        found = ahocorasick.Automaton()
+                        for term in sent.value.get(project, ()):
+                            found.add_word(term, 1)
+                        if len(found):
+                            found.make_automaton()
+                        built[project] = found if len(found) else None
+                    keep.append(built[project] is not None and next(built[project].iter(fqn), None) is not None)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        hit = names.select("project", "fqn").mapInArrow(run, names.select("project", "fqn").schema)
+        out = hit if i == 0 else out.unionByName(hit)
+    return out.select("project", "fqn").distinct()
+
+
 @dataclass(frozen=True)
 class VsTest:
     """One argument of `FullyQualifiedName~term` terms; a term is found anywhere in a name, hence extra matches."""
 
     name: str = "vstest"
+    pass_bytes: int = 8 << 20
 
     def lengths(self, tests: DataFrame) -> DataFrame:
         """`arguments_length` of each project's arguments, without building them."""
@@ -84,22 +118,10 @@ class VsTest:
         )
 
     def extra(self, tests: DataFrame) -> DataFrame:
-        """C14: tests that aren't selected but hold a term.
-
-        A term and a name that holds it meet on the term's last characters, looked up at every place of the name, so no
-        name is compared with all terms of its project.
-        """
-        asked = terms(tests).select("project", "term", F.right("term", F.lit(_TAIL)).alias("tail"))
-        asked = asked.withColumn("n", F.length("tail"))
+        """C14: tests that aren't selected but hold a term of their project."""
         names = tests.where("selected").select("project", "fqn").distinct()
         rest = tests.where(~F.col("selected")).select("project", "fqn").distinct().join(names, ["project", "fqn"], "left_anti")
-        lengths = [r["n"] for r in asked.select("n").distinct().collect()]
-        tails = [_substrings(F.col("fqn"), n) for n in lengths]
-        if not tails:
-            return rest.limit(0)
-        spread = rest.withColumn("tail", F.explode(F.array_distinct(F.concat(*tails))))
-        met = spread.join(asked, ["project", "tail"]).where(F.contains("fqn", "term"))
-        return met.select("project", "fqn").distinct()
+        return holding(rest, terms(tests).select("project", "term"), self.pass_bytes)
 
 
 @dataclass(frozen=True)
@@ -133,6 +155,11 @@ class ClassOrMethod:
         return tests.select("project", "fqn").limit(0)
 
 
+def _space() -> Column:
+    """A namespace as a path filter has it."""
+    return F.when(F.coalesce("namespace", F.lit("")) == "", "*").otherwise(F.col("namespace")).alias("space")
+
+
 @dataclass(frozen=True)
 class TreeNode:
     """One path filter /*/namespaces/classes/methods of alternations; the product of the three is matched."""
@@ -143,17 +170,26 @@ class TreeNode:
         def distinct(c: Column) -> Column:
             return F.array_sort(F.collect_set(c))
 
-        space = F.when(F.coalesce("namespace", F.lit("")) == "", "*").otherwise(F.col("namespace"))
         return _collapsed(tests).groupBy("project").agg(
-            distinct(space).alias("spaces"),
+            distinct(_space()).alias("spaces"),
             distinct(F.col("class_name")).alias("classes"),
             distinct(F.col("method_name")).alias("methods"),
-            distinct(F.coalesce("namespace", F.lit(""))).alias("raw_spaces"),
             F.bool_and("whole").alias("all_whole"),
         )
 
     def lengths(self, tests: DataFrame) -> DataFrame:
-        return self.arguments(tests).select("project", arguments_length(F.col("arguments")).cast("long").alias("length"))
+        """`arguments_length`, summed over the distinct parts."""
+        chosen = written(_collapsed(tests).select("project", _space(), "class_name", "method_name", "whole"), "chosen")
+
+        def size(c: str) -> DataFrame:
+            each = chosen.select("project", c).distinct()
+            return each.groupBy("project").agg((F.sum(F.length(escape_tree_node(F.col(c))) + 1) - 1).alias(c))
+
+        whole = chosen.groupBy("project").agg(F.bool_and("whole").alias("whole"))
+        sized = whole.join(size("space"), "project").join(size("class_name"), "project").join(size("method_name"), "project")
+        methods = F.when(F.col("whole"), 1).otherwise(F.col("method_name"))
+        fixed = len("--treenode-filter") + len("/*/") + 2 + 2 * 3
+        return sized.select("project", (fixed + F.col("space") + F.col("class_name") + methods).cast("long").alias("length"))
 
     def arguments(self, tests: DataFrame) -> DataFrame:
         """D5, I19."""
@@ -166,14 +202,18 @@ class TreeNode:
         return self._parts(tests).select("project", F.array(F.lit("--treenode-filter"), text).alias("arguments"))
 
     def extra(self, tests: DataFrame) -> DataFrame:
-        rest = tests.where(~F.col("selected")).join(self._parts(tests), "project")
-        hit = (
-            F.array_contains("raw_spaces", F.coalesce("namespace", F.lit("")))
-            & F.array_contains("classes", F.col("class_name"))
-            & (F.col("all_whole") | F.array_contains("methods", F.col("method_name")))
+        """C14: unselected tests in the product of the selected namespaces, classes and methods, by a semi-join for each."""
+        chosen = written(
+            _collapsed(tests).select("project", F.coalesce("namespace", F.lit("")).alias("space"), "class_name", "method_name", "whole"), "chosen"
         )
+        whole = chosen.groupBy("project").agg(F.bool_and("whole").alias("all_whole"))
         names = tests.where("selected").select("project", "fqn").distinct()
-        return rest.where(hit).join(names, ["project", "fqn"], "left_anti").select("project", "fqn").distinct()
+        rest = tests.where(~F.col("selected")).join(names, ["project", "fqn"], "left_anti").withColumn("space", F.coalesce("namespace", F.lit("")))
+        for c in ("space", "class_name"):
+            rest = rest.join(chosen.select("project", c).distinct(), ["project", c], "left_semi")
+        methods = chosen.select("project", "method_name").distinct().withColumn("_named", F.lit(True))
+        found = rest.join(whole, "project").join(methods, ["project", "method_name"], "left")
+        return found.where("all_whole OR _named").select("project", "fqn").distinct()
 
 
 def dialect_for(framework: str, runner: str):
@@ -247,8 +287,10 @@ def filter_plans(
     )
 
 
-def wave_plans(tests: DataFrame, dialect, length_limit: int = FILTER_LENGTH_LIMIT) -> DataFrame:
-    """Per project whether its selection runs in two waves, and why not.
+def wave_plans(
+    tests: DataFrame, dialect, length_limit: int = FILTER_LENGTH_LIMIT, extras: DataFrame | None = None
+) -> DataFrame:
+    """Per project whether its selection runs in two waves, and why not; `extras` as for `filter_plans`.
 
     `tests` also has in_wave (of selected ones). Reasons in order: few, one_class, most, inexpressible (a wave that the
     dialect has no filter for), long, overlap, beyond.
@@ -262,12 +304,12 @@ def wave_plans(tests: DataFrame, dialect, length_limit: int = FILTER_LENGTH_LIMI
     def sized(t: DataFrame, name: str) -> DataFrame:
         return dialect.lengths(t).withColumnRenamed("length", name)
 
-    extra_wave, extra_rest = dialect.extra(wave), dialect.extra(rest)
+    extra_wave, extra_rest = written(dialect.extra(wave), "extras"), written(dialect.extra(rest), "extras")
     wave_names = wave.where("selected").select("project", "fqn").distinct()
     rest_names = rest.where("selected").select("project", "fqn").distinct()
     both = extra_wave.intersect(rest_names).unionByName(extra_rest.intersect(wave_names))
     overlap = both.groupBy("project").agg(F.count("*").alias("overlap"))
-    single = tests.where("selected").select("project", "fqn").unionByName(dialect.extra(tests))
+    single = tests.where("selected").select("project", "fqn").unionByName(dialect.extra(tests) if extras is None else extras)
     outside = extra_wave.unionByName(extra_rest).subtract(single.distinct())
     beyond = outside.groupBy("project").agg(F.count("*").alias("beyond"))
     all_of = (

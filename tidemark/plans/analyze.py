@@ -22,8 +22,10 @@ class Inputs:
     compile a file (project, file). `old_decls` are the declarations of changed files at the base revision (file is the
     old path), `foreign` the projects of other languages (name, language, dir), `project_files` every project file there
     is (path), `fragments` the projects with a graph (project), `file_errors` files that don't compile (project, file,
-    error), `failures` why a project didn't load (reason), `generated_docs` the types of generated documents (project,
-    hint, key). `projects` may tell framework and runner, which choose a project's dialect.
+    error) of any project, changed or not, `failures` why a project didn't load (reason), `diagnostics` the same as a
+    loader tells it (project, code, message, declared_frameworks, registered), `generated_docs` the types of generated
+    documents (project, hint, key). `diff_problem` says why the diff can't be trusted, `branch` where the head is.
+    `projects` may tell framework and runner, which choose a project's dialect.
     """
 
     nodes: DataFrame
@@ -47,22 +49,50 @@ class Inputs:
     file_errors: DataFrame | None = None
     failures: DataFrame | None = None
     type_facts: DataFrame | None = None
+    diagnostics: DataFrame | None = None
+    diff_problem: str | None = None
+    branch: str | None = None
+
+
+class UnusableInput(ValueError):
+    """An input that the analysis can't work with; with `fallback` it means a full run."""
+
+
+#: Columns that an extractor has to give.
+_DEMANDED = {
+    "nodes": ("key", "kind", "project", "containing_type"), "edges": ("src", "dst", "kind"), "documents": ("project", "file"),
+    "sites": ("project", "file", "start_line", "end_line", "key"), "projects": ("name", "dir"), "project_refs": ("project", "references"),
+    "tests": ("symbol_key", "class_key", "project"), "diff": ("path", "old_path", "kind", "side", "ranges"),
+}
+
+
+def check_inputs(inputs: Inputs) -> None:
+    """Raise UnusableInput if a table lacks a column."""
+    for name, columns in _DEMANDED.items():
+        missing = [c for c in columns if c not in getattr(inputs, name).columns]
+        if missing:
+            raise UnusableInput(f"{name} has no {', '.join(missing)}")
 
 
 @dataclass
 class Options:
-    """`dialect`: one for all projects; without it each project's own."""
+    """`dialect`: one for all projects, without it each project's own; `default_branch`: where selection isn't asked for.
+
+    `told`: reasons that an outcome lists; all of them are in its `reason_rows`.
+    """
 
     full: bool = False
     fallback: bool = True
     coverage: float = 0.6
     length_limit: int = 200_000
     dialect: object | None = None
+    default_branch: str | None = None
+    told: int = 100
 
 
 @dataclass
 class Outcome:
-    """`reasons`: why it is a full run, empty if it isn't; `tests`: ranked; `plans`, `waves`, `totals`, `widenings`.
+    """`reasons`: why it is a full run, empty if it isn't: the first by text, then how many more; all in `reason_rows`. `tests`: ranked; `plans`, `waves`, `totals`, `widenings`.
 
     `extras`: unselected tests (project, fqn) that a filter of `plans` runs as well. `walked`: impacted keys with hops and
     predecessors, for `report.explain`.
@@ -78,6 +108,7 @@ class Outcome:
     extras: DataFrame
     widenings: DataFrame | None
     changed_symbols: int
+    reason_rows: DataFrame | None = None
 
 
 def _or_empty(df: DataFrame | None, inputs: Inputs, schema: str) -> DataFrame:
@@ -199,26 +230,63 @@ def resolve_changes(inputs: Inputs) -> tuple[changes.ChangeSet, DataFrame]:
     return (found.union(emitted) if emitted else found), outside.unionByName(broken)
 
 
-def full_run_reasons(inputs: Inputs, options: Options) -> list[str]:
-    """Why no narrower run is safe: a text for each project that didn't load and each file that asks for a full run."""
-    reasons = ["a full run was asked for"] if options.full else []
+def full_run_rows(inputs: Inputs, options: Options) -> DataFrame:
+    """(part, reason): why no narrower run is safe, known before anything is resolved.
+
+    Asked for, on the default branch, a diff that can't be trusted, projects that didn't load, files that steer every build,
+    and projects that don't compile, whether they changed or not: nothing can be said of their tests.
+    """
+    session = inputs.nodes.sparkSession
+    given = ["a full run was asked for"] if options.full else []
+    if options.default_branch and inputs.branch == options.default_branch:
+        given.append(f"the head is on {options.default_branch}, where nothing is left out")
+    if inputs.diff_problem:
+        given.append(inputs.diff_problem)
+    rows = session.createDataFrame([(0, r) for r in given], "part int, reason string")
     failed = _or_empty(inputs.failures, inputs, "reason string").select("reason")
+    if inputs.diagnostics is not None:
+        # An SDK that is too old is told as such, anything else as it came.
+        described = safety.sdk_mismatch(inputs.diagnostics).select(*[F.col(c).alias(f"_{c}") for c in ("project", "code", "message")], "described")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("project", "code", "message")]
+        told = inputs.diagnostics.join(described.distinct(), same, "left")
+        failed = failed.unionByName(told.select(F.coalesce("described", "message").alias("reason")))
     asked = safety.full_run_reasons(changed_files(inputs)).select("reason")
-    return reasons + [r["reason"] for f in (failed, asked) for r in f.orderBy("reason").collect()]
+    broken = _or_empty(inputs.file_errors, inputs, "project string, file string, error string").groupBy("project").agg(
+        F.min(F.struct("file", "error")).alias("first"), F.count("*").alias("n")
+    )
+    errors = broken.select(
+        F.concat("project", F.lit(" doesn't compile: "), "first.file", F.lit(": "), "first.error", F.when(F.col("n") > 1, F.concat(F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" more"))).otherwise("")).alias("reason")
+    )
+    for part, df in ((1, failed), (2, asked), (3, errors)):
+        rows = rows.unionByName(df.distinct().select(F.lit(part).alias("part"), "reason"))
+    return rows
+
+
+def _told(rows: DataFrame, most: int) -> list[str]:
+    """The first reasons, and how many more there are."""
+    first = [r["reason"] for r in rows.orderBy("part", "reason").limit(most + 1).collect()]
+    if len(first) <= most:
+        return first
+    return [*first[:most], f"and {rows.count() - most} more"]
+
+
+def full_run_reasons(inputs: Inputs, options: Options) -> list[str]:
+    """The first of `full_run_rows`, as texts."""
+    return _told(full_run_rows(inputs, options), options.told)
 
 
 def analyze(inputs: Inputs, options: Options | None = None) -> Outcome:
-    """An error means a full run if `fallback` is on."""
+    """An input that can't be used means a full run if `fallback` is on; failures of Spark itself are raised."""
     options = options or Options()
-    reasons = full_run_reasons(inputs, options)
-    if reasons:
-        return _full(inputs, options, reasons)
     try:
-        return _selective(inputs, options)
-    except Exception as e:
+        check_inputs(inputs)
+    except UnusableInput as e:
         if not options.fallback:
             raise
-        return _full(inputs, options, [f"the analysis failed: {e}"])
+        rows = inputs.nodes.sparkSession.createDataFrame([(0, f"the analysis can't be done: {e}")], "part int, reason string")
+        return _full(inputs, options, rows)
+    rows = written(full_run_rows(inputs, options), "reasons")
+    return _selective(inputs, options) if rows.isEmpty() else _full(inputs, options, rows)
 
 
 def _named_tests(inputs: Inputs, options: Options) -> tuple[DataFrame, object]:
@@ -235,23 +303,23 @@ def _named_tests(inputs: Inputs, options: Options) -> tuple[DataFrame, object]:
 def _plans(tests: DataFrame, dialect: object, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     extras = written(dialect.extra(tests), "extras")
     plans = written(filters.filter_plans(tests, dialect, options.coverage, options.length_limit, extras), "plans")
-    waves = filters.wave_plans(tests, dialect, options.length_limit)
+    waves = filters.wave_plans(tests, dialect, options.length_limit, extras)
     run = extras.join(plans.where("filtered").select("project"), "project", "left_semi")
     return plans, waves, report.project_totals(tests, plans), run
 
 
-def _full(inputs: Inputs, options: Options, reasons: list[str]) -> Outcome:
+def _full(inputs: Inputs, options: Options, rows: DataFrame) -> Outcome:
     named, dialect = _named_tests(inputs, options)
     everything = selection.run_order(named.withColumn("hops", F.lit(1)))
     tests = written(selection.first_wave(everything).withColumn("selected", F.lit(True)), "tests")
-    return Outcome(reasons, None, None, tests, *_plans(tests, dialect, options), None, 0)
+    return Outcome(_told(rows, options.told), None, None, tests, *_plans(tests, dialect, options), None, 0, rows.select("reason"))
 
 
 def _selective(inputs: Inputs, options: Options) -> Outcome:
     found, errors = resolve_changes(inputs)
-    reasons = [r["reason"] for r in errors.distinct().orderBy("reason").collect()]
-    if reasons:
-        return _full(inputs, options, reasons)
+    errors = written(errors.distinct().withColumn("part", F.lit(0)), "errors")
+    if not errors.isEmpty():
+        return _full(inputs, options, errors)
     found = found.kept()
     changed_symbols = found.seeds.count()
     by_route = routes.changed_templates(inputs.routes, _ranges(inputs.diff, "new").withColumn("side", F.lit("new")))
