@@ -147,6 +147,13 @@ def row_of(docs: DataFrame) -> F.Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+def place_of(docs: DataFrame, name: str) -> int:
+    """A column's place by its name, as Spark would find it: letter case matters only if the session says so."""
+    if name in docs.columns or docs.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return docs.columns.index(name)
+    return [c.lower() for c in docs.columns].index(name.lower())
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """`df` as a written table in the shared folder: lineage ends here, and any executor can read it again."""
     spark = df.sparkSession

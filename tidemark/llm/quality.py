@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Rolling, WordHashes, covered, map_rows
+from .common import WORD_PATTERN, Rolling, WordHashes, covered, map_rows, place_of
 
 # Fixed values of the contract: white space, symbols, window, limits.
 _SPACES = " \t\n\v\f\r"
@@ -248,7 +248,7 @@ def clean(
     text_col: str = "text",
 ) -> DataFrame:
     """The documents that are kept, all columns, with failing lines taken out of the text."""
-    place = docs.columns.index(text_col)
+    place = place_of(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(common_lines(docs, common_share, common_docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

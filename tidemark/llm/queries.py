@@ -169,10 +169,13 @@ WITH docs AS (
   SELECT source, source_size, ord, least(cap::DOUBLE, water * weight) AS target FROM watered
 ), block AS (
   SELECT greatest(1, (sum(size)::BIGINT + 262143) // 262144)::BIGINT AS size FROM docs
-), shared AS (
-  SELECT t.*, (source_size + b.size - 1) // b.size AS blocks,
-         round(target * ((source_size + b.size - 1) // b.size) / source_size * 1000)::BIGINT AS share
+), cut AS (
+  SELECT t.*, CASE WHEN target > 0
+      THEN greatest((source_size + b.size - 1) // b.size, least(source_size, ceil(1000 * source_size / target)::BIGINT))
+      ELSE (source_size + b.size - 1) // b.size END AS blocks
   FROM targets t, block b WHERE source_size > 0
+), shared AS (
+  SELECT *, round(target * blocks / source_size * 1000)::BIGINT AS share FROM cut
 ), summed AS (
   SELECT *, (sum(share) OVER (ORDER BY ord))::BIGINT AS upto, (sum(share) OVER ())::BIGINT AS shares FROM shared
 ), owned AS (
