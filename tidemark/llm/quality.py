@@ -2,11 +2,13 @@
 
 A line with words fails if it is
 
-* boilerplate: it holds a phrase of the fixed list, or it is common: a line of 3 to 40 words that is in at least
-  `common_share` of all documents, and in `common_docs` of them. Such lines are counted in Spark over the whole table; a
-  table of n lines a document has n / `common_share` of them at most, which is what is collected and broadcast. A
-  document that would lose over `most_common` of its words to common lines is a copy rather than a page with
-  furniture, so it keeps them for deduplication;
+* boilerplate: it holds a phrase of the fixed list, or it is common: in at least `common_share` of all documents with a
+  text. The share alone decides, at every size of the table; a line of one document is never common, and `common_docs`
+  may ask for more documents than those two. Judged are lines whose number of words is in `common_words` (both ends
+  included; None as its end takes lines of any length). Such lines are counted in Spark over the whole table; a table of
+  n lines a document has n / `common_share` of them at most, which is what is collected and broadcast. A document that
+  would lose over `most_common` of its words to common lines is a copy rather than a page with furniture, so it keeps
+  them for deduplication;
 * navigation: under 6 words without an end mark, or cut up by separators;
 * no sentence: 6 words or more, of which none ends in an end mark, unless the sentence is wrapped: the line or the next
   one with words begins with a lower-case letter;
@@ -99,7 +101,8 @@ _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SEPARATORS = frozenset(["|", ">", "»", "›", "•", "·", "/", "-", "–", "—", "::"])
 _ENDS = tuple(".!?…:;\"'”’)]。！？।")
 _SHORT = 6
-_COMMON_WORDS = (3, 40)
+#: Lines of so many words may be common; None instead of the second takes any number.
+COMMON_WORDS = (3, 40)
 _SYMBOL_RUN = re.compile(r"[#*$%&|<>]")
 _NO_LETTER = re.compile(r"(?<!\S)(?:[^\w\s]|[\d_])++(?!\S)")
 
@@ -157,7 +160,7 @@ def line_fault(line: str, words: list[str], wrapped: bool, common: Set[int]) ->
         return "noise"
     if len(_NO_LETTER.findall(line)) * 2 > len(words):
         return "noise"
-    if common and _COMMON_WORDS[0] <= len(words) <= _COMMON_WORDS[1] and line_hash(line) in common:
+    if common and line_hash(line) in common:
         return "common"
     return None
 
@@ -188,12 +191,18 @@ def clean_text(text: str, common: Set[int] = frozenset(), most_common: float = 0
     return "\n".join(x for x, f in zip(lines, faults, strict=True) if not f), lost
 
 
-def common_lines(docs: DataFrame, share: float = 0.01, least: int = 20, text_col: str = "text") -> frozenset[int]:
-    """Hashes of lines that are in `share` of the documents with a text or more, and in `least` or more."""
+def common_lines(
+    docs: DataFrame,
+    share: float = 0.01,
+    least: int = 2,
+    text_col: str = "text",
+    n_words: tuple[int, int | None] = COMMON_WORDS,
+) -> frozenset[int]:
+    """Hashes of lines of `n_words` that are in `share` of the documents with a text or more, and in `least` or more."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     n = texts.count()
-    low, high = _COMMON_WORDS
     lines = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACES)))
+    low, high = n_words[0], n_words[1] or (1 << 31) - 1
     usual = F.filter(lines, lambda x: F.regexp_count(x, F.lit(WORD_PATTERN)).between(low, high))
     each = texts.select(F.explode(F.array_distinct(F.transform(usual, lambda x: F.xxhash64(x)))).alias("line"))
     counted = each.groupBy("line").agg(F.count("*").alias("docs"))
@@ -209,13 +218,14 @@ def assess(
     most_lost: float = 0.5,
     least_left: int = 20,
     common_share: float = 0.01,
-    common_docs: int = 20,
+    common_docs: int = 2,
     most_common: float = 0.2,
+    common_words: tuple[int, int | None] = COMMON_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Every row with its measures, base_failed, lost words and verdict."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_lines(docs, common_share, common_docs, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(common_lines(docs, common_share, common_docs, text_col, common_words))
 
     def make():
         measures, common = Measures(), sent.value
@@ -243,13 +253,14 @@ def clean(
     most_lost: float = 0.5,
     least_left: int = 20,
     common_share: float = 0.01,
-    common_docs: int = 20,
+    common_docs: int = 2,
     most_common: float = 0.2,
+    common_words: tuple[int, int | None] = COMMON_WORDS,
     text_col: str = "text",
 ) -> DataFrame:
     """The documents that are kept, all columns, with failing lines taken out of the text."""
     place = place_of(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(common_lines(docs, common_share, common_docs, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(common_lines(docs, common_share, common_docs, text_col, common_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures, common = Measures(), sent.value
