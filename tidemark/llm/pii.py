@@ -2,8 +2,8 @@
 
 Kinds email, ip, card and phone come from the base rules and always stay. The method adds iban (as long as its country's
 are, confirmed by mod-97), national_id (nine digits in groups of 3-2-4, confirmed by its number ranges) and secret (a
-private key, a token that begins as a known issuer's do, or a run of 20 or more key characters, confirmed by its mix and
-entropy). A proposed span starts from its kind's score, nearby context words raise it and words of other use before it
+private key, a token that begins as a known issuer's do, a run of 20 or more key characters, confirmed by its mix and
+entropy, or a value that the name of a password or key is set to by `=` or `:`). A proposed span starts from its kind's score, nearby context words raise it and words of other use before it
 lower it, and it is added at `threshold` or more unless it overlaps a span that is there. Base spans get a score too,
 which only informs.
 
@@ -53,24 +53,39 @@ _KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z]++ ){0,3}?PRIVATE KEY-----")
 # How tokens of known issuers begin.
 _ISSUED = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk-", "xoxb-", "xoxp-", "eyJ")
 _ENTROPY = 3.0
+_SETS = re.compile(r"[=:]")
+#: A value ends before another sign that sets one, so that every character is looked at for one sign only.
+_VALUE = re.compile(r"[=>]{0,2}[\x20\t]{0,3}[\"']?([^\s\"'<>,;=:]{6,}+={0,2})")
+_AFTER_NAME = r"(?:[_-][A-Za-z0-9_-]{0,24})?[\"']?[\x20\t]{0,3}\Z"
+#: Names whose value may be short, and names whose value has to look like a key.
+_PASSWORD_NAME = re.compile(r"(?:password|passwd|passphrase|pwd|passwort|kennwort|contraseña|mot[\x20_-]de[\x20_-]passe)" + _AFTER_NAME, re.I)
+_KEY_NAME = re.compile(r"(?:secret|token|(?<![a-z])key|apikey|credentials?|secreto|clave|clé|jeton|schlüssel)" + _AFTER_NAME, re.I)
+_NAME_REACH, _KEY_VALUE = 64, 16
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[a-z]+")
+_LETTER = re.compile(r"[A-Za-z]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 #: Start score of each kind, and what a context word adds or takes.
 _START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.4, "secret": 0.4}
 _BONUS, _MALUS, _NEAR = 0.3, 0.3, 48
-#: What a known issuer's beginning adds.
-_ISSUER_BONUS = 0.4
+#: What a known issuer's beginning and a name before the value add.
+_ISSUER_BONUS, _NAME_BONUS = 0.4, 0.2
+#: Context words in English, French, German and Spanish.
 _FOR = {
-    "email": {"email", "mail", "contact", "write"},
-    "ip": {"ip", "address", "server", "host"},
-    "card": {"card", "credit", "visa", "payment", "debit"},
-    "phone": {"phone", "tel", "call", "mobile", "fax"},
-    "iban": {"iban", "bank", "account", "transfer"},
-    "national_id": {"ssn", "social", "security", "id", "taxpayer"},
-    "secret": {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential", "credentials"},
+    "email": set("email mail contact write courriel contactez kontakt correo contacto".split()),
+    "ip": set("ip address server host adresse serveur dirección servidor".split()),
+    "card": set("card credit visa payment debit carte paiement kreditkarte karte zahlung tarjeta pago".split()),
+    "phone": set("phone tel call mobile fax téléphone appelez telefon anruf handy teléfono móvil llame".split()),
+    "iban": set("iban bank account transfer banque compte virement konto überweisung banco cuenta transferencia".split()),
+    "national_id": set("ssn social security id taxpayer sécurité sozialversicherung seguridad".split()),
+    "secret": set(
+        "token secret password passwd pwd key apikey auth bearer credential credentials passe jeton clé "
+        "passwort kennwort schlüssel geheim contraseña clave secreto".split()
+    ),
 }
-_AGAINST = {"version", "order", "invoice", "isbn", "tracking", "part", "serial", "sku"}
+_AGAINST = set(
+    "version order invoice isbn tracking part serial sku commande facture bestellung rechnung seriennummer versión pedido factura".split()
+)
 
 
 def luhn(digits: str) -> bool:
@@ -160,6 +175,20 @@ def _secrets(text: str) -> Iterator[tuple[int, int, float]]:
             yield *m.span(), _ISSUER_BONUS * issued
 
 
+def _named_secrets(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, what is added to the score) of values with letters and digits that a password or key is set to."""
+    for m in _SETS.finditer(text):
+        if not (value := _VALUE.match(text, m.end())):
+            continue
+        found = value[1].rstrip(".!?)]}")
+        if len(found) < 6 or not _DIGIT.search(found) or not _LETTER.search(found):
+            continue
+        name = text[max(0, m.start() - _NAME_REACH) : m.start()]
+        long = len(found) >= _KEY_VALUE and entropy(found) >= _ENTROPY
+        if _PASSWORD_NAME.search(name) or long and _KEY_NAME.search(name):
+            yield value.start(1), value.start(1) + len(found), _NAME_BONUS
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     before = set(_WORD.findall(text[max(0, start - _NEAR) : start].lower()))
     near = before.union(_WORD.findall(text[end : end + _NEAR].lower()))
@@ -200,7 +229,9 @@ def find_spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, f
     more: list[tuple[str, int, int, float]] = []
     if _DIGIT.search(text):
         more += [("iban", s, e, 0.0) for s, e in _ibans(text)] + [("national_id", s, e, 0.0) for s, e in _nationals(text)]
-    more += [("secret", *x) for x in sorted(_secrets(text))]
+    # Of those that begin alike the longest, then the one that is surest.
+    secrets = sorted([*_secrets(text), *_named_secrets(text)], key=lambda x: (x[0], -x[1], -x[2]))
+    more += [("secret", *x) for x in secrets]
     taken = Taken([(s, e) for _, s, e, _ in out])
     for kind, s, e, extra in more:
         score = _bounded(_score(text, kind, s, e) + extra)
