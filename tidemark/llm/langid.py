@@ -9,9 +9,10 @@ end, so a match may run over many words.
 
 The sample is bounded: `sample_docs` labelled documents a language, least by a hash of the id, of each at most `doc_chars`
 characters, and of them all `sample_chars` in equal shares: with 120 documents and 60,000 characters, the first 500 of each
-document's letters. What a short document leaves of its share isn't used. All languages together have `total_chars`
-and `total_docs`, shared out equally if they are more than that allows; a column of over `most_langs` different labels is
-an error. The sample is all that reaches the driver and is broadcast.
+document's letters. What a short document leaves of its share isn't used. `predict` takes any number of labels, in passes
+of `pass_langs` languages by name: the sample of one pass is all that reaches the driver at a time and is broadcast, each
+pass gives every text its two lowest rates, and the lowest of all passes decide, so the passes change no result. `learn`
+gives the samples of few languages at once; it shares out `total_chars` and `total_docs` and refuses over `most_langs`.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled text every row is `und`;
 labels that are null or not eligible teach nothing; every row gives a row, whatever its id; other columns are ignored.
@@ -20,12 +21,13 @@ labels that are null or not eligible teach nothing; every row gives a row, whate
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows
+from .common import kept, map_rows
 
 #: Runs of letters of any script.
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -96,14 +98,24 @@ class Identifier:
         self.names = sorted(samples)
         self.parsers = [Automaton(samples[k]) for k in self.names]
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def lowest(self, text: str | None) -> list[tuple[float, str]]:
+        """The two languages with the fewest phrases a character and their rates; none for a text without letters."""
         line = letters(text) if text else ""
-        if not line or not self.names:
-            return "und", 0.0
-        rates = [p.phrases(line) / len(line) for p in self.parsers]
-        best = min(range(len(rates)), key=lambda i: (rates[i], self.names[i]))
-        rest = min((r for i, r in enumerate(rates) if i != best), default=2 * rates[best])
-        return self.names[best], round(max(0.0, min(1.0, 1 - rates[best] / rest)), 6)
+        if not line:
+            return []
+        return sorted((p.phrases(line) / len(line), name) for p, name in zip(self.parsers, self.names, strict=True))[:2]
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        return decide(self.lowest(text))
+
+
+def decide(rates: list[tuple[float, str]]) -> tuple[str, float]:
+    """The language and score from the lowest rates, in order."""
+    if not rates:
+        return "und", 0.0
+    best, name = rates[0]
+    rest = rates[1][0] if len(rates) > 1 else 2 * best
+    return name, round(max(0.0, min(1.0, 1 - best / rest)), 6)
 
 
 def learn(
@@ -176,7 +188,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def predict(docs: DataFrame, sample_docs: int = 120, sample_chars: int = 60_000) -> DataFrame:
+def _in_passes(docs: DataFrame, labelled: DataFrame, passes: DataFrame, n: int, sample_docs: int, sample_chars: int) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, from the lowest rates of all passes."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    rows = kept(docs.select(F.monotonically_increasing_id().alias("key"), *columns), "texts")
+    found = []
+    for i in range(n):
+        some = labelled.join(F.broadcast(passes.where(F.col("pass") == i)), "lang", "left_semi")
+        shared = docs.sparkSession.sparkContext.broadcast(learn(some, F.lit(True), sample_docs, sample_chars))
+
+        def make(shared=shared):
+            model = Identifier(shared.value)
+            return lambda key, text: ((key, rate, lang) for rate, lang in model.lowest(text))
+
+        found.append(kept(map_rows(rows.select("key", "text"), make, "key long, rate double, lang string"), "rates"))
+        shared.destroy()
+    each = reduce(DataFrame.unionAll, found).groupBy("key").agg(F.collect_list(F.struct("rate", "lang")).alias("all"))
+    each = each.select(F.col("key").alias("of"), F.slice(F.array_sort("all"), 1, 2).alias("rates"))
+    best, rest = F.col("rates")[0]["rate"], F.coalesce(F.get("rates", F.lit(1))["rate"], 2 * F.col("rates")[0]["rate"])
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - best / rest)), 6)
+    return rows.join(each, F.col("key") == F.col("of"), "left").select(
+        "doc_id", F.coalesce(F.col("rates")[0]["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score")
+    )
+
+
+def predict(docs: DataFrame, sample_docs: int = 120, sample_chars: int = 60_000, pass_langs: int = 10) -> DataFrame:
     """Learn from the rows that are not held out and predict every row."""
-    samples = learn(docs, ~held_out(), sample_docs, sample_chars)
-    return identify(docs, samples).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    lang = F.col("lang").cast("string").alias("lang")
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", lang)
+    langs = kept(labelled.select("lang").distinct(), "languages")
+    n = -(-langs.count() // pass_langs)
+    if n > 1:
+        # One row a label.
+        place = (F.row_number().over(Window.orderBy("lang")) - 1) / pass_langs
+        passes = kept(langs.select("lang", F.floor(place).alias("pass")), "passes")
+        found = _in_passes(docs, labelled, passes, n, sample_docs, sample_chars)
+    else:
+        found = identify(docs, learn(labelled, F.lit(True), sample_docs, sample_chars))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
