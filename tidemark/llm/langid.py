@@ -208,7 +208,9 @@ def _in_passes(docs: DataFrame, labelled: DataFrame, passes: DataFrame, n: int,
     best, rest = F.col("rates")[0]["rate"], F.coalesce(F.get("rates", F.lit(1))["rate"], 2 * F.col("rates")[0]["rate"])
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - best / rest)), 6)
     return rows.join(each, F.col("key") == F.col("of"), "left").select(
-        "doc_id", F.coalesce(F.col("rates")[0]["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score")
+        "doc_id",
+        F.coalesce(F.col("rates")[0]["lang"], F.lit("und")).alias("lang_pred"),
+        F.when(F.col("of").isNull(), 0.0).otherwise(score).alias("score"),
     )
 
 
