@@ -79,16 +79,15 @@ def changed_declarations(hunks: DataFrame, sites: DataFrame, bucket: int | None
     on = ["project", "file"]
     site = sites.select(*on, F.col("start_line").alias("s"), F.col("end_line").alias("e"), "key", "is_type", "is_inlined")
     touched = interval_join(hunks, site, on, ("start_line", "end_line"), ("s", "e"), bucket)
-    ranked = written(touched.withColumn("tier", F.when(F.col("is_type"), TYPE).otherwise(MEMBER)), "touched")
     hunk = [*on, "start_line", "end_line"]
-    best = ranked.groupBy(*hunk).agg(F.min("tier").alias("tier"))
-    inside = ranked.join(best, [*hunk, "tier"]).select(*hunk, "tier", "key", "is_inlined")
-    outside = hunks.select(*hunk).distinct().join(best, hunk, "left_anti")
+    named = touched.select(*hunk, F.when(F.col("is_type"), TYPE).otherwise(MEMBER).alias("tier"), "key", "is_inlined")
+    # Every range is in its own file; one shuffle by range finds its least tier and drops repeats.
+    whole = hunks.select(*hunk, F.lit(FILE).alias("tier"), F.lit(None).cast("string").alias("key"), F.lit(False).alias("is_inlined"))
+    tiers = named.unionByName(whole).withColumn("least", F.min("tier").over(Window.partitionBy(*hunk)))
+    best = written(tiers.where("tier = least").drop("least").distinct(), "touched")
     types = sites.where("is_type").select(*on, "key").distinct()
-    elsewhere = outside.join(types, on, "left").select(
-        *hunk, F.lit(FILE).alias("tier"), "key", F.lit(False).alias("is_inlined")
-    )
-    return inside.unionByName(elsewhere).distinct()
+    elsewhere = best.where(F.col("tier") == FILE).drop("key").join(types, on, "left")
+    return best.where(F.col("tier") != FILE).unionByName(elsewhere)
 
 
 @dataclass

@@ -1239,7 +1239,7 @@ def declared_properties(bed: Bed) -> DataFrame:
 
 @query(
     """WITH m AS (SELECT 'f' || p_size AS file, p_brand AS variable, '/' || p_name || '/' AS template, p_partkey FROM part),
-    g AS (SELECT DISTINCT 'f' || p_size AS file, p_brand AS variable, '/api/' || p_size || '/' AS prefix FROM part WHERE p_partkey % 3 = 0)
+    g AS (SELECT DISTINCT 'f' || p_size AS file, p_brand AS variable, '/api/' || p_size || '/' AS prefix FROM part WHERE p_size <= 25)
     SELECT p_partkey, CASE WHEN prefix IS NULL THEN template ELSE rtrim(prefix, '/') || '/' || ltrim(template, '/') END AS template
     FROM m LEFT JOIN g USING (file, variable)"""
 )
@@ -1247,7 +1247,7 @@ def route_prefix(bed: Bed) -> DataFrame:
     part = bed.table("part")
     file = F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file")
     maps = part.select(file, F.col("p_brand").alias("variable"), F.concat(F.lit("/"), "p_name", F.lit("/")).alias("template"), "p_partkey")
-    groups = part.where("p_partkey % 3 = 0").select(
+    groups = part.where("p_size <= 25").select(
         file, F.col("p_brand").alias("variable"), F.concat(F.lit("/api/"), F.col("p_size").cast("string"), F.lit("/")).alias("prefix")
     )
     return routes.resolve_prefixes(maps, groups.distinct()).select("p_partkey", "template")
@@ -1262,18 +1262,18 @@ def explain_matches(bed: Bed) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT n_name AS project, count(*) AS selected FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 3 = 0 GROUP BY 1)
-    SELECT n_name AS project, coalesce(selected, 0) AS selected, coalesce(selected > 50, TRUE) AS filtered
+    """WITH s AS (SELECT n_name AS project, count(*) AS selected FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1 GROUP BY 1)
+    SELECT n_name AS project, coalesce(selected, 0) AS selected, coalesce(selected > 60, TRUE) AS filtered
     FROM nation LEFT JOIN s ON n_name = project WHERE n_regionkey < 3"""
 )
 def default_selections(bed: Bed) -> DataFrame:
     nation = bed.table("nation")
     named = nation.select(F.col("n_name").alias("name"), (F.col("n_regionkey") < 3).alias("is_test"))
     counts = (
-        bed.table("customer").where("c_nationkey % 3 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        bed.table("customer").join(nation.where("n_regionkey <> 1"), F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_name").alias("project")).agg(F.count("*").alias("selected"))
     )
-    return harness.default_selections(named, counts.withColumn("filtered", F.col("selected") > 50))
+    return harness.default_selections(named, counts.withColumn("filtered", F.col("selected") > 60))
 
 
 @query("SELECT event_id AS seq, user_id FROM events ORDER BY event_id DESC LIMIT 100")
@@ -1342,9 +1342,9 @@ def scalar_texts(bed: Bed) -> DataFrame:
 
 
 @query(
-    """WITH reached AS (SELECT 'N' || c_nationkey AS type, 'C' || c_custkey AS key, c_custkey AS k, c_nationkey AS n FROM customer),
-    bounding AS (SELECT type FROM reached WHERE n % 4 = 0 AND n % 8 <> 4), marked AS (SELECT *, k % 6 = 0 OR k % 35 = 0 AS keep FROM reached),
-    kept AS (SELECT type, key FROM marked WHERE type IN (SELECT type FROM bounding) AND keep)
+    """WITH reached AS (SELECT 'N' || c_nationkey AS type, 'C' || c_custkey AS key, c_mktsegment = 'BUILDING' OR c_acctbal < 0 AS keep, c_nationkey AS n FROM customer),
+    bounding AS (SELECT type FROM reached WHERE n % 4 = 0 AND n % 8 <> 4),
+    kept AS (SELECT type, key FROM reached WHERE type IN (SELECT type FROM bounding) AND keep)
     SELECT type, key FROM kept UNION ALL SELECT type, key FROM reached WHERE type NOT IN (SELECT type FROM kept)"""
 )
 def type_flow_narrow(bed: Bed) -> DataFrame:
@@ -1353,29 +1353,29 @@ def type_flow_narrow(bed: Bed) -> DataFrame:
     reached = customer.select(kind, key)
     types = bed.table("nation").where("n_nationkey % 4 = 0").select(keyed("N", "n_nationkey").alias("type"))
     facts = bed.table("nation").where("n_nationkey % 8 <> 4").select(F.array(keyed("N", "n_nationkey")).alias("obtained"))
-    known = customer.where("c_custkey % 6 = 0").select(keyed("C", "c_custkey").alias("node"), kind)
-    unknown = customer.where("c_custkey % 35 = 0").select(keyed("C", "c_custkey").alias("node"))
+    known = customer.where("c_mktsegment = 'BUILDING'").select(keyed("C", "c_custkey").alias("node"), kind)
+    unknown = customer.where("c_acctbal < 0").select(keyed("C", "c_custkey").alias("node"))
     return typeflow.narrow(reached, types, facts, known, unknown)
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT c_mktsegment AS project, 'x' || c_nationkey AS detail FROM customer WHERE c_custkey % 2 = 0),
-    b AS (SELECT DISTINCT c_mktsegment, 'x' || c_nationkey FROM customer WHERE c_custkey % 3 = 0)
+    """WITH a AS (SELECT DISTINCT c_mktsegment AS project, 'x' || c_nationkey AS detail FROM customer WHERE c_nationkey < 15),
+    b AS (SELECT DISTINCT c_mktsegment, 'x' || c_nationkey FROM customer WHERE c_nationkey >= 10)
     SELECT 'widening' AS what, project, detail FROM (SELECT * FROM a UNION SELECT * FROM b)
-    UNION ALL SELECT 'seed', '', 'C' || c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0
-    UNION ALL SELECT 'unmapped', '', 'u' || c_custkey FROM customer WHERE c_custkey % 2 = 0
-    UNION ALL SELECT 'unmapped', '', 'u' || c_custkey FROM customer WHERE c_custkey % 3 = 0"""
+    UNION ALL SELECT 'seed', '', 'C' || c_custkey FROM customer
+    UNION ALL SELECT 'unmapped', '', 'u' || c_custkey FROM customer WHERE c_nationkey < 15
+    UNION ALL SELECT 'unmapped', '', 'u' || c_custkey FROM customer WHERE c_nationkey >= 10"""
 )
 def change_union(bed: Bed) -> DataFrame:
-    def some(n: int) -> changes.ChangeSet:
-        rows = bed.table("customer").where(F.col("c_custkey") % n == 0)
+    def of(nations: str) -> changes.ChangeSet:
+        rows = bed.table("customer").where(nations)
         wide = rows.select(
             F.col("c_mktsegment").alias("project"), F.lit("c").alias("cause"), keyed("x", "c_nationkey").alias("detail"), F.lit(True).alias("widens")
         )
         lost = rows.select(keyed("u", "c_custkey").alias("detail"))
         return changes.ChangeSet(rows.select(keyed("C", "c_custkey").alias("key")), wide, lost, lost.limit(0))
 
-    both = some(2).union(some(3))
+    both = of("c_nationkey < 15").union(of("c_nationkey >= 10"))
     none = F.lit("").alias("project")
     return (
         both.widenings.select(F.lit("widening").alias("what"), "project", "detail")
