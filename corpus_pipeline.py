@@ -12,13 +12,15 @@ from tidemark.llm import decontam, mixing, quality, sharding, simhash
 from tidemark.llm.common import kept
 
 SHARDS = 8
+#: A line that is in fewer documents is not common, whatever its share.
+COMMON_DOCS = 20
 #: What sharding says of a row.
 PLACE = ("size", "text_crc32", "law", "shard", "slot")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
-    return quality.clean(docs)
+    return quality.clean(docs, common_docs=COMMON_DOCS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
