@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import filters as fx
 from .functions import names
 from .functions.routes import attribute_name, normalise_route
-from .operators import changes, declarations, discovery, filters, graph, harness, ledger, report, routes, safety, selection, typeflow
+from .operators import changes, declarations, discovery, filters, graph, harness, ledger, properties, report, routes, safety, selection, typeflow
 from .plans import analyze as analysis
 from .plans import maintain
 from .plans.intervals import longest_prefix
@@ -1237,6 +1237,68 @@ def declared_properties(bed: Bed) -> DataFrame:
     return safety.declared_properties(rows)
 
 
+@query(
+    """WITH p AS (SELECT p_type AS root, p_brand, p_size, p_brand || '/s' || p_size || '/P' || p_partkey || '.csproj' AS project,
+      p_partkey, p_name, length(p_name) AS n FROM part),
+    brand AS (SELECT p_type AS root, p_brand, 'net' || max(p_size) || '.0' AS fw FROM part GROUP BY ALL),
+    size AS (SELECT p_type AS root, p_brand, p_size, CASE WHEN count(*) > 1 THEN 'true' ELSE 'false' END AS test FROM part GROUP BY ALL),
+    root AS (SELECT p_type AS root, 'r' || count(*) AS runner FROM part GROUP BY ALL),
+    s AS (
+      SELECT root, project, 'OutputType' AS name, CASE WHEN n % 3 = 0 OR n % 3 = 1 AND p_size = 7 THEN 'Library' WHEN n % 3 = 1 THEN p_name ELSE '' END AS value FROM p
+      UNION ALL SELECT root, project, 'EnableMSTestRunner', CASE WHEN n % 3 = 1 AND p_size <> 7 THEN p_brand ELSE root END FROM p
+      UNION ALL SELECT p.root, project, 'TargetFramework', fw FROM p JOIN brand USING (root, p_brand)
+      UNION ALL SELECT p.root, project, 'IsTestProject', test FROM p JOIN size USING (root, p_brand, p_size)
+      UNION ALL SELECT p.root, project, 'GlobalJsonTestRunner', runner FROM p JOIN root USING (root))
+    SELECT root, project, name, value FROM s"""
+)
+def property_chain(bed: Bed) -> DataFrame:
+    part = bed.table("part").withColumn("root", F.col("p_type"))
+    path = F.concat("p_brand", F.lit("/s"), F.col("p_size").cast("string"), F.lit("/P"), F.col("p_partkey").cast("string"), F.lit(".csproj"))
+    part = part.withColumn("project", path)
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def setting(name: str, value) -> Column:
+        return text(f"<{name}>", value, f"</{name}>")
+
+    def props(df: DataFrame, folder, *settings) -> DataFrame:
+        body = text("<Project><PropertyGroup>", *settings, "</PropertyGroup></Project>")
+        return df.select("root", text(folder, "Directory.Build.props").alias("path"), body.alias("text"))
+
+    n = F.length("p_name") % 3
+    # A third of the projects set nothing of ours; a third set two values, one of them in a nested group and twice, and are
+    # broken at one size; a third empty one.
+    said = text(
+        '<Project xmlns="urn:p"><PropertyGroup><OutputType Condition="c">x</OutputType></PropertyGroup><Choose><When><PropertyGroup>',
+        setting("OutputType", text("\n ", F.col("p_name"), "\n")),
+        setting("EnableMSTestRunner", F.col("p_brand")),
+        "</PropertyGroup></When></Choose>",
+        F.when(F.col("p_size") == 7, "<").otherwise(""),
+        "</Project>",
+    )
+    own = F.when(n == 0, "<Project><PropertyGroup><Other>1</Other></PropertyGroup><OutputType>y</OutputType></Project>").when(n == 1, said)
+    own = own.otherwise("<Project><PropertyGroup><OutputType/></PropertyGroup></Project>")
+    by_root = part.groupBy("root").agg(F.count("*").cast("string").alias("n"))
+    by_brand = part.groupBy("root", "p_brand").agg(F.max("p_size").cast("string").alias("most"))
+    by_size = part.groupBy("root", "p_brand", "p_size").agg(F.count("*").alias("n"))
+    runner = text('{"test": {"runner": "r', F.col("n"), '"}}').alias("text")
+    files = (
+        part.select("root", F.col("project").alias("path"), own.alias("text"))
+        .unionByName(props(by_root, "", setting("OutputType", "Library"), setting("EnableMSTestRunner", F.col("root")), setting("TargetFramework", "net1.0")))
+        .unionByName(props(by_brand, text(F.col("p_brand"), "/"), setting("TargetFramework", text("net", F.col("most"), ".0")), setting("IsTestProject", "maybe")))
+        .unionByName(
+            props(
+                by_size,
+                text(F.col("p_brand"), "/s", F.col("p_size").cast("string"), "/"),
+                setting("IsTestProject", F.when(F.col("n") > 1, "true").otherwise("false")),
+            )
+        )
+        .unionByName(by_root.select("root", F.lit("global.json").alias("path"), runner))
+    )
+    return properties.property_chain(part.select("root", F.col("project").alias("path")), files)
+
+
 @query(
     """WITH m AS (SELECT 'f' || p_size AS file, p_brand AS variable, '/' || p_name || '/' AS template, p_partkey FROM part),
     g AS (SELECT DISTINCT 'f' || p_size AS file, p_brand AS variable, '/api/' || p_size || '/' AS prefix FROM part WHERE p_size <= 25)
