@@ -214,3 +214,43 @@ def test_narrowing_never_empties(spark):
     unknown = spark.createDataFrame([], "node string")
     got = {tuple(r) for r in typeflow.narrow(pairs, types, facts, known, unknown).collect()}
     assert got == {("T", "b"), ("V", "a"), ("W", "a")}
+
+
+def test_walk_shuffles_neither_steps_nor_known_rows(spark, capsys):
+    """Seeds over many rounds with one source that holds half of all edges, more named keys than a round lists."""
+    from tidemark.operators import graph as g
+
+    hub = [("hub", f"leaf{i}") for i in range(300)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c3", "hub"), ("c5", "c2")]
+    twigs = [(f"leaf{i}", f"twig{i % 7}") for i in range(0, 300, 2)]
+    links = hub + chain + twigs
+    nodes = spark.createDataFrame([(k, "Method", None) for k in sorted({x for e in links for x in e})], "key string, kind string, containing_type string")
+    edges = spark.createDataFrame([(a, b, 1) for a, b in links], "src string, dst string, kind int")
+    graph = g.Graph(nodes, edges)
+    assert {r["key"] for r in graph.heavy.select("key").distinct().collect()} == {"hub"}
+    assert graph.light.count() + graph.heavy.count() == len(links)
+
+    want, ring, hops = {"c0": 1}, ["c0"], 1
+    while ring:
+        hops += 1
+        ring = sorted({b for a, b in links if a in ring and b not in want})
+        want |= dict.fromkeys(ring, hops)
+    seeds = spark.createDataFrame([("", "c0")], "origin string, key string")
+    got = g.walk(graph, seeds, False)
+    assert {r["key"]: r["hops"] for r in got.collect()} == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]
+
+    known = g.Rounds(spark, "t", "key string", ["key"])
+    known.append(seeds.select("key"), 1)
+    again = seeds.select("key").groupBy("key").count().join(known.all(), "key", "left_anti")
+    plan = again._jdf.queryExecution().sparkPlan().toString() + again._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    known.closed()
+
+    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    spark.conf.set(auto, "false")
+    try:
+        graph.light.where("key = 'c3'").explain("formatted")
+    finally:
+        spark.conf.unset(auto)
+    assert "SelectedBucketsCount: 1 out of" in capsys.readouterr().out

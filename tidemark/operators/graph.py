@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.buckets import Rounds, bucket_count, bucketed
 from ..plans.fixpoint import closure, union_all
 from ..plans.workdir import written
 from ..schemas import DISPATCH, DISPATCH_BY_REQUEST, DISPATCH_BY_ROUTE, DOWNWARD, GENERALISE_ROUNDS, UPWARD
@@ -114,10 +115,26 @@ class Graph:
         )
         #: One adjacency for edges and containment.
         self.steps = written(union_all([plain, followed, fan_out]), "adjacency")
+        # Sources of more than their share of the steps, few by that: a bucket would hold all of one, and no task could share
+        # them. Their steps stay in a table of their own, which a join may split.
+        share = self.steps.count() // (_PER_BUCKET * bucket_count(nodes.sparkSession)) + 1
+        heavy = written(self.steps.groupBy("key").count().where(F.col("count") > share).select("key"), "heavy")
+        self.heavy = None if heavy.isEmpty() else written(self.steps.join(heavy, "key", "left_semi"), "heavy-steps")
+        light = self.steps if self.heavy is None else self.steps.join(heavy, "key", "left_anti")
+        self.light = bucketed(light, "light-steps", "key")
 
+    def onward(self, frontier: DataFrame, keys: list[str] | None = None) -> DataFrame:
+        """The frontier's rows with each of the steps from their key; only buckets of `keys` are read, if they are named."""
+        parts = [self.light] if self.heavy is None else [self.light, self.heavy]
+        if keys is not None:
+            parts = [p.where(F.col("key").isin(keys)) for p in parts]
+        return union_all([frontier.join(p, "key") for p in parts])
 
-#: Tables of past rounds before they are written as one.
-_ROUNDS = 8
+
+#: A source with more than one in this many of a bucket's even share of all steps is heavy.
+_PER_BUCKET = 4
+#: A frontier of so many rows at most names its keys, so that a round reads their buckets only; the result is the same.
+_NAMED = 200
 
 
 def walk(
@@ -138,35 +155,31 @@ def walk(
 def _walk(graph: Graph, start: DataFrame, predecessors: bool) -> DataFrame:
     """`walk` from rows (origin, climbs, key, free): whether upward edges are allowed, and whether the seed is free.
 
-    Many origins walk in one fixpoint; a round joins the frontier with the adjacency on the key, and drops what is known
-    to be as free as it arrives by an anti-join, so nothing known is aggregated again.
+    Many origins walk in one fixpoint. Steps lie in buckets by their source and what is known in buckets by (origin, climbs,
+    key), so a round shuffles its frontier to the steps and its arrivals to what is known, and nothing else; known rows
+    that are as free as an arrival drop it by an anti-join.
     """
-    columns = ["origin", "climbs", "key", "free", "hops", "pred", "pred_kind"]
-    none = {"hops": F.lit(1), "pred": F.lit(None).cast("string"), "pred_kind": F.lit(None).cast("int")}
-    frontier = written(start.withColumns(none).select(*columns), "walk")
-    rounds, hops = [frontier], 1
-    while not frontier.isEmpty():
+    spark, ends = start.sparkSession, ["origin", "climbs", "key"]
+    known = Rounds(spark, "walk", "origin string, climbs boolean, key string, free boolean, pred string, pred_kind int", ends)
+    none = {"pred": F.lit(None).cast("string"), "pred_kind": F.lit(None).cast("int")}
+    hops = 1
+    frontier = known.append(start.withColumns(none).repartition(bucket_count(spark), *ends), hops)
+    while some := frontier.select("key").limit(_NAMED + 1).collect():
         hops += 1
-        if len(rounds) > _ROUNDS:
-            rounds = [written(union_all(rounds), "walked")]
+        named = sorted({r["key"] for r in some}) if len(some) <= _NAMED else None
         arrivals = (
-            frontier.select("origin", "climbs", "key", "free")
-            .join(graph.steps, "key")
+            graph.onward(frontier.select(*ends, "free"), named)
             .where((F.col("free") | ~F.col("downward")) & (F.col("climbs") | ~F.col("upward")))
             .select("origin", "climbs", F.col("to").alias("key"), (~F.col("upward")).alias("free"), F.col("key").alias("pred"), "kind")
-            .groupBy("origin", "climbs", "key")
+            .groupBy(*ends)
             .agg(F.bool_or("free").alias("free"), F.min(F.struct("pred", "kind")).alias("by"))
         )
-        known = union_all(rounds).select("origin", "climbs", "key", "free")
-        a, k = arrivals.alias("a"), known.alias("k")
-        same = (F.col("a.key") == F.col("k.key")) & (F.col("a.origin") == F.col("k.origin")) & (F.col("a.climbs") == F.col("k.climbs"))
+        a, k = arrivals.alias("a"), known.all().select(*ends, "free").alias("k")
+        same = (F.col("a.origin") == F.col("k.origin")) & (F.col("a.climbs") == F.col("k.climbs")) & (F.col("a.key") == F.col("k.key"))
         fresh = a.join(k, same & (F.col("k.free") | ~F.col("a.free")), "left_anti")
-        found = fresh.select(
-            "origin", "climbs", "key", "free", F.lit(hops).alias("hops"), F.col("by.pred").alias("pred"), F.col("by.kind").alias("pred_kind")
-        )
-        frontier = written(found, "walk")
-        rounds.append(frontier)
-    first = union_all(rounds).groupBy("origin", "climbs", "key")
+        found = fresh.select(*ends, "free", F.col("by.pred").alias("pred"), F.col("by.kind").alias("pred_kind"))
+        frontier = known.append(found, hops)
+    first = known.closed().groupBy(*ends)
     if not predecessors:
         return first.agg(F.min("hops").alias("hops"))
     return first.agg(F.min("hops").alias("hops"), F.min_by(F.struct("pred", "pred_kind"), "hops").alias("p")).select(
