@@ -219,6 +219,44 @@ def generalise_select(bed: Bed) -> DataFrame:
     return graph.traverse(g, _keys(bed, "C1", "C4", "N2"))
 
 
+@query(
+    f"""WITH RECURSIVE {_INTERFACES}, steps AS (
+      SELECT src, dst, (kind & 768) <> 0 AND (kind & (~768)) = 0 AS up, (kind & 6) <> 0 AND (kind & (~6)) = 0 AS down, kind FROM edges UNION ALL
+      SELECT m.containing_type, m.key, FALSE, FALSE, 32 FROM nodes m JOIN nodes t ON m.containing_type = t.key AND t.kind = 'Type'),
+    w(key, hops, via) AS (SELECT unnest(['C1', 'C4', 'N2']), 1, NULL::STRUCT(pred VARCHAR, kind INT) UNION
+      SELECT s.dst, w.hops + 1, {{'pred': s.src, 'kind': s.kind}} FROM w JOIN steps s ON w.key = s.src WHERE NOT s.up AND hops < 9),
+    impacted AS (SELECT key, min({{'hops': hops, 'via': via}}) AS least FROM w GROUP BY key),
+    pairs AS (SELECT e.src AS impl, e.dst AS decl, e.kind, i.least.hops AS hops, n.containing_type AS type
+      FROM edges e JOIN impacted i ON e.src = i.key JOIN nodes n ON n.key = e.src WHERE e.kind = 256),
+    d(origin, key, free, hops, via) AS (SELECT DISTINCT decl, decl, FALSE, 1, NULL::STRUCT(pred VARCHAR, kind INT) FROM pairs UNION
+      SELECT origin, s.dst, NOT s.up, d.hops + 1, {{'pred': s.src, 'kind': s.kind}} FROM d JOIN steps s ON d.key = s.src WHERE (free OR NOT s.down) AND d.hops < 9),
+    nearest AS (SELECT origin, key, min({{'hops': hops, 'via': via}}) AS least FROM d GROUP BY origin, key),
+    t(origin, key) AS (SELECT DISTINCT type, type FROM pairs UNION SELECT origin, s.dst FROM t JOIN steps s ON t.key = s.src WHERE NOT s.up),
+    bounded AS (SELECT DISTINCT origin FROM t JOIN nodes n ON t.key = n.key WHERE t.key <> origin AND n.containing_type IS DISTINCT FROM origin),
+    added AS (SELECT n.key, {{'hops': p.hops + n.least.hops, 'via': CASE WHEN n.key = p.decl THEN {{'pred': p.impl, 'kind': p.kind}} ELSE n.least.via END}} AS least
+      FROM pairs p JOIN nearest n ON n.origin = p.decl
+      WHERE p.type NOT IN (SELECT origin FROM bounded) OR n.key = p.decl OR EXISTS (SELECT 1 FROM t WHERE t.origin = p.type AND t.key = n.key)),
+    walked AS (SELECT * FROM impacted UNION ALL SELECT key, min(least) FROM added WHERE key NOT IN (SELECT key FROM impacted) GROUP BY key),
+    c(target, head, path, kinds) AS (SELECT key, key, [key], []::INT[] FROM walked UNION
+      SELECT target, least.via.pred, list_prepend(least.via.pred, path), list_prepend(least.via.kind, kinds)
+      FROM c JOIN walked ON head = key WHERE least.via IS NOT NULL AND NOT list_contains(path, least.via.pred))
+    SELECT target, array_to_string(path, ' > ') AS path, array_to_string(kinds, ',') AS kinds, len(list_filter(kinds, lambda k: k = 256))::INT AS upward
+    FROM c JOIN walked ON head = key WHERE least.via IS NULL OR list_contains(path, least.via.pred)"""
+)
+def explain_generalised(bed: Bed) -> DataFrame:
+    """The chain from a seed to every impacted key, over declarations that upward edges lead to."""
+    nodes, edges = bed.interface_graph()
+    g = graph.Graph(written(nodes, "nodes"), written(graph.merge_edges(edges), "edges"))
+    walked = written(graph.traverse(g, _keys(bed, "C1", "C4", "N2"), predecessors=True), "walked")
+    kinds = F.filter(F.transform("path", lambda p: p["kind"]), lambda k: k.isNotNull())
+    return graph.paths_to(walked, walked.select("key")).select(
+        "target",
+        F.array_join(F.transform("path", lambda p: p["key"]), " > ").alias("path"),
+        F.array_join(F.transform(kinds, lambda k: k.cast("string")), ",").alias("kinds"),
+        F.size(F.filter(kinds, lambda k: k == 256)).alias("upward"),
+    )
+
+
 # Type flow -----------------------------------------------------------------------------------------------------------
 
 _FLOW = f"""{NODES}, {EDGES}, succ AS (
