@@ -1,6 +1,7 @@
 """Periodic runs, ranked search and language-model scores against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -263,6 +264,57 @@ def test_each_id_is_scored_once_and_sees_only_what_is_before():
         assert got[0] == pytest.approx(total, rel=1e-4)
 
 
+def test_every_id_is_learnt(spark):
+    """A round moves the embedding of each id of a long text, wherever it stands, and of none in held-out texts only."""
+    words = [f"{a}{b}{c}{d}" for a in "bdfgklm" for b in "aeiou" for c in "nprstvz" for d in "aeiou"]
+    learnt, held = (next(i for i in range(100) if lmscore.is_held_out(i) == k) for k in (False, True))
+    shape = replace(SMALL, train_every=32)
+    rows = [(learnt, " ".join(words), "x", "s", None), (held, "\u4e16\u754c", "x", "s", None)]
+    blocks = lmscore._blocks(table(spark, rows), queries.piece_path(), shape, "doc_id", "text")
+    pieces = lmscore.Pieces(queries.piece_path())
+    model = lmscore.Model(np.ones(pieces.end + 1, np.int64), np.arange(pieces.end + 1) % shape.classes, shape)
+    before = model.w["tokens"].copy()
+    lmscore._round(blocks, model, 1e-2)
+    moved = set(np.flatnonzero((model.w["tokens"] != before).any(axis=1)).tolist())
+    assert moved == {pieces.end, *(i for word in pieces.of([w.encode() for w in words]) for i in word)}
+
+
+def test_windows_have_each_id_as_a_target_once(spark):
+    rng = np.random.default_rng(4)
+    t = SMALL.context
+    lengths = np.array([1, 2, t - 1, t, t + 1, 2 * t, 7 * t + 5])
+    ends = np.cumsum(lengths)
+    sequence = rng.permutation(ends[-1] + 1)
+    for every in (1, 2, 32):
+        shape = replace(SMALL, train_every=every)
+        windows = lmscore.cut_windows(sequence, *lmscore.window_bounds(ends, shape), shape)
+        targets = windows[:, 1:]
+        assert sorted(targets[targets >= 0].tolist()) == sorted(sequence[1:].tolist())
+        assert len(windows) == sum(-(-n // t) for n in lengths)
+
+
+def test_neighbours_are_those_of_all_training_texts(spark):
+    rng = random.Random(8)
+    words = ["the", "a", "of", *(f"{a}{b}{c}" for a in "bdfgklmnp" for b in "aeiou" for c in "nprst")]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([3, 60, 700]))), "x", "s", None) for i in range(40)]
+    shape = replace(SMALL, seed_windows=5)
+    blocks = lmscore._blocks(table(spark, rows), queries.piece_path(), shape, "doc_id", "text")
+    pieces = lmscore.Pieces(queries.piece_path())
+    texts = [[i for w in pieces.of([w.encode() for w in r[1].split()]) for i in w] for r in rows if not lmscore.is_held_out(r[0])]
+    count = Counter(i for text in texts for i in text)
+    counts = np.array([count[i] for i in range(pieces.end + 1)])
+    of = lmscore.commonest(counts, shape)
+    beside, seed = lmscore._start(blocks, of, shape)
+    want = np.zeros_like(beside)
+    for text in texts:
+        for left, right in itertools.pairwise([pieces.end, *text, pieces.end]):
+            if of[right] == shape.single:
+                want[right, of[left]] += 1
+            if of[left] == shape.single:
+                want[left, shape.single + 1 + of[right]] += 1
+    assert (beside == want).all() and len(seed) == 5
+
+
 def test_gradients():
     rng = np.random.default_rng(5)
     shape = replace(SMALL, width=4, context=6, single=5, clusters=2)

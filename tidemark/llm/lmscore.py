@@ -6,10 +6,10 @@
    What is shuffled is a row for each word of a block, not for each word of a text.
 3. *Model.* Token embedding plus place, one causal attention and a softmax over classes of ids; an id's share of its class
    comes from counts of all training documents, by the class before it. The commonest ids are classes of their own, others
-   are clustered by their neighbours.
-4. *Training.* Every training document gives windows, one in `train_every` of its own and one at least, so what is learnt
-   from grows with the corpus. A start is fitted on the driver from a bounded sample (`seed_windows` windows); then, for
-   `rounds` rounds, each task goes on from the shared weights over all windows it has, and the changes are averaged.
+   are clustered by their neighbours, counted over all training documents too.
+4. *Training.* Training documents are cut into windows of `context` ids from end to end, and all are learnt from: every id is a
+   target once a round. A start is fitted on the driver from a bounded sample (`seed_windows` windows); then, for `rounds`
+   rounds, each task goes on from the shared weights over all windows it has, and the changes are averaged.
 5. *Scoring.* Windows of `context` ids overlap. A window scores only the ids that no window before scored, so each is
    scored once, with at least `context - step` ids before it where the text has them; many windows are one batch of masked
    matrix products.
@@ -39,7 +39,8 @@ from .common import kept, text_bytes
 _BLOCK_BYTES = 8 << 20
 _BLOCK_ROWS = 20_000
 _HASHES = 1 << 30
-_EXP_MOST = np.float32(60)
+# Logits of base 2 are cut above this, and so many rows of them are worked on at once as stay in a core's cache.
+_LOG2_E, _MOST, _ROWS = float(np.log2(np.e)), np.float32(86), 384
 # A float's bits, as a whole number, of 1; what they grow by from 1 to e, on average; and those of about 2^126.
 _ONE_BITS, _UNIT, _MOST_BITS = 127 << 23, (1 << 23) / np.log(2), 253 << 23
 
@@ -53,6 +54,7 @@ class Shape:
     step: int = 40
     single: int = 96
     clusters: int = 32
+    #: Turns in which a text's windows are learnt, neighbours in different ones; none is left out.
     train_every: int = 32
     seed_windows: int = 4096
     seed_steps: int = 800
@@ -95,14 +97,18 @@ _BLOCKS = {
     "piece_sizes": pa.list_(pa.int32()),
     "ids": pa.list_(pa.int32()),
     "id_counts": pa.list_(pa.int64()),
-    "windows": pa.list_(pa.int32()),
+    "windows": pa.int64(),
 }
 _BLOCKS_SQL = (
     "block long, doc_ids array<long>, sizes array<long>, places binary, words array<binary>, counts array<long>, "
-    "pieces binary, piece_sizes array<int>, ids array<int>, id_counts array<long>, windows array<int>"
+    "pieces binary, piece_sizes array<int>, ids array<int>, id_counts array<long>, windows long"
 )
 
 
+#: The columns that hold the texts.
+_TEXTS = ("doc_ids", "sizes", "places", "pieces", "piece_sizes")
+
+
 class _Known(dict):
     """Word -> place, in the order of first use; place 0 is the mark."""
 
@@ -149,21 +155,10 @@ def _block(key: int, rows: list[tuple[int | None, bytes]], encode: Pieces, shape
     counts = np.bincount(places[np.repeat(learnt, sizes)], minlength=len(words))
     ids = np.bincount(pieces, np.repeat(counts, piece_sizes), minlength=encode.end + 1).astype(np.int64)
     some = np.flatnonzero(ids)
-    flat, each = _spread(places, pieces, piece_sizes)
-    flat = np.append(flat, encode.end).astype(np.int32)
-    ends = np.cumsum(each)[np.cumsum(sizes) - 1]
-    windows = []
-    for i in np.flatnonzero(learnt).tolist():
-        begin, end = int(ends[i - 1]) if i else 0, int(ends[i])
-        n = -(-(end - begin) // shape.context)
-        first = zlib.crc32(f"window {rows[i][0]}".encode()) % min(n, shape.train_every)
-        for at in range(begin + first * shape.context, end, shape.context * shape.train_every):
-            part = flat[at : min(at + shape.context, end) + 1]
-            windows.append(np.append(part, np.full(shape.context + 1 - len(part), -1, np.int32)))
-    flat_windows = np.concatenate(windows) if windows else np.zeros(0, np.int32)
+    own = np.add.reduceat(piece_sizes[places], np.cumsum(sizes) - sizes)
     return (
         key, [d for d, _ in rows], sizes, _squeeze(places), words, counts, _squeeze(pieces), piece_sizes.astype(np.int32),
-        some.astype(np.int32), ids[some], flat_windows,
+        some.astype(np.int32), ids[some], int((-(-own[learnt] // shape.context)).sum()),
     )
 
 
@@ -174,6 +169,31 @@ def _opened(doc_ids, sizes, places, pieces, piece_sizes) -> tuple:
     return doc_ids.values, sizes, places, pieces, piece_sizes
 
 
+def _learnt(doc_ids, sizes, places, pieces, piece_sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a block's training documents and a mark, and where each document ends: at the next one's mark."""
+    learnt = np.array([not is_held_out(x) for x in doc_ids.to_pylist()], bool)
+    sequence, each = _spread(places[np.repeat(learnt, sizes)], pieces, piece_sizes)
+    return np.append(sequence, pieces[0]), np.cumsum(each)[np.cumsum(sizes[learnt]) - 1]
+
+
+def window_bounds(ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows begin, and where their texts end: without gaps, so that every id is a target in just one of them."""
+    lengths = np.diff(ends, prepend=0)
+    many = -(-lengths // shape.context)
+    text = np.repeat(np.arange(len(ends)), many)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    order = np.argsort(nth % shape.train_every, kind="stable")
+    return ((ends - lengths)[text] + nth * shape.context)[order], ends[text][order]
+
+
+def cut_windows(sequence: np.ndarray, begins: np.ndarray, ends: np.ndarray, shape: Shape) -> np.ndarray:
+    """A row for each window: its ids, the one to come, -1 behind the mark at its text's end."""
+    where = begins[:, None] + np.arange(shape.context + 1)
+    out = sequence[np.minimum(where, len(sequence) - 1)]
+    out[where > ends[:, None]] = -1
+    return out
+
+
 def _blocks(docs: DataFrame, model_path: str, shape: Shape, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,20 +225,39 @@ def _blocks(docs: DataFrame, model_path: str, shape: Shape, id_col: str, text_co
 # Model
 
 
+def commonest(counts: np.ndarray, shape: Shape) -> np.ndarray:
+    """A class for each of the commonest ids, `single` for the others."""
+    order = np.lexsort((np.arange(len(counts)), -counts))[: shape.single]
+    out = np.full(len(counts), shape.single, np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def neighbours(sequence: np.ndarray, of: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often ids without a class of their own have each class before them, and (behind those columns) after them."""
+    n = shape.single + 1
+    of = of[sequence]
+    left, right = np.flatnonzero(of[1:] == shape.single), np.flatnonzero(of[:-1] == shape.single)
+    keys = np.concatenate((sequence[left + 1] * (2 * n) + of[left], sequence[right] * (2 * n) + n + of[right + 1]))
+    found = np.bincount(keys, minlength=1)
+    key = np.flatnonzero(found)
+    return key // (2 * n), key % (2 * n), found[key]
+
+
 def classes_of(counts: np.ndarray, windows: np.ndarray, shape: Shape) -> np.ndarray:
+    """The classes of ids by the neighbours they have in windows."""
+    of = commonest(counts, shape)
+    beside = np.zeros((len(counts), 2 * (shape.single + 1)))
+    for x in windows:
+        at, column, n = neighbours(x[x >= 0], of, shape)
+        beside[at, column] += n
+    return cluster(counts, beside, shape)
+
+
+def cluster(counts: np.ndarray, beside: np.ndarray, shape: Shape) -> np.ndarray:
     """A class for each id: the commonest have one of their own, others are clustered by the ids beside them."""
-    n = len(counts)
-    order = np.lexsort((np.arange(n), -counts))
-    out = np.full(n, shape.single, np.int64)
-    out[order[: shape.single]] = np.arange(min(n, shape.single))
-    rest = order[shape.single :]
-    if not len(rest):
-        return out
-    beside = np.zeros((n, 2 * (shape.single + 1)))
-    left, right = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-    left, right = left[right >= 0], right[right >= 0]
-    np.add.at(beside, (right, out[left]), 1)
-    np.add.at(beside, (left, shape.single + 1 + out[right]), 1)
+    out = commonest(counts, shape)
+    rest = np.lexsort((np.arange(len(counts)), -counts))[shape.single :]
     seen = rest[(beside[rest].sum(axis=1) > 0)]
     if not len(seen):
         return out
@@ -234,6 +273,19 @@ def classes_of(counts: np.ndarray, windows: np.ndarray, shape: Shape) -> np.ndar
     return out
 
 
+def _sums_by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, and the sums of their rows. Most ids come once, and need no sum."""
+    order = np.argsort(ids)
+    ids, rows = ids[order], rows[order]
+    at = np.flatnonzero(np.diff(ids, prepend=-1))
+    lengths = np.diff(at, append=len(ids))
+    out, several = rows[at], lengths > 1
+    if several.any():
+        some = lengths[several]
+        out[several] = np.add.reduceat(rows[np.repeat(several, lengths)], np.cumsum(some) - some)
+    return ids[at], out
+
+
 class Model:
     """Embedding, one causal attention, classes, shares of classes. Weights are float32, named in `w`."""
 
@@ -335,52 +387,75 @@ class Model:
         h = self._room("h", np.float32, n * m, d + 1)  # a column of ones for the bias
         h[:, :d] = x[:, first:].reshape(-1, d)
         h[:, :d] += y @ self.w["out"]
-        z = np.matmul(h, self.bits["head"], out=self._room("z", np.float32, n * m, self.shape.classes))
-        p = self._power(z, "z bits")
         flat = targets.ravel()
-        own = p[np.arange(len(p)), self.classes[flat]].astype(np.float64)
-        whole = (p @ np.ones(p.shape[1], np.float32)).astype(np.float64)
-        out = np.log10(own + 1e-300) - np.log10(whole + 1e-300) + self.share(ids[:, first:].ravel(), flat)
+        classes, last = self.classes[flat], ids[:, first:].ravel()
+        own, whole = np.empty(n * m), np.empty(n * m)
+        ones = np.ones(self.shape.classes, np.float32)
+        for i in range(0, n * m, _ROWS):
+            some = h[i : i + _ROWS]
+            z = np.matmul(some, self.bits["head"], out=self._room(f"z {len(some)}", np.float32, len(some), self.shape.classes))
+            p = self._power(z, f"z bits {len(some)}")
+            own[i : i + _ROWS] = p[np.arange(len(p)), classes[i : i + _ROWS]]
+            whole[i : i + _ROWS] = p @ ones
+        out = np.log10(own + 1e-300) - np.log10(whole + 1e-300) + self.share(last, flat)
         return out.reshape(n, m)
 
     def gradients(self, windows: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
-        """Gradients of the mean loss: of the dense weights, of the ids of `touched`; and the loss."""
-        w, d, t = self.w, self.shape.width, self.shape.context
-        ids, targets = np.maximum(windows[:, :-1], 0), windows[:, 1:]
-        n = len(ids)
-        real = (targets >= 0).ravel()
-        x = w["tokens"][ids] + w["places"]
-        flat = x.reshape(-1, d)
-        qkv = (flat @ w["qkv"]).reshape(n, t, 3 * d)
-        q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-        scale = np.float32(d**-0.5)
-        a = np.exp(np.minimum(q @ k.transpose(0, 2, 1) * scale, _EXP_MOST)) * self.mask
-        a /= a.sum(axis=2, keepdims=True) + np.float32(1e-30)
-        y = (a @ v).reshape(-1, d)
-        h = np.ones((n * t, d + 1), np.float32)
-        h[:, :d] = flat + y @ w["out"]
-        p = np.exp(np.minimum(h @ w["head"], _EXP_MOST))
-        p /= p.sum(axis=1, keepdims=True)
-        own = self.classes[np.maximum(targets, 0).ravel()]
-        rows = np.arange(len(own))
+        """Gradients of the mean loss: of the dense weights, of the ids of `touched`; and the loss.
+
+        Powers aren't divided by their sums; what they are multiplied with is. Logits are of base 2, as that is faster.
+        """
+        w, d, t, classes = self.w, self.shape.width, self.shape.context, self.shape.classes
+        kind = w["head"].dtype.type
+        ids, targets = np.maximum(windows[:, :-1], 0).ravel(), windows[:, 1:].ravel()
+        n = len(windows)
+        x = w["tokens"].take(ids, axis=0)
+        x.reshape(n, t, d)[:] += w["places"]
+        qkv = (x @ w["qkv"]).reshape(n, t, 3 * d)
+        q, k = qkv[:, :, :d] * kind(_LOG2_E * d**-0.5), np.ascontiguousarray(qkv[:, :, d : 2 * d])
+        v = np.ones((n, t, d + 1), kind)  # a column of ones gives the sums
+        v[:, :, :d] = qkv[:, :, 2 * d :]
+        a = q @ k.transpose(0, 2, 1)
+        np.exp2(np.minimum(a, _MOST, out=a), out=a)
+        a *= self.mask
+        y = a @ v
+        part = 1 / (y[:, :, d:] + kind(1e-30))
+        y = y[:, :, :d] * part
+        h = np.ones((n * t, d + 1), kind)  # a column of ones for the bias
+        h[:, :d] = x + y.reshape(-1, d) @ w["out"]
+        real = targets >= 0
         count = max(1, int(real.sum()))
-        loss = float(-np.log(p[rows, own] + 1e-30)[real].sum() / count)
-        p[rows, own] -= 1
-        p *= (real / np.float32(count))[:, None].astype(np.float32)
-        out = {"head": h.T @ p}
-        dh = p @ w["head"][:d].T
-        out["out"] = y.T @ dh
-        dy = (dh @ w["out"].T).reshape(n, t, d)
+        own = self.classes[np.maximum(targets, 0)]
+        head, back, ones = w["head"] * kind(_LOG2_E), np.ascontiguousarray(w["head"][:d].T), np.ones(classes, kind)
+        out = {"head": np.zeros_like(head)}
+        dh, loss = np.empty((n * t, d), kind), 0.0
+        for i in range(0, n * t, _ROWS):
+            some, ok = h[i : i + _ROWS], real[i : i + _ROWS]
+            p = some @ head
+            np.exp2(np.minimum(p, _MOST, out=p), out=p)
+            whole, flat = p @ ones, p.ravel()
+            at = np.arange(0, p.size, classes) + own[i : i + _ROWS]
+            loss -= float(np.log(flat[at] / whole + 1e-30)[ok].sum())
+            flat[at] -= whole
+            g = (ok / (whole * kind(count)))[:, None].astype(kind)
+            out["head"] += (some * g).T @ p
+            np.multiply(p @ back, g, out=dh[i : i + _ROWS])
+        out["out"] = y.reshape(-1, d).T @ dh
+        dy = np.empty((n, t, d + 1), kind)
+        np.multiply((dh @ w["out"].T).reshape(n, t, d), part, out=dy[:, :, :d])
+        np.negative(np.einsum("nij,nij->ni", dy[:, :, :d], y), out=dy[:, :, d])
         da = dy @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-        dqkv = np.concatenate((da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dy), axis=2).reshape(-1, 3 * d)
-        out["qkv"] = flat.T @ dqkv
+        da *= a
+        dqkv = np.empty((n, t, 3 * d), kind)
+        np.multiply(da @ k, kind(d**-0.5), out=dqkv[:, :, :d])
+        np.multiply(da.transpose(0, 2, 1) @ q, kind(1 / _LOG2_E), out=dqkv[:, :, d : 2 * d])
+        dqkv[:, :, 2 * d :] = (a.transpose(0, 2, 1) @ dy)[:, :, :d]
+        dqkv = dqkv.reshape(-1, 3 * d)
+        out["qkv"] = x.T @ dqkv
         dx = dh + dqkv @ w["qkv"].T
         out["places"] = dx.reshape(n, t, d).sum(axis=0)
-        order = np.argsort(ids.ravel(), kind="stable")
-        sorted_ids = ids.ravel()[order]
-        at = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-        return out, sorted_ids[at], np.add.reduceat(dx[order], at), loss
+        touched, rows = _sums_by_id(ids, dx)
+        return out, touched, rows, loss / count
 
     def learn(self, windows: np.ndarray, rate: float) -> float:
         """One step: Adam for dense weights, Adagrad for the embeddings of the ids at hand."""
@@ -436,7 +511,7 @@ def _round(blocks: DataFrame, model: Model, rate: float) -> None:
         start = own.rows()
         own.w, own.moments, own.steps = {k: v.copy() for k, v in own.w.items()}, {}, 0
         used = np.zeros(len(start))
-        held = np.zeros((0, shape.context + 1), np.int32)
+        held = np.zeros((0, shape.context + 1), np.int64)
         tokens = len(own.w["tokens"])
 
         def step(windows: np.ndarray) -> None:
@@ -446,11 +521,14 @@ def _round(blocks: DataFrame, model: Model, rate: float) -> None:
             used[tokens:] += len(seen)
 
         for batch in batches:
-            for x in batch.column(0):
-                held = np.concatenate((held, x.values.to_numpy().reshape(-1, shape.context + 1)))
-                while len(held) >= shape.batch:
-                    step(held[: shape.batch])
-                    held = held[shape.batch :]
+            for i in range(batch.num_rows):
+                sequence, ends = _learnt(*_opened(*(c[i] for c in batch.columns)))
+                begins, ends = window_bounds(ends, shape)
+                for j in range(0, len(begins), shape.batch):
+                    held = np.concatenate((held, cut_windows(sequence, begins[j : j + shape.batch], ends[j : j + shape.batch], shape)))
+                    if len(held) >= shape.batch:
+                        step(held[: shape.batch])
+                        held = held[shape.batch :]
         if len(held):
             step(held)
         change = (own.rows() - start) * used[:, None]
@@ -459,7 +537,7 @@ def _round(blocks: DataFrame, model: Model, rate: float) -> None:
         yield pa.RecordBatch.from_arrays(columns, names=["at", "used", *(f"c{i}" for i in range(shape.width))])
 
     schema = "at int, used double, " + ", ".join(f"c{i} double" for i in range(shape.width))
-    changes = blocks.where(F.size("windows") > 0).select("windows").mapInArrow(run, schema)
+    changes = blocks.where("windows > 0").select(*_TEXTS).mapInArrow(run, schema)
     mean = [(F.sum(f"c{i}") / F.sum("used")).alias(f"c{i}") for i in range(shape.width)]
     rows = model.rows().astype(np.float64)
     # One row for each id of the vocabulary and each row of the other weights.
@@ -489,29 +567,56 @@ def _pairs(blocks: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray
                 columns = [pa.array(x) for x in (ids[key // n_classes].astype(np.int32), (key % n_classes).astype(np.int32), found[key])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "before", "n"])
 
-    columns = blocks.select("doc_ids", "sizes", "places", "pieces", "piece_sizes")
+    columns = blocks.where("windows > 0").select(*_TEXTS)
     found = columns.mapInArrow(run, "id int, before int, n long").groupBy("id", "before").agg(F.sum("n").alias("n")).toArrow()
     return np.stack([found[c].to_numpy().astype(np.int64) for c in ("id", "before", "n")], 1)
 
 
+def _start(blocks: DataFrame, of: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of ids over all training documents, and the windows of the start: those of the least numbers drawn."""
+    width, columns = shape.context + 1, 2 * (shape.single + 1)
+    total = blocks.agg(F.sum("windows")).first()[0] or 0
+    # By a bound on the numbers: tasks send what is taken, not their own least each.
+    bound = min(_HASHES, _HASHES * shape.seed_windows // max(1, total) + 1)
+    sent = blocks.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_ids, sizes, places, pieces, piece_sizes = _opened(*(c[i] for c in batch.columns[1:]))
+                ids, compact = np.unique(pieces, return_inverse=True)
+                compact = compact.astype(np.int64)
+                sequence, ends = _learnt(doc_ids, sizes, places, compact, piece_sizes)
+                at, column, n = neighbours(sequence, of[ids], shape)
+                begins, ends = window_bounds(ends, shape)
+                drawn = np.random.default_rng(batch.column(0)[i].as_py()).integers(0, _HASHES, len(begins))
+                some = np.flatnonzero(drawn < bound)
+                windows = cut_windows(sequence, begins[some], ends[some], shape)
+                windows = np.where(windows >= 0, ids[windows], -1).astype(np.int32)
+                keys = np.concatenate((ids[at] * columns + column, -1 - drawn[some]))
+                rows = pa.array([None] * len(at) + [x.tobytes() for x in windows], pa.binary())
+                found = [pa.array(keys), pa.array(np.append(n, np.ones(len(some), np.int64))), rows]
+                yield pa.RecordBatch.from_arrays(found, names=["key", "n", "window"])
+
+    found = blocks.where("windows > 0").select("block", *_TEXTS).mapInArrow(run, "key long, n long, window binary")
+    found = found.groupBy("key", "window").agg(F.sum("n").alias("n")).toArrow()
+    key, n = (found[c].to_numpy() for c in ("key", "n"))
+    beside = np.zeros((len(of), columns))
+    beside.reshape(-1)[key[key >= 0]] = n[key >= 0]
+    drawn = found.select(["key", "window"]).filter(pa.array(key < 0)).to_pylist()
+    taken = sorted((-r["key"], r["window"]) for r in drawn)[: shape.seed_windows]
+    return beside, np.frombuffer(b"".join(x for _, x in taken), np.int32).reshape(-1, width).astype(np.int64)
+
+
 def train(blocks: DataFrame, end: int, shape: Shape) -> Model:
     """The model of the blocks' training documents."""
     counts = np.zeros(end + 1, np.int64)
     by_id = blocks.select(F.explode(F.arrays_zip("ids", "id_counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.id_counts").alias("n"))
     for r in by_id.collect():
         counts[r["ids"]] = r["n"]
-    width = shape.context + 1
-    each = blocks.select("block", "windows", F.explode(F.expr(f"sequence(0, size(windows) div {width})")).alias("j")).where(
-        F.col("j") < F.size("windows") / width
-    )
-    # The least hashes of all windows, by a bound on the hash: tasks send what is taken, not their own least each.
-    total = blocks.agg(F.sum(F.size("windows"))).first()[0] or 0
-    order = F.pmod(F.xxhash64("block", "j"), F.lit(_HASHES))
-    bound = min(_HASHES, _HASHES * shape.seed_windows * width // max(1, total) + 1)
-    window = F.slice("windows", F.col("j") * width + 1, F.lit(width)).alias("window")
-    sample = sorted(each.where(order < bound).select(order.alias("o"), "block", "j", window).collect())[: shape.seed_windows]
-    seed = np.array([r["window"] for r in sample], np.int64).reshape(-1, width)
-    model = Model(counts, classes_of(counts, seed, shape), shape)
+    beside, seed = _start(blocks, commonest(counts, shape), shape)
+    model = Model(counts, cluster(counts, beside, shape), shape)
     fit_start(model, seed)
     model.moments = {}
     for i in range(shape.rounds if len(seed) else 0):
@@ -600,5 +705,5 @@ def score(
                     columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
                 )
 
-    whole = blocks.select("block", "doc_ids", "sizes", "places", "pieces", "piece_sizes")
+    whole = blocks.select("block", *_TEXTS)
     return whole.join(back, "block", "left").drop("block").mapInArrow(run, _SCORES)
