@@ -23,6 +23,8 @@ the model is uniform; each row gives a row, repeated ones too; an empty table gi
 from __future__ import annotations
 
 import copy
+import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,19 +32,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import kept, text_bytes
 
 _BLOCK_BYTES = 8 << 20
 _BLOCK_ROWS = 20_000
 _HASHES = 1 << 30
-# Logits of base 2 are cut above this, and so many rows of them are worked on at once as stay in a core's cache.
-_LOG2_E, _MOST, _ROWS = float(np.log2(np.e)), np.float32(86), 384
-# A float's bits, as a whole number, of 1; what they grow by from 1 to e, on average; and those of about 2^126.
-_ONE_BITS, _UNIT, _MOST_BITS = 127 << 23, (1 << 23) / np.log(2), 253 << 23
+_BUCKET_WORDS = 500_000
+# Words that a worker remembers, 20 MB or so.
+_REMEMBERED = 400_000
+# Logits of base 2 are cut above this.
+_LOG2_E, _MOST = float(np.log2(np.e)), np.float32(86)
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,8 @@ class Shape:
     step: int = 40
     single: int = 96
     clusters: int = 32
+    #: Classes of a group, at most.
+    group: int = 16
     #: Turns in which a text's windows are learnt, neighbours in different ones; none is left out.
     train_every: int = 32
     seed_windows: int = 4096
@@ -75,9 +80,35 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.end = self.model.get_piece_size()
 
+        #: Words that were encoded before, their pieces one after another, and how many each has.
+        self.known, self.pieces, self.sizes = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
     def of(self, words: list[bytes]) -> list[list[int]]:
         return [x or [0] for x in self.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)]
 
+    def of_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of distinct words, one after another, and how many each has; the first `_REMEMBERED` are kept."""
+        at = pc.index_in(words, value_set=self.known)
+        unknown = at.is_null()
+        new = words.filter(unknown)
+        by_word = self.of(new.to_pylist())
+        sizes = np.append(self.sizes, np.fromiter(map(len, by_word), np.int64, len(by_word)))
+        pieces = np.append(self.pieces, np.fromiter(chain.from_iterable(by_word), np.int32))
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        out = _spread(place, pieces, sizes)
+        if len(self.known) < _REMEMBERED:
+            self.known = pa.concat_arrays([self.known, new])[:_REMEMBERED]
+            self.sizes = sizes[:_REMEMBERED]
+            self.pieces = pieces[: self.sizes.sum()]
+        return out
+
+
+@functools.cache
+def _pieces(path: str) -> Pieces:
+    """One for each worker, which goes on with the words that it knows."""
+    return Pieces(path)
+
 
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 == 2
@@ -91,8 +122,9 @@ _BLOCKS = {
     "doc_ids": pa.list_(pa.int64()),
     "sizes": pa.list_(pa.int64()),
     "places": pa.binary(),
-    "words": pa.list_(pa.binary()),
-    "counts": pa.list_(pa.int64()),
+    "words": pa.binary(),
+    "counts": pa.binary(),
+    "learnt": pa.int64(),
     "pieces": pa.binary(),
     "piece_sizes": pa.list_(pa.int32()),
     "ids": pa.list_(pa.int32()),
@@ -100,7 +132,7 @@ _BLOCKS = {
     "windows": pa.int64(),
 }
 _BLOCKS_SQL = (
-    "block long, doc_ids array<long>, sizes array<long>, places binary, words array<binary>, counts array<long>, "
+    "block long, doc_ids array<long>, sizes array<long>, places binary, words binary, counts binary, learnt long, "
     "pieces binary, piece_sizes array<int>, ids array<int>, id_counts array<long>, windows long"
 )
 
@@ -109,14 +141,6 @@ _BLOCKS_SQL = (
 _TEXTS = ("doc_ids", "sizes", "places", "pieces", "piece_sizes")
 
 
-class _Known(dict):
-    """Word -> place, in the order of first use; place 0 is the mark."""
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        return i
-
-
 def _squeeze(values: np.ndarray) -> bytes:
     """32-bit integers, compressed with all first bytes first: small numbers take little room, also in a shuffle."""
     planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
@@ -134,31 +158,51 @@ def _spread(places: np.ndarray, pieces: np.ndarray, sizes: np.ndarray) -> tuple[
     own = sizes[places]
     ends = np.cumsum(own)
     total = int(ends[-1]) if len(ends) else 0
-    return pieces[np.repeat(begins[places] - ends + own, own) + np.arange(total)], own
+    at = np.repeat(begins[places] - ends + own, own)
+    at += np.arange(total)
+    return pieces.take(at), own
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, with a mark before it; their places; the distinct words, in order of first use.
+
+    Place 0 is the mark, which is empty.
+    """
+    data = np.frombuffer(b"".join([b"\n", *(x for text in texts for x in (text, b"\n"))]).lower(), np.uint8)
+    space = ((data - 9) < 5) | (data == 32)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    begins, lengths = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+    coded = packed.dictionary_encode()
+    ends = np.cumsum([len(text) + 1 for text in texts])
+    sizes = np.diff(np.searchsorted(begins, ends), prepend=0) + 1
+    places = np.zeros(int(sizes.sum()), np.int64)
+    word = np.ones(len(places), bool)
+    word[np.cumsum(sizes) - sizes] = False
+    places[word] = coded.indices.to_numpy() + 1
+    return sizes, places, pa.concat_arrays([pa.array([b""]), coded.dictionary])
+
+
+def _lines(words: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """Words that have no line breaks, as lines: a binary between each two bounds."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words), b"\n")
 
 
 def _block(key: int, rows: list[tuple[int | None, bytes]], encode: Pieces, shape: Shape) -> tuple:
     """One block: place 0 of its words is the mark before each text (and so after the one before)."""
-    known = _Known({b"": 0})
-    by_text = []
-    for _, text in rows:
-        words = text.lower().split()
-        words.insert(0, b"")
-        by_text.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-    words = list(known)
-    sizes = np.array([len(x) for x in by_text])
-    places = np.concatenate(by_text)
+    sizes, places, words = _words([text for _, text in rows])
     learnt = np.array([not is_held_out(doc_id) for doc_id, _ in rows])
-    by_word = [[encode.end], *encode.of(words[1:])]
-    piece_sizes = np.fromiter(map(len, by_word), np.int64, len(by_word))
-    pieces = np.fromiter(chain.from_iterable(by_word), np.int64, int(piece_sizes.sum()))
+    pieces, piece_sizes = encode.of_distinct(words[1:])
+    pieces, piece_sizes = np.append(encode.end, pieces), np.append(1, piece_sizes)
     counts = np.bincount(places[np.repeat(learnt, sizes)], minlength=len(words))
     ids = np.bincount(pieces, np.repeat(counts, piece_sizes), minlength=encode.end + 1).astype(np.int64)
     some = np.flatnonzero(ids)
     own = np.add.reduceat(piece_sizes[places], np.cumsum(sizes) - sizes)
+    lines = _lines(words, np.array([0, len(words)]))[0].as_py()
     return (
-        key, [d for d, _ in rows], sizes, _squeeze(places), words, counts, _squeeze(pieces), piece_sizes.astype(np.int32),
-        some.astype(np.int32), ids[some], int((-(-own[learnt] // shape.context)).sum()),
+        key, [d for d, _ in rows], sizes, _squeeze(places), lines, counts.astype(np.int64).tobytes(), int(counts.sum()), _squeeze(pieces),
+        piece_sizes.astype(np.int32), some.astype(np.int32), ids[some], int((-(-own[learnt] // shape.context)).sum()),
     )
 
 
@@ -176,6 +220,14 @@ def _learnt(doc_ids, sizes, places, pieces, piece_sizes) -> tuple[np.ndarray, np
     return np.append(sequence, pieces[0]), np.cumsum(each)[np.cumsum(sizes[learnt]) - 1]
 
 
+def _compact(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pieces, and each one's place in them."""
+    ids = np.flatnonzero(np.bincount(pieces))
+    place = np.zeros(ids[-1] + 1, np.int64)
+    place[ids] = np.arange(len(ids))
+    return ids, place[pieces]
+
+
 def window_bounds(ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Where windows begin, and where their texts end: without gaps, so that every id is a target in just one of them."""
     lengths = np.diff(ends, prepend=0)
@@ -198,7 +250,7 @@ def _blocks(docs: DataFrame, model_path: str, shape: Shape, id_col: str, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Pieces(model_path)
+        encode = _pieces(model_path)
         key = TaskContext.get().partitionId() << 32
         rows: list[tuple[int | None, bytes]] = []
         held = 0
@@ -222,6 +274,47 @@ def _blocks(docs: DataFrame, model_path: str, shape: Shape, id_col: str, text_co
     return kept(columns.mapInArrow(run, _BLOCKS_SQL), "blocks")
 
 
+# Counts
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    """For each block and some of its words (`at`): how often all training documents have them (`n`, 64-bit integers).
+
+    Words meet in buckets of about `_BUCKET_WORDS` by their hash; `distinct` is how many a bucket has that are learnt.
+    """
+    buckets = 1 + (blocks.agg(F.sum(F.size("piece_sizes"))).first()[0] or 0) // _BUCKET_WORDS
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lines, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = lines.split(b"\n")
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                at = np.argsort(bucket, kind="stable").astype(np.int32)
+                some, begins = np.unique(bucket[at], return_index=True)
+                bounds = np.append(begins, len(words))
+                held = np.frombuffer(counts, np.int64)[at]
+                columns = [
+                    pa.array(some), pa.array(np.full(len(some), block)), _lines(pa.array(words, pa.binary()).take(pa.array(at)), bounds),
+                    *(pa.array([x[a:b].tobytes() for a, b in itertools.pairwise(bounds)], pa.binary()) for x in (at, held)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "words", "at", "counts"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        lists = [x.as_py().split(b"\n") for x in rows["words"]]
+        coded = pa.array(chain.from_iterable(lists), pa.binary()).dictionary_encode().indices.to_numpy()
+        total = np.zeros(int(coded.max()) + 1, np.int64)
+        np.add.at(total, coded, np.frombuffer(b"".join(rows["counts"].to_pylist()), np.int64))
+        bounds = np.append(0, np.cumsum([len(x) for x in lists]))
+        n = [total[coded[a:b]].tobytes() for a, b in itertools.pairwise(bounds)]
+        distinct = [int((total > 0).sum()), *([0] * (len(n) - 1))]
+        return pa.table({"block": rows["block"], "at": rows["at"], "n": pa.array(n, pa.binary()), "distinct": pa.array(distinct)})
+
+    cells = blocks.select("block", "words", "counts").mapInArrow(split, "bucket long, block long, words binary, at binary, counts binary")
+    # A task for each bucket or so, whatever its bytes.
+    cells = cells.repartition(buckets, "bucket")
+    return kept(cells.groupBy("bucket").applyInArrow(meet, "block long, at binary, n binary, distinct long"), "words")
+
+
 # Model
 
 
@@ -273,46 +366,94 @@ def cluster(counts: np.ndarray, beside: np.ndarray, shape: Shape) -> np.ndarray:
     return out
 
 
+def groups_of(pairs: np.ndarray, classes: np.ndarray, shape: Shape) -> np.ndarray:
+    """A group for each class, of `group` classes at most: halves along what tells their neighbours apart most.
+
+    `pairs` are rows (id, class before, count) over all training documents.
+    """
+    n, of = shape.classes, classes[pairs[:, 0]]
+    beside = np.zeros((n, 2 * n))
+    np.add.at(beside, (of, pairs[:, 1]), pairs[:, 2])
+    np.add.at(beside, (pairs[:, 1], n + of), pairs[:, 2])
+    x = np.sqrt(beside / np.maximum(1, beside.sum(axis=1, keepdims=True)))
+    parts = [np.arange(n)]
+    while len(parts[0]) > shape.group:
+        halves = []
+        for part in parts:
+            y = x[part] - x[part].mean(axis=0)
+            order = np.argsort(y @ np.linalg.svd(y, full_matrices=False)[2][0], kind="stable")
+            halves += [np.sort(part[order[: -(-len(part) // 2)]]), np.sort(part[order[-(-len(part) // 2) :]])]
+        parts = halves
+    out = np.zeros(n, np.int64)
+    for i, part in enumerate(parts):
+        out[part] = i
+    return out
+
+
 def _sums_by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids, and the sums of their rows. Most ids come once, and need no sum."""
-    order = np.argsort(ids)
-    ids, rows = ids[order], rows[order]
+    """The ids, and the sums of their rows."""
+    # Integers of 16 bits are sorted by their digits.
+    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
+    ids = ids[order]
     at = np.flatnonzero(np.diff(ids, prepend=-1))
-    lengths = np.diff(at, append=len(ids))
-    out, several = rows[at], lengths > 1
-    if several.any():
-        some = lengths[several]
-        out[several] = np.add.reduceat(rows[np.repeat(several, lengths)], np.cumsum(some) - some)
-    return ids[at], out
+    return ids[at], np.add.reduceat(rows.take(order, axis=0), at, axis=0)
+
+
+def _exp2(x: np.ndarray) -> None:
+    if x.size and x.max() > _MOST:
+        np.minimum(x, _MOST, out=x)
+    np.exp2(x, out=x)
 
 
 class Model:
-    """Embedding, one causal attention, classes, shares of classes. Weights are float32, named in `w`."""
+    """Embedding, one causal attention, groups of classes, classes of groups, shares of classes.
 
-    def __init__(self, counts: np.ndarray, classes: np.ndarray, shape: Shape, seed: int = 5):
+    Weights are float32, named in `w`. As the attention has one head as wide as the embedding, queries meet keys by one
+    matrix, the product of theirs, and values meet the output by another: keys and values are the embeddings themselves.
+    """
+
+    def __init__(self, counts: np.ndarray, classes: np.ndarray, shape: Shape, seed: int = 5, groups: np.ndarray | None = None):
         self.shape, self.classes = shape, classes
+        self.group = np.arange(shape.classes) // shape.group if groups is None else groups
         rng = np.random.default_rng(seed)
-        d, n = shape.width, len(counts)
+        d, n, self.groups = shape.width, len(counts), int(self.group.max()) + 1
 
         def normal(*size: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(size) * scale).astype(np.float32)
 
-        by_class = np.bincount(classes, counts, minlength=shape.classes)
+        order = np.argsort(self.group, kind="stable")
+        #: Columns of the head: those of groups are first, then those of each group's classes.
+        self.ends = (self.groups + np.append(0, np.cumsum(np.bincount(self.group)))).tolist()
+        place = np.empty(shape.classes, np.int64)
+        place[order] = self.groups + np.arange(shape.classes)
+        place += self.groups - np.array(self.ends)[self.group]
+        #: An id's group, and its class's place behind the groups' columns; the last is for id -1, which has none.
+        self.in_group = np.append(self.group[classes], self.groups).astype(np.uint16)
+        self.in_columns = np.append(place[classes], 0)
+        #: For each group, two columns, whose products are the sums over groups and over the group's classes.
+        sizes = np.diff(self.ends)
+        self.sides = [np.repeat(np.eye(2, dtype=np.float32), (self.groups, size), axis=0) for size in sizes]
         members = np.bincount(classes, minlength=shape.classes)
-        self.unused = members == 0
+        by_class = np.bincount(classes, counts, minlength=shape.classes) + 1
+        by_group = np.bincount(self.group, by_class)
+        self.unused = np.append(np.bincount(self.group, members) == 0, members[order] == 0)
         self.w = {
             "tokens": normal(n, d, scale=0.3), "places": normal(shape.context, d, scale=0.1),
             "qkv": normal(d, 3 * d, scale=d**-0.5), "out": normal(d, d, scale=d**-0.5),
-            # The last row is the bias; a class without ids gets no probability.
-            "head": np.concatenate((normal(d, shape.classes, scale=d**-0.5), np.zeros((1, shape.classes), np.float32))),
+            # The last row is the bias; a class or group without ids gets no probability.
+            "head": np.concatenate((normal(d, self.groups + shape.classes, scale=d**-0.5), np.zeros((1, self.groups + shape.classes), np.float32))),
         }
-        self.w["head"][-1] = np.log((by_class + 1) / (by_class.sum() + shape.classes))
+        self.w["head"][-1] = np.log(np.append(by_group / by_group.sum(), (by_class / by_group[self.group])[order]))
         self._close()
         self.mask = np.tril(np.ones((shape.context, shape.context), np.float32))
         self.moments: dict[str, list] = {}
+        self.held: dict[str, np.ndarray] = {}
         self.steps = 0
         self.set_shares(counts, np.zeros((0, 3), np.int64))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
     def _close(self) -> None:
         self.w["head"][:, self.unused] = 0
         self.w["head"][-1, self.unused] = -80
@@ -332,144 +473,164 @@ class Model:
         np.add.at(before, (self.classes[pairs[:, 0]], pairs[:, 1]), pairs[:, 2])
         self.kappa_share = np.log10(kappa * plain)
         own = np.concatenate(([0.0], plain[ids]))[:, None]
-        #: log10 of (pairs of the id + kappa * its share), and of (pairs of its class + kappa), by the class before.
-        self.pairs = np.log10(found + kappa * own + 1e-300).astype(np.float32)
+        #: log10 of (pairs of its class + kappa), by the class before, and of an id's (pairs + kappa * its share) by that.
         self.before = np.log10(before + kappa)
+        self.pairs = np.log10(found + kappa * own + 1e-300)
+        self.pairs[1:] -= self.before[self.classes[ids]]
+        self.pairs = self.pairs.astype(np.float32)
 
     def share(self, last: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 of the target's share of its class after the id `last`."""
         row, before = self.row[target], self.classes[last]
-        found = np.where(row > 0, self.pairs[row, before], self.kappa_share[target])
-        return found - self.before[self.classes[target], before]
+        out = self.pairs[row, before]
+        new = np.flatnonzero(row == 0)
+        if len(new):
+            out[new] = self.kappa_share[target[new]] - self.before[self.classes[target[new]], before[new]]
+        return out
 
     def _room(self, name: str, kind: type, *size: int) -> np.ndarray:
-        """An array that is used again by the next call of the same size."""
+        """An array that is used again by the next call of the same size; it is of ones at first."""
         held = self.held.get(name)
-        if held is None or held.shape != size:
+        if held is None or held.shape != size or held.dtype != kind:
             held = self.held[name] = np.ones(size, kind)
         return held
 
-    def _power(self, x: np.ndarray, name: str) -> np.ndarray:
-        """2 to the power of x, which is given as the bits of a float, as a whole number: linear between whole powers.
-
-        Sums are made of the same values, so what is divided by them still sums to one. It takes a fifth of exp's time.
+    def _attend(self, ids: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
+        """What the places from `first` on see: embeddings x, the same on end with a row of ones, x times the matrix of
+        queries and keys, powers (not divided by their sums), one by their sums, the mean embedding, and states of the
+        head, whose last column is one, for the bias. Logits are of base 2, as that is faster.
         """
-        np.clip(x, 0, _MOST_BITS, out=x)
-        bits = self._room(name, np.int32, *x.shape)
-        np.copyto(bits, x, casting="unsafe")
-        return bits.view(np.float32)
+        w, d, t = self.w, self.shape.width, self.shape.context
+        kind, n, m = w["head"].dtype.type, len(ids), t - first
+        x = self._room("x", kind, n, t, d)
+        np.take(w["tokens"], ids, axis=0, out=x, mode="clip")
+        x += w["places"]
+        on_end = self._room("on end", kind, n, d + 1, t)
+        on_end[:, :d] = x.transpose(0, 2, 1)
+        own = x.reshape(-1, d) if not first else x[:, first:].reshape(-1, d)
+        meet = (w["qkv"][:, :d] @ w["qkv"][:, d : 2 * d].T) * kind(_LOG2_E * d**-0.5)
+        g = np.matmul(own, meet, out=self._room("g", kind, n * m, d)).reshape(n, m, d)
+        # The second half of each window's rows is for the gradients of the first.
+        a = self._room("a", kind, n, 2 * m, t)[:, :m]
+        np.matmul(g, on_end[:, :d], out=a)
+        _exp2(a)
+        a *= self.mask[first:]
+        part = 1 / (a @ np.ones(t, kind) + kind(1e-30))[:, :, None]
+        y = np.matmul(a, x, out=self._room("y", kind, n, m, d))
+        y *= part
+        h = self._room("h", kind, n * m, d + 1)
+        np.add(own, y.reshape(-1, d) @ (w["qkv"][:, 2 * d :] @ w["out"]), out=h[:, :d])
+        return x, on_end, g, a, part, y, h
+
+    def _head(self, j: int) -> np.ndarray:
+        """The columns of groups, and those of the classes of one."""
+        return np.concatenate((self.w["head"][:, : self.groups], self.w["head"][:, self.ends[j] : self.ends[j + 1]]), axis=1)
+
+    def _by_group(self, ids: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """An order of ids by group, with those of -1 left out, where groups end (from 0), and the classes' columns."""
+        group = self.in_group[ids]
+        order = np.argsort(group, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(group, minlength=self.groups)[: self.groups])).tolist()
+        order = order[: ends[-1]]
+        return order, ends, self.in_columns[ids[order]]
 
     def ready(self) -> None:
-        """Weights for `log10`, scaled so that logits come as the bits of floats."""
-        d = self.shape.width
-        self.held: dict[str, np.ndarray] = {}
-        self.bits = {"qkv": self.w["qkv"].copy(), "head": self.w["head"] * np.float32(_UNIT)}
-        self.bits["qkv"][:, :d] *= np.float32(_UNIT * d**-0.5)
-        self.bits["head"][-1] += _ONE_BITS
-        #: What is added to the bits of attention: those of 1, or so little that nothing is left.
-        self.gate = np.where(self.mask > 0, np.float32(_ONE_BITS), np.float32(-1e30))
+        """Weights for `log10`: for each group, what gives its logits of base 2."""
+        self.heads = [self._head(j) * np.float32(_LOG2_E) for j in range(self.groups)]
 
     def log10(self, ids: np.ndarray, targets: np.ndarray, first: int) -> np.ndarray:
         """log10 probabilities of targets (windows x places from `first` on) after the ids of their windows."""
-        d, t = self.shape.width, self.shape.context
-        n, m = len(ids), t - first
-        x = self._room("x", np.float32, n, t, d)
-        np.take(self.w["tokens"], ids, axis=0, out=x, mode="clip")
-        x += self.w["places"]
-        qkv = np.matmul(x.reshape(-1, d), self.bits["qkv"], out=self._room("qkv", np.float32, n * t, 3 * d)).reshape(n, t, 3 * d)
-        a = self._room("a", np.float32, n, m, t)
-        np.matmul(qkv[:, first:, :d], qkv[:, :, d : 2 * d].transpose(0, 2, 1), out=a)
-        a += self.gate[first:]
-        v = self._room("v", np.float32, n, t, d + 1)  # a column of ones gives the sums
-        v[:, :, :d] = qkv[:, :, 2 * d :]
-        y = self._power(a, "a bits") @ v
-        y = (y[:, :, :d] / (y[:, :, d:] + np.float32(1e-30))).reshape(-1, d)
-        h = self._room("h", np.float32, n * m, d + 1)  # a column of ones for the bias
-        h[:, :d] = x[:, first:].reshape(-1, d)
-        h[:, :d] += y @ self.w["out"]
-        flat = targets.ravel()
-        classes, last = self.classes[flat], ids[:, first:].ravel()
-        own, whole = np.empty(n * m), np.empty(n * m)
-        ones = np.ones(self.shape.classes, np.float32)
-        for i in range(0, n * m, _ROWS):
-            some = h[i : i + _ROWS]
-            z = np.matmul(some, self.bits["head"], out=self._room(f"z {len(some)}", np.float32, len(some), self.shape.classes))
-            p = self._power(z, f"z bits {len(some)}")
-            own[i : i + _ROWS] = p[np.arange(len(p)), classes[i : i + _ROWS]]
-            whole[i : i + _ROWS] = p @ ones
-        out = np.log10(own + 1e-300) - np.log10(whole + 1e-300) + self.share(last, flat)
-        return out.reshape(n, m)
+        h = self._attend(ids, first)[-1]
+        flat, last = targets.ravel(), ids[:, first:].ravel()
+        order, ends, at = self._by_group(flat)
+        h = h.take(order, axis=0)
+        likely, whole = np.empty((len(h), 2)), np.empty((len(h), 2))
+        for j in range(self.groups):
+            some = slice(ends[j], ends[j + 1])
+            p = h[some] @ self.heads[j]
+            _exp2(p)
+            np.matmul(p, self.sides[j], out=whole[some])
+            likely[some, 0] = p[:, j]
+            likely[some, 1] = p.ravel()[np.arange(0, p.size, p.shape[1]) + at[some]]
+        likely /= whole
+        out = np.empty(len(h))
+        out[order] = np.log10(likely[:, 0] * likely[:, 1] + 1e-300)
+        return (out + self.share(last, flat)).reshape(targets.shape)
 
     def gradients(self, windows: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
-        """Gradients of the mean loss: of the dense weights, of the ids of `touched`; and the loss.
-
-        Powers aren't divided by their sums; what they are multiplied with is. Logits are of base 2, as that is faster.
-        """
-        w, d, t, classes = self.w, self.shape.width, self.shape.context, self.shape.classes
+        """Gradients of the mean loss: of the dense weights, of the ids of `touched`; and the loss."""
+        w, d, t = self.w, self.shape.width, self.shape.context
         kind = w["head"].dtype.type
-        ids, targets = np.maximum(windows[:, :-1], 0).ravel(), windows[:, 1:].ravel()
+        ids, targets = np.maximum(windows[:, :-1], 0), windows[:, 1:].ravel()
         n = len(windows)
-        x = w["tokens"].take(ids, axis=0)
-        x.reshape(n, t, d)[:] += w["places"]
-        qkv = (x @ w["qkv"]).reshape(n, t, 3 * d)
-        q, k = qkv[:, :, :d] * kind(_LOG2_E * d**-0.5), np.ascontiguousarray(qkv[:, :, d : 2 * d])
-        v = np.ones((n, t, d + 1), kind)  # a column of ones gives the sums
-        v[:, :, :d] = qkv[:, :, 2 * d :]
-        a = q @ k.transpose(0, 2, 1)
-        np.exp2(np.minimum(a, _MOST, out=a), out=a)
-        a *= self.mask
-        y = a @ v
-        part = 1 / (y[:, :, d:] + kind(1e-30))
-        y = y[:, :, :d] * part
-        h = np.ones((n * t, d + 1), kind)  # a column of ones for the bias
-        h[:, :d] = x + y.reshape(-1, d) @ w["out"]
-        real = targets >= 0
-        count = max(1, int(real.sum()))
-        own = self.classes[np.maximum(targets, 0)]
-        head, back, ones = w["head"] * kind(_LOG2_E), np.ascontiguousarray(w["head"][:d].T), np.ones(classes, kind)
-        out = {"head": np.zeros_like(head)}
-        dh, loss = np.empty((n * t, d), kind), 0.0
-        for i in range(0, n * t, _ROWS):
-            some, ok = h[i : i + _ROWS], real[i : i + _ROWS]
-            p = some @ head
-            np.exp2(np.minimum(p, _MOST, out=p), out=p)
-            whole, flat = p @ ones, p.ravel()
-            at = np.arange(0, p.size, classes) + own[i : i + _ROWS]
-            loss -= float(np.log(flat[at] / whole + 1e-30)[ok].sum())
-            flat[at] -= whole
-            g = (ok / (whole * kind(count)))[:, None].astype(kind)
-            out["head"] += (some * g).T @ p
-            np.multiply(p @ back, g, out=dh[i : i + _ROWS])
-        out["out"] = y.reshape(-1, d).T @ dh
-        dy = np.empty((n, t, d + 1), kind)
-        np.multiply((dh @ w["out"].T).reshape(n, t, d), part, out=dy[:, :, :d])
-        np.negative(np.einsum("nij,nij->ni", dy[:, :, :d], y), out=dy[:, :, d])
-        da = dy @ v.transpose(0, 2, 1)
+        x, on_end, g, a, per, y, h = self._attend(ids, 0)
+        order, ends, at = self._by_group(targets)
+        count = kind(max(1, len(order)))
+        some = h.take(order, axis=0)
+        out = {"head": np.zeros_like(w["head"])}
+        back, likely = self._room("back", kind, n * t, d), np.empty((len(order), 2))
+        back[len(order) :] = 0
+        for j in range(self.groups):
+            i, e, head, sides = ends[j], ends[j + 1], self._head(j), self.sides[j]
+            p = some[i:e] @ (head * kind(_LOG2_E))
+            _exp2(p)
+            p *= (1 / (p @ sides)) @ sides.T
+            flat, own = p.ravel(), np.arange(0, p.size, p.shape[1]) + at[i:e]
+            likely[i:e, 0], likely[i:e, 1] = p[:, j], flat[own]
+            p[:, j] -= 1
+            flat[own] -= 1
+            part = some[i:e].T @ p
+            out["head"][:, : self.groups] += part[:, : self.groups]
+            out["head"][:, self.ends[j] : self.ends[j + 1]] = part[:, self.groups :]
+            np.matmul(p, head[:d].T, out=back[i:e])
+        out["head"] /= count
+        back /= count
+        where = np.full(n * t, n * t - 1)
+        where[order] = np.arange(len(order))
+        dh = back.take(where, axis=0)
+        queries, keys, values = w["qkv"][:, :d], w["qkv"][:, d : 2 * d], w["qkv"][:, 2 * d :]
+        outer = y.reshape(-1, d).T @ dh
+        out["out"] = values.T @ outer
+        # Below the gradients of y are the queries' products, so that one product sums over both of a place's parts.
+        both = self._room("both", kind, n, 2 * t, d + 1)
+        dy = both[:, :t]
+        np.multiply(np.matmul(dh, (values @ w["out"]).T, out=back).reshape(n, t, d), per, out=dy[:, :, :d])
+        np.negative((dy[:, :, :d] * y) @ np.ones(d, kind), out=dy[:, :, d])
+        np.multiply(g, kind(1 / _LOG2_E), out=both[:, t:, :d])
+        parts = self._room("a", kind, n, 2 * t, t)
+        da = parts[:, t:]
+        np.matmul(dy, on_end, out=da)
         da *= a
-        dqkv = np.empty((n, t, 3 * d), kind)
-        np.multiply(da @ k, kind(d**-0.5), out=dqkv[:, :, :d])
-        np.multiply(da.transpose(0, 2, 1) @ q, kind(1 / _LOG2_E), out=dqkv[:, :, d : 2 * d])
-        dqkv[:, :, 2 * d :] = (a.transpose(0, 2, 1) @ dy)[:, :, :d]
-        dqkv = dqkv.reshape(-1, 3 * d)
-        out["qkv"] = x.T @ dqkv
-        dx = dh + dqkv @ w["qkv"].T
+        dg = np.matmul(da, x, out=self._room("dg", kind, n, t, d)).reshape(-1, d)
+        flat, scale = x.reshape(-1, d), kind(d**-0.5)
+        meet = (flat.T @ dg) * scale
+        out["qkv"] = np.concatenate((meet @ keys, meet.T @ queries, outer @ w["out"].T), axis=1)
+        dx = np.matmul(parts.transpose(0, 2, 1), both[:, :, :d], out=self._room("dx", kind, n, t, d)).reshape(-1, d)
+        dx += dh
+        dx += dg @ ((keys @ queries.T) * scale)
         out["places"] = dx.reshape(n, t, d).sum(axis=0)
-        touched, rows = _sums_by_id(ids, dx)
-        return out, touched, rows, loss / count
+        touched, rows = _sums_by_id(ids.ravel(), dx)
+        return out, touched, rows, -float(np.log(likely + 1e-30).sum()) / float(count)
 
     def learn(self, windows: np.ndarray, rate: float) -> float:
         """One step: Adam for dense weights, Adagrad for the embeddings of the ids at hand."""
         dense, touched, rows, loss = self.gradients(windows)
         self.steps += 1
         for name, g in dense.items():
-            m = self.moments.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
+            m = self.moments.get(name)
+            if m is None:
+                m = self.moments[name] = [np.zeros_like(g), np.zeros_like(g)]
             m[0] += np.float32(0.1) * (g - m[0])
             m[1] += np.float32(0.005) * (g * g - m[1])
             up, down = 1 - 0.9**self.steps, 1 - 0.995**self.steps
             self.w[name] -= (rate * (m[0] / up) / (np.sqrt(m[1] / down) + 1e-8)).astype(np.float32)
-        seen = self.moments.setdefault("tokens", [np.full(len(self.w["tokens"]), 1e-8, np.float32)])[0]
-        seen[touched] += (rows * rows).mean(axis=1)
-        self.w["tokens"][touched] -= (10 * rate * rows / np.sqrt(seen[touched])[:, None]).astype(np.float32)
+        if "tokens" not in self.moments:
+            self.moments["tokens"] = [np.full(len(self.w["tokens"]), 1e-8, np.float32)]
+        seen = self.moments["tokens"][0]
+        now = seen.take(touched) + (rows * rows).mean(axis=1)
+        seen[touched] = now
+        rows *= (np.float32(10 * rate) / np.sqrt(now))[:, None]
+        self.w["tokens"][touched] = self.w["tokens"].take(touched, axis=0) - rows
         self._close()
         return loss
 
@@ -517,7 +678,7 @@ def _round(blocks: DataFrame, model: Model, rate: float) -> None:
         def step(windows: np.ndarray) -> None:
             own.learn(windows, rate)
             seen = windows[windows >= 0]
-            used[:tokens] += np.bincount(seen, minlength=tokens)
+            np.add.at(used, seen, 1)
             used[tokens:] += len(seen)
 
         for batch in batches:
@@ -559,7 +720,7 @@ def _pairs(blocks: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray
                 if not learnt.any():
                     continue
                 some = places[np.repeat(learnt, sizes)]
-                ids, compact = np.unique(pieces, return_inverse=True)
+                ids, compact = _compact(pieces)
                 flat, _ = _spread(some, compact, piece_sizes)
                 flat = np.append(flat, compact[0])  # the mark behind the last text
                 found = np.bincount(flat[1:] * n_classes + of[ids][flat[:-1]], minlength=1)
@@ -585,8 +746,7 @@ def _start(blocks: DataFrame, of: np.ndarray, shape: Shape) -> tuple[np.ndarray,
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, sizes, places, pieces, piece_sizes = _opened(*(c[i] for c in batch.columns[1:]))
-                ids, compact = np.unique(pieces, return_inverse=True)
-                compact = compact.astype(np.int64)
+                ids, compact = _compact(pieces)
                 sequence, ends = _learnt(doc_ids, sizes, places, compact, piece_sizes)
                 at, column, n = neighbours(sequence, of[ids], shape)
                 begins, ends = window_bounds(ends, shape)
@@ -616,13 +776,15 @@ def train(blocks: DataFrame, end: int, shape: Shape) -> Model:
     for r in by_id.collect():
         counts[r["ids"]] = r["n"]
     beside, seed = _start(blocks, commonest(counts, shape), shape)
-    model = Model(counts, cluster(counts, beside, shape), shape)
+    classes = cluster(counts, beside, shape)
+    pairs = _pairs(blocks, classes, shape.classes)
+    model = Model(counts, classes, shape, groups=groups_of(pairs, classes, shape))
     fit_start(model, seed)
     model.moments = {}
     for i in range(shape.rounds if len(seed) else 0):
         _round(blocks, model, 2e-3 / (i + 1))
     model.moments = {}
-    model.set_shares(counts, _pairs(blocks, model.classes, shape.classes))
+    model.set_shares(counts, pairs)
     return model
 
 
@@ -667,17 +829,11 @@ def score(
     """Every row with its baseline and its model score; both learn from the rows that aren't held out."""
     spark = docs.sparkSession
     blocks = _blocks(docs, model_path, shape, id_col, text_col)
-    pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
-    # A word comes once a block at most, so no key has more rows than there are blocks.
-    by_word = Window.partitionBy("x.words")
-    first = F.row_number().over(by_word.orderBy("block")) == 1
-    pairs = pairs.select("block", "at", F.sum("x.counts").over(by_word).alias("n"), first.alias("first")).where("n > 0")
-    counted = kept(pairs, "words")
-    total = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
-    distinct = counted.where("first").count()
+    counted = _counted(blocks)
+    total = blocks.agg(F.sum("learnt")).first()[0] or 0
+    distinct = counted.agg(F.sum("distinct")).first()[0] or 0
     spread = float(total + distinct + 1)
     back = counted.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))
-    back = back.select("block", F.transform("known", lambda x: x["at"]).alias("ats"), F.transform("known", lambda x: x["n"]).alias("ns"))
 
     model = train(blocks, Pieces(model_path).end, shape)
     sent = spark.sparkContext.broadcast(model)
@@ -687,23 +843,23 @@ def score(
         own.ready()
         for batch in batches:
             for i in range(batch.num_rows):
-                *block, ats, ns = (c[i] for c in batch.columns)
+                *block, known = (c[i] for c in batch.columns)
                 ids, sizes, places, pieces, piece_sizes = _opened(*block)
                 count = np.zeros(len(piece_sizes), np.int64)
-                if ats.is_valid:
-                    count[ats.values.to_numpy()] = ns.values.to_numpy()
+                for x in known.values:
+                    count[np.frombuffer(x["at"].as_buffer(), np.int32)] = np.frombuffer(x["n"].as_buffer(), np.int64)
                 begins = np.cumsum(sizes) - sizes
                 base = np.add.reduceat(np.log10((count + 1) / spread)[places], begins)
-                known = np.add.reduceat((count > 0)[places].astype(np.int64), begins)
+                n_known = np.add.reduceat((count > 0)[places].astype(np.int64), begins)
                 sequence, each = _spread(places, pieces, piece_sizes)
                 ends = np.append(0, np.cumsum(each))
                 marks = np.append(ends[begins], ends[-1])
                 scores = score_block(own, np.append(sequence, pieces[0]), marks)
                 held = pa.array([is_held_out(x) for x in ids.to_pylist()])
-                columns = [ids, held, pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(scores)]
+                columns = [ids, held, pa.array(sizes), pa.array(n_known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(
                     columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
                 )
 
     whole = blocks.select("block", *_TEXTS)
-    return whole.join(back, "block", "left").drop("block").mapInArrow(run, _SCORES)
+    return whole.join(back, "block").drop("block").mapInArrow(run, _SCORES)
