@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +339,59 @@ def test_gradients():
             assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(want, abs=2e-4)
 
 
+def test_gradients_of_classes_in_groups():
+    """Two softmaxes, over groups and over a group's classes, and no more columns for an id than these have."""
+    rng = np.random.default_rng(6)
+    shape = replace(SMALL, width=4, context=6, single=5, clusters=4, group=3)
+    classes = rng.integers(0, 9, 14)
+    pairs = np.stack((np.repeat(np.arange(14), 9), np.tile(np.arange(9), 14), rng.integers(1, 30, 126)), 1)
+    groups = lmscore.groups_of(pairs, classes, shape)
+    assert np.bincount(groups).max() <= 3 and len(groups) == 9
+    model = lmscore.Model(rng.integers(1, 9, 14), classes, shape, groups=groups)
+    assert all(len(side) <= model.groups + 3 for side in model.sides)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    windows = rng.integers(0, 14, (3, 7))
+    windows[1, 3:] = -1
+    dense = model.gradients(windows)[0]
+    for name, all_of in dense.items():
+        for at in map(tuple, rng.integers(0, all_of.shape, (8, all_of.ndim))):
+            if name == "head" and model.unused[at[1]]:
+                continue
+            losses = []
+            for e in (1e-4, -1e-4):
+                model.w[name][at] += e
+                losses.append(model.gradients(windows)[3])
+                model.w[name][at] -= e
+            assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(all_of[at], abs=2e-4)
+
+
+def test_words_of_a_block_and_their_pieces(monkeypatch):
+    monkeypatch.setattr(lmscore, "_REMEMBERED", 5)
+    pieces = lmscore.Pieces(queries.piece_path())
+    blocks = [[b"", b" ", b"A b\x0b\x0cC\x1dc a\x85", b"\xff\xc3 \xe2\x82"], ["Über ein Wort a b".encode()], [b""], [b" b  x y\n\nz a b "]]
+    for texts in blocks * 2:
+        sizes, places, words = lmscore._words(texts)
+        lists = [[b"", *text.lower().split()] for text in texts]
+        assert sizes.tolist() == [len(x) for x in lists]
+        words = words.to_pylist()
+        assert [words[i] for i in places] == [w for x in lists for w in x]
+        assert len(set(words)) == len(words)
+        ids, many = pieces.of_distinct(pa.array(words[1:], pa.binary()))
+        want = pieces.of(words[1:])
+        assert many.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert len(pieces.known) <= 5
+
+
+def test_word_counts_meet_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "_BUCKET_WORDS", 40)
+    monkeypatch.setattr(lmscore, "train", lambda blocks, end, shape: lmscore.Model(np.ones(end + 1, np.int64), np.arange(end + 1) % shape.classes, shape))
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(40)), "x", "s", None) for i in range(60)]
+    out = lmscore.score(table(spark, rows).repartition(3), queries.piece_path(), SMALL).collect()
+    got = Counter((*r[:5], round(r["base_score"], 6)) for r in out)
+    assert got == Counter(plain_base([(r[0], r[1]) for r in rows]))
+
+
 def test_the_model_learns_from_what_came_before(spark):
     """Texts in one of two made-up languages: held-out texts of the right words score above the same ids out of order."""
     rng = random.Random(9)

@@ -58,7 +58,7 @@ class Shape:
     single: int = 96
     clusters: int = 32
     #: Classes of a group, at most.
-    group: int = 16
+    group: int = 32
     #: Turns in which a text's windows are learnt, neighbours in different ones; none is left out.
     train_every: int = 32
     seed_windows: int = 4096
@@ -241,7 +241,7 @@ def window_bounds(ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarra
 def cut_windows(sequence: np.ndarray, begins: np.ndarray, ends: np.ndarray, shape: Shape) -> np.ndarray:
     """A row for each window: its ids, the one to come, -1 behind the mark at its text's end."""
     where = begins[:, None] + np.arange(shape.context + 1)
-    out = sequence[np.minimum(where, len(sequence) - 1)]
+    out = sequence.take(where, mode="clip")
     out[where > ends[:, None]] = -1
     return out
 
@@ -428,7 +428,7 @@ class Model:
         place[order] = self.groups + np.arange(shape.classes)
         place += self.groups - np.array(self.ends)[self.group]
         #: An id's group, and its class's place behind the groups' columns; the last is for id -1, which has none.
-        self.in_group = np.append(self.group[classes], self.groups).astype(np.uint16)
+        self.in_group = np.append(self.group[classes], self.groups).astype(np.min_scalar_type(self.groups))
         self.in_columns = np.append(place[classes], 0)
         #: For each group, two columns, whose products are the sums over groups and over the group's classes.
         sizes = np.diff(self.ends)
@@ -616,14 +616,19 @@ class Model:
         """One step: Adam for dense weights, Adagrad for the embeddings of the ids at hand."""
         dense, touched, rows, loss = self.gradients(windows)
         self.steps += 1
-        for name, g in dense.items():
-            m = self.moments.get(name)
-            if m is None:
-                m = self.moments[name] = [np.zeros_like(g), np.zeros_like(g)]
-            m[0] += np.float32(0.1) * (g - m[0])
-            m[1] += np.float32(0.005) * (g * g - m[1])
-            up, down = 1 - 0.9**self.steps, 1 - 0.995**self.steps
-            self.w[name] -= (rate * (m[0] / up) / (np.sqrt(m[1] / down) + 1e-8)).astype(np.float32)
+        # All dense weights are one row.
+        g = np.concatenate([x.ravel() for x in dense.values()])
+        if "dense" not in self.moments:
+            self.moments["dense"] = [np.zeros_like(g), np.zeros_like(g)]
+        m = self.moments["dense"]
+        m[0] += np.float32(0.1) * (g - m[0])
+        m[1] += np.float32(0.005) * (g * g - m[1])
+        up, down = 1 - 0.9**self.steps, 1 - 0.995**self.steps
+        g = (rate * (m[0] / up) / (np.sqrt(m[1] / down) + 1e-8)).astype(np.float32)
+        at = 0
+        for name, x in dense.items():
+            self.w[name] -= g[at : at + x.size].reshape(x.shape)
+            at += x.size
         if "tokens" not in self.moments:
             self.moments["tokens"] = [np.full(len(self.w["tokens"]), 1e-8, np.float32)]
         seen = self.moments["tokens"][0]
@@ -678,7 +683,7 @@ def _round(blocks: DataFrame, model: Model, rate: float) -> None:
         def step(windows: np.ndarray) -> None:
             own.learn(windows, rate)
             seen = windows[windows >= 0]
-            np.add.at(used, seen, 1)
+            np.add.at(used, seen, 1.0)
             used[tokens:] += len(seen)
 
         for batch in batches:
@@ -800,15 +805,17 @@ def score_block(model: Model, sequence: np.ndarray, begins: np.ndarray) -> np.nd
     t, step = shape.context, shape.step
     lengths = np.diff(begins)
     out = np.zeros(len(lengths))
+    # Each place's ids from there on; behind the last one they are of no text.
+    ahead = np.lib.stride_tricks.sliding_window_view(np.append(sequence, np.repeat(sequence[-1:], t)), t + 1)
 
     def add(text: np.ndarray, start: np.ndarray, first: int) -> None:
-        for a in range(0, len(text), shape.batch):
-            some, at = text[a : a + shape.batch], start[a : a + shape.batch]
-            where = at[:, None] + np.arange(t)
-            inside = where < begins[some + 1][:, None]
-            where = np.minimum(where, len(sequence) - 2)
-            found = model.log10(sequence[where], sequence[where[:, first:] + 1], first)
-            np.add.at(out, some, (found * inside[:, first:]).sum(axis=1))
+        for a in range(0, len(text), 2 * shape.batch):
+            some, at = text[a : a + 2 * shape.batch], start[a : a + 2 * shape.batch]
+            inside = np.arange(first, t) < (begins[some + 1] - at)[:, None]
+            ids = ahead[at]
+            found = model.log10(ids[:, :-1], ids[:, first + 1 :], first)
+            found *= inside
+            np.add.at(out, some, found.sum(axis=1))
 
     add(np.arange(len(lengths)), begins[:-1], 0)
     more = np.maximum(0, -(-(lengths - t) // step))
