@@ -2,11 +2,12 @@
 
 1. *Blocks.* One scan turns the documents into blocks of a few megabytes of text: the distinct lower-cased words of the
    block with their subword ids and how often its training documents have them, and the documents as places in that list.
-2. *Counts.* Each block's words meet by word, are summed over all training documents, and come back as one array a block.
-   What is shuffled is a row for each word of a block, not for each word of a text.
-3. *Model.* Token embedding plus place, one causal attention and a softmax over classes of ids; an id's share of its class
-   comes from counts of all training documents, by the class before it. The commonest ids are classes of their own, others
-   are clustered by their neighbours, counted over all training documents too.
+2. *Counts.* Each block's words meet in buckets by their hash, are summed over all training documents, and come back as arrays.
+   What is shuffled is each word of a block once, not each word of a text, and a row for each block and bucket.
+3. *Model.* Token embedding plus place, one causal attention, a softmax over groups of classes of ids and one over the classes
+   of a group, which are alike in the classes beside them; an id's share of its class comes from counts of all training
+   documents, by the class before it. The commonest ids are classes of their own, others are clustered by their
+   neighbours, counted over all training documents too.
 4. *Training.* Training documents are cut into windows of `context` ids from end to end, and all are learnt from: every id is a
    target once a round. A start is fitted on the driver from a bounded sample (`seed_windows` windows); then, for `rounds`
    rounds, each task goes on from the shared weights over all windows it has, and the changes are averaged.
