@@ -176,3 +176,25 @@ def test_generated_and_trivia(spark):
     assert got == {"p": "changed", "q": "all", "r": "widen", "s": "note"}
     docs = spark.createDataFrame([("p", "a", "A"), ("p", "b", "B"), ("q", "a", "C"), ("s", "a", "D")], "project string, hint string, key string")
     assert {r["key"] for r in changes.generated_seeds(gen, docs).collect()} == {"B", "C"}
+
+
+def test_routes_meet_like_all_pairs(spark):
+    heads, tails = ["a", "b", "{x}"], ["1", "2", "{y}", "{z}/c", "1/c"]
+    templates = [f"/{h}/{t}" for h in heads for t in tails]
+    rows = [(t, f"e{i % 7}", True) for i, t in enumerate(templates)] + [(t, f"m{i % 9}", False) for i, t in enumerate(templates + templates[:4])]
+    rows += [("/a/1", "e0", False), ("/{x}/{y}", "e1", True), ("/{x}", "e2", True), ("/", "m1", False)]
+    df = spark.createDataFrame(rows, "template string, owner string, is_endpoint boolean")
+    got = [tuple(r) for r in routes.match_routes(df).collect()]
+    named = routes.normalised(df)
+    e, r = named.where("is_endpoint").alias("e"), named.where("NOT is_endpoint").alias("r")
+    met = e.crossJoin(r).where((F.col("e.owner") != F.col("r.owner")) & rt.segments_match(F.col("e.segments"), F.col("r.segments")))
+    assert sorted(got) == sorted((x["src"], x["dst"], 1024) for x in met.select(F.col("e.owner").alias("src"), F.col("r.owner").alias("dst")).distinct().collect())
+
+
+def test_a_route_that_all_serve_is_shared_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(routes, "_SIDE", 10)
+    rows = [("/x/{id}", f"e{i}", True) for i in range(60)] + [(f"/x/{i}", f"m{i}", False) for i in range(90)]
+    met = routes.match_routes(spark.createDataFrame(rows, "template string, owner string, is_endpoint boolean"))
+    by_task = met.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in by_task) == met.distinct().count() == 5400
+    assert len(by_task) >= 4 and max(r["count"] for r in by_task) < 2700

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_path
-from ..functions.routes import combine_routes, normalise_route, route_segments, segments_match
+from ..functions.routes import combine_routes, normalise_route, route_segments
+from ..plans.buckets import bucket_count
+from ..plans.workdir import written
 from ..schemas import DISPATCH_BY_ROUTE
 
 
@@ -22,27 +24,62 @@ def normalised(routes: DataFrame) -> DataFrame:
     return routes.withColumn("segments", route_segments(F.col("template"))).where(F.col("segments").isNotNull())
 
 
+#: Owners of a template, and references that it matches, dealt so many to a side meet in one cell of pairs.
+_SIDE = 1000
+
+
 def match_routes(routes: DataFrame) -> DataFrame:
     """Edges (src, dst, kind) from an endpoint's owner to members that name a route it serves.
 
-    Candidates meet on the segment count and on the first segment, under its own name and as a wildcard, so no endpoint is
-    compared with every reference. Different (owner, template) rows only: repeats are dropped before the join.
+    Different templates and different references meet first, by equality: a reference is looked up under each mask of
+    wildcards that templates of its segment count and first segment have. Then each template's owners meet the members that
+    name a route it matches, in cells of at most a bounded number of pairs, so a template that all serve and name is
+    shared by all tasks. Only an owner of several templates can meet a member twice; other pairs aren't compared again.
     """
-    rows = normalised(routes).select("owner", "segments", "is_endpoint").distinct()
-    count, first = F.size("segments"), F.element_at("segments", 1)
+    rows = written(normalised(routes).select("owner", "segments", "is_endpoint").distinct(), "routes")
     ends = rows.where("is_endpoint").select(
-        F.col("owner").alias("src"), F.col("segments").alias("template"), count.alias("n"), first.alias("head")
+        F.col("owner").alias("src"),
+        F.array_join("segments", "/").alias("template"),
+        F.transform("segments", lambda s: s == "*").alias("mask"),
+        F.element_at("segments", 1).alias("head"),
     )
-    refs = rows.where(~F.col("is_endpoint")).select(
-        F.col("owner").alias("dst"),
-        F.col("segments").alias("named"),
-        count.alias("n"),
-        F.explode(F.array_distinct(F.array(first, F.lit("*")))).alias("head"),
+    refs = rows.where(~F.col("is_endpoint")).select(F.col("owner").alias("dst"), F.col("segments").alias("named"))
+    none = rows.select(F.col("owner").alias("src"), F.col("owner").alias("dst"), F.lit(DISPATCH_BY_ROUTE).alias("kind")).limit(0)
+    masks = ends.select("mask", "head").distinct().select(F.size("mask").alias("n"), "head", "mask")
+    first = F.element_at("named", 1)
+    asked = refs.select("named").distinct().select(
+        "named", F.size("named").alias("n"), F.explode(F.array_distinct(F.array(first, F.lit("*")))).alias("head")
     )
-    met = ends.join(refs, ["n", "head"]).where(
-        (F.col("src") != F.col("dst")) & segments_match(F.col("template"), F.col("named"))
-    )
-    return met.select("src", "dst", F.lit(DISPATCH_BY_ROUTE).alias("kind")).distinct()
+    masked = F.array_join(F.zip_with("named", "mask", lambda s, wild: F.when(wild, "*").otherwise(s)), "/")
+    hits = asked.join(masks, ["n", "head"]).select("named", masked.alias("template")).distinct()
+    hits = hits.join(ends.select("template").distinct(), "template", "left_semi")
+    met = written(refs.join(hits, "named").select("template", "dst").distinct(), "met")
+    sizes = ends.groupBy("template").agg(F.count("*").alias("owners")).join(met.groupBy("template").agg(F.count("*").alias("members")), "template")
+    sizes = written(sizes, "sizes")
+    pairs = sizes.agg(F.sum(F.col("owners") * F.col("members"))).first()[0]
+    if not pairs:
+        return none
+    # A number that is asked for, as pairs are far more than the rows they come from, by which partitions would be joined up.
+    parts = max(bucket_count(rows.sparkSession), -(-pairs // (4 * _SIDE * _SIDE)))
+    across, down = (F.ceil(F.col(c) / _SIDE).cast("int") for c in ("owners", "members"))
+
+    def dealt(df: DataFrame, key: str, own: Column, other: Column, names: tuple[str, str]) -> DataFrame:
+        """Rows dealt to their own side's places by a hash, and copied to all of the other's."""
+        placed = df.join(sizes, "template").select(
+            "template", key, F.pmod(F.xxhash64(key), own).cast("int").alias(names[0]), F.explode(F.sequence(F.lit(0), other - 1)).alias(names[1])
+        )
+        return placed.repartition(parts, "template", "_across", "_down")
+
+    several = ends.groupBy("src").count().where("count > 1").select("src")
+    members = dealt(met, "dst", down, across, ("_down", "_across"))
+
+    def joined(owners: DataFrame) -> DataFrame:
+        both = dealt(owners.select("template", "src"), "src", across, down, ("_across", "_down")).join(members, ["template", "_across", "_down"])
+        return both.where("src <> dst").select("src", "dst", F.lit(DISPATCH_BY_ROUTE).alias("kind"))
+
+    if several.isEmpty():
+        return joined(ends)
+    return joined(ends.join(several, "src", "left_anti")).unionByName(joined(ends.join(several, "src", "left_semi")).distinct())
 
 
 def changed_templates(routes: DataFrame, hunks: DataFrame) -> DataFrame:
