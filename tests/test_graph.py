@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 
 from tidemark.operators import graph, typeflow
+from tidemark.plans import workdir
 from tidemark.plans.fixpoint import closure
 from tidemark.schemas import NODES
 
@@ -254,3 +255,20 @@ def test_walk_shuffles_neither_steps_nor_known_rows(spark, capsys):
     finally:
         spark.conf.unset(auto)
     assert "SelectedBucketsCount: 1 out of" in capsys.readouterr().out
+
+
+def test_implementations_of_a_declaration_meet_its_reach_once(spark):
+    rows = [("D", "T", 3, f"i{n:03}", 256) for n in range(200)] + [("D", "T", 2, "z", 256), ("D", None, 4, "y", 512), ("E", "T", 2, "a", 256)]
+    pairs = spark.createDataFrame(rows, "decl string, type string, impl_hops int, impl string, up_kind int")
+    found = graph._least_pairs(pairs).select("decl", "type", "by.*").collect()
+    assert {tuple(r) for r in found} == {("D", "T", 2, "z", 256), ("D", None, 4, "y", 512), ("E", "T", 2, "a", 256)}
+
+
+def test_a_graph_keeps_its_steps_once(spark):
+    nodes = spark.createDataFrame([("A", "Type", "p", None), ("a", "Method", "p", "A")], "key string, kind string, project string, containing_type string")
+    edges = spark.createDataFrame([("a", f"k{n}", 1) for n in range(50)] + [("k1", "k2", 256)], "src string, dst string, kind int")
+    made = len(workdir._made)
+    g = graph.Graph(nodes, edges)
+    assert not [at for at in workdir._made[made:] if "tidemark-adjacency-" in at]
+    kept = {(r["key"], r["to"], r["upward"]) for r in g.steps.collect()}
+    assert kept == {("A", "a", False), ("k1", "k2", True)} | {("a", f"k{n}", False) for n in range(50)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.buckets import Rounds, bucket_count, bucketed
 from ..plans.fixpoint import closure, union_all
-from ..plans.workdir import written
+from ..plans.workdir import dropped, written
 from ..schemas import DISPATCH, DISPATCH_BY_REQUEST, DISPATCH_BY_ROUTE, DOWNWARD, GENERALISE_ROUNDS, UPWARD
 
 
@@ -113,15 +113,17 @@ class Graph:
             F.lit(False).alias("upward"),
             F.lit(False).alias("downward"),
         )
-        #: One adjacency for edges and containment.
-        self.steps = written(union_all([plain, followed, fan_out]), "adjacency")
+        steps = written(union_all([plain, followed, fan_out]), "adjacency", ("key", "to"))
         # Sources of more than their share of the steps, few by that: a bucket would hold all of one, and no task could share
         # them. Their steps stay in a table of their own, which a join may split.
-        share = self.steps.count() // (_PER_BUCKET * bucket_count(nodes.sparkSession)) + 1
-        heavy = written(self.steps.groupBy("key").count().where(F.col("count") > share).select("key"), "heavy")
-        self.heavy = None if heavy.isEmpty() else written(self.steps.join(heavy, "key", "left_semi"), "heavy-steps")
-        light = self.steps if self.heavy is None else self.steps.join(heavy, "key", "left_anti")
+        share = steps.count() // (_PER_BUCKET * bucket_count(nodes.sparkSession)) + 1
+        heavy = written(steps.groupBy("key").count().where(F.col("count") > share).select("key"), "heavy")
+        self.heavy = None if heavy.isEmpty() else written(steps.join(heavy, "key", "left_semi"), "heavy-steps", ("key", "to"))
+        light = steps if self.heavy is None else steps.join(heavy, "key", "left_anti")
         self.light = bucketed(light, "light-steps", "key")
+        #: One adjacency for edges and containment.
+        self.steps = self.light if self.heavy is None else self.light.unionByName(self.heavy)
+        dropped(steps)
 
     def onward(self, frontier: DataFrame, keys: list[str] | None = None) -> DataFrame:
         """The frontier's rows with each of the steps from their key; only buckets of `keys` are read, if they are named."""
@@ -253,16 +255,14 @@ def traverse(
         if narrow is not None:
             allowed = narrow(allowed)
         bound = beyond.select(F.col("origin").alias("type"), F.lit(True).alias("bounded"))
-        pairs = new.join(bound, "type", "left").select(
-            "decl", "impl", "up_kind", "impl_hops", "type", F.coalesce("bounded", F.lit(False)).alias("bounded")
-        )
+        pairs = _least_pairs(new).join(bound, "type", "left").withColumn("bounded", F.coalesce("bounded", F.lit(False)))
         candidates = pairs.join(decl_reach.withColumnsRenamed({"origin": "decl", "hops": "more"}), "decl").withColumn(
-            "hops", F.col("impl_hops") + F.col("more")
+            "hops", F.col("by.impl_hops") + F.col("more")
         )
         if predecessors:
             first = F.col("key") == F.col("decl")
             candidates = candidates.withColumns(
-                {"pred": F.when(first, F.col("impl")).otherwise(F.col("pred")), "pred_kind": F.when(first, F.col("up_kind")).otherwise(F.col("pred_kind"))}
+                {"pred": F.when(first, F.col("by.impl")).otherwise(F.col("pred")), "pred_kind": F.when(first, F.col("by.up_kind")).otherwise(F.col("pred_kind"))}
             )
         free = candidates.where(~F.col("bounded") | (F.col("key") == F.col("decl")))
         within = candidates.where("bounded").join(allowed, ["type", "key"], "left_semi")
@@ -277,6 +277,15 @@ def traverse(
     return impacted
 
 
+def _least_pairs(pairs: DataFrame) -> DataFrame:
+    """(decl, type, by): of the implementations of a declaration in one type, the nearest, of equally near ones the least.
+
+    What a declaration reaches is the same for all of them, so only this one is joined with it: a declaration with n
+    implementations that reaches m keys gives m candidates for each type, not n x m.
+    """
+    return pairs.groupBy("decl", "type").agg(F.min(F.struct("impl_hops", "impl", "up_kind")).alias("by"))
+
+
 def paths_to(walked: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target key, the chain of (key, kind) from its seed on, following predecessors; cycles end it."""
     preds = written(walked.select(F.col("key").alias("head"), "pred", "pred_kind"), "preds")

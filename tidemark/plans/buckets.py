@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workdir import new_path
+from .workdir import CODEC, new_path
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -37,7 +37,7 @@ class Rounds:
         self.schema = f"{schema}, {number} int"
         self.columns = [f.name for f in spark.createDataFrame([], schema).schema]
         spark.sql(
-            f"CREATE TABLE {self.name} ({self.schema}) USING parquet PARTITIONED BY ({number}) "
+            f"CREATE TABLE {self.name} ({self.schema}) USING parquet OPTIONS (compression '{CODEC}') PARTITIONED BY ({number}) "
             f"CLUSTERED BY ({_quoted(keys)}) INTO {bucket_count(spark)} BUCKETS LOCATION '{self.path}'"
         )
 
@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     path = new_path(spark, what)
     name = "tidemark_" + path.rpartition("-")[2]
     n = bucket_count(spark)
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    df.repartition(n, key).write.format("parquet").option("compression", CODEC).bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     # The frame keeps the files and their buckets; the name isn't needed any more.
     found = spark.table(name)
     found.schema  # noqa: B018 - resolved while the name is there

@@ -35,7 +35,11 @@ def query(sql: str | None = None) -> Callable[[Callable[[Bed], DataFrame]], Call
 
 
 def _graph(bed: Bed) -> graph.Graph:
-    return graph.Graph(written(bed.nodes(), "nodes"), written(graph.merge_edges(bed.raw_edges()), "edges"))
+    return _graph_of(bed.nodes(), bed.raw_edges())
+
+
+def _graph_of(nodes: DataFrame, edges: DataFrame) -> graph.Graph:
+    return graph.Graph(written(nodes, "nodes", ("key",)), written(graph.merge_edges(edges), "edges", ("src", "dst")))
 
 
 def _keys(bed: Bed, *keys: str) -> DataFrame:
@@ -215,7 +219,7 @@ _INTERFACES = """own AS (SELECT c_custkey AS c, c_nationkey AS n, n_regionkey AS
 )
 def generalise_select(bed: Bed) -> DataFrame:
     nodes, edges = bed.interface_graph()
-    g = graph.Graph(written(nodes, "nodes"), written(graph.merge_edges(edges), "edges"))
+    g = _graph_of(nodes, edges)
     return graph.traverse(g, _keys(bed, "C1", "C4", "N2"))
 
 
@@ -246,7 +250,7 @@ def generalise_select(bed: Bed) -> DataFrame:
 def explain_generalised(bed: Bed) -> DataFrame:
     """The chain from a seed to every impacted key, over declarations that upward edges lead to."""
     nodes, edges = bed.interface_graph()
-    g = graph.Graph(written(nodes, "nodes"), written(graph.merge_edges(edges), "edges"))
+    g = _graph_of(nodes, edges)
     walked = written(graph.traverse(g, _keys(bed, "C1", "C4", "N2"), predecessors=True), "walked")
     kinds = F.filter(F.transform("path", lambda p: p["kind"]), lambda k: k.isNotNull())
     return graph.paths_to(walked, walked.select("key")).select(
