@@ -272,3 +272,15 @@ def test_a_graph_keeps_its_steps_once(spark):
     assert not [at for at in workdir._made[made:] if "tidemark-adjacency-" in at]
     kept = {(r["key"], r["to"], r["upward"]) for r in g.steps.collect()}
     assert kept == {("A", "a", False), ("k1", "k2", True)} | {("a", f"k{n}", False) for n in range(50)}
+
+
+def test_paths_name_the_nearest_implementation(spark):
+    nodes = [("T", "Type", "p", None), ("D", "Method", "p", None), ("far", "Method", "p", None), *((f"i{n}", "Method", "p", "T") for n in range(20))]
+    rows = [(f"i{n}", "D", 256) for n in range(20)] + [("D", "far", 1), ("s", "i7", 1), ("s", "i5", 1), ("s", "q", 1), ("q", "i3", 1)]
+    g = graph.Graph(
+        spark.createDataFrame(nodes, "key string, kind string, project string, containing_type string"),
+        spark.createDataFrame(rows, "src string, dst string, kind int"),
+    )
+    walked = graph.traverse(g, spark.createDataFrame([("s",)], "key string"), predecessors=True)
+    found = {r["target"]: [p["key"] for p in r["path"]] for r in graph.paths_to(walked, walked.select("key")).collect()}
+    assert found["far"] == ["s", "i5", "D", "far"] and found["D"] == ["s", "i5", "D"]
