@@ -235,3 +235,22 @@ def test_lengths_are_those_of_the_arguments(spark):
         for dialect in (filters.VsTest(), filters.ClassOrMethod(), filters.TreeNode()):
             built = dialect.arguments(tests).select("project", fx.arguments_length(F.col("arguments")).cast("long").alias("length"))
             assert sorted(map(tuple, built.collect())) == sorted((r["project"], r["length"]) for r in dialect.lengths(tests).collect())
+
+
+def test_passes_hold_whole_projects_or_parts_of_one(spark):
+    sizes = {f"p{i}": 10 for i in range(7)} | {"large": 95, "full": 30}
+    passes = filters._passes(sizes, 30)
+    assert sorted(p for projects, _, parts in passes if parts == 1 for p in projects) == sorted(set(sizes) - {"large"})
+    assert [x for x in passes if x[2] > 1] == [(["large"], i, 4) for i in range(4)]
+    assert all(sum(sizes[p] for p in projects) <= 30 for projects, _, parts in passes if parts == 1)
+    assert filters._passes({}, 30) == []
+
+
+def test_terms_in_parts_find_names_of_their_own_project(spark):
+    names = [(p, f"N.{p}.C{i}.M") for p in ("a", "b", "c") for i in range(40)] + [("a", None), (None, "N.a.C1.M")]
+    asked = [(p, f"C{i}.") for p in ("a", "b") for i in range(0, 40, 3)] + [("b", "C1"), ("a", ""), ("c", None), (None, "M"), ("d", "N")]
+    frames = spark.createDataFrame(names, "project string, fqn string"), spark.createDataFrame(asked, "project string, term string")
+    want = {(p, f) for p, f in names if p and f and any(q == p and t and t in f for q, t in asked)}
+    for pass_bytes in (8 << 20, 90, 12):
+        found = [tuple(r) for r in filters.holding(*frames, pass_bytes=pass_bytes).collect()]
+        assert len(found) == len(want) and set(found) == want

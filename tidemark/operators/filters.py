@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import escape_tree_node, escape_vstest
+from ..plans.buckets import bucket_count
 from ..plans.fixpoint import union_all
 from ..plans.workdir import written
 from ..schemas import COVERAGE_LIMIT, FILTER_LENGTH_LIMIT, WAVE_LEAST_TESTS
@@ -57,21 +58,44 @@ def _joined(rows: DataFrame, value: Column, separator: str) -> DataFrame:
     return rows.groupBy("project").agg(F.array_join(F.transform(ordered, lambda s: s["v"]), separator).alias("text"))
 
 
+def _passes(sizes: dict[str, int], pass_bytes: int) -> list[tuple[list[str], int, int]]:
+    """(projects, part, parts) of each pass: small projects together, a large one alone and in parts."""
+    out: list[tuple[list[str], int, int]] = []
+    some: list[str] = []
+    room = pass_bytes
+    for project, size in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        if size > pass_bytes:
+            parts = -(-size // pass_bytes)
+            out += [([project], i, parts) for i in range(parts)]
+            continue
+        if size > room and some:
+            out.append((some, 0, 1))
+            some, room = [], pass_bytes
+        some.append(project)
+        room -= size
+    return [*out, (some, 0, 1)] if some else out
+
+
 def holding(names: DataFrame, asked: DataFrame, pass_bytes: int = 8 << 20) -> DataFrame:
     """Of `names` (project, fqn), those that hold one of the terms asked for in their project (project, term).
 
-    Terms go out in passes of about `pass_bytes` bytes; a worker makes an Aho-Corasick automaton of a project's terms when
-    it first meets the project, and reads each name once, however many terms end alike. Names and terms that are null are
-    held by nothing.
+    Terms go out in passes of about `pass_bytes` bytes, each of whole projects or of a part of one that is larger, so a
+    pass reads the names of its projects only. Names lie in files by project and name; a worker makes an Aho-Corasick
+    automaton of a project's terms when it first meets the project, and reads each name once, however many terms end alike.
+    Names and terms that are null are held by nothing.
     """
     asked = written(asked.where("project IS NOT NULL AND length(term) > 0").distinct(), "asked")
-    total = asked.agg(F.sum(F.octet_length("term") + F.octet_length("project"))).first()[0] or 0
-    passes = max(1, -(-total // pass_bytes))
-    names = names.where("fqn IS NOT NULL")
-    out = names.limit(0)
-    for i in range(passes if total else 0):
+    sizes = asked.groupBy("project").agg(F.sum(F.octet_length("term") + F.octet_length("project")).alias("bytes")).collect()
+    names = names.where("fqn IS NOT NULL").select("project", "fqn")
+    if not sizes:
+        return names.limit(0)
+    names = names.join(asked.select("project").distinct(), "project", "left_semi")
+    names = written(names.repartitionByRange(bucket_count(names.sparkSession), "project", "fqn"), "names", ("project", "fqn"))
+    out = None
+    for projects, part, parts in _passes({r["project"]: r["bytes"] for r in sizes}, pass_bytes):
+        here = F.col("project").isin(projects)
         # Terms are distinct, so a hash deals them evenly.
-        some = asked.where(F.pmod(F.xxhash64("project", "term"), F.lit(passes)) == i) if passes > 1 else asked
+        some = asked.where(here & (F.pmod(F.xxhash64("project", "term"), F.lit(parts)) == part) if parts > 1 else here)
         by_project: dict[str, list[str]] = {}
         for r in some.collect():
             by_project.setdefault(r["project"], []).append(r["term"])
@@ -94,9 +118,9 @@ def holding(names: DataFrame, asked: DataFrame, pass_bytes: int = 8 << 20) -> Da
                     keep.append(built[project] is not None and next(built[project].iter(fqn), None) is not None)
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        hit = names.select("project", "fqn").mapInArrow(run, names.select("project", "fqn").schema)
-        out = hit if i == 0 else out.unionByName(hit)
-    return out.select("project", "fqn").distinct()
+        hit = names.where(here).mapInArrow(run, names.schema)
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct()
 
 
 @dataclass(frozen=True)
