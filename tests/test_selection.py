@@ -254,3 +254,15 @@ def test_terms_in_parts_find_names_of_their_own_project(spark):
     for pass_bytes in (8 << 20, 90, 12):
         found = [tuple(r) for r in filters.holding(*frames, pass_bytes=pass_bytes).collect()]
         assert len(found) == len(want) and set(found) == want
+
+
+def test_trx_files_grow_in_number_not_in_length(spark, sf_dir, monkeypatch):
+    from tidemark import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "_TRX_ORDERS", 100)
+    monkeypatch.setattr(queries.results, "parse_trx", lambda texts: seen.append(texts) or texts)
+    queries.QUERIES["trx_results"](spark, sf_dir)
+    held = [r["n"] for r in seen[0].select((F.size(F.split("text", "<UnitTestResult ")) - 1).alias("n")).collect()]
+    assert sum(held) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert max(held) <= 100 and len(held) > 20

@@ -1110,6 +1110,10 @@ def reopen_decisions(bed: Bed) -> DataFrame:
     return watch.reopen_decisions(batch, known)
 
 
+#: Orders whose results are in the same TRX files, one for each project.
+_TRX_ORDERS = 100_000
+
+
 @query(
     """SELECT 'p' || o_custkey % 20 AS project, CASE WHEN o_orderkey % 3 = 0 THEN 'own' || o_orderkey ELSE 'Ns.K.T' || o_orderkey END AS test,
       CASE WHEN o_orderstatus = 'F' THEN 'Failed' ELSE 'Passed' END AS result FROM orders"""
@@ -1118,6 +1122,8 @@ def trx_results(bed: Bed) -> DataFrame:
     oid = F.col("o_orderkey").cast("string")
     rows = bed.table("orders").select(
         F.concat(F.lit("p"), (F.col("o_custkey") % 20).cast("string")).alias("project"),
+        # A run writes a file for so many orders: files grow in number with the table, not in length.
+        F.floor(F.col("o_orderkey") / _TRX_ORDERS).alias("file"),
         F.when(
             F.col("o_orderkey") % 3 != 0,
             F.concat(F.lit('<UnitTest id="i'), oid, F.lit('"><TestMethod className="Ns.K" name="T'), oid, F.lit('"/></UnitTest>')),
@@ -1141,7 +1147,7 @@ def trx_results(bed: Bed) -> DataFrame:
         F.array_join(F.collect_list("outcome"), ""),
         F.lit("</Results></TestRun>"),
     )
-    return results.parse_trx(rows.groupBy("project").agg(text.alias("text")))
+    return results.parse_trx(rows.groupBy("project", "file").agg(text.alias("text")))
 
 
 @query(
