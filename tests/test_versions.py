@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tidemark.plans import workdir
 from tidemark.sources import results
 from tidemark.sources.versions import Versions
 
@@ -108,3 +109,12 @@ def test_two_writers_of_fragments(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Versions, "claim", claim)
     one.write({"nodes": spark.createDataFrame([("n3", "r")], schema)}, 1, 2, 1)
     assert {tuple(r) for r in one.read("nodes", schema).collect()} == {("n1", "p"), ("n2", "q"), ("n3", "r")}
+
+
+def test_a_fragment_store_leaves_no_copy_behind(spark, tmp_path):
+    store = results.FragmentStore(spark, f"file://{tmp_path}/fragments", "9.0", "a.sln")
+    rows = spark.createDataFrame([("p", "a"), ("q", "b")], "project string, key string")
+    made = len(workdir._made)
+    store.write({"nodes": rows}, 2, 2, 0)
+    assert not [at for at in workdir._made[made:] if "tidemark-fragments-" in at]
+    assert {tuple(r) for r in store.read("nodes", "project string, key string").select("project", "key").collect()} == {("p", "a"), ("q", "b")}

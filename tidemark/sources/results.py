@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import qualify_test_name, short_hash
-from ..plans.workdir import written
+from ..plans.workdir import CODEC, dropped, written
 from ..schemas import LEDGER_ROWS, RUNS
 from .versions import Versions
 
@@ -148,12 +148,14 @@ class FragmentStore:
                     df = before if df is None else df.unionByName(before.select(*df.columns))
                 folders[name] = self.versions.new_folder()
                 schemas[name] = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
-                df.write.partitionBy("project").parquet(f"{self.path}/{folders[name]}")
+                df.write.option("compression", CODEC).partitionBy("project").parquet(f"{self.path}/{folders[name]}")
             return {
                 "format": FORMAT, "sdk": self.sdk, "tables": folders, "schemas": schemas, "folders": sorted(folders.values()),
             }
 
         self.versions.publish(make)
+        for df in given.values():
+            dropped(df)
         return True
 
 
